@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.bpe import encode_documents
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.text import table
 
@@ -14,5 +15,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules,)}
+def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """``path``: the vocabulary file, by default the one of the installed library."""
+    import public_tokenizers
+
+    coded = encode_documents(table(spark, sf_dir, "documents"), path or str(public_tokenizers.path("byte_bpe_50k.json")))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_bpe_encode_decode)}
 ORACLE_SQL: dict[str, str] = {}
