@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.llm.bpe import encode_documents
+from plumbline.llm.minhash import near_duplicates
+from plumbline.llm.mixing import mix_sources
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.text import table
 
@@ -15,6 +17,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), trusted)
 
 
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """``path``: the vocabulary file, by default the one of the installed library."""
     import public_tokenizers
@@ -23,5 +29,9 @@ def op4_bpe_encode_decode(spark: SparkSession, sf_dir: str, path: str | None = N
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op4_bpe_encode_decode)}
+def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op4_bpe_encode_decode, op5_minhash_near_dedup)}
 ORACLE_SQL: dict[str, str] = {}
