@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm import language, pu_quality, toxicity
 from plumbline.llm.bpe import encode_documents
 from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.mixing import mix_sources
+from plumbline.llm.neighbours import nearest_neighbours
 from plumbline.llm.quality_rules import quality_rules
-from plumbline.llm.text import table
+from plumbline.llm.text import held_out, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +35,30 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op4_bpe_encode_decode, op5_minhash_near_dedup)}
+def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 3, 1))
+    net = pu_quality.train(docs.where("not held_out").select("doc_id", F.col("text").cast("binary").alias("t")), labels.select("doc_id", "quality"))
+    return pu_quality.score(docs, net, keep=("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+    labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 5, 0))
+    index = toxicity.train(docs.where("not held_out").select("doc_id", "text"), docs.select("text"), labels.select("doc_id", "toxic"))
+    return toxicity.score(docs, index, keep=("doc_id", "held_out")).select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 5, 0))
+    model = language.train(docs.where("not held_out").select("lang", "text"))
+    return language.identify(docs, model, keep=("doc_id", "held_out"))
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return nearest_neighbours(rows, rows.where("vec_id % 100 = 0"), k=10)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pu_quality, op4_bpe_encode_decode, op5_minhash_near_dedup, op6_toxicity, op7_language_id, op9_nearest_neighbours)}
 ORACLE_SQL: dict[str, str] = {}
