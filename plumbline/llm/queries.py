@@ -11,6 +11,7 @@ from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.neighbours import nearest_neighbours
 from plumbline.llm.quality_rules import quality_rules
+from plumbline.llm.suffix_dedup import repeated_spans
 from plumbline.llm.text import held_out, table
 
 
@@ -60,5 +61,11 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(rows, rows.where("vec_id % 100 = 0"), k=10)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pu_quality, op4_bpe_encode_decode, op5_minhash_near_dedup, op6_toxicity, op7_language_id, op9_nearest_neighbours)}
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["begin"])
+    found = repeated_spans(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pu_quality, op4_bpe_encode_decode, op5_minhash_near_dedup, op6_toxicity, op7_language_id, op9_nearest_neighbours, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}

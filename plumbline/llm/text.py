@@ -48,11 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
-def materialise(df: DataFrame) -> DataFrame:
+def materialise(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back."""
     spark = df.sparkSession
     path = shared_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_to = path
     return back
