@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import language, pu_quality, toxicity
 from plumbline.llm.bpe import encode_documents
+from plumbline.llm.line_templates import drop_templates
 from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.neighbours import nearest_neighbours
@@ -56,6 +57,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model, keep=("doc_id", "held_out"))
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = drop_templates(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings")
     return nearest_neighbours(rows, rows.where("vec_id % 100 = 0"), k=10)
@@ -67,5 +73,5 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pu_quality, op4_bpe_encode_decode, op5_minhash_near_dedup, op6_toxicity, op7_language_id, op9_nearest_neighbours, op10_suffix_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pu_quality, op4_bpe_encode_decode, op5_minhash_near_dedup, op6_toxicity, op7_language_id, op8_line_templates, op9_nearest_neighbours, op10_suffix_dedup)}
 ORACLE_SQL: dict[str, str] = {}
