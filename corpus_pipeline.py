@@ -1,15 +1,87 @@
-"""A training-corpus pipeline over ``documents``: each stage reads what the stage before it kept."""
+"""A training-corpus pipeline over ``documents``: each stage reads what the stage before it kept.
+
+Language ID drops documents without a language; line dedup drops lines of recurring templates, and documents of which no
+word is left; near-duplicate removal keeps one document of each group; mixing reads documents by the targets of their
+sources, so a document may come twice, or in part; encoding turns texts into token ids.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from plumbline.llm import language
+from plumbline.llm.bpe import encode_documents
+from plumbline.llm.line_templates import drop_templates
+from plumbline.llm.minhash import near_duplicates
+from plumbline.llm.mixing import mixed_texts
+from plumbline.llm.text import held_out, materialise
+
+LEAST_SCORE = 0.5
+
+
+def _others(docs: DataFrame, *named: str) -> Column:
+    """All further columns as one struct, so that none can clash with what an operator adds."""
+    return F.struct(*[docs[c] for c in docs.columns if c not in named] or [F.lit(0).alias("_")]).alias("others")
+
+
+def _rebuilt(rows: DataFrame, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` from doc_id, text, source and others; n_chars follows the text."""
+    own = set(rows.columns)
+    pick = {c: F.col(c) if c in own else F.col(f"others.{c}") for c in like.columns}
+    if "n_chars" in pick:
+        pick["n_chars"] = F.length("text").cast(like.schema["n_chars"].dataType)
+    return rows.select(*[v.alias(c) for c, v in pick.items()])
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = language.train(docs.where(~held_out(F.col("doc_id"), 5, 0)).select("lang", "text"))
+    packed = docs.select("doc_id", "text", _others(docs, "doc_id", "text"))
+    known = language.identify(packed, model, keep=("doc_id", "text", "others"))
+    return _rebuilt(known.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select("doc_id", "text", "others"), docs)
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = drop_templates(docs.select("doc_id", "text", _others(docs, "doc_id", "text")), keep=("others",))
+    return _rebuilt(left.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "text", "others"), docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    kept = near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id").distinct()
+    ones = docs.join(kept, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy("text", *[c for c in docs.columns if c not in ("doc_id", "text")])
+    ones = ones.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")  # repeated rows
+    return ones.unionByName(docs.where("doc_id is null"))
+
+
+def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    packed = docs.select("doc_id", "text", "source", _others(docs, "doc_id", "text", "source"))
+    return _rebuilt(mixed_texts(packed, keep=("others",)), docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str, path: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    coded = encode_documents(docs.select("doc_id", "text", "lang", "source"), path or str(public_tokenizers.path("byte_bpe_50k.json")), keep=("doc_id", "lang", "source"))
+    return coded.select("doc_id", "lang", "source", "n_tokens", "ids")
+
+
+STAGES = [
+    ("language ID", identify_language),
+    ("line dedup", drop_recurring_lines),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("mixing sources to target weights", mix_to_targets),
+    ("BPE encoding and decoding", encode),
+]
 
-STAGES: list = []
+#: Language models and encoders are beyond SQL; the tests hold every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = materialise(docs)
     return docs

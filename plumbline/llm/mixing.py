@@ -128,3 +128,16 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     result = some.unionByName(none)
     total = F.aggregate(F.coalesce("ranges", F.expr("array()").cast(ranges.schema["ranges"].dataType)), F.lit(0).cast("long"), lambda a, r: a + r["end"] - r["begin"])
     return result.select("doc_id", "size", "source", "source_size", "target", total.alias("taken"), *[F.col(f"keep_{k}").alias(k) for k in keep], "ranges")
+
+
+def mixed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = (), **options) -> DataFrame:
+    """The mix itself: per document and pass that reads from it, doc_id, source, the ``keep`` columns and ``text``, the words read with the blanks that follow them."""
+    rows = mix_sources(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), *keep), keep=("text", *keep), **options)
+    whole = rows.where("taken > 0")
+
+    def read(pieces: Column) -> Column:
+        of_pass = lambda p: F.array_join(F.flatten(F.transform(F.filter("ranges", lambda r: r["pass"] == p), lambda r: F.slice(pieces, (r["begin"] + 1).cast("int"), (r["end"] - r["begin"]).cast("int")))), "")
+        return F.transform(F.array_distinct(F.transform("ranges", lambda r: r["pass"])), of_pass)
+
+    texts = let(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), read)
+    return whole.withColumn("text", F.explode(texts)).select("doc_id", "source", *keep, "text")
