@@ -1 +1,5 @@
+"""Query plans. ``load()`` imports the modules, which registers their queries."""
 
+
+def load() -> None:
+    from plumbline.plans import assembly, evaluation, features, learning, reports, sampling, text, windows  # noqa: F401
