@@ -1,7 +1,7 @@
 """Operators on small frames: ties, edges, missing values, empty groups, identities."""
 
-import io
 import zipfile
+from datetime import datetime
 
 import numpy as np
 import pandas as pd
@@ -166,7 +166,7 @@ def test_archives_and_tables(spark, tmp_path):
 def test_streams(spark, tmp_path):
     from plumbline import streaming
 
-    rows = [(i % 3, pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=10 * i), "v", float(i)) for i in range(12)]
+    rows = [(i % 3, datetime(2024, 1, 1, i // 6, i % 6 * 10), "v", float(i)) for i in range(12)]
     spark.createDataFrame(rows, "k int, ts timestamp, event_type string, value double").coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("k int, ts timestamp, event_type string, value double").parquet(str(tmp_path / "in"))
     q = streaming.sliding_costs(stream).writeStream.format("memory").queryName("costs").outputMode("complete").start()
