@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ranks import numbered
+
 
 def lcg(x: Column) -> Column:
     """The high bits of one step of a linear congruence modulo 2**31."""
@@ -14,16 +16,32 @@ def lcg(x: Column) -> Column:
 def donors(cases: DataFrame, key: str, source: str, split: str, k: str) -> DataFrame:
     """(key, k, donor, donor_k, fallback). Eligible: another source, the same split, at least two and at least k windows.
 
-    The join is on the split and, beyond that, on inequalities, as the draw is uniform over all eligible donors.
+    The draw is uniform over the eligible donors in the order of their ids, yet no pair is ever listed. A donor with k
+    windows stands in the lists of all thresholds up to k, one row per window. With r the draw, the answer is place
+    r + j of the case's list, where j counts the list's donors of the case's own source that have at most r others
+    before them: a running count over the source's own rows. Without an eligible donor the one with most windows of
+    another source serves; for that, two best sources per split suffice.
     """
-    other = cases.select(F.col(key).alias("donor"), F.col(source).alias("_source"), F.col(split).alias("_split"), F.col(k).alias("donor_k"))
-    pairs = cases.join(other, (F.col(split) == F.col("_split")) & (F.col(source) != F.col("_source")))
-    fit = (F.col("donor_k") >= 2) & (F.col("donor_k") >= F.col(k))
-    w = Window.partitionBy(key)
-    ranked = pairs.where(fit).withColumns({"_r": F.row_number().over(w.orderBy("donor")) - 1, "_m": F.count(F.lit(1)).over(w)})
-    picked = ranked.where(F.col("_r") == lcg(F.col(key)) % F.col("_m")).select(key, k, "donor", "donor_k", F.lit(False).alias("fallback"))
-    best = pairs.groupBy(key, k).agg(F.max(F.struct(F.col("donor_k").alias("a"), F.col("donor").alias("b"))).alias("t"), F.max(fit).alias("_any")).where(~F.col("_any"))
-    return picked.unionByName(best.select(key, k, F.col("t.b").alias("donor"), F.col("t.a").alias("donor_k"), F.lit(True).alias("fallback")))
+    own = cases.select(F.col(key).alias("id"), F.col(source).alias("src"), F.col(split).alias("part"), F.col(k).alias("k")).withColumn("t", F.greatest(F.lit(2).cast("long"), F.col("k")))
+    lists = own.where("k >= 2").select("part", "src", "id", "k", F.explode(F.sequence(F.lit(2).cast("long"), F.col("k"))).alias("t"))
+    placed = numbered(numbered(lists, ["part", "t"], "id", "place"), ["part", "t", "src"], "id", "mine")
+    whole = lists.groupBy("part", "t").agg(F.count(F.lit(1)).alias("n"))
+    same = lists.groupBy("part", "t", "src").agg(F.count(F.lit(1)).alias("n_same"))
+    sized = own.join(whole, ["part", "t"], "left").join(same, ["part", "t", "src"], "left").withColumn("m", F.coalesce("n", F.lit(0)) - F.coalesce("n_same", F.lit(0)))
+    drawn = sized.where("m > 0").withColumn("r", lcg(F.col("id")) % F.col("m"))
+
+    marks = placed.select("part", "t", "src", (F.col("place") - F.col("mine")).alias("v"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("case"))
+    asked = drawn.select("part", "t", "src", F.col("r").alias("v"), F.lit(1).alias("kind"), F.col("id").cast("long").alias("case"))
+    upto = Window.partitionBy("part", "t", "src").orderBy("v", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    skipped = marks.unionByName(asked).withColumn("j", F.sum(1 - F.col("kind")).over(upto)).where("kind = 1").select(F.col("case").alias("id"), "j")
+    at = drawn.join(skipped, "id").withColumn("place", F.col("r") + F.col("j"))
+    found = at.select("part", "t", "place", "id", "k").join(placed.select("part", "t", "place", F.col("id").alias("donor"), F.col("k").alias("donor_k")), ["part", "t", "place"])
+    picked = found.select(F.col("id").alias(key), F.col("k").alias(k), "donor", "donor_k", F.lit(False).alias("fallback"))
+
+    most = own.groupBy("part", "src").agg(F.max(F.struct("k", "id")).alias("best"))
+    two = most.groupBy("part").agg(F.max(F.struct("best", "src")).alias("first")).join(most, "part").groupBy("part", "first").agg(F.max(F.when(F.col("src") != F.col("first.src"), F.col("best"))).alias("second"))
+    left = sized.where("m <= 0").join(two, "part").withColumn("b", F.when(F.col("first.src") != F.col("src"), F.col("first.best")).otherwise(F.col("second"))).where("b is not null")
+    return picked.unionByName(left.select(F.col("id").alias(key), F.col("k").alias(k), F.col("b.id").alias("donor"), F.col("b.k").alias("donor_k"), F.lit(True).alias("fallback")))
 
 
 def hash_order(seed: int, *columns: Column) -> Column:

@@ -68,7 +68,7 @@ def auc_by_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return about.join(auc(binned, ["bin"], "s1", "y"), "bin").select("bin", rounded(F.col("auc")).alias("auc"), "n", "span", "rate")
 
 
-REPLICATES = 200
+REPLICATES = 2000
 BOOT = f"""{BASE}, t AS (SELECT source AS c, label AS y, x[1]::DOUBLE AS a, x[2]::DOUBLE AS b FROM base), s AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT c FROM t)),
     k AS (SELECT b AS r, ((((b * 1103515245 + k * 12345 + 42) % 2147483648) * 1103515245 + 12345) % 2147483648 // 65536) % m AS i FROM (SELECT unnest(range({REPLICATES})) AS b), (SELECT unnest(range(max(m))) AS k, max(m) AS m FROM s)),
     w AS (SELECT r, c, count(*) AS w FROM k JOIN s USING (i) GROUP BY 1, 2),

@@ -21,13 +21,13 @@ def random_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.random_folds(table(spark, sf_dir, "documents"), "source", 5, 3)
 
 
-@query("""WITH RECURSIVE g AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS i FROM (SELECT source, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)),
+@query("""WITH RECURSIVE g AS (SELECT source, n, row_number() OVER (ORDER BY n DESC, source) AS i FROM (SELECT source, count(*) AS n FROM documents JOIN labels USING (doc_id) GROUP BY 1)),
     f AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0]::BIGINT[] AS w, NULL::VARCHAR AS source, NULL::BIGINT AS fold UNION ALL
     SELECT g.i, [CASE WHEN j = list_position(w, list_min(w)) THEN w[j] + n ELSE w[j] END FOR j IN [1, 2, 3, 4]], g.source, list_position(w, list_min(w)) - 1 FROM f JOIN g ON g.i = f.i + 1)
     SELECT source, fold FROM f WHERE source IS NOT NULL""")
 def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups to folds by falling size: one entry per group is assigned on the driver, rows join the assignment."""
-    sizes = [(r["source"], r["n"]) for r in table(spark, sf_dir, "documents").where("doc_id % 3 = 0").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()]
+    sizes = [(r["source"], r["n"]) for r in table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()]
     return spark.createDataFrame(sorted(sampling.greedy_folds(sizes, 4).items()), "source string, fold bigint")
 
 

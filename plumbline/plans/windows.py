@@ -64,7 +64,7 @@ def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
 SPANS = f"""s AS (SELECT doc_id, k, piece, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) - 1 AS s_start FROM
-    (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS k FROM (SELECT doc_id, regexp_extract_all(text, '{SENTENCE}') AS p FROM documents WHERE doc_id % 10 = 3)))"""
+    (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS k FROM (SELECT doc_id, regexp_extract_all(text, '{SENTENCE}') AS p FROM documents)))"""
 
 
 def sentences(docs: DataFrame) -> DataFrame:
@@ -75,27 +75,28 @@ def sentences(docs: DataFrame) -> DataFrame:
     return placed.withColumn("s_end", F.col("s_start") + F.length("piece"))
 
 
-@query(f"""WITH {SPANS}, t AS (SELECT doc_id, unnest(range(0, 4000, 50)) AS p FROM (SELECT DISTINCT doc_id FROM s)) SELECT s.doc_id, s.k::BIGINT AS k, count(*) AS n_points, min(p) AS first, max(p) AS last
+@query(f"""WITH {SPANS}, t AS (SELECT doc_id, unnest(range(0, n_chars, 50)) AS p FROM documents) SELECT s.doc_id, s.k::BIGINT AS k, count(*) AS n_points, min(p) AS first, max(p) AS last
     FROM t JOIN s ON s.doc_id = t.doc_id AND p >= s_start AND p < s_start + length(piece) GROUP BY 1, 2""")
 def span_token_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Points in half-open spans, always by the case first."""
-    spans = sentences(table(spark, sf_dir, "documents").where("doc_id % 10 = 3"))
-    points = spans.select("doc_id").distinct().withColumn("p", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3950).cast("long"), F.lit(50).cast("long"))))
+    docs = table(spark, sf_dir, "documents")
+    spans = sentences(docs)
+    points = docs.where("n_chars > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars") - 1, F.lit(50).cast("long"))).alias("p"))
     held = points_in_spans(points, spans, "doc_id", "p", "s_start", "s_end")
     return held.groupBy("doc_id", F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n_points"), F.min("p").alias("first"), F.max("p").alias("last"))
 
 
-@query(f"""WITH {SPANS}, b AS (SELECT doc_id, i, i * 300 AS b_start, i * 300 + 120 AS b_end, i % 3 = 0 AS bad FROM (SELECT doc_id, unnest(range(12)) AS i FROM (SELECT DISTINCT doc_id FROM s)))
+@query(f"""WITH {SPANS}, b AS (SELECT doc_id, i, i * 300 AS b_start, i * 300 + 120 AS b_end, i % 3 = 0 AS bad FROM (SELECT doc_id, unnest(range(n_chars // 300 + 1)) AS i FROM documents))
     SELECT s.doc_id, s.k::BIGINT AS k, count(*) AS n_met, bool_or(bad) AS bad FROM s JOIN b ON s.doc_id = b.doc_id AND b_end > s_start AND b_start < s_start + length(piece) GROUP BY 1, 2""")
 def span_overlap_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence is bad if any bad span overlaps it."""
-    spans = sentences(table(spark, sf_dir, "documents").where("doc_id % 10 = 3")).withColumnsRenamed({"s_start": "a_start", "s_end": "a_end"})
-    i = F.explode(F.sequence(F.lit(0), F.lit(11))).alias("i")
-    marks = spans.select("doc_id").distinct().select("doc_id", i).select("doc_id", (F.col("i") * 300).alias("b_start"), (F.col("i") * 300 + 120).alias("b_end"), (F.col("i") % 3 == 0).alias("bad"))
+    docs = table(spark, sf_dir, "documents")
+    spans = sentences(docs).withColumnsRenamed({"s_start": "a_start", "s_end": "a_end"})
+    marks = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 300))).alias("i")).select("doc_id", (F.col("i") * 300).alias("b_start"), (F.col("i") * 300 + 120).alias("b_end"), (F.col("i") % 3 == 0).alias("bad"))
     return overlapping(spans, marks, "doc_id").groupBy("doc_id", F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n_met"), F.bool_or("bad").alias("bad"))
 
 
-DONORS = f"""{WORDS}, c AS (SELECT doc_id, source, doc_id % 2 AS split, CASE WHEN n <= 512 THEN 1 ELSE 1 + ceil((n - 512) / 384.0) END::BIGINT AS k FROM w WHERE doc_id % 5 = 2 AND n > 0),
+DONORS = f"""{WORDS}, c AS (SELECT doc_id, source, doc_id % 2 AS split, CASE WHEN n <= 512 THEN 1 ELSE 1 + ceil((n - 512) / 384.0) END::BIGINT AS k FROM w WHERE n > 0),
     e AS (SELECT a.doc_id, a.k, b.doc_id AS donor, b.k AS donor_k, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id) - 1 AS r, count(*) OVER (PARTITION BY a.doc_id) AS m
     FROM c a JOIN c b ON a.split = b.split AND a.source <> b.source AND b.k >= 2 AND b.k >= a.k),
     p AS (SELECT doc_id, k, donor, donor_k, false AS fallback FROM e WHERE r = ((doc_id * 1103515245 + 12345) % 2147483648 // 65536) % m),
@@ -104,7 +105,7 @@ DONORS = f"""{WORDS}, c AS (SELECT doc_id, source, doc_id % 2 AS split, CASE WHE
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = counted(spark, sf_dir).where("doc_id % 5 = 2 and n > 0")
+    own = counted(spark, sf_dir).where("n > 0")
     return own.select("doc_id", "source", (F.col("doc_id") % 2).alias("split"), n_windows(F.col("n"), 512, 128).alias("k"))
 
 
@@ -135,13 +136,13 @@ def placebo_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("doc_id", "win", F.when(own, F.col("doc_id")).otherwise(F.col("donor")).alias("from_doc"), F.when(own, F.col("win")).otherwise(turn).alias("from_win"))
 
 
-@query(f"""WITH {WORDS}, c AS (SELECT doc_id, source, doc_id % 2 AS split, n FROM w WHERE n > 0 AND n <= 600 AND doc_id % 7 = 3),
+@query(f"""WITH {WORDS}, c AS (SELECT doc_id, source, doc_id % 2 AS split, n FROM w WHERE n > 0 AND n <= 600),
     r AS (SELECT a.doc_id, b.doc_id AS donor, b.n, coalesce(sum(b.n) OVER (PARTITION BY a.doc_id ORDER BY (b.doc_id * 7919 + a.doc_id * 104729) % 1000003, b.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
     FROM c a JOIN c b ON a.split = b.split AND a.source <> b.source)
     SELECT doc_id, donor, before, least(n, 1808 - before) AS used FROM r WHERE before < 1808""")
 def displaced_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Contexts of other sources in a seeded order until a token budget; the last is cut at the budget."""
-    own = counted(spark, sf_dir).where("n > 0 and n <= 600 and doc_id % 7 = 3").select("doc_id", "source", (F.col("doc_id") % 2).alias("split"), "n")
+    own = counted(spark, sf_dir).where("n > 0 and n <= 600").select("doc_id", "source", (F.col("doc_id") % 2).alias("split"), "n")
     pool = own.select(F.col("doc_id").alias("donor"), F.col("source").alias("source_b"), "split", F.col("n").alias("size"))
     pairs = own.join(pool, "split").where("source <> source_b")
     drawn = pairs.withColumn("draw", (F.col("donor") * 7919 + F.col("doc_id") * 104_729) % 1_000_003)
