@@ -140,3 +140,15 @@ def high_pass_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     from plumbline.operators.signal import high_pass
 
     return vectors(spark, sf_dir).select("vec_id", rounded(high_pass(F.col("x"))).alias("norm"))
+
+
+@query(f"""WITH {LONG}, q AS (SELECT vec_id, (p - 1) // 8 AS i, (p - 1) % 8 AS d, w FROM u WHERE p > 40), k AS (SELECT vec_id, (p - 1) // 8 AS j, (p - 1) % 8 AS d, w FROM u),
+    z AS (SELECT q.vec_id, i, j, sum(q.w * k.w) / sqrt(8) AS z FROM q JOIN k ON q.vec_id = k.vec_id AND q.d = k.d WHERE j <= i GROUP BY 1, 2, 3)
+    SELECT vec_id, (i - 5)::BIGINT AS i, j::BIGINT AS j, round(exp(z) / sum(exp(z)) OVER (PARTITION BY vec_id, i), 6) + 0.0 AS w FROM z""")
+def answer_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attention rows of the last three of eight tokens, recomputed from queries and keys with a causal mask."""
+    from plumbline.operators.signal import causal_rows
+
+    rows = vectors(spark, sf_dir).select("vec_id", F.posexplode(causal_rows(F.slice("x", 41, 24), F.col("x"))).alias("p", "w"))
+    each = rows.select("vec_id", F.floor(F.col("p") / 8).alias("i"), (F.col("p") % 8).cast("long").alias("j"), rounded(F.col("w")).alias("w"))
+    return each.where("j <= i + 5")

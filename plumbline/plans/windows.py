@@ -161,3 +161,45 @@ def evidence_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.when(F.col("beyond").isNull(), "none").when(F.col("beyond") == 0, "in window 1").when(F.col("beyond") == 1, "all out").otherwise("partly out")
     counts = shares.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("part", F.col("n") / F.sum("n").over(Window.partitionBy()).cast("double"))
+
+
+@query(f"""WITH {SPANS}, t AS (SELECT doc_id, p, (p * 37 % 101) / 100.0::DOUBLE AS prob FROM (SELECT doc_id, unnest(range(0, n_chars, 50)) AS p FROM documents))
+    SELECT s.doc_id, s.k::BIGINT AS k, max(prob) AS score, 1 - max(prob) AS unsupported, count(p) AS n_points FROM s LEFT JOIN t ON t.doc_id = s.doc_id AND p >= s_start AND p < s_start + length(piece) GROUP BY 1, 2""")
+def checker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per sentence the largest probability of the tokens that start in it; NULL where none does."""
+    docs = table(spark, sf_dir, "documents")
+    spans = sentences(docs)
+    p = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars") - 1, F.lit(50).cast("long"))).alias("p")
+    points = docs.where("n_chars > 0").select("doc_id", p).withColumn("prob", (F.col("p") * 37 % 101) / F.lit(100.0))
+    best = points_in_spans(points, spans, "doc_id", "p", "s_start", "s_end").groupBy("doc_id", "k").agg(F.max("prob").alias("score"), F.count(F.lit(1)).alias("c"))
+    both = spans.select("doc_id", "k").join(best, ["doc_id", "k"], "left")
+    return both.select("doc_id", F.col("k").cast("long").alias("k"), "score", (1 - F.col("score")).alias("unsupported"), F.coalesce("c", F.lit(0)).cast("long").alias("n_points"))
+
+
+@query(f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS flat, list_transform(regexp_extract_all(text, '{SENTENCE}'), lambda x: regexp_replace(x, '\\s+', ' ', 'g')) AS keys FROM documents),
+    f AS (SELECT doc_id, 0 AS k, 0::BIGINT AS here, 0::BIGINT AS cursor FROM t UNION ALL
+    SELECT doc_id, k + 1, at_, CASE WHEN at_ > 0 THEN at_ + length(t.keys[k + 1]) - 1 ELSE cursor END FROM (SELECT f.doc_id, f.k, f.cursor, CASE WHEN position(t.keys[k + 1] IN substr(t.flat, cursor + 1)) > 0 THEN cursor + position(t.keys[k + 1] IN substr(t.flat, cursor + 1)) ELSE position(t.keys[k + 1] IN t.flat) END AS at_
+    FROM f JOIN t ON t.doc_id = f.doc_id WHERE f.k < len(t.keys)) q JOIN t USING (doc_id))
+    SELECT doc_id, k::BIGINT AS k, here - 1 AS place FROM f WHERE k > 0 AND here > 0""")
+def sentence_location(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a text's sentences, white space collapsed: each is looked for behind the one before, else anywhere. A fold over the array of sentences."""
+    flat, keys = F.regexp_replace("text", r"\s+", " "), F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", " "))
+    rows = table(spark, sf_dir, "documents").select("doc_id", flat.alias("flat"), keys.alias("keys"))
+    start = F.struct(F.lit(1).alias("cursor"), F.array().cast("array<int>").alias("found"))
+
+    def step(a, x):
+        ahead = F.call_function("locate", x, F.col("flat"), a["cursor"])
+        at = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", x, F.col("flat")))
+        return F.struct(F.when(at > 0, at + F.length(x)).otherwise(a["cursor"]).alias("cursor"), F.concat(a["found"], F.array(at)).alias("found"))
+
+    placed = rows.select("doc_id", F.posexplode(F.aggregate("keys", start, step, lambda a: a["found"])).alias("k", "at"))
+    return placed.where("at > 0").select("doc_id", (F.col("k") + 1).cast("long").alias("k"), (F.col("at") - 1).cast("long").alias("place"))
+
+
+@query(f"""WITH {WORDS}, c AS (SELECT doc_id, n, least(n, 512) AS own FROM w) SELECT doc_id, greatest(0, least(n, 8192 - 40 - own - 8)) AS read_tokens, n > 8192 - 40 - own - 8 AS cut, least(n, greatest(0, 8192 - 40 - own - 8)) + 40 + own AS seq_len, own >= 8 AS scored FROM c""")
+def long_pass_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much context one long read holds beside the prompt and the answer, in closed form for additive tokenizers; short answers are not scored."""
+    own = F.least("n", F.lit(512))
+    room = F.lit(8192 - 40 - 8) - own
+    rows = counted(spark, sf_dir)
+    return rows.select("doc_id", F.greatest(F.lit(0), F.least("n", room)).cast("long").alias("read_tokens"), (F.col("n") > room).alias("cut"), (F.least("n", F.greatest(F.lit(0), room)) + 40 + own).cast("long").alias("seq_len"), (own >= 8).alias("scored"))
