@@ -26,23 +26,37 @@ DEPTH, LEAST, SHARE, SHORTEST = 3, 10, 0.7, 3
 FIELD = "<*>"
 
 
-def _masked(line: Column) -> Column:
-    """The line's words, those with a digit replaced by a field, joined by single blanks."""
-    joined = F.array_join(word_array(line), " ")
-    return F.when(joined.rlike("[0-9]"), F.regexp_replace(joined, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(joined)
+def _single_blanks(line: Column) -> Column:
+    """The line's words joined by single blanks; most lines are that already, and need no splitting."""
+    odd = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for blank in "\t\x0b\x0c\r":
+        odd = odd | F.contains(line, F.lit(blank))
+    return F.when(odd, F.array_join(word_array(line), " ")).otherwise(line)
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    return rows.select("doc_id", "h", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+def _fields(line: Column, depth: int) -> Column:
+    """(masked, n, leaf) of a line. One expression inside the array of lines, so that each part is computed once."""
+
+    def of_joined(joined: Column) -> Column:
+        return let(F.when(joined.rlike("[0-9]"), F.regexp_replace(joined, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(joined), of_masked)
+
+    def of_masked(masked: Column) -> Column:
+        n = F.when(masked == "", 0).otherwise(F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1)
+        return let(n, lambda k: F.struct(masked.alias("masked"), k.alias("n"), F.xxhash64(k, F.substring_index(masked, " ", depth)).alias("leaf")))
+
+    return let(_single_blanks(line), of_joined)
+
+
+def _lines(rows: DataFrame, depth: int) -> DataFrame:
+    """(doc_id, h, pos, masked, n, leaf) per line. A leaf is the number of words with the leading words."""
+    each = rows.select("doc_id", "h", F.posexplode(F.transform(F.split("text", "\n"), lambda x: _fields(x, depth))).alias("pos", "line"))
+    return each.select("doc_id", "h", "pos", "line.masked", "line.n", "line.leaf")
 
 
 def drop_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, share: float = SHARE, shortest: int = SHORTEST, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, the ``keep`` columns, n_lines, n_dropped and text (the remaining lines)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(k).alias(f"keep_{k}") for k in keep]).withColumn("h", F.xxhash64("text"))
-    masked = _lines(rows).withColumn("masked", _masked(F.col("line"))).drop("line")
-    # a leaf: the number of words and the leading words; the masked line has single blanks
-    n = F.length("masked") - F.length(F.replace("masked", F.lit(" "), F.lit(""))) + 1
-    lines = masked.withColumn("n", n).where(F.col("n") >= shortest).withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", depth)))
+    lines = _lines(rows, depth).where(F.col("n") >= shortest)
     busy = materialise(lines.groupBy("leaf", "h").agg(F.lit(1).alias("_")).groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("leaf"))
     here = materialise(lines.join(busy, "leaf").select("leaf", F.xxhash64("masked").alias("key"), "masked", "doc_id", "h", "pos"))
 
