@@ -80,23 +80,17 @@ def shard_counts(plan: DataFrame, block: int, slots: int, seed: int) -> DataFram
 def block_slots(counts: DataFrame, repeats: int, rounds: int, seed: int, chunk: int = 1024) -> DataFrame:
     """(rank, block, pass, shard, slot): the blocks that the slots of each shard read."""
     pieces = counts.where("n > 0").withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(chunk).cast("long"))))
-    pieces = pieces.repartition(F.col("shard"), F.col("rank"), F.col("_c"))  # a few rows stand for all slots: deal them out before they grow
+    # a few rows stand for all slots: deal them out before they grow, to a stated number of tasks, which no measured size shrinks
+    pieces = pieces.repartition(int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col("shard"), F.col("rank"), F.col("_c"))
     slots = pieces.withColumn("slot", F.explode(F.sequence(F.col("_c"), F.least(F.col("_c") + chunk, F.col("n")) - 1)))
     slots = slots.withColumn("_j", F.col("first") + F.col("slot")).withColumns({"pass": F.floor(F.col("_j") / F.col("n_blocks")), "x": F.col("_j") % F.col("n_blocks")})
     slots = slots.where(F.col("pass") < repeats).select("rank", "n_blocks", "pass", "shard", "slot", "x")
     key = F.col("rank") * 1_000_003 + F.col("pass") * 10_007 + seed
 
-    def swap_or_not(x: Column, r: Column) -> Column:
-        y = (F.pmod(scatter(key + r * 7919), F.col("n_blocks")) + F.col("n_blocks") - x) % F.col("n_blocks")
-
-        def chosen(y: Column) -> Column:
-            coin = scatter(F.greatest(x, y) + F.col("rank") * 331 + F.col("pass") * 17 + r * 60_013 + seed)
-            return F.when(F.shiftright(coin, 13) % 2 == 1, y).otherwise(x)
-
-        return let(y, chosen)
-
-    # one expression over the rounds: a chain of columns would be copied into every filter that Spark infers
-    slots = slots.withColumn("x", F.aggregate(F.sequence(F.lit(0), F.lit(rounds - 1)), F.col("x"), swap_or_not))
+    for r in range(rounds):  # plain columns, so that a round is compiled code
+        slots = slots.withColumn("_y", (F.pmod(scatter(key + r * 7919), F.col("n_blocks")) + F.col("n_blocks") - F.col("x")) % F.col("n_blocks"))
+        slots = slots.withColumn("_m", F.greatest("x", "_y") + F.col("rank") * 331 + F.col("pass") * 17 + (r * 60_013 + seed))
+        slots = slots.withColumn("x", F.when(F.shiftright(scatter(F.col("_m")), 13) % 2 == 1, F.col("_y")).otherwise(F.col("x")))
     return slots.select("rank", F.col("x").alias("block"), "pass", "shard", "slot")
 
 
@@ -117,7 +111,9 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
     packed = packed.withColumn("start", F.col("_offset") + F.col("_run") - F.col("size")).drop("_run", "_offset", "u", "bucket")
 
     pieces = packed.where("size > 0").select("rank", "start", "size", F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))).alias("block"))
-    taken = pieces.join(block_slots(shard_counts(plan, block, slots, seed), repeats, ROUNDS, seed), ["rank", "block"]).select(
+    # written once: a filter inferred from the join would be copied through every round, and the rows before the slots tell nothing of their size
+    read = materialise(block_slots(shard_counts(plan, block, slots, seed), repeats, ROUNDS, seed).select("rank", "block", "pass"))
+    taken = pieces.join(read, ["rank", "block"]).select(
         "rank", "start", "pass",
         (F.greatest(F.col("start"), F.col("block") * block) - F.col("start")).alias("begin"),
         (F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block) - F.col("start")).alias("end"),
