@@ -6,8 +6,9 @@ every link is confirmed on the full shingle sets. Equal sets collapse to one cla
 
 Candidates never become all pairs of a bucket. Each bucket links its members to one leader, the member that meets the
 most others; after confirmation, buckets that lie inside one component are done, since more links change nothing. Only
-buckets that still hold several components go on: a few more leaders, each from another component, and then, for what is
-left, the pairs across components that no leader has tested. So no link between different components is lost.
+buckets that still hold several components go on: to another leader, and then to a test of all their members in blocks.
+A task compares two blocks by matrix products and returns a forest of links, so no link between different components is
+lost and no list of pairs is ever made.
 
 With 32 bands of 5 values a pair of similarity 0.8 shares no band with a probability of 3 in a million.
 
@@ -21,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -131,15 +133,75 @@ def _leader_pairs(now: DataFrame, percent: int, step: int) -> DataFrame:
     return met.where((F.col("component") != F.col("of")) & _can_link(F.col("m"), F.col("n"), percent)).select("a", F.col("class_id").alias("b"))
 
 
-def _cross_pairs(now: DataFrame, percent: int) -> DataFrame:
-    """Per open bucket: the pairs of members of different components."""
-    open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    left = now.join(open_, "key")
-    right = left.select("key", F.col("class_id").alias("b"), F.col("n").alias("m"), F.col("component").alias("other"))
-    return left.join(right, "key").where((F.col("class_id") < F.col("b")) & (F.col("component") != F.col("other")) & _can_link(F.col("m"), F.col("n"), percent)).select(F.col("class_id").alias("a"), "b")
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, leaders: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def _open_groups(now: DataFrame) -> DataFrame:
+    """(class_id, component, group): members of buckets that still hold several components; buckets that share a member are one group."""
+    open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("class_id").alias("b")).where("lo < hi").select("key", "b")
+    members = materialise(now.join(open_, "key").select(F.col("class_id").alias("a"), "b", "component").distinct())
+    groups = components(members.select("a", "b"))
+    return members.select(F.col("a").alias("class_id"), "component").distinct().join(groups.select(F.col("node").alias("class_id"), F.col("component").alias("group")), "class_id")
+
+
+def block_links(ids: tuple, sizes: tuple, parts: tuple, sets: tuple, percent: int, same: bool) -> list[tuple[int, int]]:
+    """Links between the documents of two blocks (``same``: one block twice) that join different components, as a forest. Each argument holds both sides."""
+    flat = [np.concatenate(x) for x in sets]
+    owner = [np.repeat(np.arange(len(x)), [len(s) for s in x]) for x in sets]
+    order = [np.argsort(x, kind="stable") for x in flat]
+    flat, owner = [x[o] for x, o in zip(flat, order, strict=True)], [x[o] for x, o in zip(owner, order, strict=True)]
+    both = np.intersect1d(flat[0], flat[1])
+    shared = np.zeros((len(ids[0]), len(ids[1])), np.float32)
+    for at in range(0, len(both), 4096):  # a few thousand shingles at a time, so that memory has a bound
+        some = both[at : at + 4096]
+        hold = []
+        for x, own in zip(flat, owner, strict=True):
+            a, b = np.searchsorted(x, some[0], "left"), np.searchsorted(x, some[-1], "right")
+            place = np.searchsorted(some, x[a:b])
+            hit = some[place] == x[a:b]
+            dense = np.zeros((own.max() + 1 if len(own) else 0, len(some)), np.float32)
+            dense[own[a:b][hit], place[hit]] = 1
+            hold.append(dense)
+        shared += hold[0] @ hold[1].T
+    linked = 100 * shared >= percent * (sizes[0][:, None] + sizes[1][None, :] - shared)
+    linked &= parts[0][:, None] != parts[1][None, :]
+    if same:
+        linked = np.triu(linked, 1)
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while above.get(x, x) != x:
+            x = above[x] = above.get(above[x], above[x])
+        return x
+
+    links = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = root(int(parts[0][i])), root(int(parts[1][j]))
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            links.append((int(ids[0][i]), int(ids[1][j])))
+    return links
+
+
+def _cross_links(now: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between different components of an open group: every pair is tested, in blocks of members, and only a forest comes out."""
+    members = materialise(_open_groups(now))
+    sizes = members.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    dealt = members.join(sizes, "group").withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
+    rows = dealt.join(sets, "class_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "component", "shingles")
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.drop_duplicates("class_id")
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        sides = [pdf[pdf["own"] == k] for k in (i, j)]
+        links = []
+        if len(sides[0]) and len(sides[1]) and pdf["component"].nunique() > 1:
+            held = [list(x["shingles"]) for x in sides]
+            links = block_links(tuple(x["class_id"].to_numpy() for x in sides), tuple(np.array([len(s) for s in x]) for x in held), tuple(x["component"].to_numpy() for x in sides), tuple(held), percent, i == j)
+        return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+    return rows.groupBy("group", "i", "j").applyInPandas(test, "a bigint, b bigint")
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, leaders: int = 2, block: int = 256, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable over confirmed links) and kept."""
     sig = materialise(sketch(docs, width, bands, rows, doc_id, text))
     full = sig.where("n_shingles > 0 and doc_id is not null")
@@ -161,15 +223,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     tested = links = None
     for step in range(leaders + 1):
         now = met2.join(label.withColumnRenamed("class_id", "c_"), F.col("class_id") == F.col("c_"), "left").select("key", "class_id", "n", "order", F.coalesce("component", "class_id").alias("component"))
-        pairs = _leader_pairs(now, percent, step) if step < leaders else _cross_pairs(now, percent)
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialise(pairs)
-        if pairs.isEmpty():
-            continue
-        new = materialise(_confirmed(pairs, sets, percent))
-        tested = pairs if tested is None else tested.union(pairs)
+        if step < leaders:
+            pairs = _leader_pairs(now, percent, step).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            pairs = materialise(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+            tested = pairs if tested is None else tested.union(pairs)
+            new = materialise(_confirmed(pairs, sets, percent))
+        else:
+            new = materialise(_cross_links(now, sets, percent, block))
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             label = components(links).select(F.col("node").alias("class_id"), "component")
