@@ -1,6 +1,7 @@
 """Line deduplication by a log-template tree of fixed depth.
 
-A line's words are masked where they hold a digit. The tree has one level for the number of words and ``depth`` levels
+A line's words are masked where they hold a digit; a line of fewer than ``depth`` words has no place for a field and is
+taken as it is. The tree has one level for the number of words and ``depth`` levels
 for the leading masked words; a path of these is a leaf. In a leaf that lines of ``least`` different texts reach, a word
 at a later place is constant if it stands there in that many, else it becomes a variable field. If the constants make up
 ``share`` of the words, that is the line's template, otherwise the masked line itself is. Templates found in ``least``
@@ -11,7 +12,7 @@ Only DataFrame expressions. Leaves are counted on hashes; only lines of busy lea
 the text moves once, to meet its dropped lines.
 
 Defined results: lines are split at ``\\n`` and keep their order and blanks; lines of fewer than ``shortest`` words are
-never dropped; a null text stays null with no lines; equal texts count once, whatever their ids; of rows with null ids
+never dropped, by default only blank ones; a null text stays null with no lines; equal texts count once, whatever their ids; of rows with null ids
 none is the first unless all are; repeated rows lose the same lines.
 """
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.text import let, materialise, word_array
 
-DEPTH, LEAST, SHARE, SHORTEST = 3, 10, 0.7, 3
+DEPTH, LEAST, SHARE, SHORTEST = 3, 10, 0.7, 1
 FIELD = "<*>"
 
 
@@ -38,11 +39,12 @@ def _fields(line: Column, depth: int) -> Column:
     """(masked, n, leaf) of a line. One expression inside the array of lines, so that each part is computed once."""
 
     def of_joined(joined: Column) -> Column:
-        return let(F.when(joined.rlike("[0-9]"), F.regexp_replace(joined, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(joined), of_masked)
+        n = F.when(joined == "", 0).otherwise(F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(" "), F.lit(""))) + 1)
+        return let(n, lambda k: of_counted(joined, k))
 
-    def of_masked(masked: Column) -> Column:
-        n = F.when(masked == "", 0).otherwise(F.octet_length(masked) - F.octet_length(F.replace(masked, F.lit(" "), F.lit(""))) + 1)
-        return let(n, lambda k: F.struct(masked.alias("masked"), k.alias("n"), F.xxhash64(k, F.substring_index(masked, " ", depth)).alias("leaf")))
+    def of_counted(joined: Column, k: Column) -> Column:
+        masked = F.when((k >= depth) & joined.rlike("[0-9]"), F.regexp_replace(joined, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(joined)
+        return let(masked, lambda m: F.struct(m.alias("masked"), k.alias("n"), F.xxhash64(k, F.substring_index(m, " ", depth)).alias("leaf")))
 
     return let(_single_blanks(line), of_joined)
 

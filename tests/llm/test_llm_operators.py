@@ -328,6 +328,17 @@ def test_line_templates(docs, rows, least):
     assert sum(w[1] for w in want) >= 13
 
 
+def dropped_lines(spark, texts):
+    got = line_templates.drop_templates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    return [r.text for r in sorted(got, key=lambda r: r.doc_id)]
+
+
+def test_short_lines_recur(spark):
+    texts = [f"own{chr(97 + i)} words\n\nSubscribe\n Read  more\n{i}\nPage {i}" for i in range(10)]
+    assert dropped_lines(spark, texts) == [texts[0]] + [f"own{chr(97 + i)} words\n\n{i}\nPage {i}" for i in range(1, 10)]
+    assert dropped_lines(spark, texts[:9]) == texts[:9]
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.standard_normal((600, 16)), np.repeat(rng.standard_normal((1, 16)), 60, 0)]).astype(np.float32)
