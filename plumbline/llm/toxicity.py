@@ -1,12 +1,11 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Examples are at most ``sample`` labelled documents (the ids with the smallest hashes). The vocabulary holds the words
-that toxic examples use more often than chance allows (chi-square at least ``chi``, in ``least`` toxic examples or more);
-document frequencies are counted over all documents. Examples lie in blocks of an inverted index; each word keeps its
-largest weight per block. A query bounds each block by these, visits blocks in falling order of their bound, and stops
-when no bound reaches its k-th best cosine, so the neighbours are exact. Votes weigh by inverse distance and are drawn
-towards the share of toxic documents among examples without any vocabulary word, which is also the score of a text
-without one.
+Examples are at most ``sample`` labelled documents (the ids with the smallest hashes), each over all its words; document
+frequencies are counted over all documents. Words that toxic examples use more often than chance allows (chi-square at
+least ``CHI``, in ``LEAST`` toxic examples or more) weigh ``BOOST`` times as much; no word and no example leaves the
+index. A query meets every example: the ``HEAD`` words of most examples as a dense product for a batch of texts, all
+others by their postings, so the neighbours are exact. Votes weigh by inverse distance and are drawn towards the share
+of toxic examples, which is also the score of a text without a word of any example.
 
 Defined results: a null or empty text scores that share; without examples every score is 0; rows with null ids are never
 learned from; an id with several labels counts by its largest; equal cosines go to the smaller id; repeated rows each get
@@ -15,73 +14,118 @@ their own row.
 
 from __future__ import annotations
 
+import pickle
 import re
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.text import materialise
 
-SAMPLE, CHI, LEAST, BLOCK, NEAREST = 20_000, 20.0, 3, 64, 15
+SAMPLE, CHI, LEAST, NEAREST = 20_000, 20.0, 3, 15
+BOOST, HEAD, BATCH = 4.0, 256, 100
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Index:
-    """Block-max inverted index of unit TF-IDF vectors."""
-
-    def __init__(self, idf: dict[str, float], ids: list[int], counts: list[dict[str, int]], labels: list[int], prior: float):
-        self.idf, self.prior = idf, prior
-        vectors = [(i, y, v) for i, y, c in zip(ids, labels, counts, strict=True) if (v := self.vector(c))]
-        vectors.sort(key=lambda r: (min(r[2], key=lambda t: (-r[2][t], t)), r[0]))  # alike examples share blocks
-        self.ids, self.labels = np.array([r[0] for r in vectors], np.int64), np.array([r[1] for r in vectors], np.int64)
-        self.blocks = -(-len(vectors) // BLOCK)
-        posts: dict[str, list[tuple[int, float]]] = {}
-        for at, (_, _, v) in enumerate(vectors):
-            for t, w in v.items():
-                posts.setdefault(t, []).append((at, w))
-        self.most: dict[str, np.ndarray] = {}
-        self.posts: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for t, p in posts.items():
-            at, w = np.array([x[0] for x in p]), np.array([x[1] for x in p])
-            most = np.zeros(self.blocks)
-            np.maximum.at(most, at // BLOCK, w)
-            self.most[t] = most
-            self.posts[t] = at, w, np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
+    """Unit TF-IDF vectors of the examples. Terms are numbered by falling number of examples; the first ``head`` are dense."""
+
+    def __init__(self, idf: dict[str, float], ids: Iterable[int], counts: Iterable[dict[str, int]], labels: Iterable[int], prior: float, head: int = HEAD):
+        number = {t: i for i, t in enumerate(idf)}
+        known = [[(number[t], n) for t, n in c.items() if t in number] for c in counts]
+        pairs = np.array([x for c in known for x in c], np.int32).reshape(-1, 2)
+        self.state = "\n".join(idf), np.fromiter(idf.values(), float), np.fromiter(ids, np.int64), np.fromiter(labels, np.int64), np.array([len(c) for c in known], np.int32), pairs[:, 0], pairs[:, 1], prior, head
+        self._build()
+
+    @classmethod
+    def of_arrays(cls, *state) -> Index:
+        """Terms joined by line feeds, weights, ids, labels, sizes, and of all examples in turn the term numbers and counts, prior, head. Built where it is read."""
+        index = cls.__new__(cls)
+        index.state = state
+        return index
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(pickle.dumps(self.state, protocol=5), 1)
+
+    def __setstate__(self, packed: bytes) -> None:
+        self.state = pickle.loads(zlib.decompress(packed))
+        self._build()
+
+    def _build(self) -> None:
+        names, weight, self.ids, self.labels, sizes, term, count, self.prior, head = self.state
+        names = names.split("\n") if len(weight) else []
+        # the most frequent terms first
+        order = np.argsort(-np.bincount(term, minlength=len(names)), kind="stable")
+        place = np.empty(len(names), np.int32)
+        place[order] = np.arange(len(names), dtype=np.int32)
+        self.number, self.weight = {names[i]: k for k, i in enumerate(order.tolist())}, weight[order]
+        term, at = place[term], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        by = np.lexsort((at, term))
+        term, at = term[by], at[by]
+        w = (1 + np.log(count[by])) * self.weight[term]
+        norm = np.sqrt(np.bincount(at, w * w, minlength=len(sizes)))
+        w /= norm[at]
+        self.head = min(head, len(names))
+        ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))])
+        first = ends[self.head]
+        self.dense = np.zeros((self.head, len(self.ids)))
+        self.dense[term[:first], at[:first]] = w[:first]
+        self.at, self.w, self.cut = at[first:].copy(), w[first:].copy(), ends - first
+
+    def encode(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and weights of the terms that the index knows, as a unit vector."""
+        known = sorted((n, c) for t, c in counts.items() if (n := self.number.get(t)) is not None)
+        i = np.array([n for n, _ in known], np.int32)
+        v = (1 + np.log(np.array([c for _, c in known], float))) * self.weight[i]
+        norm = np.sqrt(v @ v)
+        return (i, v / norm) if norm > 0 else (i[:0], v[:0])
 
     def vector(self, counts: dict[str, int]) -> dict[str, float]:
-        v = {t: (1 + np.log(c)) * self.idf[t] for t, c in counts.items() if t in self.idf}
-        norm = np.sqrt(sum(x * x for x in v.values()))
-        return {t: float(x / norm) for t, x in v.items()} if norm > 0 else {}
+        known = {n: t for t in counts if (n := self.number.get(t)) is not None}
+        return {known[n]: x for n, x in zip(*(a.tolist() for a in self.encode(counts)), strict=True)}
+
+    def search(self, batch: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> list[list[tuple[float, int, int]]]:
+        """Per encoded text (cosine, id, label) of the k nearest examples, best first; those without a common word are none."""
+        n = len(self.ids)
+        if not n:
+            return [[] for _ in batch]
+        asked = np.zeros((len(batch), self.head))
+        for r, (i, v) in enumerate(batch):
+            asked[r, i[i < self.head]] = v[i < self.head]
+        out = []
+        for (i, v), got in zip(batch, asked @ self.dense, strict=True):
+            far = i >= self.head
+            a, b = self.cut[i[far]], self.cut[i[far] + 1]
+            parts = [slice(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            if parts:
+                at, w = np.concatenate([self.at[p] for p in parts]), np.concatenate([self.w[p] for p in parts])
+                got = got + np.bincount(at, w * np.repeat(v[far], b - a), n)
+            got = np.round(got, 12)  # equal examples are equal in whatever order their products are summed
+            least = np.partition(got, n - k)[n - k] if n > k else 0.0
+            best = np.flatnonzero((got >= least) & (got > 0))
+            best = best[np.lexsort((self.ids[best], -got[best]))][:k]
+            out.append(list(zip(got[best].tolist(), self.ids[best].tolist(), self.labels[best].tolist(), strict=True)))
+        return out
 
     def nearest(self, v: dict[str, float], k: int = NEAREST) -> list[tuple[float, int, int]]:
-        """(cosine, id, label) of the k nearest examples, best first."""
-        terms = [t for t in sorted(v) if t in self.posts]
-        if not terms:
-            return []
-        bounds = sum(v[t] * self.most[t] for t in terms)
-        best: list[tuple[float, int, int]] = []
-        for b in np.lexsort((np.arange(self.blocks), -bounds)):
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
-                break
-            got = np.zeros(BLOCK)
-            for t in terms:
-                at, w, cut = self.posts[t]
-                part = slice(cut[b], cut[b + 1])
-                got[at[part] - b * BLOCK] += v[t] * w[part]
-            best += [(-float(got[i]), int(self.ids[b * BLOCK + i]), int(self.labels[b * BLOCK + i])) for i in np.flatnonzero(got > 0)]
-            best = sorted(best)[:k]
-        return [(-c, i, y) for c, i, y in best]
+        known = sorted((self.number[t], x) for t, x in v.items() if t in self.number)
+        return self.search([(np.array([n for n, _ in known], np.int32), np.array([x for _, x in known], float))], k)[0]
 
     def vote(self, v: dict[str, float]) -> tuple[float, list[tuple[float, int, int]]]:
         near = self.nearest(v) if v else []
+        return self.tally(near), near
+
+    def tally(self, near: list[tuple[float, int, int]]) -> float:
         if not near:
-            return self.prior, []
+            return self.prior
         weights = [1 / (1.05 - c) for c, _, _ in near]
-        return (0.5 * self.prior + sum(w * y for w, (_, _, y) in zip(weights, near, strict=True))) / (0.5 + sum(weights)), near
+        return (0.5 * self.prior + sum(w * y for w, (_, _, y) in zip(weights, near, strict=True))) / (0.5 + sum(weights))
 
 
 def terms_of(text: str | None) -> Counter:
@@ -109,11 +153,14 @@ def train(docs: DataFrame, every: DataFrame, labels: DataFrame, sample: int = SA
     table = examples.select("toxic", F.explode(F.map_keys("counts")).alias("term")).groupBy("term").agg(F.sum("toxic").alias("a"), F.count(F.lit(1)).alias("df")).where(f"a >= {LEAST}")
     cross = a * (n - bad - rest) - rest * (bad - a)
     below = F.col("df") * (n - F.col("df")) * F.lit(float(bad)) * (n - bad)
-    chosen = [r["term"] for r in table.where((cross > 0) & (n * cross * cross >= CHI * below)).select("term").collect()]
-    vocabulary = frozenset(chosen)
+    boosted = {r["term"] for r in table.where((cross > 0) & (n * cross * cross >= CHI * below)).select("term").collect()}
+    rows = examples.toArrow().combine_chunks().sort_by("doc_id")
+    maps = rows.column("counts").combine_chunks()
+    words = pc.unique(maps.keys)
+    sent = docs.sparkSession.sparkContext.broadcast(words)
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, rows = Counter(), 0
+        seen, rows, vocabulary = Counter(), 0, frozenset(sent.value.to_pylist())
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 for t in batch.column(0).slice(at, 500).to_pylist():
@@ -121,12 +168,13 @@ def train(docs: DataFrame, every: DataFrame, labels: DataFrame, sample: int = SA
                     seen.update(vocabulary.intersection(terms_of(t)))
         yield pa.RecordBatch.from_arrays([pa.array([None, *seen], pa.string()), pa.array([rows, *seen.values()], pa.int64())], names=["term", "df"])
 
-    found = {r["term"]: r["df"] for r in every.select("text").mapInArrow(present, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).collect()}
-    total = found.pop(None, 0)
-    idf = {t: float(np.log((1 + total) / (1 + found.get(t, 0))) + 1) for t in chosen}
-    rows = sorted(examples.select("doc_id", "toxic", F.map_filter("counts", lambda t, _: t.isin(chosen) if len(chosen) else F.lit(False)).alias("counts")).collect())
-    blank = [r["toxic"] for r in rows if not r["counts"]]
-    return Index(idf, [r["doc_id"] for r in rows], [r["counts"] for r in rows], [r["toxic"] for r in rows], (sum(blank) + 0.5) / (len(blank) + 1))
+    counted = every.select("text").mapInArrow(present, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
+    total = pc.sum(counted.filter(pc.is_null(counted["term"]))["df"]).as_py() or 0
+    df = pc.fill_null(counted["df"].combine_chunks().take(pc.index_in(words, counted["term"].combine_chunks())), 0).to_numpy(zero_copy_only=False)
+    weight = (np.log((1 + total) / (1 + df)) + 1) * np.where(pc.is_in(words, pa.array(sorted(boosted), pa.string())).to_numpy(zero_copy_only=False), BOOST, 1.0)
+    sizes = np.diff(maps.offsets.to_numpy()).astype(np.int32)
+    term, count = pc.index_in(maps.keys, words).to_numpy().astype(np.int32), maps.items.to_numpy().astype(np.int32)
+    return Index.of_arrays("\n".join(words.to_pylist()), weight, rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.int64), sizes, term, count, (bad + 0.5) / (n + 1), HEAD)
 
 
 def score(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -138,16 +186,12 @@ def score(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ..
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
-        vocabulary = frozenset(own.idf)
         for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                scores, evidence = [], []
-                for t in batch.column(batch.num_columns - 1).to_pylist():
-                    counts = terms_of(t)
-                    s, near = own.vote(own.vector({w: counts[w] for w in vocabulary.intersection(counts)}))
-                    scores.append(s)
-                    evidence.append([{"doc_id": i, "cosine": c, "toxic": y} for c, i, y in near])
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                found = own.search([own.encode(terms_of(t)) for t in batch.column(batch.num_columns - 1).to_pylist()])
+                scores = [own.tally(near) for near in found]
+                evidence = [[{"doc_id": i, "cosine": c, "toxic": y} for c, i, y in near] for near in found]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[*batch.schema.names[:-1], "score", "evidence"])
 
     return source.mapInArrow(run, f"{fields}score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")

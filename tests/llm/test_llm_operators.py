@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import os
+import pickle
 import random
 import re
 import zlib
@@ -271,6 +272,29 @@ def test_toxicity_index_is_exact():
     assert index.vote({}) == (0.1, [])
 
 
+@pytest.mark.parametrize("head", [0, 7])
+def test_toxicity_dense_and_sparse_terms(head):
+    rng = random.Random(2)
+    terms = [f"t{i}" for i in range(60)]
+    counts = [dict(collections.Counter(rng.choices(terms, k=4))) for _ in range(300)] + [{"t3": 1}] * 40
+    index = toxicity.Index({t: rng.random() + 0.5 for t in terms}, range(340), counts, [0] * 340, 0.1, head)
+    vectors = [index.vector(c) for c in counts]
+    for c in counts[:20] + counts[-1:]:
+        want = sorted((-round(sum(x * w.get(t, 0) for t, x in index.vector(c).items()), 9), i) for i, w in enumerate(vectors))[: toxicity.NEAREST]
+        assert [(round(-s, 9), i) for s, i, _ in index.search([index.encode(c)])[0]] == [x for x in want if x[0] < 0]
+
+
+def test_toxicity_keeps_words_and_examples_without_evidence(spark):
+    plain = [(i, f"plain{i % 7} story{i} of common day{i % 5}", 0) for i in range(60)]
+    rows = [*plain, (60, "quiet remark nobody else makes", 1), (61, None, 0), *[(70 + i, f"vile slur{i} here", 1) for i in range(30)]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    index = toxicity.train(docs.select("doc_id", "text"), docs.select("text"), docs.select("doc_id", "toxic"))
+    index = pickle.loads(pickle.dumps(index))
+    assert len(index.ids) == len(rows) and {w for _, t, _ in rows for w in toxicity.terms_of(t)} == set(index.number)
+    copy = toxicity.score(spark.createDataFrame([(1, rows[60][1])], "doc_id bigint, text string"), index).first()
+    assert copy.score > 0.5 and copy.evidence[0].doc_id == 60 and round(copy.evidence[0].cosine, 9) == 1
+
+
 def test_language_backoff():
     rows = [("aa", 0, "hello", 0.5), ("bb", 0, "salut", 0.5), ("aa", 2, "he", 0.2), ("bb", 2, "sa", 0.2), ("aa", 1, "z", 0.1)]
     model = language.Languages(rows, 1e-6)
