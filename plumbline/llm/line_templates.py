@@ -5,8 +5,8 @@ taken as it is. The tree has one level for the number of words and ``depth`` lev
 for the leading masked words; a path of these is a leaf. In a leaf that lines of ``least`` different texts reach, a word
 at a later place is constant if it stands there in that many, else it becomes a variable field. If the constants make up
 ``share`` of the words, that is the line's template, otherwise the masked line itself is. Templates found in ``least``
-different texts recur, and their lines are dropped from all documents but the one with the smallest id, so that a group
-of near copies leaves one whole document.
+different texts recur, and so does the very same line of ``long`` words or more in ``twice`` different texts. Their lines
+are dropped from all documents but the one with the smallest id, so that a group of near copies leaves one whole document.
 
 Only DataFrame expressions. Leaves are counted on hashes; only lines of busy leaves carry their words any further, and
 the text moves once, to meet its dropped lines.
@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.text import let, materialise, word_array
 
 DEPTH, LEAST, SHARE, SHORTEST = 3, 10, 0.7, 1
+LONG, TWICE = 10, 2
 FIELD = "<*>"
 
 
@@ -35,12 +36,21 @@ def _single_blanks(line: Column) -> Column:
     return F.when(odd, F.array_join(word_array(line), " ")).otherwise(line)
 
 
+def _n_words(joined: Column) -> Column:
+    return F.when(joined == "", 0).otherwise(F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(" "), F.lit(""))) + 1)
+
+
+def _long_lines(rows: DataFrame, long: int) -> DataFrame:
+    """(doc_id, h, pos, line) of the long lines, line as a hash of its words; narrow, as these may be most lines of a corpus."""
+    each = F.transform(F.split("text", "\n"), lambda x: let(_single_blanks(x), lambda j: F.when(_n_words(j) >= long, F.xxhash64(j))))
+    return rows.select("doc_id", "h", F.posexplode(each).alias("pos", "line")).where(F.col("line").isNotNull())
+
+
 def _fields(line: Column, depth: int) -> Column:
     """(masked, n, leaf) of a line. One expression inside the array of lines, so that each part is computed once."""
 
     def of_joined(joined: Column) -> Column:
-        n = F.when(joined == "", 0).otherwise(F.octet_length(joined) - F.octet_length(F.replace(joined, F.lit(" "), F.lit(""))) + 1)
-        return let(n, lambda k: of_counted(joined, k))
+        return let(_n_words(joined), lambda k: of_counted(joined, k))
 
     def of_counted(joined: Column, k: Column) -> Column:
         masked = F.when((k >= depth) & joined.rlike("[0-9]"), F.regexp_replace(joined, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(joined)
@@ -55,7 +65,7 @@ def _lines(rows: DataFrame, depth: int) -> DataFrame:
     return each.select("doc_id", "h", "pos", "line.masked", "line.n", "line.leaf")
 
 
-def drop_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, share: float = SHARE, shortest: int = SHORTEST, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def drop_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, share: float = SHARE, shortest: int = SHORTEST, long: int = LONG, twice: int = TWICE, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Per row: doc_id, the ``keep`` columns, n_lines, n_dropped and text (the remaining lines)."""
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(k).alias(f"keep_{k}") for k in keep]).withColumn("h", F.xxhash64("text"))
     lines = _lines(rows, depth).where(F.col("n") >= shortest)
@@ -78,7 +88,12 @@ def drop_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, shar
     met = texts.join(named, ["leaf", "key"]).groupBy("template", "h").agg(F.min("doc_id").alias("doc_id"))
     recurring = met.groupBy("template").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("first")).where(F.col("c") >= least)
     doomed = named.join(recurring, "template").select("leaf", "key", "first")
-    gone = here.join(doomed, ["leaf", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).groupBy("doc_id", "h").agg(F.collect_set("pos").alias("gone"))
+    gone = here.join(doomed, ["leaf", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
+
+    exact = _long_lines(rows, long)
+    again = exact.groupBy("line", "h").agg(F.min("doc_id").alias("doc_id")).groupBy("line").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("first")).where(F.col("c") >= twice)
+    copies = exact.join(materialise(again.select("line", "first")), "line").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
+    gone = gone.union(copies).groupBy("doc_id", "h").agg(F.collect_set("pos").alias("gone"))
 
     marked = rows.join(gone.withColumnsRenamed({"doc_id": "d_", "h": "h_"}), F.col("doc_id").eqNullSafe(F.col("d_")) & (F.col("h") == F.col("h_")), "left")
     split = F.split("text", "\n")

@@ -363,6 +363,13 @@ def test_short_lines_recur(spark):
     assert dropped_lines(spark, texts[:9]) == texts[:9]
 
 
+def test_long_lines_recur_from_two_texts(spark):
+    long, short = "one two three four five six seven eight nine 10", "a b c d e f g h 9"
+    texts = [f"{long}\n{short}\nfirst", f"second\n {long.replace(' ', '  ')}\n{short}", long.replace("10", "11"), f"{long}\n{short}\nfirst"]
+    assert dropped_lines(spark, texts) == [texts[0], f"second\n{short}", texts[2], f"{short}\nfirst"]
+    assert dropped_lines(spark, [long, long]) == [long, long]  # equal texts count once
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.standard_normal((600, 16)), np.repeat(rng.standard_normal((1, 16)), 60, 0)]).astype(np.float32)
