@@ -141,9 +141,10 @@ def placebo_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM c a JOIN c b ON a.split = b.split AND a.source <> b.source)
     SELECT doc_id, donor, before, least(n, 1808 - before) AS used FROM r WHERE before < 1808""")
 def displaced_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contexts of other sources in a seeded order until a token budget; the last is cut at the budget."""
-    own = counted(spark, sf_dir).where("n > 0 and n <= 600").select("doc_id", "source", (F.col("doc_id") % 2).alias("split"), "n")
-    pool = own.select(F.col("doc_id").alias("donor"), F.col("source").alias("source_b"), "split", F.col("n").alias("size"))
+    """Contexts of other sources in a seeded order until a token budget; the last is cut at the budget. Cases that fit one window of 1800 are displaced; donors are of any size."""
+    every = counted(spark, sf_dir).where("n > 0").select("doc_id", "source", (F.col("doc_id") % 2).alias("split"), "n")
+    own = every.where("n <= 1800")
+    pool = every.select(F.col("doc_id").alias("donor"), F.col("source").alias("source_b"), "split", F.col("n").alias("size"))
     pairs = own.join(pool, "split").where("source <> source_b")
     drawn = pairs.withColumn("draw", (F.col("donor") * 7919 + F.col("doc_id") * 104_729) % 1_000_003)
     return prefix_until(drawn, ["doc_id"], ["draw", "donor"], "size", 1808).select("doc_id", "donor", "before", "used")

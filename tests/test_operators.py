@@ -175,3 +175,21 @@ def test_streams(spark, tmp_path):
     assert spark.table("costs").agg(F.sum("n")).first()[0] == 18  # windows of 30 minutes every 20 hold each row once or twice
     streaming.append_batches(streaming.first_arrivals(stream, "k"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+def test_displaced_prefix_limits_cases_not_donors(spark, tmp_path):
+    from plumbline.plans import windows
+
+    sizes = [100, 700, 1800, 1801, 3000, 0, 50, 1200, 20, 2500]
+    rows = [(i, " ".join(["w"] * n), f"s{i % 3}", max(2 * n - 1, 0)) for i, n in enumerate(sizes)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    want = set()
+    for a, n in enumerate(sizes):
+        if 0 < n <= 1800:
+            before = 0
+            for b in sorted((b for b in range(len(sizes)) if sizes[b] and (a - b) % 2 == 0 and (a - b) % 3), key=lambda b: ((b * 7919 + a * 104_729) % 1_000_003, b)):
+                if before < 1808:
+                    want.add((a, b, before, min(sizes[b], 1808 - before)))
+                before += sizes[b]
+    assert {w[0] for w in want} >= {1, 2, 7} and {w[1] for w in want} >= {3, 4}
+    assert set(one(windows.displaced_prefix(spark, str(tmp_path)))) == want
