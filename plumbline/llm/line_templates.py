@@ -4,7 +4,8 @@ A line's words are masked where they hold a digit; a line of fewer than ``depth`
 taken as it is. The tree has one level for the number of words and ``depth`` levels
 for the leading masked words; a path of these is a leaf. In a leaf that lines of ``least`` different texts reach, a word
 at a later place is constant if it stands there in that many, else it becomes a variable field. If the constants make up
-``share`` of the words, that is the line's template, otherwise the masked line itself is. Templates found in ``least``
+``share`` of the words, and one stands behind the leading words or all words there are masked, that is the line's
+template; otherwise the line as it is, digits included, is. Templates found in ``least``
 different texts recur, and so does the very same line of ``long`` words or more in ``twice`` different texts. Their lines
 are dropped from all documents but the one with the smallest id, so that a group of near copies leaves one whole document.
 
@@ -54,15 +55,15 @@ def _fields(line: Column, depth: int) -> Column:
 
     def of_counted(joined: Column, k: Column) -> Column:
         masked = F.when((k >= depth) & joined.rlike("[0-9]"), F.regexp_replace(joined, "[^ ]*[0-9][^ ]*", FIELD)).otherwise(joined)
-        return let(masked, lambda m: F.struct(m.alias("masked"), k.alias("n"), F.xxhash64(k, F.substring_index(m, " ", depth)).alias("leaf")))
+        return let(masked, lambda m: F.struct(m.alias("masked"), F.when(m != joined, F.xxhash64(joined)).alias("raw"), k.alias("n"), F.xxhash64(k, F.substring_index(m, " ", depth)).alias("leaf")))
 
     return let(_single_blanks(line), of_joined)
 
 
 def _lines(rows: DataFrame, depth: int) -> DataFrame:
-    """(doc_id, h, pos, masked, n, leaf) per line. A leaf is the number of words with the leading words."""
+    """(doc_id, h, pos, masked, raw, n, leaf) per line; raw is a hash of a line that was masked. A leaf is the number of words with the leading words."""
     each = rows.select("doc_id", "h", F.posexplode(F.transform(F.split("text", "\n"), lambda x: _fields(x, depth))).alias("pos", "line"))
-    return each.select("doc_id", "h", "pos", "line.masked", "line.n", "line.leaf")
+    return each.select("doc_id", "h", "pos", "line.masked", "line.raw", "line.n", "line.leaf")
 
 
 def drop_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, share: float = SHARE, shortest: int = SHORTEST, long: int = LONG, twice: int = TWICE, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -70,9 +71,9 @@ def drop_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, shar
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *[F.col(k).alias(f"keep_{k}") for k in keep]).withColumn("h", F.xxhash64("text"))
     lines = _lines(rows, depth).where(F.col("n") >= shortest)
     busy = materialise(lines.groupBy("leaf", "h").agg(F.lit(1).alias("_")).groupBy("leaf").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= least).select("leaf"))
-    here = materialise(lines.join(busy, "leaf").select("leaf", F.xxhash64("masked").alias("key"), "masked", "doc_id", "h", "pos"))
+    here = materialise(lines.join(busy, "leaf").select("leaf", F.xxhash64("masked").alias("key"), "masked", "raw", "doc_id", "h", "pos"))
 
-    texts = here.groupBy("leaf", "key", "h").agg(F.min("masked").alias("masked"), F.min("doc_id").alias("doc_id"))
+    texts = here.groupBy("leaf", "key", "h").agg(F.min("masked").alias("masked"))
     kinds = materialise(texts.groupBy("leaf", "key").agg(F.min("masked").alias("masked"), F.count(F.lit(1)).alias("c")))
     words = kinds.select("leaf", "key", "c", F.posexplode(F.split("masked", " ")).alias("at", "word"))
     later = words.where(F.col("at") >= depth)
@@ -82,13 +83,16 @@ def drop_templates(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, shar
     size = F.size(F.split("masked", " "))
     lead = F.size(F.filter(F.slice(F.split("masked", " "), 1, depth), lambda w: w != FIELD))
     enough = F.coalesce("fixed", F.lit(0)) + lead >= F.lit(share) * size
-    template = F.when(enough & F.col("shape").isNotNull(), F.xxhash64("leaf", F.col("shape.word"))).otherwise(F.xxhash64("leaf", "masked"))
+    behind = (F.coalesce("fixed", F.lit(0)) > 0) | F.forall(F.slice(F.split("masked", " "), depth + 1, size), lambda w: w == FIELD)
+    template = F.when(enough & behind & F.col("shape").isNotNull(), F.xxhash64("leaf", F.col("shape.word")))  # null: the line as it is
     named = materialise(kinds.join(shapes, ["leaf", "key"], "left").select("leaf", "key", template.alias("template")))
 
-    met = texts.join(named, ["leaf", "key"]).groupBy("template", "h").agg(F.min("doc_id").alias("doc_id"))
+    # the line as it is: its raw hash where it was masked, else its key
+    exactly = F.coalesce("template", F.xxhash64("leaf", F.coalesce("raw", "key"))).alias("template")
+    found = here.join(named, ["leaf", "key"]).select(exactly, "doc_id", "h", "pos")
+    met = found.groupBy("template", "h").agg(F.min("doc_id").alias("doc_id"))
     recurring = met.groupBy("template").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("first")).where(F.col("c") >= least)
-    doomed = named.join(recurring, "template").select("leaf", "key", "first")
-    gone = here.join(doomed, ["leaf", "key"]).where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
+    gone = found.join(materialise(recurring.select("template", "first")), "template").where(~F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "h", "pos")
 
     exact = _long_lines(rows, long)
     again = exact.groupBy("line", "h").agg(F.min("doc_id").alias("doc_id")).groupBy("line").agg(F.count(F.lit(1)).alias("c"), F.min("doc_id").alias("first")).where(F.col("c") >= twice)

@@ -370,6 +370,17 @@ def test_long_lines_recur_from_two_texts(spark):
     assert dropped_lines(spark, [long, long]) == [long, long]  # equal texts count once
 
 
+def test_lines_below_share_recur_only_as_they_are(spark):
+    numbers = [f"own{chr(97 + i)}\n{i} {i + 1} {i + 2} {i + 3}\nPrice ${i} ${i + 1} ${i + 2} ${i + 3}" for i in range(12)]
+    assert dropped_lines(spark, numbers) == numbers
+    same = [f"own{chr(97 + i)}\n7 8 9 10" for i in range(10)]
+    assert dropped_lines(spark, same) == [same[0]] + [x.split("\n")[0] for x in same[1:]]
+    last = [f"the name is {w}" for w in "ada ben cleo dan eve finn gus hal ida jon kim".split()]
+    assert dropped_lines(spark, last) == last
+    digits = [f"All rights reserved {2000 + i}" for i in range(10)]
+    assert dropped_lines(spark, digits) == [digits[0]] + [""] * 9
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.standard_normal((600, 16)), np.repeat(rng.standard_normal((1, 16)), 60, 0)]).astype(np.float32)
