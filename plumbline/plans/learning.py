@@ -41,7 +41,6 @@ def logreg_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, fold, test, _ = _arrays(pdf)
-        x = x[:, :16]
         c = learning.tune(x[~test], y[~test], fold[~test])
         return _result(pdf, learning.Linear(c).fit(x[~test], y[~test]).score(x))
 
@@ -61,7 +60,7 @@ def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def soft_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, _, test, gate = _arrays(pdf)
-        wide = learning.soft_gated(x[:, :16], gate, slice(0, 8), ~test)
+        wide = learning.soft_gated(x, gate, slice(None), ~test)
         return _result(pdf, learning.Linear(0.1).fit(wide[~test], y[~test]).score(wide))
 
     return _per_run(block(spark, sf_dir), fit)
@@ -71,7 +70,6 @@ def soft_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hard_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, y, fold, test, gate = _arrays(pdf)
-        x = x[:, :8]
         model = learning.HardGate().fit(x[~test], y[~test], gate[~test], fold[~test])
         return _result(pdf, model.score(x, gate))
 

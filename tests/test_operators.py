@@ -193,3 +193,15 @@ def test_displaced_prefix_limits_cases_not_donors(spark, tmp_path):
                 before += sizes[b]
     assert {w[0] for w in want} >= {1, 2, 7} and {w[1] for w in want} >= {3, 4}
     assert set(one(windows.displaced_prefix(spark, str(tmp_path)))) == want
+
+
+@pytest.mark.parametrize("name", ["logreg_detector", "soft_gate", "hard_gate"])
+def test_detectors_read_the_whole_block(spark, monkeypatch, name):
+    from plumbline.plans import learning as plans
+
+    rng = np.random.default_rng(0)
+    rows = [("all", i, i % 2, i // 2 % 5, i % 8 > 5, [float(v) for v in rng.standard_normal(39)] + [i % 2 * 4.0 + rng.random()], float(rng.random())) for i in range(240)]
+    df = spark.createDataFrame(rows, "run string, doc_id bigint, label int, fold int, test boolean, x array<double>, gate double")
+    monkeypatch.setattr(plans, "block", lambda *_: df)
+    got = getattr(plans, name)(spark, "").where("test").toPandas()
+    assert learning.auc(got.label.to_numpy(), got.score.to_numpy()) > 0.95
