@@ -34,11 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors reach; set to a local folder only where it is unset."""
+    """A new folder below spark.checkpoint.dir, which all executors reach. Where it is unset, a local session gets a folder of its own and any other an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         base = spark.conf.get("spark.checkpoint.dir", None)
         if base is None:
+            if not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             import tempfile
 
             base = tempfile.mkdtemp(prefix="plumbline-")
@@ -63,3 +65,8 @@ def discard(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(df._written_to)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def one_thread(spark: SparkSession) -> None:
+    """Matrix products of Python workers started from now on run in one thread, as a task has one core; a value that is already set stays."""
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")

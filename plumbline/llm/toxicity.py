@@ -3,13 +3,23 @@
 Examples are at most ``sample`` labelled documents (the ids with the smallest hashes), each over all its words; document
 frequencies are counted over all documents. Words that toxic examples use more often than chance allows (chi-square at
 least ``CHI``, in ``LEAST`` toxic examples or more) weigh ``BOOST`` times as much; no word and no example leaves the
-index. A query meets every example: the ``HEAD`` words of most examples as a dense product for a batch of texts, all
-others by their postings, so the neighbours are exact. Votes weigh by inverse distance and are drawn towards the share
-of toxic examples, which is also the score of a text without a word of any example.
+index.
+
+The index is inverted. Lists of rare words are short and are read whole. Lists of the ``HEAD`` words of most examples are
+long; they are cut into blocks of ``BLOCK`` examples and keep the largest weight of each block. What the short lists give
+a block at most, and the block maxima of the long ones, bound every cosine in it. A batch of texts first opens the blocks
+of the largest bounds; the k-th best cosine found there closes all blocks whose bound is below it, and only the others
+are opened. So the neighbours are exact. Examples lie in the order of clusters (by language and subject, as it comes),
+which keeps the bounds low.
+
+Votes weigh by inverse distance and are drawn towards the share of toxic examples, which is also the score of a text
+without a word of any example. Two numbers, a scale and a shift of the votes' log odds, calibrate them; they are fit on
+the votes that all examples get from the others.
 
 Defined results: a null or empty text scores that share; without examples every score is 0; rows with null ids are never
 learned from; an id with several labels counts by its largest; equal cosines go to the smaller id; repeated rows each get
-their own row.
+their own row; a text of any length is read whole, its memory is that of its distinct words; extra columns are ignored
+unless passed through ``keep``, whose names must not be score or evidence.
 """
 
 from __future__ import annotations
@@ -26,10 +36,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import materialise
+from plumbline.llm.text import discard, materialise, one_thread
 
 SAMPLE, CHI, LEAST, NEAREST = 20_000, 20.0, 3, 15
 BOOST, HEAD, BATCH = 4.0, 256, 100
+BLOCK, FIRST, CLUSTERS = 64, 8, 32
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -45,7 +56,7 @@ class Index:
 
     @classmethod
     def of_arrays(cls, *state) -> Index:
-        """Terms joined by line feeds, weights, ids, labels, sizes, and of all examples in turn the term numbers and counts, prior, head. Built where it is read."""
+        """Terms joined by line feeds, weights, ids, labels, sizes, and of all examples in turn the term numbers and counts, prior, head, scale and shift of the votes' odds (1 and 0 if left out). Built where it is read."""
         index = cls.__new__(cls)
         index.state = state
         return index
@@ -58,7 +69,8 @@ class Index:
         self._build()
 
     def _build(self) -> None:
-        names, weight, self.ids, self.labels, sizes, term, count, self.prior, head = self.state
+        names, weight, self.ids, self.labels, sizes, term, count, self.prior, head, *odds = self.state
+        self.odds = Odds(*odds)
         names = names.split("\n") if len(weight) else []
         # the most frequent terms first
         order = np.argsort(-np.bincount(term, minlength=len(names)), kind="stable")
@@ -72,11 +84,20 @@ class Index:
         norm = np.sqrt(np.bincount(at, w * w, minlength=len(sizes)))
         w /= norm[at]
         self.head = min(head, len(names))
-        ends = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))])
+        n, ends = len(self.ids), np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(names)))])
         first = ends[self.head]
-        self.dense = np.zeros((self.head, len(self.ids)))
-        self.dense[term[:first], at[:first]] = w[:first]
-        self.at, self.w, self.cut = at[first:].copy(), w[first:].copy(), ends - first
+        dense = np.zeros((n, self.head))
+        dense[at[:first], term[:first]] = w[:first]
+        line = _clustered(dense)
+        self.ids, self.labels = self.ids[line], self.labels[line]
+        where = np.empty(n, np.int32)
+        where[line] = np.arange(n, dtype=np.int32)
+        self.at, self.w, self.cut = where[at[first:]], w[first:].copy(), ends - first
+        self.blocks = -(-n // BLOCK)
+        rows = np.zeros((self.blocks * BLOCK, self.head))
+        rows[:n] = dense[line]
+        self.long = np.ascontiguousarray(rows.reshape(self.blocks, BLOCK, self.head).transpose(0, 2, 1))
+        self.most = np.ascontiguousarray(self.long.max(2).T) if n else np.zeros((self.head, 0))
 
     def encode(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of the terms that the index knows, as a unit vector."""
@@ -92,25 +113,39 @@ class Index:
 
     def search(self, batch: list[tuple[np.ndarray, np.ndarray]], k: int = NEAREST) -> list[list[tuple[float, int, int]]]:
         """Per encoded text (cosine, id, label) of the k nearest examples, best first; those without a common word are none."""
-        n = len(self.ids)
-        if not n:
+        if not len(self.ids) or not batch:
             return [[] for _ in batch]
         asked = np.zeros((len(batch), self.head))
+        got = np.zeros((len(batch), self.blocks, BLOCK))
         for r, (i, v) in enumerate(batch):
-            asked[r, i[i < self.head]] = v[i < self.head]
-        out = []
-        for (i, v), got in zip(batch, asked @ self.dense, strict=True):
             far = i >= self.head
+            asked[r, i[~far]] = v[~far]
             a, b = self.cut[i[far]], self.cut[i[far] + 1]
             parts = [slice(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             if parts:
                 at, w = np.concatenate([self.at[p] for p in parts]), np.concatenate([self.w[p] for p in parts])
-                got = got + np.bincount(at, w * np.repeat(v[far], b - a), n)
-            got = np.round(got, 12)  # equal examples are equal in whatever order their products are summed
-            least = np.partition(got, n - k)[n - k] if n > k else 0.0
-            best = np.flatnonzero((got >= least) & (got > 0))
-            best = best[np.lexsort((self.ids[best], -got[best]))][:k]
-            out.append(list(zip(got[best].tolist(), self.ids[best].tolist(), self.labels[best].tolist(), strict=True)))
+                got[r] = np.bincount(at, w * np.repeat(v[far], b - a), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+        bound = got.max(2) + asked @ self.most
+
+        def opened(live: np.ndarray) -> None:
+            for b in np.flatnonzero(live.any(0)):
+                r = np.flatnonzero(live[:, b])
+                got[r, b] += asked[r] @ self.long[b]
+
+        best = np.argsort(-bound, axis=1, kind="stable")[:, : max(FIRST, -(-k // BLOCK))]
+        live = np.zeros(bound.shape, bool)
+        np.put_along_axis(live, best, True, 1)
+        opened(live)
+        seen = np.take_along_axis(got, best[:, :, None], 1).reshape(len(batch), -1)
+        floor = np.partition(seen, seen.shape[1] - k, 1)[:, seen.shape[1] - k] - 1e-9 if seen.shape[1] > k else np.zeros(len(batch))
+        opened(~live & (bound >= floor[:, None]))
+        out = []
+        for least, whole in zip(floor, got.reshape(len(batch), -1), strict=True):
+            place = np.flatnonzero((whole >= least) & (whole > 0))
+            near = np.round(whole[place], 12)  # equal examples are equal in whatever order their products are summed
+            best = np.lexsort((self.ids[place], -near))[:k]
+            place = place[best]
+            out.append(list(zip(near[best].tolist(), self.ids[place].tolist(), self.labels[place].tolist(), strict=True)))
         return out
 
     def nearest(self, v: dict[str, float], k: int = NEAREST) -> list[tuple[float, int, int]]:
@@ -125,7 +160,57 @@ class Index:
         if not near:
             return self.prior
         weights = [1 / (1.05 - c) for c, _, _ in near]
-        return (0.5 * self.prior + sum(w * y for w, (_, _, y) in zip(weights, near, strict=True))) / (0.5 + sum(weights))
+        vote = (0.5 * self.prior + sum(w * y for w, (_, _, y) in zip(weights, near, strict=True))) / (0.5 + sum(weights))
+        return self.odds.score(vote)
+
+
+class Odds:
+    """Votes to calibrated scores: a scale and a shift of their log odds, fit by maximum likelihood. The scale is above zero, so the order of votes stays."""
+
+    def __init__(self, scale: float = 1.0, shift: float = 0.0):
+        self.scale, self.shift = scale, shift
+
+    @staticmethod
+    def of(vote: np.ndarray) -> np.ndarray:
+        v = np.clip(vote, 1e-6, 1 - 1e-6)
+        return np.log(v / (1 - v))
+
+    @classmethod
+    def fit(cls, votes: np.ndarray, labels: np.ndarray) -> Odds:
+        """Newton steps with a small ridge towards (1, 0); one class alone leaves the votes as they are."""
+        if len(np.unique(labels)) < 2:
+            return cls()
+        z, y, ridge = cls.of(votes), labels.astype(float), 1e-2
+        now = np.array([1.0, 0.0])
+        loss = lambda t: np.logaddexp(0, -(2 * y - 1) * (t[0] * z + t[1])).sum() + 0.5 * ridge * ((t - [1, 0]) ** 2).sum()
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(now[0] * z + now[1], -500, 500)))
+            gap, slope = p - y, p * (1 - p)
+            grad = np.array([gap @ z, gap.sum()]) + ridge * (now - [1, 0])
+            step = np.linalg.solve(np.array([[slope @ (z * z), slope @ z], [slope @ z, slope.sum()]]) + ridge * np.eye(2), grad)
+            size = 1.0
+            while loss(now - size * step) > loss(now) and size > 1e-6:
+                size /= 2
+            now = now - size * step
+            if np.abs(size * step).max() < 1e-10:
+                break
+        return cls(*now.tolist()) if now[0] > 0 else cls()
+
+    def score(self, vote: float) -> float:
+        return float(1 / (1 + np.exp(-(self.scale * self.of(np.float64(vote)) + self.shift))))
+
+
+def _clustered(rows: np.ndarray, rounds: int = 4) -> np.ndarray:
+    """An order of the rows in which those of one cluster are neighbours; any order gives the same neighbours."""
+    if len(rows) <= BLOCK or not rows.shape[1]:
+        return np.arange(len(rows))
+    centre = rows[np.linspace(0, len(rows) - 1, CLUSTERS).astype(int)]
+    for _ in range(rounds):
+        near = (rows @ (centre / np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)).T).argmax(1)
+        sums = np.zeros_like(centre)
+        np.add.at(sums, near, rows)
+        centre = np.where(np.bincount(near, minlength=CLUSTERS)[:, None] > 0, sums, centre)
+    return np.argsort(near, kind="stable")
 
 
 def terms_of(text: str | None) -> Counter:
@@ -174,7 +259,29 @@ def train(docs: DataFrame, every: DataFrame, labels: DataFrame, sample: int = SA
     weight = (np.log((1 + total) / (1 + df)) + 1) * np.where(pc.is_in(words, pa.array(sorted(boosted), pa.string())).to_numpy(zero_copy_only=False), BOOST, 1.0)
     sizes = np.diff(maps.offsets.to_numpy()).astype(np.int32)
     term, count = pc.index_in(maps.keys, words).to_numpy().astype(np.int32), maps.items.to_numpy().astype(np.int32)
-    return Index.of_arrays("\n".join(words.to_pylist()), weight, rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.int64), sizes, term, count, (bad + 0.5) / (n + 1), HEAD)
+    state = "\n".join(words.to_pylist()), weight, rows["doc_id"].to_numpy(), rows["toxic"].to_numpy().astype(np.int64), sizes, term, count, (bad + 0.5) / (n + 1), HEAD
+    odds = _cross_fit(examples, Index.of_arrays(*state))
+    discard(examples)
+    return Index.of_arrays(*state, odds.scale, odds.shift)
+
+
+def _cross_fit(examples: DataFrame, index: Index) -> Odds:
+    """The calibration that fits the votes of all examples (doc_id, toxic, counts), each without itself; two numbers per example come back."""
+    sent = examples.sparkSession.sparkContext.broadcast(index)
+    one_thread(examples.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = sent.value
+        for whole in batches:
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                found = own.search([own.encode(dict(c)) for c in batch.column(2).to_pylist()], NEAREST + 1)
+                votes = [own.tally([x for x in near if x[1] != i][:NEAREST]) for i, near in zip(batch.column(0).to_pylist(), found, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(votes, pa.float64())], names=["doc_id", "toxic", "vote"])
+
+    rows = examples.mapInArrow(run, "doc_id bigint, toxic int, vote double").toArrow().sort_by("doc_id")
+    sent.unpersist()
+    return Odds.fit(rows["vote"].to_numpy(), rows["toxic"].to_numpy())
 
 
 def score(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -182,7 +289,7 @@ def score(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ..
     source = docs.select(*keep, F.col(text).alias("_t"))
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
     sent = docs.sparkSession.sparkContext.broadcast(index)
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
+    one_thread(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
@@ -190,8 +297,10 @@ def score(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ..
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
                 found = own.search([own.encode(terms_of(t)) for t in batch.column(batch.num_columns - 1).to_pylist()])
-                scores = [own.tally(near) for near in found]
-                evidence = [[{"doc_id": i, "cosine": c, "toxic": y} for c, i, y in near] for near in found]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64()), pa.array(evidence, kind)], names=[*batch.schema.names[:-1], "score", "evidence"])
+                flat = [x for near in found for x in near]
+                parts = [pa.array([x[1] for x in flat], pa.int64()), pa.array([x[0] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.int32())]
+                ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+                evidence = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, names=["doc_id", "cosine", "toxic"]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(own.tally, found), pa.float64()), evidence], names=[*batch.schema.names[:-1], "score", "evidence"])
 
     return source.mapInArrow(run, f"{fields}score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
