@@ -59,7 +59,8 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
     rolled = h.copy()
     with np.errstate(over="ignore"):
         for k in range(1, width):
-            rolled[: len(h) - k] = rolled[: len(h) - k] * _STEP + h[k:]
+            m = max(0, len(h) - k)  # all texts together may have fewer words than a shingle
+            rolled[:m] = rolled[:m] * _STEP + h[k:]
         rolled = mix(rolled)
     sets = []
     for n, end in zip(counts.tolist(), ends.tolist(), strict=True):

@@ -8,18 +8,19 @@ knows, from four characters down to one, scores by its log frequency, divided by
 
 Defined results: a null text or one without a letter is ``und`` with score 0, as is every text where nothing could be
 learned; ties go to the language first by code point; rows with null ids are never learned from; repeated rows each get
-their own row; extra columns are ignored unless passed through ``keep``.
+their own row; a text of any length is read whole, its memory is that of its distinct words; extra columns are ignored
+unless passed through ``keep``, whose names must not be lang_pred or score.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,13 +29,39 @@ from plumbline.llm.text import let, materialise
 FLOOR = 1e-6
 LONGEST = 4
 ROWS = 300_000
-LETTERS = re.compile(r"[^\W\d_]+")
+ENTRIES = 200_000
+LETTERS = regex.compile(r"\p{L}+")
+
+
+def words_of(text: str | None) -> Counter:
+    """Counts of a text's words, in lower case: runs of letters, that is of category L. Learning and scoring both use it."""
+    return Counter(LETTERS.findall((text or "").lower()))
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """(lang, gram, n) of rows (lang, text): words counted inside each task before they are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+
+        def flushed() -> pa.RecordBatch:
+            rows = [(lang, w, n) for lang, words in held.items() for w, n in words.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.int64())], names=["lang", "gram", "n"])
+
+        for batch in batches:
+            for lang, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                held.setdefault(lang, Counter()).update(words_of(text))
+            if sum(map(len, held.values())) > ENTRIES:
+                yield flushed()
+        yield flushed()
+
+    return texts.select("lang", "text").mapInArrow(run, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
 def gram_counts(texts: DataFrame, longest: int = LONGEST) -> DataFrame:
     """(lang, size, gram, n) of rows (lang, text): size 0 holds words, the others the character grams of words between ``<`` and ``>``."""
-    split = F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != "")
-    words = materialise(texts.select("lang", F.explode(split).alias("gram")).groupBy("lang", "gram").agg(F.count(F.lit(1)).alias("n")))
+    words = materialise(word_counts(texts))
 
     def cut(w, n: int):
         return F.when(F.length(w) >= n, F.transform(F.sequence(F.lit(1), F.length(w) - (n - 1)), lambda i: F.struct(F.lit(n).alias("size"), F.substring(w, i, F.lit(n)).alias("gram")))).otherwise(F.array().cast("array<struct<size:int,gram:string>>"))
@@ -98,7 +125,7 @@ class Rows(dict):
 def classify(texts: list[str | None], model: Languages, rows: Rows) -> tuple[list[str], list[float]]:
     named, scores = [], []
     for t in texts:
-        words = Counter(LETTERS.findall((t or "").lower()))
+        words = words_of(t)
         if not words or not model.langs:
             named.append("und")
             scores.append(0.0)
@@ -130,7 +157,8 @@ def train(texts: DataFrame, floor: float = FLOOR, longest: int = LONGEST) -> Lan
     """A model of rows (lang, text)."""
     counts = materialise(gram_counts(texts.where("lang is not null"), longest))
     sums = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
-    frequent = counts.join(sums, ["lang", "size"]).where(F.col("n") >= F.col("total") * floor)
+    # a row per language and length of gram
+    frequent = counts.join(F.broadcast(sums), ["lang", "size"]).where(F.col("n") >= F.col("total") * floor)
     rows = frequent.select("lang", "size", "gram", (F.col("n") / F.col("total")).alias("share")).toPandas()
     return Languages(list(rows.itertuples(index=False, name=None)), floor)
 

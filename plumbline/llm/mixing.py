@@ -12,7 +12,8 @@ Running sums go in two levels (buckets of a source, rows of a bucket), so a sour
 task; the number of buckets does not change the result.
 
 Defined results: null texts have size 0 and nothing taken; a null source is a source of its own, after all others; rows
-with equal ids and sizes may trade their counts; an empty table gives an empty result.
+with equal ids and sizes may trade their counts; a text of any length is cut where blocks begin, not held; an empty table
+gives an empty result; extra columns are ignored unless passed through ``keep``.
 """
 
 from __future__ import annotations
@@ -127,13 +128,22 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 
 def mixed_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", keep: tuple[str, ...] = (), **options) -> DataFrame:
-    """The mix itself: per document and pass that reads from it, doc_id, source, the ``keep`` columns and ``text``, the words read with the blanks that follow them."""
-    rows = mix_sources(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text"), *keep), keep=("text", *keep), **options)
-    whole = rows.where("taken > 0")
+    """The mix itself: per document and pass that reads from it, doc_id, source, the ``keep`` columns and ``text``, the words read with the blanks that follow them.
+
+    The plan is made without texts; these move once, to meet their ranges by two hashes of id, source and text.
+    """
+    own = [F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.col(text).alias("text")]
+    keys = [F.xxhash64(F.lit(i), doc_id, source, text).alias(f"k{i}") for i in (1, 2)]
+    order = Window.partitionBy("k1", "k2")
+    plan = mix_sources(docs.select(*own, *keys), keep=("k1", "k2"), **options).where("taken > 0").select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), "ranges")
+    plan = plan.withColumn("m", F.row_number().over(Window.partitionBy("p1", "p2").orderBy("ranges")))
+    rows = docs.select(*own, *keys, *[F.col(k).alias(f"keep_{k}") for k in keep]).withColumn("n", F.row_number().over(order.orderBy(F.lit(1))))
+    # the numbers of repeated rows meet as a remainder, so that both sides stay dealt by the two hashes
+    whole = rows.join(plan, (F.col("k1") == F.col("p1")) & (F.col("k2") == F.col("p2")) & (F.col("n") - F.col("m") == 0))
 
     def read(pieces: Column) -> Column:
         of_pass = lambda p: F.array_join(F.flatten(F.transform(F.filter("ranges", lambda r: r["pass"] == p), lambda r: F.slice(pieces, (r["begin"] + 1).cast("int"), (r["end"] - r["begin"]).cast("int")))), "")
         return F.transform(F.array_distinct(F.transform("ranges", lambda r: r["pass"])), of_pass)
 
     texts = let(F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)), read)
-    return whole.withColumn("text", F.explode(texts)).select("doc_id", "source", *keep, "text")
+    return whole.withColumn("text", F.explode(texts)).select("doc_id", "source", *[F.col(f"keep_{k}").alias(k) for k in keep], "text")

@@ -1,16 +1,24 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are documents labelled as good; unlabelled web text is a sample of all documents. With the class prior
-pi estimated from the share of good labels, a small network minimises the non-negative unbiased risk
-pi R_p(+) + max(0, R_u(-) - pi R_p(-)) with the logistic loss; where the second part falls below zero, its gradient is
-followed backwards instead. Labels of bad documents enter the prior only.
+Trusted positives are documents labelled as good; unlabelled web text is all documents. With an estimate pi of the class
+prior, a small network minimises the non-negative unbiased risk pi R_p(+) + max(0, R_u(-) - pi R_p(-)) with the logistic
+loss; where the second part falls below zero, its gradient is followed backwards instead. No label of a bad document is
+used anywhere.
 
-Features are counts over the whole text, made in one pass over bytes and words; the network is fit on the driver on at
-most ``sample`` positives and ``sample`` unlabelled documents (the ids with the smallest hashes), as numbers, not texts.
+The class prior comes from positives and unlabelled documents too. A first network tells half of the positives from
+unlabelled documents. Among those above any of its scores, the share of unlabelled documents is at least pi times the
+share of positives, so pi is at most their ratio; the smallest ratio over scores that most of the other positives pass is
+the estimate. Positives held back give the one share, every unlabelled document the other.
+
+Features are counts over the whole text, made in one pass over bytes and words and kept as numbers. Their means and
+scales cover all documents. The networks are fit on the driver by stochastic gradients, which draw from at most
+``sample`` positives and ``sample`` unlabelled documents (the ids with the smallest hashes).
 
 Defined results: a null or empty text is scored like any other, by the features of an empty text; where there are no
-positives or no documents to learn from, every score is the prior; rows with null ids are never learned from; an id with
-several quality labels counts by its largest; repeated rows each get their own row.
+positives or no documents to learn from, every score is one half; rows with null ids are never learned from; an id with
+several quality labels counts by its largest; ties and repeated rows score alike, each in its own row; a text of any
+length is read whole, its memory a few times its own; extra columns are ignored unless passed through ``keep``, whose
+names must not be x or score.
 """
 
 from __future__ import annotations
@@ -23,7 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.text import smallest_hashes
+
 SAMPLE, HIDDEN, STEPS, BATCH, SEED = 20_000, 24, 3_000, 512, 11
+#: Cuts of the first network's scores that at least a share ``MOST`` of the positives pass.
+CUTS, MOST = 20, 0.5
 _BYTE_CLASS = np.zeros(256, np.int64)
 for _i, _chars in enumerate((range(97, 123), range(65, 91), range(48, 58), b" \t\n\r\x0b\x0c", b".,;:'\"", b"!?", b"|", b"#*$%&<>~^=+_\\/@{}[]()", range(128, 256)), 1):
     _BYTE_CLASS[list(_chars)] = _i
@@ -55,39 +67,53 @@ def features(text: bytes | None) -> np.ndarray:
     return out
 
 
-def feature_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, x) of rows (doc_id, t)."""
+def featured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and ``x``, the features of the text, per row."""
+    source = docs.select(*keep, F.col(text).cast("binary").alias("_t"))
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [features(t) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                rows = [features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "x"])
+
+    return source.mapInArrow(run, f"{fields}x array<double>")
+
 
-    return docs.mapInArrow(run, "doc_id bigint, x array<double>")
+def sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
 class Network:
-    """One hidden layer over standardised features, fit by Adam on the non-negative risk."""
+    """One hidden layer over standardised features, fit by Adam. With a ``prior`` it minimises the non-negative risk, without it tells positives from unlabelled rows."""
 
-    def __init__(self, prior: float):
-        self.prior = prior
+    def __init__(self, mean: np.ndarray, scale: np.ndarray, prior: float | None):
+        self.mean, self.scale, self.prior = mean, scale, prior
         self.parts: list[np.ndarray] | None = None
 
+    def risk(self, parts: list[np.ndarray], p: np.ndarray, u: np.ndarray) -> tuple[float, list[np.ndarray]]:
+        """The risk of a batch of standardised positives and unlabelled rows, and the gradients to follow."""
+        gp, gu = self._raw(parts, p), self._raw(parts, u)
+        both = np.concatenate([p, u])
+        if self.prior is None:
+            loss = np.logaddexp(0, -gp).mean() + np.logaddexp(0, gu).mean()
+            return loss, self._grads(parts, both, np.concatenate([-sigmoid(-gp) / len(p), sigmoid(gu) / len(u)]))
+        found = self.prior * np.logaddexp(0, -gp).mean()
+        rest = np.logaddexp(0, gu).mean() - self.prior * np.logaddexp(0, gp).mean()
+        # gradients in the outputs: of R_p(+), R_p(-) and R_u(-)
+        up, pn, un = -self.prior * sigmoid(-gp) / len(p), self.prior * sigmoid(gp) / len(p), sigmoid(gu) / len(u)
+        return found + max(0.0, rest), self._grads(parts, both, np.concatenate([up - pn, un]) if rest >= 0 else np.concatenate([pn, -un]))
+
     def fit(self, good: np.ndarray, any_: np.ndarray, steps: int = STEPS, hidden: int = HIDDEN, seed: int = SEED) -> Network:
         rng = np.random.default_rng(seed)
-        self.mean, self.scale = any_.mean(0), any_.std(0) + 1e-3
         p, u = self._standard(good), self._standard(any_)
         d = p.shape[1]
         parts = [rng.standard_normal((d, hidden)) / np.sqrt(d), np.zeros(hidden), rng.standard_normal(hidden) / np.sqrt(hidden), np.zeros(1), np.zeros(d)]
         first, second = [np.zeros_like(x) for x in parts], [np.zeros_like(x) for x in parts]
         for step in range(1, steps + 1):
-            xp, xu = p[rng.integers(0, len(p), BATCH)], u[rng.integers(0, len(u), BATCH)]
-            gp, gu = self._raw(parts, xp), self._raw(parts, xu)
-            down = np.logaddexp(0, gu).mean() - self.prior * np.logaddexp(0, gp).mean()
-            sig = lambda z: 1 / (1 + np.exp(-z))
-            # gradients in the outputs: of R_p(+), R_p(-) and R_u(-)
-            up, pn, un = -self.prior * sig(-gp) / BATCH, self.prior * sig(gp) / BATCH, sig(gu) / BATCH
-            grads = self._grads(parts, np.concatenate([xp, xu]), np.concatenate([up - pn, un]) if down >= 0 else np.concatenate([pn, -un]))
+            _, grads = self.risk(parts, p[rng.integers(0, len(p), BATCH)], u[rng.integers(0, len(u), BATCH)])
             rate = 0.01 * min(1.0, 2 * (1 - step / (steps + 1)))
             for i, g in enumerate(grads):
                 g = g + 1e-4 * parts[i]
@@ -114,38 +140,73 @@ class Network:
 
     def score(self, x: np.ndarray) -> np.ndarray:
         if self.parts is None:
-            return np.full(len(x), self.prior)
-        return 1 / (1 + np.exp(-np.clip(self._raw(self.parts, self._standard(x)), -40, 40)))
-
-
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
-    """``docs``: (doc_id, t), ``labels``: (doc_id, quality), both only rows to learn from."""
-    spark = docs.sparkSession
-    marked = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    share = marked.agg(F.count_if(F.col("quality") == 1).alias("good"), F.count(F.lit(1)).alias("n")).first()
-    prior = (share["good"] + 1) / (share["n"] + 2)
-    draw = lambda df: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    ids = draw(marked.where("quality = 1")).withColumn("good", F.lit(True)).union(draw(docs.where("doc_id is not null")).withColumn("good", F.lit(False)))
-    roles = spark.createDataFrame(ids.toPandas(), "doc_id bigint, good boolean")
-    wanted = F.broadcast(roles.select("doc_id").distinct())  # at most 2 * sample ids
-    got = feature_rows(docs.join(wanted, "doc_id", "left_semi")).toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    rows = got.merge(roles.toPandas(), on="doc_id").sort_values(["good", "doc_id"])
-    net = Network(prior)
-    good, any_ = rows[rows.good], rows[~rows.good]
-    return net.fit(np.stack(good.x.to_numpy()), np.stack(any_.x.to_numpy())) if len(good) and len(any_) else net
-
-
-def score(docs: DataFrame, net: Network, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns and score, per row."""
-    source = docs.select(*keep, F.col(text).cast("binary").alias("_t"))
+            return np.full(len(x), 0.5)
+        return sigmoid(self._raw(self.parts, self._standard(x)))
+
+
+def prior_of(passed: np.ndarray, n_any: np.ndarray, total: int) -> float:
+    """The class prior from the shares of held-back positives and the counts of unlabelled rows above each cut, one of all cuts being below every score."""
+    ratio = n_any / max(1, total) / np.maximum(passed, 1e-9)
+    return float(np.clip(ratio[passed >= MOST].min(initial=1.0), 0.01, 0.99))
+
+
+def _above(rows: DataFrame, net: Network, cuts: np.ndarray) -> np.ndarray:
+    """How many rows (x) score above each cut: one row per task leaves it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(len(cuts), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                counts += (net.score(_matrix(batch.column(0)))[:, None] >= cuts).sum(0)
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(cuts)), pa.int32()), pa.array(counts)], names=["cut", "n"])
+
+    found = rows.select("x").mapInArrow(run, "cut int, n bigint").groupBy("cut").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(cuts), np.int64)
+    for r in found:
+        out[r["cut"]] = r["n"]
+    return out
+
+
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
+    """``rows``: (doc_id, x) of all documents to learn from, better written than derived, as they are read several times; ``labels``: (doc_id, quality) to learn from."""
+    spark = rows.sparkSession
+    good_ids = labels.where("doc_id is not null and quality = 1").select("doc_id").distinct()
+    sums = rows.agg(F.count("x").alias("n"), *[f(F.get("x", F.lit(i))).alias(f"{k}{i}") for i in range(NAMES) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    known = rows.where("doc_id is not null").select("doc_id")
+    roles = [smallest_hashes(d, sample).withColumn("good", F.lit(g)) for d, g in ((known.join(good_ids, "doc_id", "left_semi").distinct(), True), (known, False))]
+    chosen = spark.createDataFrame(roles[0].unionByName(roles[1]).distinct().toPandas(), "doc_id bigint, good boolean")
+    # at most 2 * sample rows of numbers
+    got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "x").toPandas().drop_duplicates(["doc_id", "good"]).sort_values("doc_id")
+    good, any_ = got[got.good], got[~got.good]
+    if not sums["n"] or not len(good) or not len(any_):
+        return Network(np.zeros(NAMES), np.ones(NAMES), None)
+    # rounded, as sums of doubles depend on their order in the last digits
+    mean, scale = (np.round([sums[f"{k}{i}"] for i in range(NAMES)], 6) for k in "ms")
+    good, any_ = np.stack(good.x.to_numpy()), np.stack(any_.x.to_numpy())
+    half = np.arange(len(good)) % 2 == 0
+    if half.all():
+        prior = 0.5
+    else:
+        first = Network(mean, scale + 1e-3, None).fit(good[half], any_, steps=STEPS // 3)
+        told = first.score(good[~half])
+        cuts = np.append(np.quantile(told, np.linspace(0, 1 - MOST, CUTS)), 0.0)
+        prior = prior_of((told[:, None] >= cuts).mean(0), _above(rows, first, cuts), sums["n"])
+    return Network(mean, scale + 1e-3, prior).fit(good, any_)
+
+
+def score(rows: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns and score, per row of features ``x``."""
+    source = rows.select(*keep, "x")
     fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
-    sent = docs.sparkSession.sparkContext.broadcast(net)
+    sent = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                x = np.stack([features(t) for t in batch.column(batch.num_columns - 1).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sent.value.score(x))], names=[*batch.schema.names[:-1], "score"])
+        for batch in batches:
+            scores = sent.value.score(_matrix(batch.column(batch.num_columns - 1))) if batch.num_rows else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
 
     return source.mapInArrow(run, f"{fields}score double")

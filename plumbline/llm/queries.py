@@ -13,7 +13,7 @@ from plumbline.llm.mixing import mix_sources
 from plumbline.llm.neighbours import nearest_neighbours
 from plumbline.llm.quality_rules import quality_rules
 from plumbline.llm.suffix_dedup import repeated_spans
-from plumbline.llm.text import held_out, table
+from plumbline.llm.text import held_out, materialise, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,8 +40,9 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", held_out(F.col("doc_id"), 3, 1))
     labels = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"), 3, 1))
-    net = pu_quality.train(docs.where("not held_out").select("doc_id", F.col("text").cast("binary").alias("t")), labels.select("doc_id", "quality"))
-    return pu_quality.score(docs, net, keep=("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    rows = materialise(pu_quality.featured(docs, keep=("doc_id", "held_out")))
+    net = pu_quality.train(rows.where("not held_out").select("doc_id", "x"), labels.select("doc_id", "quality"))
+    return pu_quality.score(rows, net, keep=("doc_id", "held_out")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

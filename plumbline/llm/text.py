@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +51,9 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
 
 
+_scratch: list[list[DataFrame]] = []
+
+
 def materialise(df: DataFrame, codec: str = "snappy") -> DataFrame:
     """Cut the lineage: write the rows to the shared folder and read them back."""
     spark = df.sparkSession
@@ -57,9 +61,37 @@ def materialise(df: DataFrame, codec: str = "snappy") -> DataFrame:
     df.write.option("compression", codec).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._written_to = path
+    for held in _scratch[-1:]:
+        held.append(back)
     return back
 
 
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What ``materialise`` writes inside goes at the end, but for rows that the yielded function has written; those are kept."""
+    _scratch.append([])
+
+    def kept(df: DataFrame) -> DataFrame:
+        back = materialise(df)
+        _scratch[-1][:] = [x for x in _scratch[-1] if x is not back]
+        return back
+
+    try:
+        yield kept
+    finally:
+        for df in _scratch.pop():
+            discard(df)
+
+
+def smallest_hashes(ids: DataFrame, sample: int) -> DataFrame:
+    """The ``sample`` rows (doc_id, ...) of the smallest id hashes. Rows far beyond them are left out before any are ordered, so that few more than ``sample`` meet in one task."""
+    n, top = ids.count(), 1 << 40
+    some = ids.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(top)))
+    if n > sample:
+        some = some.where(F.col("_hash") < int(top * min(1.0, (1.2 * sample + 200) / n)))
+    return some.orderBy("_hash", "doc_id").limit(sample).drop("_hash")
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``materialise`` wrote, once nothing reads it any more."""
     sc = df.sparkSession.sparkContext

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import discard, materialise, one_thread
+from plumbline.llm.text import discard, materialise, one_thread, smallest_hashes
 
 SAMPLE, CHI, LEAST, NEAREST = 20_000, 20.0, 3, 15
 BOOST, HEAD, BATCH = 4.0, 256, 100
@@ -221,7 +221,7 @@ def terms_of(text: str | None) -> Counter:
 def train(docs: DataFrame, every: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     """``docs``: (doc_id, text) to learn from, ``labels``: (doc_id, toxic) to learn from, ``every``: (text) of all documents, for document frequencies."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    roles = docs.sparkSession.createDataFrame(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).toPandas(), "doc_id bigint, toxic int")
+    roles = docs.sparkSession.createDataFrame(smallest_hashes(marked, sample).toPandas(), "doc_id bigint, toxic int")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
