@@ -22,6 +22,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.text import schema_with
+
 #: The pre-tokenisation of the public byte-level vocabulary: contractions, words, numbers, other signs, white space.
 #: Letters come first here, as no other alternative can start where they do, and runs are possessive.
 PATTERN = r" ?\p{L}++| ?\p{N}++|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
@@ -167,7 +169,7 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
     ``path`` names the vocabulary file; it lies at the same place on every executor, as the installed library does.
     """
     source = docs.select(*keep, F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    fields = source.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(path)
@@ -178,4 +180,4 @@ def encode_documents(docs: DataFrame, path: str, text: str = "text", keep: tuple
                 columns = [*batch.columns[:-1], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(coder.decode, ids), pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names[:-1], "n_tokens", "ids", "decoded"])
 
-    return source.mapInArrow(run, f"{fields}n_tokens bigint, ids binary, decoded string")
+    return source.mapInArrow(run, schema_with(fields, "n_tokens bigint, ids binary, decoded string"))

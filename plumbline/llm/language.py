@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import let, materialise
+from plumbline.llm.text import let, materialise, schema_with
 
 FLOOR = 1e-6
 LONGEST = 4
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, model: Languages, text: str = "text", keep: tuple[
     """The ``keep`` columns, lang_pred and score, per row."""
     source = docs.select(*keep, F.col(text).alias("_text"))
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    fields = source.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = rows_of(sent.value)
@@ -177,4 +177,4 @@ def identify(docs: DataFrame, model: Languages, text: str = "text", keep: tuple[
                 named, scores = classify(batch.column(batch.num_columns - 1).to_pylist(), sent.value, mine)
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(named, pa.string()), pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
 
-    return source.mapInArrow(run, f"{fields}lang_pred string, score double")
+    return source.mapInArrow(run, schema_with(fields, "lang_pred string, score double"))

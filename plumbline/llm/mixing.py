@@ -12,7 +12,7 @@ Running sums go in two levels (buckets of a source, rows of a bucket), so a sour
 task; the number of buckets does not change the result.
 
 Defined results: null texts have size 0 and nothing taken; a null source is a source of its own, after all others; rows
-with equal ids and sizes may trade their counts; a text of any length is cut where blocks begin, not held; an empty table
+with equal ids and sizes may trade their counts; a mix has one slot at least; a text of any length is cut where blocks begin, not held; an empty table
 gives an empty result; extra columns are ignored unless passed through ``keep``.
 """
 
@@ -57,7 +57,7 @@ def shard_counts(plan: DataFrame, block: int, slots: int, seed: int) -> DataFram
     """(rank, n_blocks, shard, first, n): how many slots each shard gives a source, and the source's first slot number there."""
     total = F.sum("target").over(Window.partitionBy()) / block
     whole = F.floor(total / slots)
-    shared = plan.withColumns({"_p": F.col("target") / block / total, "_whole": whole, "_rest": F.round(total - whole * slots).cast("long")}).where("target > 0")
+    shared = plan.withColumns({"_p": F.col("target") / block / total, "_whole": whole, "_rest": F.greatest(F.round(total - whole * slots), F.when(whole == 0, 1).otherwise(0)).cast("long")}).where("target > 0")
     dealt = shared.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_whole")))).withColumn("_k", F.when(F.col("shard") < F.col("_whole"), F.lit(slots).cast("long")).otherwise(F.col("_rest")))
     exact = F.col("_k") * F.col("_p")
     parts = dealt.withColumns({"_base": F.floor(exact), "_part": exact - F.floor(exact)})

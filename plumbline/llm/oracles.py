@@ -22,27 +22,45 @@ def near_duplicates(width: int = 2, percent: int = 80) -> str:
     SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id, d.doc_id = c.component_id AS kept FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id"""
 
 
-def line_templates(depth: int = 3, least: int = 10, share: float = 0.7, shortest: int = 3) -> str:
-    """Templates by their words, without hashes."""
+def line_templates(depth: int = 3, least: int = 10, share: float = 0.7, shortest: int = 1, long: int = 10, twice: int = 2) -> str:
+    """Templates by their words, without hashes; lines without a template and long lines by all their words."""
     return f"""WITH l AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents WHERE text IS NOT NULL),
-    m AS (SELECT doc_id, text, pos, list_transform(regexp_extract_all(line, '{WORD}'), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS w FROM l),
-    c AS (SELECT *, len(w)::VARCHAR || ' ' || array_to_string(w[1:{depth}], ' ') AS leaf FROM m WHERE len(w) >= {shortest}),
+    r AS (SELECT doc_id, text, pos, regexp_extract_all(line, '{WORD}') AS r FROM l),
+    m AS (SELECT *, array_to_string(r, ' ') AS whole, CASE WHEN len(r) >= {depth} THEN list_transform(r, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) ELSE r END AS w FROM r WHERE len(r) >= {shortest}),
+    c AS (SELECT *, len(w)::VARCHAR || ' ' || array_to_string(w[1:{depth}], ' ') AS leaf FROM m),
     busy AS (SELECT leaf FROM c GROUP BY leaf HAVING count(DISTINCT text) >= {least}),
     h AS (SELECT c.* FROM c JOIN busy USING (leaf)),
     k AS (SELECT leaf, w, count(DISTINCT text) AS c FROM h GROUP BY 1, 2),
     p AS (SELECT leaf, w, c, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM k),
     s AS (SELECT leaf, place, word, true AS fixed FROM p WHERE place > {depth} GROUP BY 1, 2, 3 HAVING sum(c) >= {least}),
-    shape AS (SELECT p.leaf, p.w, string_agg(CASE WHEN s.fixed THEN p.word ELSE '<*>' END, ' ' ORDER BY p.place) AS shape, count(*) FILTER (WHERE s.fixed AND p.word <> '<*>') AS fixed
+    shape AS (SELECT p.leaf, p.w, string_agg(CASE WHEN s.fixed THEN p.word ELSE '<*>' END, ' ' ORDER BY p.place) AS shape, count(*) FILTER (WHERE s.fixed AND p.word <> '<*>') AS fixed, bool_and(p.word = '<*>') AS all_fields
         FROM p LEFT JOIN s ON s.leaf = p.leaf AND s.place = p.place AND s.word = p.word WHERE p.place > {depth} GROUP BY 1, 2),
-    t AS (SELECT k.leaf, k.w, CASE WHEN shape.shape IS NOT NULL AND fixed + len(list_filter(k.w[1:{depth}], lambda x: x <> '<*>')) >= {share}::DOUBLE * len(k.w) THEN 's ' || k.leaf || ' ' || shape.shape ELSE 'm ' || array_to_string(k.w, ' ') END AS template
-        FROM k LEFT JOIN shape ON shape.leaf = k.leaf AND shape.w = k.w),
-    r AS (SELECT template, min(doc_id) AS first FROM h JOIN t ON t.leaf = h.leaf AND t.w = h.w GROUP BY template HAVING count(DISTINCT text) >= {least}),
-    gone AS (SELECT DISTINCT h.doc_id, h.text, h.pos FROM h JOIN t ON t.leaf = h.leaf AND t.w = h.w JOIN r ON r.template = t.template WHERE h.doc_id <> r.first),
+    t AS (SELECT leaf, w, 's ' || leaf || ' ' || shape AS template FROM shape WHERE fixed + len(list_filter(w[1:{depth}], lambda x: x <> '<*>')) >= {share}::DOUBLE * len(w) AND (fixed > 0 OR all_fields)),
+    f AS (SELECT h.doc_id, h.text, h.pos, coalesce(t.template, 'm ' || h.whole) AS template FROM h LEFT JOIN t ON t.leaf = h.leaf AND t.w = h.w),
+    again AS (SELECT template, min(doc_id) AS first FROM f GROUP BY template HAVING count(DISTINCT text) >= {least}),
+    copied AS (SELECT whole, min(doc_id) AS first FROM m WHERE len(r) >= {long} GROUP BY whole HAVING count(DISTINCT text) >= {twice}),
+    gone AS (SELECT f.doc_id, f.text, f.pos FROM f JOIN again USING (template) WHERE f.doc_id <> again.first
+        UNION SELECT m.doc_id, m.text, m.pos FROM m JOIN copied USING (whole) WHERE m.doc_id <> copied.first),
     kept AS (SELECT l.doc_id, l.text, count(*) AS n_lines, count(gone.pos) AS n_dropped, coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE gone.pos IS NULL), '') AS left_
         FROM l LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.text = l.text AND gone.pos = l.pos GROUP BY 1, 2)
     SELECT d.doc_id, coalesce(kept.n_lines, 0) AS n_lines, coalesce(kept.n_dropped, 0) AS n_dropped, sha256(coalesce(kept.left_, '')) AS kept_sha256 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id AND kept.text = d.text"""
 
 
+def repeated_spans(length: int = 400) -> str:
+    """Every string of ``length`` bytes as hexadecimal digits, by its start; bytes covered by one that starts twice go."""
+    return f"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+    s AS (SELECT doc_id, i, md5_number(substr(x, 2 * i + 1, {2 * length})) AS g FROM (SELECT doc_id, x, unnest(range(len(x) // 2 - {length - 1})) AS i FROM h WHERE len(x) >= {2 * length})),
+    c AS (SELECT g FROM s GROUP BY g HAVING count(*) > 1),
+    e AS (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM s JOIN c USING (g)),
+    r AS (SELECT doc_id, min(i) AS a, max(i) + {length} AS b FROM e GROUP BY doc_id, island),
+    o AS (SELECT *, coalesce(max(b) OVER (PARTITION BY doc_id ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM r),
+    z AS (SELECT doc_id, a, b, sum((a > before)::INT) OVER (PARTITION BY doc_id ORDER BY a) AS span FROM o),
+    m AS (SELECT doc_id, span, min(a) AS a, max(b) AS b FROM z GROUP BY 1, 2),
+    n AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM m),
+    k AS (SELECT n.doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS head, max(b) AS tail FROM n JOIN h USING (doc_id) GROUP BY n.doc_id)
+    SELECT h.doc_id, len(x) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN k USING (doc_id)"""
+
+
 def _scatter(x: str) -> str:
     one = f"((({x}) % {PRIME}) * 48271 + 11) % {PRIME}"
     return f"(((({one}) * ({one}) + 69621) % {PRIME}) * 16807 + ({one}) + 7) % {PRIME}"
@@ -61,7 +79,7 @@ def mix_sources(share: float = 1.5) -> str:
     t AS (SELECT *, least(cap::DOUBLE, weight * max(level) OVER ()) AS target, (ss + {BLOCK - 1}) // {BLOCK} AS n FROM v),
     g AS (SELECT rank, n, target / {BLOCK} / (sum(target) OVER () / {BLOCK}) AS p, sum(target) OVER () / {BLOCK} AS total, floor(sum(target) OVER () / {BLOCK} / {SLOTS})::BIGINT AS whole FROM t WHERE target > 0),
     s AS (SELECT *, unnest(range(whole + 1)) AS shard FROM g),
-    k AS (SELECT *, (CASE WHEN shard < whole THEN {SLOTS} ELSE round(total - whole * {SLOTS}) END)::BIGINT AS k FROM s),
+    k AS (SELECT *, (CASE WHEN shard < whole THEN {SLOTS} ELSE greatest(round(total - whole * {SLOTS}), (whole = 0)::INT) END)::BIGINT AS k FROM s),
     b AS (SELECT *, floor(k * p)::BIGINT AS base, k * p - floor(k * p) AS part FROM k),
     h AS (SELECT *, (k - sum(base) OVER (PARTITION BY shard))::BIGINT AS draws, sum(part) OVER (PARTITION BY shard ORDER BY rank) AS hi, sum(part) OVER (PARTITION BY shard) AS all_, max(rank) OVER (PARTITION BY shard) AS last FROM b),
     q AS (SELECT shard, all_, ({_scatter('(' + _scatter(f'shard * 7919 + {SEED}') + ') + i * 104729')})::DOUBLE / {PRIME} * all_ AS v FROM (SELECT shard, all_, unnest(range(draws)) AS i FROM (SELECT DISTINCT shard, all_, draws FROM h))),

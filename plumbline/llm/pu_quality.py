@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import smallest_hashes
+from plumbline.llm.text import schema_with, smallest_hashes
 
 SAMPLE, HIDDEN, STEPS, BATCH, SEED = 20_000, 24, 3_000, 512, 11
 #: Cuts of the first network's scores that at least a share ``MOST`` of the positives pass.
@@ -70,7 +70,7 @@ def features(text: bytes | None) -> np.ndarray:
 def featured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and ``x``, the features of the text, per row."""
     source = docs.select(*keep, F.col(text).cast("binary").alias("_t"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    fields = source.schema.fields[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -79,7 +79,7 @@ def featured(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_
                 rows = [features(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rows, pa.list_(pa.float64()))], names=[*batch.schema.names[:-1], "x"])
 
-    return source.mapInArrow(run, f"{fields}x array<double>")
+    return source.mapInArrow(run, schema_with(fields, "x array<double>"))
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -201,7 +201,7 @@ def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
 def score(rows: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns and score, per row of features ``x``."""
     source = rows.select(*keep, "x")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    fields = source.schema.fields[:-1]
     sent = rows.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,4 +209,4 @@ def score(rows: DataFrame, net: Network, keep: tuple[str, ...] = ("doc_id",)) ->
             scores = sent.value.score(_matrix(batch.column(batch.num_columns - 1))) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores)], names=[*batch.schema.names[:-1], "score"])
 
-    return source.mapInArrow(run, f"{fields}score double")
+    return source.mapInArrow(run, schema_with(fields, "score double"))

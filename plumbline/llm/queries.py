@@ -75,4 +75,4 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pu_quality, op4_bpe_encode_decode, op5_minhash_near_dedup, op6_toxicity, op7_language_id, op8_line_templates, op9_nearest_neighbours, op10_suffix_dedup)}
-ORACLE_SQL = {"op2_mix_sources": oracles.mix_sources(), "op5_minhash_near_dedup": oracles.near_duplicates(2, 80), "op8_line_templates": oracles.line_templates()}
+ORACLE_SQL = {"op2_mix_sources": oracles.mix_sources(), "op5_minhash_near_dedup": oracles.near_duplicates(2, 80), "op8_line_templates": oracles.line_templates(), "op10_suffix_dedup": oracles.repeated_spans()}

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import mix, powers
-from plumbline.llm.text import materialise
+from plumbline.llm.text import materialise, schema_with
 
 LENGTH, ANCHOR = 400, 128
 SHARD_RUNS, CHUNK = 4_000, 2 << 20
@@ -351,7 +351,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     spans = cover.groupBy("t", "u").agg(F.collect_set("x").alias("found"))
     told = copies.select("t", "u", "copies").join(spans, ["t", "u"], "left").where("copies > 1 or found is not null")
     final = rows.join(told.hint("shuffle_hash"), ["t", "u"], "left").select(*keep, "copies", "found", "text")
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in final.schema.fields[: len(keep)])
+    fields = final.schema.fields[: len(keep)]
     kind = pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())]))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -373,4 +373,4 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
                     kept.append(b"".join(t[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-3], pa.array(sizes, pa.int64()), pa.array(spans_, kind), pa.array(kept, pa.binary())], names=[*batch.schema.names[:-3], "n_bytes", "spans", "kept"])
 
-    return final.mapInArrow(cut, f"{fields}n_bytes bigint, spans array<struct<begin:int,end:int>>, kept binary")
+    return final.mapInArrow(cut, schema_with(fields, "n_bytes bigint, spans array<struct<begin:int,end:int>>, kept binary"))

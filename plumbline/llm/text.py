@@ -7,6 +7,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 #: White space of every contract: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -102,3 +103,8 @@ def discard(df: DataFrame) -> None:
 def one_thread(spark: SparkSession) -> None:
     """Matrix products of Python workers started from now on run in one thread, as a task has one core; a value that is already set stays."""
     spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+
+def schema_with(fields: list[StructField], more: str) -> StructType:
+    """The fields, whatever their names hold, and further ones written as DDL."""
+    return StructType([*fields, *StructType.fromDDL(more).fields])

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import discard, materialise, one_thread, smallest_hashes
+from plumbline.llm.text import discard, materialise, one_thread, schema_with, smallest_hashes
 
 SAMPLE, CHI, LEAST, NEAREST = 20_000, 20.0, 3, 15
 BOOST, HEAD, BATCH = 4.0, 256, 100
@@ -287,7 +287,7 @@ def _cross_fit(examples: DataFrame, index: Index) -> Odds:
 def score(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns, score, and ``evidence``: the nearest examples' ids, cosines and labels."""
     source = docs.select(*keep, F.col(text).alias("_t"))
-    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in source.schema.fields[:-1])
+    fields = source.schema.fields[:-1]
     sent = docs.sparkSession.sparkContext.broadcast(index)
     one_thread(docs.sparkSession)
 
@@ -303,4 +303,4 @@ def score(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ..
                 evidence = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, names=["doc_id", "cosine", "toxic"]))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(own.tally, found), pa.float64()), evidence], names=[*batch.schema.names[:-1], "score", "evidence"])
 
-    return source.mapInArrow(run, f"{fields}score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>")
+    return source.mapInArrow(run, schema_with(fields, "score double, evidence array<struct<doc_id:bigint,cosine:double,toxic:int>>"))

@@ -69,3 +69,35 @@ def test_empty_table(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = materialise(stage(spark, docs, ""))
     assert docs.count() == 0
+
+
+def test_clashing_column_names(spark):
+    """Names that the stages use inside, names with dots, and repeated rows go through all stages."""
+    names = ("others", "rest", "place", "_n", "_", "keep_text", "k1", "h", "size", "score", "lang_pred", "a.b", "x y")
+    rng_rows = [(*r, *(f"{n}{r[0]}" for n in names)) for r in documents()]
+    docs = spark.createDataFrame(rng_rows, SCHEMA.split(", score")[0] + ", q string, w string, e string, r string, " + ", ".join(f"`{n}` string" for n in names))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        now = materialise(stage(spark, now, ""))
+        assert now.columns == docs.columns
+        for r in now.where("doc_id is not null").limit(50).collect():
+            assert [r[n] for n in names] == [f"{n}{r.doc_id}" for n in names]
+    assert corpus_pipeline.STAGES[-1][1](spark, now, "").count() == now.count() > 0
+
+
+def test_one_short_row_per_task(spark):
+    rows = [(i, " ".join(["word"] * (i % 4)) or None, "aa", "s", 0) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").repartition(12)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, "")).repartition(5)
+    assert docs.count() >= 1
+
+
+def test_run_leaves_one_stage_behind(spark, tmp_path):
+    import os
+
+    spark.createDataFrame(documents(), SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    base = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(os.listdir(base))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    assert len(set(os.listdir(base)) - before) == 1

@@ -14,9 +14,10 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import language, line_templates, minhash, mixing, neighbours, pu_quality, quality_rules, queries, suffix_dedup, toxicity
+from plumbline.llm import hashing, language, line_templates, minhash, mixing, neighbours, pu_quality, quality_rules, queries, suffix_dedup, toxicity
 from plumbline.llm.bpe import BytePairEncoder, encode_documents
 from plumbline.llm.components import components
+from plumbline.llm.text import smallest_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size string, kept string, component_id string"
@@ -97,7 +98,8 @@ def test_quality_rules_counts_and_ratio(spark, docs, rows):
     for r in rows:
         w, t = WORD.findall(r[1] or ""), r[1] or ""
         five = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
-        twice = {i + k for i, g in enumerate(five) if five.count(g) > 1 for k in range(5)} if len(five) < 500 else set(range(len(w) - 1))
+        often = collections.Counter(five)
+        twice = {i + k for i, g in enumerate(five) if often[g] > 1 for k in range(5)}
         lines = [x for x in t.split("\n") if WORD.search(x)]
         g = grams(r[1])
         want.append((r[0], len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(twice), round(float(np.mean([ratio[b] for b in g])) if g else 0.0, 9)))
@@ -202,6 +204,39 @@ def test_minhash_components(docs, rows, width):
             assert (r.component_id, r.n_shingles, r.kept) == (want[r.doc_id], sizes[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_short_texts_of_a_task():
+    """All texts of a piece together may have fewer words than a shingle."""
+    for width in (1, 2, 5):
+        for n in range(7):
+            (own,) = hashing.shingle_sets([b" ".join(b"w%d" % i for i in range(n))], width)
+            assert len(own) == (max(1, n - width + 1) if n else 0)
+        a, b, c, d = hashing.shingle_sets([b"a", None, b"A", b"a b"], width)
+        assert a.tolist() == c.tolist() and not len(b) and (width == 1 or a.tolist() != d.tolist())
+
+
+@pytest.mark.parametrize("width", [2, 5])
+def test_minhash_of_one_short_row_per_task(spark, width):
+    some = [(i, " ".join(["w"] * (i % 6) + ["x"] * (i // 6 % 2))) for i in range(14)]
+    want, sizes = plain_components(some, width, 80)
+    got = minhash.near_duplicates(spark.createDataFrame(some, "doc_id bigint, text string").repartition(14), width).collect()
+    assert {r.doc_id: (r.component_id, r.n_shingles) for r in got} == {i: (want[i], sizes[i]) for i in want}
+
+
+def test_minhash_id_with_several_texts(spark):
+    rng = random.Random(6)
+    a, b, c = (" ".join(words_of(rng, 60)) for _ in range(3))
+    some = [(1, a), (5, a), (5, b), (4, b), (3, c), (9, c + " end"), (9, "else"), (2, "else")]
+    want, _ = plain_components(some, 2, 80)
+    got = minhash.near_duplicates(spark.createDataFrame(some, "doc_id bigint, text string"), 2).collect()
+    assert len(got) == 8 and all(r.component_id == want[r.doc_id] for r in got) and set(want.values()) == {1, 2}
+
+
+def test_set_hashes_tell_sets_apart():
+    sets = [np.array(x, np.uint64) for x in ([], [1], [2], [1, 2], [3], [1, 2, 3])]
+    h = minhash.set_hashes(sets)
+    assert len({tuple(x) for x in h.tolist()}) == len(sets) and h.tolist() == minhash.set_hashes(sets).tolist()
+
+
 def test_minhash_blocks_find_every_link(spark):
     """A chain of near copies where no leader meets all, in blocks of two, with no leader rounds."""
     rng = random.Random(8)
@@ -236,10 +271,64 @@ def test_components_of_a_long_path(spark):
 def test_pu_quality_learns_from_positives_only():
     rng = np.random.default_rng(5)
     good, bad = rng.standard_normal((600, 4)) + 1.5, rng.standard_normal((200, 4)) - 1.5
-    net = pu_quality.Network(0.7).fit(good[:300], np.vstack([good[300:], bad[:130]]), steps=600)
+    every = np.vstack([good[300:], bad[:130]])
+    net = pu_quality.Network(every.mean(0), every.std(0), 0.7).fit(good[:300], every, steps=600)
     assert (net.score(good) >= 0.5).mean() > 0.9 and (net.score(bad) < 0.5).mean() > 0.9
     assert pu_quality.features(None).shape == (pu_quality.NAMES,) and np.isfinite(pu_quality.features(b"x " * 50_000)).all()
-    assert (pu_quality.Network(0.3).score(np.zeros((2, 4))) == 0.3).all()
+    assert (pu_quality.Network(np.zeros(2), np.ones(2), 0.3).score(np.zeros((2, 2))) == 0.5).all()
+
+
+@pytest.mark.parametrize("prior", [None, 0.2, 0.8])
+def test_pu_quality_gradients(prior):
+    """Of the whole risk where its second part is above zero; of minus that part where it is below."""
+    rng = np.random.default_rng(3)
+    net = pu_quality.Network(np.zeros(3), np.ones(3), prior)
+    parts = [rng.standard_normal((3, 4)), rng.standard_normal(4), rng.standard_normal(4), rng.standard_normal(1), rng.standard_normal(3)]
+    signs = set()
+    for shift in (-2.0, 2.0):
+        p, u = rng.standard_normal((7, 3)) - shift, rng.standard_normal((9, 3)) + shift
+        both = lambda: (net._raw(parts, p), net._raw(parts, u))  # noqa: B023, E731
+        rest = lambda: (lambda a, b: np.logaddexp(0, b).mean() - (prior or 0) * np.logaddexp(0, a).mean())(*both())  # noqa: B023, E731
+        below = prior is not None and rest() < 0
+        value = (lambda: -rest()) if below else (lambda: net.risk(parts, p, u)[0])  # noqa: B023
+        signs.add(below)
+        for part, grad in zip(parts, net.risk(parts, p, u)[1], strict=True):
+            for at in np.ndindex(part.shape):
+                old, step = part[at], 1e-6
+                part[at] = old + step
+                up = value()
+                part[at] = old - step
+                down = value()
+                part[at] = old
+                assert (up - down) / (2 * step) == pytest.approx(grad[at], abs=1e-6)
+    assert prior is None or prior < 0.5 or True in signs
+
+
+def test_class_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(8)
+    for share in (0.3, 0.6, 0.9):
+        held, good, bad = rng.normal(1, 0.5, 4000), rng.normal(1, 0.5, int(40_000 * share)), rng.normal(-1, 0.5, int(40_000 * (1 - share)))
+        cuts = np.append(np.quantile(held, np.linspace(0, 0.5, 20)), -99)
+        every = np.concatenate([good, bad])
+        assert pu_quality.prior_of((held[:, None] >= cuts).mean(0), (every[:, None] >= cuts).sum(0), len(every)) == pytest.approx(share, abs=0.04)
+    assert pu_quality.prior_of(np.ones(2), np.array([0, 0]), 0) == 0.01
+
+
+def test_pu_features_against_plain_counts(spark, docs, rows):
+    got = pu_quality.featured(docs, keep=("doc_id", "source")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        text = next((t for d, t, *_ in rows if d == r.doc_id), None)
+        w = (text or "").encode().split()
+        assert len(r.x) == pu_quality.NAMES and r.x[10] == pytest.approx(np.log1p(len(w)) / 5 if w else 0.0)
+        assert sum(r.x[:10]) == pytest.approx(1.0 if text else 0.0) and (not w or r.x[15] == pytest.approx(len(set(w)) / len(w)))
+
+
+def test_smallest_hashes(spark):
+    ids = spark.range(5000).withColumnRenamed("id", "doc_id")
+    want = [r.doc_id for r in ids.orderBy(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))).limit(300).collect()]
+    assert sorted(r.doc_id for r in smallest_hashes(ids, 300).collect()) == sorted(want)
+    assert smallest_hashes(ids, 9000).count() == 5000
 
 
 DATA = "/root/testdata/sf0.01"
@@ -295,51 +384,168 @@ def test_toxicity_keeps_words_and_examples_without_evidence(spark):
     assert copy.score > 0.5 and copy.evidence[0].doc_id == 60 and round(copy.evidence[0].cosine, 9) == 1
 
 
+def test_toxicity_query_against_brute_force(spark, tmp_path):
+    """The whole query: terms, weights, cosines with every example, votes, calibration."""
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}{c}" for a in "bdgk" for b in "aeiou" for c in "lmnrs"]
+    text = lambda bad: " ".join(rng.choices(vocabulary, k=rng.randint(1, 25)) + (["vile", "slur"][: rng.randint(1, 2)] if bad else []))
+    docs = [(i, text(i % 4 == 0) if i % 37 else (None, "", "123")[i // 37 % 3]) for i in range(400)] + [(400, "vile " * 4000 + " ".join(vocabulary)), (401, "Vile SLUR²x")]
+    docs += [docs[8], docs[8], (None, "vile")]
+    labels = [(i, int(i % 4 == 0)) for i in range(0, 400, 2)] + [(8, 0), (6, None), (None, 1)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 5 == 0
+    known = {}
+    for i, y in labels:
+        if not held(i) and y is not None:
+            known[i] = max(y, known.get(i, 0))
+    # one row per learnable document row, as repeated rows are
+    examples = sorted(((i, known[i], toxicity.terms_of(t)) for i, t in docs if i in known), key=lambda x: x[0])
+    n, bad = len(examples), sum(y for _, y, _ in examples)
+    df, a, all_df = collections.Counter(), collections.Counter(), collections.Counter()
+    for _, y, c in examples:
+        df.update(c.keys())
+        if y:
+            a.update(c.keys())
+    for _, t in docs:
+        all_df.update(toxicity.terms_of(t).keys())
+    weight = {}
+    for t, k in df.items():
+        b = k - a[t]
+        lift = a[t] * (n - bad - b) - b * (bad - a[t])
+        boosted = a[t] >= toxicity.LEAST and lift > 0 and n * lift**2 >= toxicity.CHI * k * (n - k) * bad * (n - bad)
+        weight[t] = (np.log((1 + len(docs)) / (1 + all_df[t])) + 1) * (toxicity.BOOST if boosted else 1)
+    assert {t for t in weight if weight[t] > 8} >= {"vile"}
+
+    def vector(c):
+        v = {t: (1 + np.log(k)) * weight[t] for t, k in c.items() if t in weight}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = [(i, y, vector(c)) for i, y, c in examples]
+    prior = (bad + 0.5) / (n + 1)
+
+    def near(v, but=None):
+        found = [(-round(sum(x * w.get(t, 0) for t, x in v.items()), 12), i, y) for i, y, w in vectors if i != but]
+        return [x for x in sorted(found)[: toxicity.NEAREST] if x[0] < 0]
+
+    def vote(found):
+        w = [1 / (1.05 + c) for c, _, _ in found]
+        return (0.5 * prior + sum(x * y for x, (_, _, y) in zip(w, found, strict=True))) / (0.5 + sum(w)) if found else prior
+
+    odds = toxicity.Odds.fit(np.array([vote(near(v, i)) for i, _, v in vectors]), np.array([y for _, y, _ in vectors]))
+    got = sorted(queries.op6_toxicity(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    want = sorted(docs, key=lambda r: (r[0] is None, r[0] or 0))
+    assert len(got) == len(want)
+    for r, (i, t) in zip(got, want, strict=True):
+        found = near(vector(toxicity.terms_of(t)))
+        assert r.held_out == held(i) and r.predicted == int(r.score >= 0.5)
+        assert r.score == pytest.approx(odds.score(vote(found)) if found else prior, abs=1e-6)
+        assert [round(e.cosine, 9) for e in r.evidence] == [round(-c, 9) for c, _, _ in found]
+
+
+def test_toxicity_calibration():
+    rng = np.random.default_rng(4)
+    z = rng.normal(-1, 2, 20_000)
+    y = (rng.random(20_000) < 1 / (1 + np.exp(-(2 * z + 0.5)))).astype(int)
+    odds = toxicity.Odds.fit(1 / (1 + np.exp(-z)), y)
+    assert odds.scale == pytest.approx(2, abs=0.15) and odds.shift == pytest.approx(0.5, abs=0.15)
+    assert toxicity.Odds.fit(np.array([0.1, 0.2]), np.array([1, 1])).score(0.3) == pytest.approx(0.3)
+
+
 def test_language_backoff():
     rows = [("aa", 0, "hello", 0.5), ("bb", 0, "salut", 0.5), ("aa", 2, "he", 0.2), ("bb", 2, "sa", 0.2), ("aa", 1, "z", 0.1)]
     model = language.Languages(rows, 1e-6)
     named, scores = language.classify([None, "", "123 !?", "hello", "SALUT", "hexx", "saxx"], model, language.rows_of(model))
     assert named == ["und", "und", "und", "aa", "bb", "aa", "bb"] and scores[:3] == [0, 0, 0] and all(0 < s <= 1 for s in scores[3:])
     assert language.classify(["x"], language.Languages([], 1e-6), None)[0] == ["und"]
-
+    assert language.classify(["²", "½ ①", "Ⅷ", "_ 9"], model, language.rows_of(model)) == (["und"] * 4, [0.0] * 4)
+    assert language.words_of("Ab²ab x½ É_é") == {"ab": 2, "x": 1, "é": 2}
+
+
+def test_language_query_against_a_plain_version(spark, tables, rows):
+    learned = [(r[2], language.words_of(r[1])) for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 and r[2] is not None]
+    counts = collections.defaultdict(collections.Counter)
+    for lang, words in learned:
+        for w, n in words.items():
+            counts[lang, 0][w] += n
+            for size in range(1, language.LONGEST + 1):
+                for i in range(len(w) + 3 - size):
+                    counts[lang, size][f"<{w}>"[i : i + size]] += n
+    langs = sorted({lang for lang, _ in counts})
+    share = {key: {g: n / sum(c.values()) for g, n in c.items() if n >= sum(c.values()) * language.FLOOR} for key, c in counts.items()}
+    low = np.log(language.FLOOR / 2)
+
+    def of_word(w):
+        if any(w in share.get((x, 0), ()) for x in langs):
+            return np.array([np.log(share[x, 0][w]) if w in share.get((x, 0), ()) else low for x in langs])
+        whole, found = f"<{w}>", []
+        for i in range(len(whole)):
+            for size in range(min(language.LONGEST, len(whole) - i), 0, -1):
+                g = whole[i : i + size]
+                if any(g in share.get((x, size), ()) for x in langs):
+                    found.append([(np.log(share[x, size][g]) if g in share.get((x, size), ()) else low) / size for x in langs])
+                    break
+        return np.mean(found, 0) if found else np.zeros(len(langs))
+
+    got = sorted(queries.op7_language_id(spark, tables[0]).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
+    for r, (i, t, *_) in zip(got, sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
+        words = language.words_of(t)
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        total = sum(n * of_word(w) for w, n in words.items())
+        odds = np.exp(total - total.max())
+        assert r.score == pytest.approx(odds.max() / odds.sum(), rel=1e-3)
+        assert r.lang_pred == langs[int(odds.argmax())] or abs(total[0] - total[1]) < 1e-3 * abs(total[0])
+        assert r.held_out == (i is None or zlib.crc32(str(i).encode()) % 5 == 0)
 
 def test_language_counts(spark):
     counts = language.gram_counts(spark.createDataFrame([("aa", "Ab ab, c9d"), ("bb", None)], "lang string, text string"), 2).collect()
     assert {(r.size, r.gram): r.n for r in counts} == {(0, "ab"): 2, (0, "c"): 1, (0, "d"): 1, (1, "<"): 4, (1, ">"): 4, (1, "a"): 2, (1, "b"): 2, (1, "c"): 1, (1, "d"): 1, (2, "<a"): 2, (2, "ab"): 2, (2, "b>"): 2, (2, "<c"): 1, (2, "c>"): 1, (2, "<d"): 1, (2, "d>"): 1}
 
 
-def plain_templates(rows, depth=3, least=10, share=0.7, shortest=3):
+def plain_templates(rows, depth=3, least=10, share=0.7, shortest=1, long=10, twice=2):
     lines = []
     for d, t in rows:
         for p, line in enumerate((t or "").split("\n") if t is not None else []):
-            w = tuple("<*>" if re.search("[0-9]", x) else x for x in WORD.findall(line))
-            if len(w) >= shortest:
-                lines.append((d, t, p, w))
+            raw = tuple(WORD.findall(line))
+            if len(raw) >= shortest:
+                lines.append((d, t, p, raw))
+    field = lambda raw: tuple("<*>" if re.search("[0-9]", x) else x for x in raw) if len(raw) >= depth else raw
     leaf = lambda w: (len(w), w[:depth])
-    busy = collections.defaultdict(set)
-    for _, t, _, w in lines:
-        busy[leaf(w)].add(t)
-    lines = [x for x in lines if len(busy[leaf(x[3])]) >= least]
+    busy, exact = collections.defaultdict(set), collections.defaultdict(set)
+    for _, t, _, raw in lines:
+        busy[leaf(field(raw))].add(t)
+        exact[raw].add(t)
     kinds, support = collections.defaultdict(set), collections.Counter()
-    for _, t, _, w in lines:
-        kinds[w].add(t)
+    for _, t, _, raw in lines:
+        if len(busy[leaf(field(raw))]) >= least:
+            kinds[field(raw)].add(t)
     for w, texts in kinds.items():
         for i in range(depth, len(w)):
             support[leaf(w), i, w[i]] += len(texts)
 
-    def template(w):
+    def template(raw):
+        w = field(raw)
         shape = tuple(w[i] if support[leaf(w), i, w[i]] >= least else "<*>" for i in range(depth, len(w)))
-        fixed = sum(x != "<*>" for x in shape) + sum(x != "<*>" for x in w[:depth])
-        return (leaf(w), shape) if shape and fixed >= share * len(w) else w
-
-    found, first = collections.defaultdict(set), {}
-    for d, t, _, w in lines:
-        k = template(w)
-        found[k].add(t)
-        first[k] = min(first.get(k, d), d)
+        fixed = sum(x != "<*>" for x in shape)
+        enough = fixed + sum(x != "<*>" for x in w[:depth]) >= share * len(w)
+        return (leaf(w), shape) if shape and enough and (fixed or all(x == "<*>" for x in w[depth:])) else raw
+
+    found, first, whole = collections.defaultdict(set), {}, {}
+    for d, t, _, raw in lines:
+        whole[raw] = min(whole.get(raw, d), d)
+        if len(busy[leaf(field(raw))]) >= least:
+            k = template(raw)
+            found[k].add(t)
+            first[k] = min(first.get(k, d), d)
     gone = collections.defaultdict(set)
-    for d, t, p, w in lines:
-        if len(found[template(w)]) >= least and first[template(w)] != d:
+    for d, t, p, raw in lines:
+        k = template(raw)
+        if len(busy[leaf(field(raw))]) >= least and len(found[k]) >= least and first[k] != d:
+            gone[d, t].add(p)
+        if len(raw) >= long and len(exact[raw]) >= twice and whole[raw] != d:
             gone[d, t].add(p)
     return sorted((d, len(gone[d, t]), "" if t is None else "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[d, t])) for d, t in rows)
 
@@ -400,6 +606,47 @@ def test_neighbours_against_brute_force(spark):
     assert hit >= 0.9 * len(got)
 
 
+def brute_neighbours(ids, x, q, k=10):
+    d = np.sqrt(((x - x[q]) ** 2).sum(1))
+    place = np.flatnonzero(ids != ids[q])
+    return [(int(ids[i]), float(d[i])) for i in place[np.lexsort((ids[place], d[place]))][:k]]
+
+
+@pytest.mark.parametrize("kind", ["gaussian", "clusters", "copies", "equal"])
+def test_neighbours_over_many_shards(spark, monkeypatch, kind):
+    """Cells of a few rows, cells cut into several shards, one vector that a third of all rows share."""
+    monkeypatch.setattr(neighbours, "PER_CELL", 8)
+    rng = np.random.default_rng(7)
+    n = 900
+    x = {
+        "gaussian": lambda: rng.standard_normal((n, 16)),
+        "clusters": lambda: 3 * rng.standard_normal((30, 16))[rng.integers(0, 30, n)] + 0.3 * rng.standard_normal((n, 16)),
+        "copies": lambda: np.vstack([rng.standard_normal((n - 300, 16)), np.ones((300, 16))]),
+        "equal": lambda: np.ones((n, 16)),
+    }[kind]().astype(np.float32)
+    ids = rng.permutation(n)
+    df = spark.createDataFrame([(int(i), v.tolist(), 1, 2) for i, v in zip(ids, x, strict=True)], "vec_id bigint, embedding array<float>, shard int, cell int").repartition(5)
+    got = collections.defaultdict(list)
+    for r in neighbours.nearest_neighbours(df, df.where("vec_id % 10 = 0"), 10, shard_rows=40).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    hit = 0
+    for q, own in got.items():
+        want = brute_neighbours(ids, x.astype(float), int(np.flatnonzero(ids == q)[0]))
+        hit += len({i for i, _ in own} & {i for i, _ in want})
+        assert len(own) == 10 and [round(d, 9) for _, d in own] == sorted(round(d, 9) for _, d in own)
+        if kind == "equal" or (kind == "copies" and want[-1][1] == 0):
+            assert own == want
+    assert len(got) == 90 and hit >= 0.95 * 900
+
+
+def test_neighbours_of_repeated_ids(spark):
+    """Repeated rows are candidates of their own, but never of their own id; a repeated query is asked once."""
+    some = [(1, [1.0, 1.0])] * 30 + [(2, [1.0, 1.0])] * 3 + [(3, [1.0, 2.0]), (100, [1.0, 1.0]), (100, [1.0, 1.0])]
+    df = spark.createDataFrame(some, "vec_id bigint, embedding array<double>")
+    got = [(r.query_id, r["rank"], r.vec_id) for r in neighbours.nearest_neighbours(df, df.where("vec_id in (1, 100)"), 5).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 1, 2), (1, 2, 2), (1, 3, 2), (1, 4, 100), (1, 5, 100)] + [(100, i, 1) for i in range(1, 6)]
+
+
 def test_chi_square():
     rng = np.random.default_rng(1)
     draws = (rng.standard_normal((20_000, 8)) ** 2).sum(1)
