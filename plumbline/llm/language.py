@@ -20,24 +20,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import let, materialise, schema_with
+from plumbline.llm.text import let, letter_words, materialise, schema_with
 
 FLOOR = 1e-6
 LONGEST = 4
 ROWS = 300_000
 ENTRIES = 200_000
-LETTERS = regex.compile(r"\p{L}+")
-
-
-def words_of(text: str | None) -> Counter:
-    """Counts of a text's words, in lower case: runs of letters, that is of category L. Learning and scoring both use it."""
-    return Counter(LETTERS.findall((text or "").lower()))
-
-
 def word_counts(texts: DataFrame) -> DataFrame:
     """(lang, gram, n) of rows (lang, text): words counted inside each task before they are shuffled."""
 
@@ -51,7 +42,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for lang, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                held.setdefault(lang, Counter()).update(words_of(text))
+                held.setdefault(lang, Counter()).update(letter_words(text))
             if sum(map(len, held.values())) > ENTRIES:
                 yield flushed()
         yield flushed()
@@ -125,7 +116,7 @@ class Rows(dict):
 def classify(texts: list[str | None], model: Languages, rows: Rows) -> tuple[list[str], list[float]]:
     named, scores = [], []
     for t in texts:
-        words = words_of(t)
+        words = letter_words(t)
         if not words or not model.langs:
             named.append("und")
             scores.append(0.0)

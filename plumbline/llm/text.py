@@ -1,10 +1,12 @@
-"""Word splitting and small shared helpers; everything here is a DataFrame expression."""
+"""Word splitting and small shared helpers."""
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
@@ -21,6 +23,20 @@ def word_array(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANK_RUN))
 
 
+LETTERS = regex.compile(r"\p{L}+")
+_NO_SIGNS = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+
+
+def letter_words(text: str | None) -> Counter:
+    """Counts of a text's runs of letters (category L), in lower case."""
+    words = Counter((text or "").lower().encode().translate(_NO_SIGNS).decode().split())
+    for w in [w for w in words if not w.isalpha()]:  # signs and numbers beyond ASCII
+        n = words.pop(w)
+        for part in LETTERS.findall(w):
+            words[part] += n
+    return words
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once per row, however often the body names it (lambdas repeat what they name)."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

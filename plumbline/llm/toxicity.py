@@ -25,10 +25,10 @@ unless passed through ``keep``, whose names must not be score or evidence.
 from __future__ import annotations
 
 import pickle
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.text import discard, materialise, one_thread, schema_with, smallest_hashes
+from plumbline.llm.text import discard, letter_words, materialise, one_thread, schema_with, smallest_hashes
 
-SAMPLE, CHI, LEAST, NEAREST = 20_000, 20.0, 3, 15
+SAMPLE, CHI, LEAST, NEAREST = 5_000, 20.0, 3, 15
 BOOST, HEAD, BATCH = 4.0, 256, 100
 BLOCK, FIRST, CLUSTERS = 64, 8, 32
-LETTERS = re.compile(r"[^\W\d_]+")
 
 
 class Index:
@@ -92,7 +91,8 @@ class Index:
         self.ids, self.labels = self.ids[line], self.labels[line]
         where = np.empty(n, np.int32)
         where[line] = np.arange(n, dtype=np.int32)
-        self.at, self.w, self.cut = where[at[first:]], w[first:].copy(), ends - first
+        self.short = where[at[first:]] + 1j * w[first:]  # places and weights in one array, so that a list is one slice
+        self.cut = ends - first
         self.blocks = -(-n // BLOCK)
         rows = np.zeros((self.blocks * BLOCK, self.head))
         rows[:n] = dense[line]
@@ -101,9 +101,12 @@ class Index:
 
     def encode(self, counts: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and weights of the terms that the index knows, as a unit vector."""
-        known = sorted((n, c) for t, c in counts.items() if (n := self.number.get(t)) is not None)
-        i = np.array([n for n, _ in known], np.int32)
-        v = (1 + np.log(np.array([c for _, c in known], float))) * self.weight[i]
+        i = np.fromiter(map(self.number.get, counts, repeat(-1)), np.int32, len(counts))
+        n = np.fromiter(counts.values(), np.float64, len(counts))[i >= 0]
+        i = i[i >= 0]
+        order = np.argsort(i)
+        i = i[order]
+        v = (1 + np.log(n[order])) * self.weight[i]
         norm = np.sqrt(v @ v)
         return (i, v / norm) if norm > 0 else (i[:0], v[:0])
 
@@ -121,10 +124,10 @@ class Index:
             far = i >= self.head
             asked[r, i[~far]] = v[~far]
             a, b = self.cut[i[far]], self.cut[i[far] + 1]
-            parts = [slice(x, y) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+            parts = [self.short[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)]
             if parts:
-                at, w = np.concatenate([self.at[p] for p in parts]), np.concatenate([self.w[p] for p in parts])
-                got[r] = np.bincount(at, w * np.repeat(v[far], b - a), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
+                met = np.concatenate(parts)
+                got[r] = np.bincount(met.real.astype(np.int64), met.imag * np.repeat(v[far], b - a), self.blocks * BLOCK).reshape(self.blocks, BLOCK)
         bound = got.max(2) + asked @ self.most
 
         def opened(live: np.ndarray) -> None:
@@ -132,7 +135,8 @@ class Index:
                 r = np.flatnonzero(live[:, b])
                 got[r, b] += asked[r] @ self.long[b]
 
-        best = np.argsort(-bound, axis=1, kind="stable")[:, : max(FIRST, -(-k // BLOCK))]
+        first = min(self.blocks, max(FIRST, -(-k // BLOCK)))
+        best = np.argpartition(bound, self.blocks - first, axis=1)[:, self.blocks - first :]
         live = np.zeros(bound.shape, bool)
         np.put_along_axis(live, best, True, 1)
         opened(live)
@@ -180,7 +184,7 @@ class Odds:
         """Newton steps with a small ridge towards (1, 0); one class alone leaves the votes as they are."""
         if len(np.unique(labels)) < 2:
             return cls()
-        z, y, ridge = cls.of(votes), labels.astype(float), 1e-2
+        z, y, ridge = cls.of(votes), labels.astype(float), 1.0
         now = np.array([1.0, 0.0])
         loss = lambda t: np.logaddexp(0, -(2 * y - 1) * (t[0] * z + t[1])).sum() + 0.5 * ridge * ((t - [1, 0]) ** 2).sum()
         for _ in range(50):
@@ -213,11 +217,6 @@ def _clustered(rows: np.ndarray, rounds: int = 4) -> np.ndarray:
     return np.argsort(near, kind="stable")
 
 
-def terms_of(text: str | None) -> Counter:
-    """Counts of the lower-cased words."""
-    return Counter(LETTERS.findall((text or "").lower()))
-
-
 def train(docs: DataFrame, every: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Index:
     """``docs``: (doc_id, text) to learn from, ``labels``: (doc_id, toxic) to learn from, ``every``: (text) of all documents, for document frequencies."""
     marked = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -225,7 +224,7 @@ def train(docs: DataFrame, every: DataFrame, labels: DataFrame, sample: int = SA
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = [list(terms_of(t).items()) for t in batch.column(2).to_pylist()]
+            counts = [list(letter_words(t).items()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.map_(pa.string(), pa.int32()))], names=["doc_id", "toxic", "counts"])
 
     mine = docs.select("doc_id", "text").join(F.broadcast(roles), "doc_id").select("doc_id", "toxic", "text").mapInArrow(terms, "doc_id bigint, toxic int, counts map<string,int>")
@@ -250,7 +249,7 @@ def train(docs: DataFrame, every: DataFrame, labels: DataFrame, sample: int = SA
             for at in range(0, batch.num_rows, 500):
                 for t in batch.column(0).slice(at, 500).to_pylist():
                     rows += 1
-                    seen.update(vocabulary.intersection(terms_of(t)))
+                    seen.update(vocabulary.intersection(letter_words(t)))
         yield pa.RecordBatch.from_arrays([pa.array([None, *seen], pa.string()), pa.array([rows, *seen.values()], pa.int64())], names=["term", "df"])
 
     counted = every.select("text").mapInArrow(present, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df")).toArrow()
@@ -296,7 +295,7 @@ def score(docs: DataFrame, index: Index, text: str = "text", keep: tuple[str, ..
         for whole in batches:
             for at in range(0, whole.num_rows, BATCH):
                 batch = whole.slice(at, BATCH)
-                found = own.search([own.encode(terms_of(t)) for t in batch.column(batch.num_columns - 1).to_pylist()])
+                found = own.search([own.encode(letter_words(t)) for t in batch.column(batch.num_columns - 1).to_pylist()])
                 flat = [x for near in found for x in near]
                 parts = [pa.array([x[1] for x in flat], pa.int64()), pa.array([x[0] for x in flat], pa.float64()), pa.array([x[2] for x in flat], pa.int32())]
                 ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import hashing, language, line_templates, minhash, mixing, neighbours, pu_quality, quality_rules, queries, suffix_dedup, toxicity
 from plumbline.llm.bpe import BytePairEncoder, encode_documents
 from plumbline.llm.components import components
-from plumbline.llm.text import smallest_hashes
+from plumbline.llm.text import letter_words, smallest_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string, size string, kept string, component_id string"
@@ -379,7 +379,7 @@ def test_toxicity_keeps_words_and_examples_without_evidence(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
     index = toxicity.train(docs.select("doc_id", "text"), docs.select("text"), docs.select("doc_id", "toxic"))
     index = pickle.loads(pickle.dumps(index))
-    assert len(index.ids) == len(rows) and {w for _, t, _ in rows for w in toxicity.terms_of(t)} == set(index.number)
+    assert len(index.ids) == len(rows) and {w for _, t, _ in rows for w in letter_words(t)} == set(index.number)
     copy = toxicity.score(spark.createDataFrame([(1, rows[60][1])], "doc_id bigint, text string"), index).first()
     assert copy.score > 0.5 and copy.evidence[0].doc_id == 60 and round(copy.evidence[0].cosine, 9) == 1
 
@@ -400,7 +400,7 @@ def test_toxicity_query_against_brute_force(spark, tmp_path):
         if not held(i) and y is not None:
             known[i] = max(y, known.get(i, 0))
     # one row per learnable document row, as repeated rows are
-    examples = sorted(((i, known[i], toxicity.terms_of(t)) for i, t in docs if i in known), key=lambda x: x[0])
+    examples = sorted(((i, known[i], letter_words(t)) for i, t in docs if i in known), key=lambda x: x[0])
     n, bad = len(examples), sum(y for _, y, _ in examples)
     df, a, all_df = collections.Counter(), collections.Counter(), collections.Counter()
     for _, y, c in examples:
@@ -408,7 +408,7 @@ def test_toxicity_query_against_brute_force(spark, tmp_path):
         if y:
             a.update(c.keys())
     for _, t in docs:
-        all_df.update(toxicity.terms_of(t).keys())
+        all_df.update(letter_words(t).keys())
     weight = {}
     for t, k in df.items():
         b = k - a[t]
@@ -438,7 +438,7 @@ def test_toxicity_query_against_brute_force(spark, tmp_path):
     want = sorted(docs, key=lambda r: (r[0] is None, r[0] or 0))
     assert len(got) == len(want)
     for r, (i, t) in zip(got, want, strict=True):
-        found = near(vector(toxicity.terms_of(t)))
+        found = near(vector(letter_words(t)))
         assert r.held_out == held(i) and r.predicted == int(r.score >= 0.5)
         assert r.score == pytest.approx(odds.score(vote(found)) if found else prior, abs=1e-6)
         assert [round(e.cosine, 9) for e in r.evidence] == [round(-c, 9) for c, _, _ in found]
@@ -460,11 +460,11 @@ def test_language_backoff():
     assert named == ["und", "und", "und", "aa", "bb", "aa", "bb"] and scores[:3] == [0, 0, 0] and all(0 < s <= 1 for s in scores[3:])
     assert language.classify(["x"], language.Languages([], 1e-6), None)[0] == ["und"]
     assert language.classify(["²", "½ ①", "Ⅷ", "_ 9"], model, language.rows_of(model)) == (["und"] * 4, [0.0] * 4)
-    assert language.words_of("Ab²ab x½ É_é") == {"ab": 2, "x": 1, "é": 2}
+    assert letter_words("Ab²ab x½ É_é") == {"ab": 2, "x": 1, "é": 2}
 
 
 def test_language_query_against_a_plain_version(spark, tables, rows):
-    learned = [(r[2], language.words_of(r[1])) for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 and r[2] is not None]
+    learned = [(r[2], letter_words(r[1])) for r in rows if r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 and r[2] is not None]
     counts = collections.defaultdict(collections.Counter)
     for lang, words in learned:
         for w, n in words.items():
@@ -490,7 +490,7 @@ def test_language_query_against_a_plain_version(spark, tables, rows):
 
     got = sorted(queries.op7_language_id(spark, tables[0]).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0))
     for r, (i, t, *_) in zip(got, sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)), strict=True):
-        words = language.words_of(t)
+        words = letter_words(t)
         if not words:
             assert (r.lang_pred, r.score) == ("und", 0.0)
             continue
