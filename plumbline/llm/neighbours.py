@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from plumbline.llm.text import materialise, one_thread
 
 DIMS, CONFIDENCE, LEAF, SEED = 8, 0.98, 48, 5
-SHARD_ROWS, SAMPLE, PER_CELL = 50_000, 200_000, 64
+SHARD_ROWS, SAMPLE, PER_CELL = 10_000, 200_000, 16
 
 
 def chi_square(x: float, dims: int) -> float:
@@ -230,7 +230,7 @@ def _searched(base: DataFrame, asked: DataFrame, plane: np.ndarray, k: int, conf
                         out += [(int(own[i]), x, d) for d, x in index.search(int(own[i]), vectors[i], confidence, reach[i])]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    dealt = both.repartition(shards, "shard").sortWithinPartitions("shard", "kind")
+    dealt = both.repartitionById(shards, "shard").sortWithinPartitions("shard", "kind")
     return dealt.mapInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
