@@ -48,3 +48,8 @@ def clean_paragraphs(x: Column) -> Column:
     """Non-blank lines; the whole text where there are none."""
     some = F.filter(F.split(x, "\n"), lambda p: F.trim(p) != "")
     return F.when(F.size(some) == 0, F.array(x)).otherwise(some)
+
+
+def displaced(prefix: Column, context: Column) -> Column:
+    """The context behind a prefix and a blank line; an empty prefix leaves it as it is."""
+    return F.when(prefix == "", context).otherwise(F.concat(prefix, F.lit("\n\n"), context))

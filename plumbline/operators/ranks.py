@@ -15,3 +15,17 @@ def numbered(df: DataFrame, keys: list[str], by: str, name: str, buckets: int =
     before = sizes.select(*keys, "_b", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).alias("_before"))
     inner = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(by)) - 1
     return rows.withColumn("_r", inner).join(before, [*keys, "_b"]).withColumn(name, (F.col("_before") + F.col("_r")).cast("long")).drop("_b", "_r", "_before")
+
+
+def count_upto(marks: DataFrame, asked: DataFrame, keys: list[str], by: str, name: str, width: int = 4096) -> DataFrame:
+    """Adds ``name`` to ``asked``: how many ``marks`` of the same keys have a whole number ``by`` of at most its own. Equal marks are counted first; running sums go over ranges of ``width`` and inside them."""
+    bucket = F.floor(F.col(by) / width).alias("_b")
+    counts = marks.groupBy(*keys, by).agg(F.count(F.lit(1)).alias("_c")).select("*", bucket)
+    sums = counts.groupBy(*keys, "_b").agg(F.sum("_c").alias("_n"))
+    ends = sums.select(*keys, "_b", "_n").unionByName(asked.select(*keys, bucket, F.lit(0).cast("long").alias("_n")).distinct())
+    before = ends.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n")).select(*keys, "_b", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).alias("_before"))
+    rest = [c for c in asked.columns if c not in (*keys, by)]
+    rows = asked.select("*", bucket, F.lit(0).cast("long").alias("_c"), F.lit(1).alias("_ask")).unionByName(counts.withColumn("_ask", F.lit(0)), allowMissingColumns=True)
+    upto = Window.partitionBy(*keys, "_b").orderBy(by, "_ask").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    run = rows.withColumn("_run", F.sum("_c").over(upto)).where("_ask = 1").join(before, [*keys, "_b"])
+    return run.select(*keys, by, *rest, (F.col("_before") + F.col("_run")).cast("long").alias(name))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.operators.ranks import numbered
+from plumbline.operators.lineage import written
+from plumbline.operators.ranks import count_upto, numbered
 
 
 def lcg(x: Column) -> Column:
@@ -14,36 +15,64 @@ def lcg(x: Column) -> Column:
 
 
 def donors(cases: DataFrame, key: str, source: str, split: str, k: str) -> DataFrame:
-    """(key, k, donor, donor_k, fallback). Eligible: another source, the same split, at least two and at least k windows.
+    """(key, k, donor, donor_k, fallback) of the cases with two windows or more. Eligible: another source, the same split, at least as many windows.
 
-    The draw is uniform over the eligible donors in the order of their ids, yet no pair is ever listed. A donor with k
-    windows stands in the lists of all thresholds up to k, one row per window. With r the draw, the answer is place
-    r + j of the case's list, where j counts the list's donors of the case's own source that have at most r others
-    before them: a running count over the source's own rows. Without an eligible donor the one with most windows of
-    another source serves; for that, two best sources per split suffice.
+    The draw is uniform over the eligible donors, yet no pair is ever listed. All are numbered once per split by falling
+    windows, then id, so those with at least k windows are the first n of them. With r the draw, the answer is place
+    r + j, where j counts the donors of the case's own source with at most r others before them. Without an eligible
+    donor the one with most windows of another source serves; for that, two best sources per split suffice. ``cases`` is
+    read several times: better written than derived.
     """
-    own = cases.select(F.col(key).alias("id"), F.col(source).alias("src"), F.col(split).alias("part"), F.col(k).alias("k")).withColumn("t", F.greatest(F.lit(2).cast("long"), F.col("k")))
-    lists = own.where("k >= 2").select("part", "src", "id", "k", F.explode(F.sequence(F.lit(2).cast("long"), F.col("k"))).alias("t"))
-    placed = numbered(numbered(lists, ["part", "t"], "id", "place"), ["part", "t", "src"], "id", "mine")
-    whole = lists.groupBy("part", "t").agg(F.count(F.lit(1)).alias("n"))
-    same = lists.groupBy("part", "t", "src").agg(F.count(F.lit(1)).alias("n_same"))
-    sized = own.join(whole, ["part", "t"], "left").join(same, ["part", "t", "src"], "left").withColumn("m", F.coalesce("n", F.lit(0)) - F.coalesce("n_same", F.lit(0)))
-    drawn = sized.where("m > 0").withColumn("r", lcg(F.col("id")) % F.col("m"))
-
-    marks = placed.select("part", "t", "src", (F.col("place") - F.col("mine")).alias("v"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("case"))
-    asked = drawn.select("part", "t", "src", F.col("r").alias("v"), F.lit(1).alias("kind"), F.col("id").cast("long").alias("case"))
-    upto = Window.partitionBy("part", "t", "src").orderBy("v", "kind").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    skipped = marks.unionByName(asked).withColumn("j", F.sum(1 - F.col("kind")).over(upto)).where("kind = 1").select(F.col("case").alias("id"), "j")
-    at = drawn.join(skipped, "id").withColumn("place", F.col("r") + F.col("j"))
-    found = at.select("part", "t", "place", "id", "k").join(placed.select("part", "t", "place", F.col("id").alias("donor"), F.col("k").alias("donor_k")), ["part", "t", "place"])
+    own = cases.select(F.col(key).alias("id"), F.col(source).alias("src"), F.col(split).alias("part"), F.col(k).alias("k")).where("k >= 2")
+
+    def longer(*keys: str) -> DataFrame:
+        """(keys, k, n, before): how many have at least, and more than, k windows."""
+        n = own.groupBy(*keys, "k").agg(F.count(F.lit(1)).alias("c"))
+        upto = F.sum("c").over(Window.partitionBy(*keys).orderBy(F.desc("k")))
+        return n.select(*keys, "k", upto.alias("n"), (upto - F.col("c")).alias("before"))
+
+    placed = numbered(numbered(own, ["part", "k"], "id", "place"), ["part", "src", "k"], "id", "mine")
+    same = longer("part", "src").withColumnsRenamed({"n": "n_same", "before": "before_same"})
+    placed = placed.join(longer("part"), ["part", "k"]).join(same, ["part", "src", "k"])
+    placed = placed.select("part", "src", "id", "k", (F.col("place") + F.col("before")).alias("place"), (F.col("mine") + F.col("before_same")).alias("mine"), (F.col("n") - F.col("n_same")).alias("m"))
+    placed = written(placed)
+    drawn = placed.where("m > 0").select("part", "src", "id", "k", (lcg(F.col("id")) % F.col("m")).cast("long").alias("v"))
+    at = count_upto(placed.select("part", "src", (F.col("place") - F.col("mine")).alias("v")), drawn, ["part", "src"], "v", "j").withColumn("place", F.col("v") + F.col("j"))
+    found = at.select("part", "place", "id", "k").join(placed.select("part", "place", F.col("id").alias("donor"), F.col("k").alias("donor_k")), ["part", "place"])
     picked = found.select(F.col("id").alias(key), F.col("k").alias(k), "donor", "donor_k", F.lit(False).alias("fallback"))
 
     most = own.groupBy("part", "src").agg(F.max(F.struct("k", "id")).alias("best"))
     two = most.groupBy("part").agg(F.max(F.struct("best", "src")).alias("first")).join(most, "part").groupBy("part", "first").agg(F.max(F.when(F.col("src") != F.col("first.src"), F.col("best"))).alias("second"))
-    left = sized.where("m <= 0").join(two, "part").withColumn("b", F.when(F.col("first.src") != F.col("src"), F.col("first.best")).otherwise(F.col("second"))).where("b is not null")
+    left = placed.where("m <= 0").join(two, "part").withColumn("b", F.when(F.col("first.src") != F.col("src"), F.col("first.best")).otherwise(F.col("second"))).where("b is not null")
     return picked.unionByName(left.select(F.col("id").alias(key), F.col("k").alias(k), F.col("b.id").alias("donor"), F.col("b.k").alias("donor_k"), F.lit(True).alias("fallback")))
 
 
+def prefix_donors(cases: DataFrame, pool: DataFrame, budget: int, chunk: int = 8) -> DataFrame:
+    """(id, place, donor, before, used): donors of another source of the same part in a seeded order until ``budget`` is reached, the last one cut.
+
+    ``cases``: (id, src, part); ``pool``: (id, src, part, size), both better written than derived. The pool of a part is
+    put in one seeded order, and each case reads it round from a place of its own. Rounds fetch ``chunk`` places per open
+    case, then four times as many, until all are full or have read the whole pool, so no pair is listed beyond need.
+    """
+    order = (F.col("id") * 7919) % 1_000_003 * 2_147_483_648 + F.col("id")
+    ring = written(numbered(pool.withColumn("_order", order), ["part"], "_order", "at").select("part", "at", F.col("id").alias("donor"), F.col("src").alias("donor_src"), "size"))
+    sizes = pool.groupBy("part").agg(F.count(F.lit(1)).alias("n"))  # a row per part
+    open_ = cases.join(sizes, "part").select("id", "src", "part", "n", (lcg(F.col("id")) % F.col("n")).cast("long").alias("from"), F.lit(0).cast("long").alias("got"), F.lit(0).cast("long").alias("read"))
+    out = None
+    while True:
+        each = open_.withColumn("place", F.explode(F.sequence("read", F.least(F.col("read") + chunk, F.col("n")) - 1)))
+        met = each.withColumn("at", (F.col("from") + F.col("place")) % F.col("n")).join(ring, ["part", "at"]).where("src <> donor_src")
+        run = F.sum("size").over(Window.partitionBy("id").orderBy("place")) - F.col("size") + F.col("got")
+        taken = written(met.withColumn("before", run).where(F.col("before") < budget).select("id", "place", "donor", "before", F.least("size", budget - F.col("before")).cast("long").alias("used")))
+        out = taken if out is None else out.unionByName(taken)
+        more = taken.groupBy("id").agg(F.sum("used").alias("more"))
+        open_ = open_.join(more, "id", "left").select("id", "src", "part", "n", "from", (F.col("got") + F.coalesce("more", F.lit(0))).alias("got"), (F.col("read") + chunk).alias("read"))
+        open_ = written(open_.where((F.col("got") < budget) & (F.col("read") < F.col("n"))))
+        if open_.isEmpty():
+            return out
+        chunk *= 4
+
+
 def hash_order(seed: int, *columns: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in columns]))
 

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+BLANKS = np.array([32, 9, 10, 11, 12, 13], np.uint32)
 
 
 def tokens(text: Column) -> Column:
@@ -25,9 +31,26 @@ def windows(df: DataFrame, n: str, width: int = 1800, overlap: int = 256) -> Dat
     return each.withColumns({"start": start, "end": F.least(start + width, F.col(n))})
 
 
+@pandas_udf(StructType([StructField(n, ArrayType(IntegerType())) for n in ("starts", "ends")]))
+def offsets(text: pd.Series) -> pd.DataFrame:
+    """Half-open places of the default tokenizer's tokens, in code points; NULL has none. Each text is one pass over an array of its code points."""
+    starts, ends = [], []
+    for t in text:
+        word = ~np.isin(np.frombuffer((t or "").encode("utf-32-le"), np.uint32), BLANKS)
+        edge = np.diff(np.concatenate([[0], word.astype(np.int8), [0]]))
+        starts.append(np.flatnonzero(edge == 1).astype(np.int32))
+        ends.append(np.flatnonzero(edge == -1).astype(np.int32))
+    return pd.DataFrame({"starts": starts, "ends": ends})
+
+
 def kept_context(text: Column, ends: Column, width: int) -> Column:
     """The text up to the end of token ``width``; the whole text where there are fewer. ``ends``: end offsets of tokens."""
-    return F.when(F.size(ends) >= width, F.substring(text, F.lit(1), F.get(ends, width - 1))).otherwise(text)
+    return F.when(F.size(ends) >= width, F.substring(text, F.lit(1), F.get(ends, F.lit(width - 1)))).otherwise(text)
+
+
+def first_tokens(text: Column, ends: Column, n: Column) -> Column:
+    """The text up to the end of its ``n``-th token."""
+    return F.substring(text, F.lit(1), F.get(ends, (n - 1).cast("int")))
 
 
 def points_in_spans(points: DataFrame, spans: DataFrame, key: str, point: str, start: str, end: str) -> DataFrame:

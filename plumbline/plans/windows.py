@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from plumbline.functions import scalar
 from plumbline.functions.scalar import rounded
 from plumbline.operators import bins
-from plumbline.operators.sampling import donors
-from plumbline.operators.tokens import n_windows, overlapping, points_in_spans, prefix_until, tokens, windows
+from plumbline.operators.lineage import written
+from plumbline.operators.sampling import donors, prefix_donors
+from plumbline.operators.tokens import first_tokens, n_windows, offsets, overlapping, points_in_spans, tokens, windows
 from plumbline.plans.registry import query, table
 
 TOKENS = r"len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'))"
@@ -96,22 +98,23 @@ def span_overlap_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlapping(spans, marks, "doc_id").groupBy("doc_id", F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n_met"), F.bool_or("bad").alias("bad"))
 
 
-DONORS = f"""{WORDS}, c AS (SELECT doc_id, source, doc_id % 2 AS split, CASE WHEN n <= 512 THEN 1 ELSE 1 + ceil((n - 512) / 384.0) END::BIGINT AS k FROM w WHERE n > 0),
-    e AS (SELECT a.doc_id, a.k, b.doc_id AS donor, b.k AS donor_k, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id) - 1 AS r, count(*) OVER (PARTITION BY a.doc_id) AS m
-    FROM c a JOIN c b ON a.split = b.split AND a.source <> b.source AND b.k >= 2 AND b.k >= a.k),
+DONORS = f"""{WORDS}, c AS (SELECT doc_id, source, doc_id % 2 AS split, CASE WHEN n <= 512 THEN 1 ELSE 1 + ceil((n - 512) / 384.0) END::BIGINT AS k FROM w WHERE n > 512),
+    e AS (SELECT a.doc_id, a.k, b.doc_id AS donor, b.k AS donor_k, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.k DESC, b.doc_id) - 1 AS r, count(*) OVER (PARTITION BY a.doc_id) AS m
+    FROM c a JOIN c b ON a.split = b.split AND a.source <> b.source AND b.k >= a.k),
     p AS (SELECT doc_id, k, donor, donor_k, false AS fallback FROM e WHERE r = ((doc_id * 1103515245 + 12345) % 2147483648 // 65536) % m),
     f AS (SELECT a.doc_id, a.k, max(struct_pack(k := b.k, i := b.doc_id)) AS t FROM c a JOIN c b ON a.split = b.split AND a.source <> b.source WHERE a.doc_id NOT IN (SELECT doc_id FROM e) GROUP BY 1, 2),
     picked AS (SELECT * FROM p UNION ALL SELECT doc_id, k, t.i, t.k, true FROM f)"""
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases with tokens, their split and number of windows; tokens are counted once."""
     own = counted(spark, sf_dir).where("n > 0")
-    return own.select("doc_id", "source", (F.col("doc_id") % 2).alias("split"), n_windows(F.col("n"), 512, 128).alias("k"))
+    return written(own.select("doc_id", "source", (F.col("doc_id") % 2).alias("split"), n_windows(F.col("n"), 512, 128).alias("k")))
 
 
 @query(f"WITH {DONORS} SELECT * FROM picked")
 def donor_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A seeded donor of another source, the same split and enough windows; else the one with most windows."""
+    """For each case of two windows or more a seeded donor of another source, the same split and enough windows; else the one with most windows."""
     return donors(cases(spark, sf_dir), "doc_id", "source", "split", "k")
 
 
@@ -125,29 +128,75 @@ def donor_rule_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("source") == F.col("source_b")).alias("same_source"), F.count_if(F.col("split") != F.col("split_b")).alias("other_split"), F.count_if(~F.col("fallback") & (F.col("donor_k") < F.col("k"))).alias("too_few"), F.count_if("fallback").alias("fallbacks"))
 
 
-@query(f"""WITH {DONORS} SELECT doc_id, win, CASE WHEN win = 0 OR donor_k < 2 THEN doc_id ELSE donor END AS from_doc, CASE WHEN win = 0 OR donor_k < 2 THEN win ELSE 1 + (win - 1) % (donor_k - 1) END AS from_win
-    FROM (SELECT *, unnest(range(k)) AS win FROM picked)""")
-def placebo_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Window 1 is the case's own; the others come from its donor, in turn."""
-    picked = donors(cases(spark, sf_dir), "doc_id", "source", "split", "k")
+def read_windows(picked: DataFrame) -> DataFrame:
+    """(doc_id, win, from_doc, from_win): window 1 is the case's own; the others are its donor's from the second on, in turn."""
     each = picked.withColumn("win", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
-    own = (F.col("win") == 0) | (F.col("donor_k") < 2)
+    own = F.col("win") == 0
     turn = 1 + F.try_mod(F.col("win") - 1, F.col("donor_k") - 1)
     return each.select("doc_id", "win", F.when(own, F.col("doc_id")).otherwise(F.col("donor")).alias("from_doc"), F.when(own, F.col("win")).otherwise(turn).alias("from_win"))
 
 
-@query(f"""WITH {WORDS}, c AS (SELECT doc_id, source, doc_id % 2 AS split, n FROM w WHERE n > 0 AND n <= 600),
-    r AS (SELECT a.doc_id, b.doc_id AS donor, b.n, coalesce(sum(b.n) OVER (PARTITION BY a.doc_id ORDER BY (b.doc_id * 7919 + a.doc_id * 104729) % 1000003, b.doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
-    FROM c a JOIN c b ON a.split = b.split AND a.source <> b.source)
-    SELECT doc_id, donor, before, least(n, 1808 - before) AS used FROM r WHERE before < 1808""")
+@query(f"""WITH {DONORS} SELECT doc_id, win, CASE WHEN win = 0 THEN doc_id ELSE donor END AS from_doc, CASE WHEN win = 0 THEN win ELSE 1 + (win - 1) % (donor_k - 1) END AS from_win
+    FROM (SELECT *, unnest(range(k)) AS win FROM picked)""")
+def placebo_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_windows(donors(cases(spark, sf_dir), "doc_id", "source", "split", "k"))
+
+
+BUDGET = 1808
+DISPLACED = f"""{WORDS}, c AS (SELECT doc_id, source, doc_id % 2 AS split, n, text FROM w WHERE n > 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY doc_id * 7919 % 1000003, doc_id) - 1 AS at, count(*) OVER (PARTITION BY split) AS m FROM c),
+    q AS (SELECT a.doc_id, b.doc_id AS donor, b.n, b.text, (b.at - ((a.doc_id * 1103515245 + 12345) % 2147483648 // 65536) % a.m + a.m) % a.m AS place FROM o a JOIN o b ON a.split = b.split AND a.source <> b.source WHERE a.n <= 1800),
+    r AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before FROM q),
+    u AS (SELECT doc_id, place, donor, before, least(n, {BUDGET} - before) AS used, text FROM r WHERE before < {BUDGET})"""
+
+
+def displaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases whose context fits one window of 1800 tokens with their prefix donors, which may be of any size."""
+    every = written(counted(spark, sf_dir).where("n > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("src"), (F.col("doc_id") % 2).alias("part"), F.col("n").alias("size")))
+    return prefix_donors(every.where("size <= 1800").drop("size"), every, BUDGET).withColumnRenamed("id", "doc_id")
+
+
+@query(f"WITH {DISPLACED} SELECT doc_id, donor, before, used FROM u")
 def displaced_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contexts of other sources in a seeded order until a token budget; the last is cut at the budget. Cases that fit one window of 1800 are displaced; donors are of any size."""
-    every = counted(spark, sf_dir).where("n > 0").select("doc_id", "source", (F.col("doc_id") % 2).alias("split"), "n")
-    own = every.where("n <= 1800")
-    pool = every.select(F.col("doc_id").alias("donor"), F.col("source").alias("source_b"), "split", F.col("n").alias("size"))
-    pairs = own.join(pool, "split").where("source <> source_b")
-    drawn = pairs.withColumn("draw", (F.col("donor") * 7919 + F.col("doc_id") * 104_729) % 1_000_003)
-    return prefix_until(drawn, ["doc_id"], ["draw", "donor"], "size", 1808).select("doc_id", "donor", "before", "used")
+    """Contexts of other sources in a seeded order until a token budget; the last is cut at the budget."""
+    return displaced(spark, sf_dir).select("doc_id", "donor", "before", "used")
+
+
+@query(f"""WITH {DISPLACED}, x AS (SELECT doc_id, place, before + used AS upto, CASE WHEN before + used < {BUDGET} THEN text ELSE array_to_string(list_slice(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+'), 1, CASE WHEN regexp_matches(text, '^[ \t\n\x0B\f\r]') THEN 2 * used ELSE 2 * used - 1 END), '') END AS part FROM u),
+    t AS (SELECT doc_id, count(*) AS n_donors, max(upto) AS n_prefix, string_agg(part, chr(10) || chr(10) ORDER BY place) AS prefix FROM x GROUP BY doc_id)
+    SELECT t.doc_id, n_donors, n_prefix, n_prefix = {BUDGET} AS enough, length(prefix) AS n_chars, md5(prefix || chr(10) || chr(10) || c.text) AS digest FROM t JOIN c ON c.doc_id = t.doc_id""")
+def displaced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The displaced contexts: the donors' texts joined by blank lines, cut at the end of the last token of the budget, a blank line, the own text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    taken = displaced(spark, sf_dir).join(docs.withColumnRenamed("doc_id", "donor"), "donor")
+    upto = F.col("before") + F.col("used")
+    part = F.when(upto < BUDGET, F.col("text")).otherwise(first_tokens(F.col("text"), offsets("text")["ends"], F.col("used")))
+    parts = taken.select("doc_id", "place", upto.alias("upto"), part.alias("part")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_donors"), F.max("upto").alias("n_prefix"), F.sort_array(F.collect_list(F.struct("place", "part"))).alias("p"))
+    prefix = parts.withColumn("prefix", F.array_join("p.part", "\n\n")).join(docs, "doc_id")
+    return prefix.select("doc_id", "n_donors", "n_prefix", (F.col("n_prefix") == BUDGET).alias("enough"), F.length("prefix").cast("long").alias("n_chars"), F.md5(F.concat("prefix", F.lit("\n\n"), "text")).alias("digest"))
+
+
+@query(f"""WITH {DISPLACED}, t AS (SELECT u.doc_id, sum(used) AS n, bool_and(a.source <> b.source AND a.split = b.split) AS fine FROM u JOIN c a ON a.doc_id = u.doc_id JOIN c b ON b.doc_id = u.donor GROUP BY u.doc_id)
+    SELECT count(*) AS n_cases, sum((t.n = {BUDGET})::INT)::BIGINT AS n_full, sum((least(1800, t.n + w.n) <= t.n)::INT)::BIGINT AS window1_before, sum(fine::INT)::BIGINT AS donors_ok FROM t JOIN w USING (doc_id)""")
+def displacement_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Window 1 of a displaced context ends before the original begins, the prefix has its budget, donors keep the rule."""
+    own = written(counted(spark, sf_dir).where("n > 0").select("doc_id", "source", (F.col("doc_id") % 2).alias("split"), "n"))
+    taken = displaced(spark, sf_dir)
+    other = own.select(F.col("doc_id").alias("donor"), F.col("source").alias("source_b"), F.col("split").alias("split_b"))
+    both = taken.join(own, "doc_id").join(other, "donor")
+    each = both.groupBy("doc_id", F.col("n").alias("own")).agg(F.sum("used").alias("n"), F.bool_and((F.col("source") != F.col("source_b")) & (F.col("split") == F.col("split_b"))).alias("fine"))
+    return each.agg(F.count(F.lit(1)).alias("n_cases"), F.count_if(F.col("n") == BUDGET).alias("n_full"), F.count_if(F.least(F.lit(1800), F.col("n") + F.col("own")) <= F.col("n")).alias("window1_before"), F.count_if("fine").alias("donors_ok"))
+
+
+@query(f"""WITH {WORDS}, c AS (SELECT doc_id, CASE WHEN n <= 512 THEN 1 ELSE 1 + ceil((n - 512) / 384.0) END::BIGINT AS k FROM w WHERE n > 512)
+    SELECT count(*) AS n_cases, sum(k)::BIGINT AS n_windows, 0::BIGINT AS moved_windows, 0::BIGINT AS changed_texts FROM c""")
+def identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A case that is its own donor reads its own windows; an empty prefix leaves the text as it is."""
+    own = cases(spark, sf_dir).where("k >= 2").select("doc_id", "k", F.col("doc_id").alias("donor"), F.col("k").alias("donor_k"))
+    moved = (F.col("from_doc") != F.col("doc_id")) | (F.col("from_win") != F.col("win"))
+    windows_ = read_windows(own).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(moved).alias("moved"))
+    texts = table(spark, sf_dir, "documents").select("doc_id", (scalar.displaced(F.lit(""), F.col("text")) != F.col("text")).alias("changed"))
+    return windows_.join(texts, "doc_id").agg(F.count(F.lit(1)).alias("n_cases"), F.sum("n").alias("n_windows"), F.sum("moved").alias("moved_windows"), F.count_if("changed").alias("changed_texts"))
 
 
 @query("""WITH m AS (SELECT d.doc_id, b.item_id, position(b.text IN d.text) - 1 AS place, length(left(d.text, 3000)) AS window_end FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
