@@ -63,6 +63,12 @@ def lookback(w: Column, context: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(w) - context - 1), lambda i: ctx / (ctx + new(i)))
 
 
+def lookback_of(w: Column, context: int, i: Column) -> Column:
+    """The ratio of answer token ``i`` from its own row of weights: mean on the context over itself plus that on the ``i`` answer tokens before it, which are divided by one more."""
+    ctx = mean(F.slice(w, 1, context))
+    return ctx / (ctx + total(F.slice(w, F.lit(context + 1), i.cast("int"))) / (i + 1))
+
+
 def max_abs_gap(x: Column, y: Column) -> Column:
     return F.array_max(F.zip_with(x, y, lambda a, b: F.abs(a - b)))
 

@@ -152,3 +152,76 @@ def answer_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).select("vec_id", F.posexplode(causal_rows(F.slice("x", 41, 24), F.col("x"))).alias("p", "w"))
     each = rows.select("vec_id", F.floor(F.col("p") / 8).alias("i"), (F.col("p") % 8).cast("long").alias("j"), rounded(F.col("w")).alias("w"))
     return each.where("j <= i + 5")
+
+
+ROWS = f"{LONG}, a AS (SELECT vec_id, (p - 1) // 16 AS i, (p - 1) % 16 AS j, abs(w) AS w FROM u)"
+
+
+@query(f"""WITH {ROWS}, c AS (SELECT vec_id, i, avg(w) AS c FROM a WHERE j < 12 GROUP BY 1, 2), n AS (SELECT vec_id, i, coalesce(sum(w) FILTER (WHERE j < 12 + i), 0) / (i + 1) AS n FROM a WHERE j >= 12 GROUP BY 1, 2)
+    SELECT vec_id, i::BIGINT AS i, round(c / (c + n), 6) + 0.0 AS ratio FROM c JOIN n USING (vec_id, i)""")
+def lookback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer token has a row of weights of its own: the mean on 12 context places against that on the answer tokens before it."""
+    return token_ratios(vectors(spark, sf_dir)).select("vec_id", "i", rounded(F.col("ratio")).alias("ratio"))
+
+
+def token_ratios(x: DataFrame, n: int = 4, context: int = 12) -> DataFrame:
+    """(vec_id, i, ratio) of rows of weights of ``n`` answer tokens, one after the other in ``x``."""
+    size = F.size("x") / n
+    rows = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.struct(i.cast("long").alias("i"), arrays.lookback_of(F.transform(F.slice("x", (i * size).cast("int") + 1, size.cast("int")), lambda w: F.abs(w)), context, i).alias("ratio")))
+    return x.select("vec_id", F.inline(rows))
+
+
+@query(f"""WITH {ROWS}, c AS (SELECT vec_id, i, avg(w) AS c FROM a WHERE j < 12 GROUP BY 1, 2), n AS (SELECT vec_id, i, coalesce(sum(w) FILTER (WHERE j < 12 + i), 0) / (i + 1) AS n FROM a WHERE j >= 12 GROUP BY 1, 2)
+    SELECT vec_id // 40 AS case_id, i // 2 AS sent, vec_id % 4 AS head, round(avg(c / (c + n)), 6) + 0.0 AS ratio, count(*) AS n_tok FROM c JOIN n USING (vec_id, i) GROUP BY 1, 2, 3""")
+def lookback_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ratios averaged per case, sentence and head."""
+    each = token_ratios(vectors(spark, sf_dir)).select(F.floor(F.col("vec_id") / 40).alias("case_id"), F.floor(F.col("i") / 2).alias("sent"), (F.col("vec_id") % 4).alias("head"), "ratio")
+    return each.groupBy("case_id", "sent", "head").agg(rounded(F.avg("ratio")).alias("ratio"), F.count(F.lit(1)).alias("n_tok"))
+
+
+@query(f"""WITH {LONG}, l AS (SELECT vec_id, p, w - ln(sum(exp(w)) OVER (PARTITION BY vec_id)) AS lp FROM u), e AS (SELECT vec_id, label FROM embeddings)
+    SELECT label::BIGINT AS sent, round(avg(lp), 6) + 0.0 AS logprob, count(*) AS n_tok FROM l JOIN e USING (vec_id) WHERE p - 1 = vec_id * 7 % 64 GROUP BY label""")
+def sentence_logprob(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-probability of each token's target among all, averaged over the sentence's tokens."""
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("label").cast("long").alias("sent"), arrays.doubles(F.col("embedding")).alias("x"))
+    target = F.get("x", (F.col("vec_id") * 7 % 64).cast("int")) - arrays.log_sum_exp(F.col("x"))
+    return own.select("sent", target.alias("lp")).groupBy("sent").agg(rounded(F.avg("lp")).alias("logprob"), F.count(F.lit(1)).alias("n_tok"))
+
+
+@query(f"""WITH {LONG}, t AS (SELECT vec_id, p AS tok FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY w DESC, p) AS r FROM u WHERE p <= 7) WHERE r <= ceil(0.3 * 7)),
+    h AS (SELECT vec_id, (p - 1) // 8 + 1 AS tok, (p - 1) % 8 AS d, w FROM u), m AS (SELECT vec_id, d, avg(w) AS m FROM h JOIN t USING (vec_id, tok) GROUP BY 1, 2), a AS (SELECT vec_id, d, w FROM h WHERE tok = 8)
+    SELECT vec_id, round(sum(m * w) / (greatest(sqrt(sum(m * m)), 1e-8) * greatest(sqrt(sum(w * w)), 1e-8)), 6) + 0.0 AS ecs FROM m JOIN a USING (vec_id, d) GROUP BY vec_id""")
+def ecs_attended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of the answer's state with the mean state of the most attended context tokens: 7 of 8 tokens with states of 8 numbers, the share of 0.3 with the largest weights."""
+    state = lambda i: F.slice("x", i * 8 + 1, F.lit(8))
+    top = vectors(spark, sf_dir).withColumn("top", arrays.top_positions(F.slice("x", 1, 7), 0.3))
+    chosen = F.transform("top", state)
+    mean = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: arrays.mean(F.transform(chosen, lambda h: F.get(h, d))))
+    return top.select("vec_id", "x", mean.alias("m")).select("vec_id", rounded(arrays.cosine(F.col("m"), F.slice("x", 57, 8))).alias("ecs"))
+
+
+@query(f"""WITH {LONG} SELECT u.vec_id, q::BIGINT AS p, round(CASE WHEN q <= 32 THEN u.w ELSE greatest(u.w, v.w) END, 6) + 0.0 AS w FROM (SELECT unnest(range(1, 65)) AS q) JOIN u ON u.p = CASE WHEN q <= 32 THEN q ELSE q - 32 END JOIN u v ON v.vec_id = u.vec_id AND v.p = u.p + 32""")
+def window1_and_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One block of window 1's features and, behind them, their maxima over the windows."""
+    first, second = F.slice("x", 1, 32), F.slice("x", 33, 32)
+    both = vectors(spark, sf_dir).select("vec_id", F.posexplode(F.concat(first, arrays.joined_max(first, second))).alias("p", "w"))
+    return both.select("vec_id", (F.col("p") + 1).cast("long").alias("p"), rounded(F.col("w")).alias("w"))
+
+
+@query(f"""WITH {LONG}, d AS (SELECT a.vec_id, s, k, sum(a.w * cos(2 * pi() * k * (a.p - 1) / 32)) AS re, sum(a.w * sin(2 * pi() * k * (a.p - 1) / 32)) AS im FROM (SELECT vec_id, (p - 1) // 32 AS s, (p - 1) % 32 + 1 AS p, w FROM u) a, (SELECT unnest(range(32)) AS k) WHERE least(k, 32 - k) / 32.0 >= 0.45 GROUP BY 1, 2, 3),
+    n AS (SELECT vec_id, s, sqrt(sum(re * re + im * im) / 32) AS n FROM d GROUP BY 1, 2) SELECT vec_id, round(max(n) FILTER (WHERE s = 0), 6) + 0.0 AS context, round(max(n) FILTER (WHERE s = 1), 6) + 0.0 AS answer FROM n GROUP BY 1""")
+def frequency_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """High-frequency norms of the context's and of the answer's part of the weights."""
+    from plumbline.operators.signal import high_pass
+
+    return vectors(spark, sf_dir).select("vec_id", rounded(high_pass(F.slice("x", 1, 32))).alias("context"), rounded(high_pass(F.slice("x", 33, 32))).alias("answer"))
+
+
+@query(f"""WITH {BASE}, s AS (SELECT doc_id, f, list_transform(x, lambda w: w::DOUBLE)[(f - 1) * 21 + 1 : CASE WHEN f = 3 THEN 64 ELSE f * 21 END] AS part FROM base, (SELECT unnest([1, 2, 3]) AS f))
+    SELECT doc_id, f::BIGINT AS part, len(part)::BIGINT AS n, round(list_avg(part), 6) + 0.0 AS mean, round(list_avg(list_sort(part, 'DESC')[1:5]), 6) + 0.0 AS top5 FROM s""")
+def head_subsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Subsets of the heads: thirds of the block, and the five largest of each."""
+    x = arrays.doubles(F.col("x"))
+    parts = F.explode(F.array(*[F.struct(F.lit(i + 1).cast("long").alias("part"), F.slice(x, i * 21 + 1, 22 if i == 2 else 21).alias("v")) for i in range(3)])).alias("s")
+    each = base(spark, sf_dir).select("doc_id", parts).select("doc_id", "s.part", "s.v")
+    return each.select("doc_id", "part", F.size("v").cast("long").alias("n"), rounded(arrays.mean(F.col("v"))).alias("mean"), rounded(arrays.mean(F.slice(F.sort_array("v", asc=False), 1, 5))).alias("top5"))
