@@ -64,9 +64,9 @@ def lookback(w: Column, context: int) -> Column:
 
 
 def lookback_of(w: Column, context: int, i: Column) -> Column:
-    """The ratio of answer token ``i`` from its own row of weights: mean on the context over itself plus that on the ``i`` answer tokens before it, which are divided by one more."""
+    """The ratio of answer token ``i`` from its own row of weights: mean on the context over itself plus the mean on the answer tokens up to its own."""
     ctx = mean(F.slice(w, 1, context))
-    return ctx / (ctx + total(F.slice(w, F.lit(context + 1), i.cast("int"))) / (i + 1))
+    return ctx / (ctx + total(F.slice(w, F.lit(context + 1), i.cast("int") + 1)) / (i + 1))
 
 
 def max_abs_gap(x: Column, y: Column) -> Column:

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.ranks import numbered
+
 
 def tertile(rank: Column, n: Column) -> Column:
     """Bin 1 to 3 of a rank from 1 among n: right-closed at the linear thirds of the ranks (not ntile)."""
     return (1 + (3 * (rank - 1) > n - 1).cast("int") + (3 * (rank - 1) > 2 * (n - 1)).cast("int")).cast("long")
 
 
-def tertiles(df: DataFrame, keys: list[str], order: list, name: str = "tertile") -> DataFrame:
+def tertiles(df: DataFrame, keys: list[str], by: str, ties: tuple[str, ...], name: str = "tertile") -> DataFrame:
     """Tertiles by stable rank inside each group."""
-    w = Window.partitionBy(*keys)
-    return df.withColumn(name, tertile(F.row_number().over(w.orderBy(*order)), F.count(F.lit(1)).over(w)))
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    placed = numbered(df, keys, by, "_place", ties).join(sizes, keys)
+    return placed.withColumn(name, tertile(F.col("_place") + 1, F.col("_size"))).drop("_place", "_size")
 
 
 def cut(x: Column, edges: list[float]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 128
+from plumbline.operators.ranks import with_bucket
 
 
 def _counts(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
@@ -14,20 +14,12 @@ def _counts(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame
     return rows.groupBy(*keys, F.col(score).cast("double").alias("_s")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count_if(F.col(label) == 0).alias("_n"))
 
 
-def _bucketed(counts: DataFrame, keys: list[str], buckets: int) -> DataFrame:
-    """A bucket per score, rising with it, so that running sums need no partition with all scores of a group."""
-    ends = counts.groupBy(*keys).agg(F.min("_s").alias("_lo"), F.max("_s").alias("_hi"))
-    both = counts.join(ends, keys) if keys else counts.join(F.broadcast(ends), how="inner")  # without keys: a single row
-    at = F.floor((F.col("_s") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets)
-    return both.withColumn("_b", F.when(F.col("_hi") > F.col("_lo"), at).otherwise(F.lit(0)).cast("long")).drop("_lo", "_hi")
-
-
-def auc(df: DataFrame, keys: list[str], score: str, label: str, buckets: int = BUCKETS) -> DataFrame:
+def auc(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """(keys, auc, n_pos, n_neg): area under the ROC curve with ties counted half; NULL where a class is missing.
 
     Scores are counted before anything is ordered; negatives below a score are summed in two levels.
     """
-    counts = _bucketed(_counts(df, keys, score, label), keys, buckets)
+    counts = with_bucket(_counts(df, keys, score, label), keys, "_s")
     sums = counts.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
     below = sums.withColumn("_below", F.sum("_m").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_m")).drop("_m")
     inner = Window.partitionBy(*keys, "_b").orderBy("_s")
@@ -38,11 +30,15 @@ def auc(df: DataFrame, keys: list[str], score: str, label: str, buckets: int = B
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
-    """(keys, ap): the step-wise sum of precision over recall, scores falling."""
-    counts = _counts(df, keys, score, label)
-    falling = Window.partitionBy(*keys).orderBy(F.desc("_s"))
-    run = counts.withColumns({"_tp": F.sum("_p").over(falling), "_all": F.sum(F.col("_p") + F.col("_n")).over(falling)})
-    found = run.groupBy(*keys).agg(F.sum(F.col("_p") * F.col("_tp") / F.col("_all").cast("double")).alias("_won"), F.sum("_p").alias("_pos"))
+    """(keys, ap): the step-wise sum of precision over recall, scores falling. Running sums go over buckets of scores and inside them."""
+    counts = with_bucket(_counts(df, keys, score, label), keys, "_s")
+    sums = counts.groupBy(*keys, "_b").agg(F.sum("_p").alias("_tp"), F.sum(F.col("_p") + F.col("_n")).alias("_all"))
+    falling = Window.partitionBy(*keys).orderBy(F.desc("_b"))
+    above = sums.select(*keys, "_b", *[(F.sum(c).over(falling) - F.col(c)).alias(f"{c}_above") for c in ("_tp", "_all")])
+    inner = Window.partitionBy(*keys, "_b").orderBy(F.desc("_s"))
+    run = counts.withColumns({"_tp": F.sum("_p").over(inner), "_all": F.sum(F.col("_p") + F.col("_n")).over(inner)}).join(above, [*keys, "_b"])
+    precision = (F.col("_tp") + F.col("_tp_above")) / (F.col("_all") + F.col("_all_above")).cast("double")
+    found = run.groupBy(*keys).agg(F.sum(F.col("_p") * precision).alias("_won"), F.sum("_p").alias("_pos"))
     return found.select(*keys, F.try_divide("_won", F.col("_pos").cast("double")).alias("ap"))
 
 

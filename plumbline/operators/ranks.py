@@ -5,15 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+BUCKETS = 64
 
-def numbered(df: DataFrame, keys: list[str], by: str, name: str, buckets: int = 256) -> DataFrame:
-    """Adds ``name``, the place (from 0) of each row in its group by the numeric column ``by``, whose values differ inside a group."""
-    ends = df.groupBy(*keys).agg(F.min(by).alias("_lo"), F.max(by).alias("_hi"))
-    cut = F.when(F.col("_hi") > F.col("_lo"), F.floor((F.col(by) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")).cast("double") * buckets)).otherwise(F.lit(0))
-    rows = df.join(ends, keys).withColumn("_b", cut.cast("long")).drop("_lo", "_hi")
+
+def with_bucket(df: DataFrame, keys: list[str], by: str, name: str = "_b", buckets: int = BUCKETS) -> DataFrame:
+    """Adds ``name``, a bucket that rises with ``by`` inside each group. Approximate quantiles cut the buckets, so outliers leave them even; equal values share one."""
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = df.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(by, shares, 2000)).alias("_cuts"))
+    both = df.join(cuts, keys) if keys else df.join(F.broadcast(cuts))  # without keys: a single row
+    return both.withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col(by))).cast("long")).drop("_cuts")
+
+
+def numbered(df: DataFrame, keys: list[str], by: str, name: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds ``name``, the place (from 0) of each row in its group by the numeric column ``by``, then by ``ties``, which together differ inside a group."""
+    rows = with_bucket(df, keys, by)
     sizes = rows.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(*keys, "_b", (F.sum("_n").over(Window.partitionBy(*keys).orderBy("_b")) - F.col("_n")).alias("_before"))
-    inner = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(by)) - 1
+    inner = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(by, *ties)) - 1
     return rows.withColumn("_r", inner).join(before, [*keys, "_b"]).withColumn(name, (F.col("_before") + F.col("_r")).cast("long")).drop("_b", "_r", "_before")
 
 

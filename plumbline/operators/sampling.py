@@ -81,7 +81,8 @@ def balanced_sample(df: DataFrame, label: str, key: str, n: int, seed: int) -> D
     """The first rows of each class in a seeded order: as many as the smallest class has, n at most."""
     counts = df.groupBy(label).count().agg(F.least(F.min("count"), F.lit(n)).alias("_n"))
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(hash_order(seed, F.col(key)), key)))
-    return ranked.join(F.broadcast(counts)).where("_r <= _n").drop("_r", "_n")  # one row
+    # the constant bound drops rows before the shuffle
+    return ranked.where(F.col("_r") <= n).join(F.broadcast(counts)).where("_r <= _n").drop("_r", "_n")  # one row
 
 
 def random_folds(groups: DataFrame, group: str, k: int, seed: int) -> DataFrame:

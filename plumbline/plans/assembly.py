@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import rounded, text_id
+from plumbline.operators.matching import containing
 from plumbline.plans.registry import query, table
 
 #: The evaluation base as SQL: documents with labels and their feature block.
@@ -131,11 +132,11 @@ def default_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", F.coalesce("toxic", F.lit(-1)).cast("long").alias("flag"), F.coalesce("m", F.lit(False)).alias("matched"))
 
 
-@query("""SELECT doc_id, id AS benchmark_id, place FROM (SELECT d.doc_id, b.item_id AS id, position(b.text IN d.text)::BIGINT AS place, row_number() OVER (PARTITION BY d.doc_id ORDER BY (left(b.text, 20) = left(d.text, 20)) DESC, b.item_id) AS r
+@query("""SELECT doc_id, id AS benchmark_id, place FROM (SELECT d.doc_id, b.item_id AS id, position(b.text IN d.text)::BIGINT AS place, row_number() OVER (PARTITION BY d.doc_id ORDER BY (left(b.text, 200) = left(d.text, 200)) DESC, b.item_id) AS r
     FROM documents d JOIN benchmark b ON contains(d.text, b.text)) WHERE r = 1""")
 def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One candidate per row: those with the same prefix first, then file order."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
-    found = docs.join(F.broadcast(table(spark, sf_dir, "benchmark")), F.contains("t", "text"))  # a fixed test set of passages
-    first = Window.partitionBy("doc_id").orderBy(F.desc(F.left("text", F.lit(20)) == F.left("t", F.lit(20))), "item_id")
-    return found.withColumn("r", F.row_number().over(first)).where("r = 1").select("doc_id", F.col("item_id").alias("benchmark_id"), F.instr("t", F.col("text")).cast("long").alias("place"))
+    found = containing(docs, table(spark, sf_dir, "benchmark"))
+    first = Window.partitionBy("doc_id").orderBy(F.desc(F.left("text", F.lit(200)) == F.left("t", F.lit(200))), "item_id")
+    return found.withColumn("r", F.row_number().over(first)).where("r = 1").select("doc_id", F.col("item_id").alias("benchmark_id"), "place")

@@ -149,7 +149,7 @@ def answer_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Attention rows of the last three of eight tokens, recomputed from queries and keys with a causal mask."""
     from plumbline.operators.signal import causal_rows
 
-    rows = vectors(spark, sf_dir).select("vec_id", F.posexplode(causal_rows(F.slice("x", 41, 24), F.col("x"))).alias("p", "w"))
+    rows = vectors(spark, sf_dir).select("vec_id", F.posexplode(causal_rows(8)(F.slice("x", 41, 24), F.col("x"))).alias("p", "w"))
     each = rows.select("vec_id", F.floor(F.col("p") / 8).alias("i"), (F.col("p") % 8).cast("long").alias("j"), rounded(F.col("w")).alias("w"))
     return each.where("j <= i + 5")
 
@@ -157,10 +157,10 @@ def answer_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 ROWS = f"{LONG}, a AS (SELECT vec_id, (p - 1) // 16 AS i, (p - 1) % 16 AS j, abs(w) AS w FROM u)"
 
 
-@query(f"""WITH {ROWS}, c AS (SELECT vec_id, i, avg(w) AS c FROM a WHERE j < 12 GROUP BY 1, 2), n AS (SELECT vec_id, i, coalesce(sum(w) FILTER (WHERE j < 12 + i), 0) / (i + 1) AS n FROM a WHERE j >= 12 GROUP BY 1, 2)
+@query(f"""WITH {ROWS}, c AS (SELECT vec_id, i, avg(w) AS c FROM a WHERE j < 12 GROUP BY 1, 2), n AS (SELECT vec_id, i, sum(w) FILTER (WHERE j <= 12 + i) / (i + 1) AS n FROM a WHERE j >= 12 GROUP BY 1, 2)
     SELECT vec_id, i::BIGINT AS i, round(c / (c + n), 6) + 0.0 AS ratio FROM c JOIN n USING (vec_id, i)""")
 def lookback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each answer token has a row of weights of its own: the mean on 12 context places against that on the answer tokens before it."""
+    """Each answer token has a row of weights of its own: the mean on 12 context places against that on the answer tokens up to it."""
     return token_ratios(vectors(spark, sf_dir)).select("vec_id", "i", rounded(F.col("ratio")).alias("ratio"))
 
 
@@ -171,7 +171,7 @@ def token_ratios(x: DataFrame, n: int = 4, context: int = 12) -> DataFrame:
     return x.select("vec_id", F.inline(rows))
 
 
-@query(f"""WITH {ROWS}, c AS (SELECT vec_id, i, avg(w) AS c FROM a WHERE j < 12 GROUP BY 1, 2), n AS (SELECT vec_id, i, coalesce(sum(w) FILTER (WHERE j < 12 + i), 0) / (i + 1) AS n FROM a WHERE j >= 12 GROUP BY 1, 2)
+@query(f"""WITH {ROWS}, c AS (SELECT vec_id, i, avg(w) AS c FROM a WHERE j < 12 GROUP BY 1, 2), n AS (SELECT vec_id, i, sum(w) FILTER (WHERE j <= 12 + i) / (i + 1) AS n FROM a WHERE j >= 12 GROUP BY 1, 2)
     SELECT vec_id // 40 AS case_id, i // 2 AS sent, vec_id % 4 AS head, round(avg(c / (c + n)), 6) + 0.0 AS ratio, count(*) AS n_tok FROM c JOIN n USING (vec_id, i) GROUP BY 1, 2, 3""")
 def lookback_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ratios averaged per case, sentence and head."""

@@ -9,6 +9,7 @@ from plumbline.functions import scalar
 from plumbline.functions.scalar import rounded
 from plumbline.operators import bins
 from plumbline.operators.lineage import written
+from plumbline.operators.matching import containing
 from plumbline.operators.sampling import donors, prefix_donors
 from plumbline.operators.tokens import first_tokens, n_windows, offsets, overlapping, points_in_spans, tokens, windows
 from plumbline.plans.registry import query, table
@@ -38,7 +39,7 @@ def window_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT event_id, 1 + (3 * (r - 1) > n - 1)::BIGINT + (3 * (r - 1) > 2 * (n - 1))::BIGINT AS tertile FROM
     (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events)""")
 def tertile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bins.tertiles(table(spark, sf_dir, "events"), ["event_type"], ["value", "event_id"]).select("event_id", "tertile")
+    return bins.tertiles(table(spark, sf_dir, "events").select("event_type", "event_id", "value"), ["event_type"], "value", ("event_id",)).select("event_id", "tertile")
 
 
 @query("""WITH e AS (SELECT quantile_cont(n_chars, [0, 0.25, 0.5, 0.75, 1]) AS q FROM documents) SELECT greatest(1, len(list_filter(list_distinct(q), lambda v: v < n_chars)))::BIGINT AS bin, count(*) AS n, min(n_chars) AS low, max(n_chars) AS high
@@ -205,8 +206,7 @@ def identity_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of evidence beyond the first window, in four groups, as a normalised distribution over cases."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
-    passages = F.broadcast(table(spark, sf_dir, "benchmark"))  # a fixed test set of passages
-    found = docs.join(passages, F.contains("t", "text")).select("doc_id", (F.instr("t", F.col("text")) - 1 >= F.length(F.left("t", F.lit(3000)))).cast("double").alias("out"))
+    found = containing(docs, table(spark, sf_dir, "benchmark")).select("doc_id", (F.col("place") - 1 >= F.length(F.left("t", F.lit(3000)))).cast("double").alias("out"))
     shares = docs.select("doc_id").join(found.groupBy("doc_id").agg(F.avg("out").alias("beyond")), "doc_id", "left")
     kind = F.when(F.col("beyond").isNull(), "none").when(F.col("beyond") == 0, "in window 1").when(F.col("beyond") == 1, "all out").otherwise("partly out")
     counts = shares.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
