@@ -2,4 +2,4 @@
 
 
 def load() -> None:
-    from plumbline.plans import assembly, evaluation, features, learning, reports, sampling, spans, text, windows  # noqa: F401
+    from plumbline.plans import assembly, checks, evaluation, features, learning, reports, sampling, spans, text, windows  # noqa: F401
