@@ -86,7 +86,8 @@ def feature_label_corr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.select(F.col("p").cast("long").alias("p"), rounded(F.col("r")).alias("r"), rank(F.round("r", 9), "p").alias("rising"), rank(F.desc(F.round(F.abs("r"), 9)), "p").alias("by_size"))
 
 
-GRID = [(n, m, b) for n in (1, 2, 4, 8) for m in (1, 2, 4) for b in (0.0, 0.5, 1.0, 2.0)]
+NS, KS = (1, 2, 4, 8), (1, 2, 4)
+GRID = [(n, m, b) for n in NS for m in KS for b in (0.0, 0.5, 1.0, 2.0)]
 
 
 @query(f"""WITH {CORR}, e AS (SELECT p, row_number() OVER (ORDER BY round(r, 9), p) AS k FROM r WHERE p < 32), q AS (SELECT p, row_number() OVER (ORDER BY round(r, 9) DESC, p) AS k FROM r WHERE p >= 32),
@@ -98,20 +99,19 @@ GRID = [(n, m, b) for n in (1, 2, 4, 8) for m in (1, 2, 4) for b in (0.0, 0.5, 1
     FROM (SELECT *, rank() OVER (PARTITION BY n, m, b ORDER BY v) + (count(*) OVER (PARTITION BY n, m, b, v) - 1) / 2.0 AS rk FROM t) GROUP BY 1, 2, 3)
     SELECT n::BIGINT AS n, m::BIGINT AS m, b, round(auc, 6) + 0.0 AS auc, row_number() OVER (ORDER BY round(auc, 9) DESC, n, m, b) = 1 AS best FROM a""")
 def redeep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A linear score, knowledge minus beta times context, over a grid: every grid point reads two running sums over ranked components."""
+    """A linear score, knowledge minus beta times context, over a grid: every grid point adds the first of the ranked components of a row's own array."""
     from plumbline.operators.metrics import auc
 
     df = base(spark, sf_dir)
-    r = feature_correlations(df)
-    rank = lambda *o: F.row_number().over(Window.orderBy(*o))  # noqa: E731  one row per feature
-    context = r.where("p < 32").select("p", rank(F.round("r", 9), "p").alias("k"))
-    knowledge = r.where("p >= 32").select("p", rank(F.desc(F.round("r", 9)), "p").alias("k"))
-    each = df.select("doc_id", "label", F.posexplode("x").alias("p", "w"))
-    run = lambda feats: each.join(F.broadcast(feats), "p").withColumn("s", F.sum(F.col("w").cast("double")).over(Window.partitionBy("doc_id").orderBy("k")))  # noqa: E731  at most one row per feature
-    grid = spark.createDataFrame(GRID, "n bigint, m bigint, b double")
-    es = run(context).select("doc_id", F.col("k").cast("long").alias("n"), F.col("s").alias("e"))
-    ps = run(knowledge).select("doc_id", "label", F.col("k").cast("long").alias("m"), F.col("s").alias("q"))
-    scored = es.join(F.broadcast(grid), "n").join(ps, ["doc_id", "m"]).withColumn("v", F.round(F.col("q") - F.col("b") * F.col("e"), 6))
+    r = feature_correlations(df).select("p", F.round("r", 9).alias("r"))
+    # one row: the components of each part in the order of their correlation
+    places = lambda x: F.transform(x, lambda s: s["p"])
+    order = r.agg(places(F.sort_array(F.collect_list(F.when(F.col("p") < 32, F.struct("r", "p"))))).alias("e"), places(F.sort_array(F.collect_list(F.when(F.col("p") >= 32, F.struct((-F.col("r")).alias("r"), "p"))))).alias("k"))
+    x = arrays.doubles(F.col("x"))
+    first = lambda o, n: arrays.total(F.transform(F.slice(o, 1, n), lambda p: F.get(x, p)))
+    value = lambda n, m, b: F.struct(F.lit(n).cast("long").alias("n"), F.lit(m).cast("long").alias("m"), F.lit(b).alias("b"), F.round(F.get("q", F.lit(KS.index(m))) - b * F.get("s", F.lit(NS.index(n))), 6).alias("v"))
+    sums = df.join(F.broadcast(order)).select("label", F.array(*[first("e", n) for n in NS]).alias("s"), F.array(*[first("k", m) for m in KS]).alias("q"))
+    scored = sums.select("label", F.inline(F.array(*[value(*g) for g in GRID])))
     found = auc(scored, ["n", "m", "b"], "v", "label")
     best = F.row_number().over(Window.orderBy(F.desc(F.round("auc", 9)), "n", "m", "b")) == 1
     return found.select("n", "m", "b", rounded(F.col("auc")).alias("auc"), best.alias("best"))

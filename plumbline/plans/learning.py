@@ -2,92 +2,281 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import rounded
 from plumbline.operators import learning
+from plumbline.operators.lineage import written
 from plumbline.operators.sampling import hash_order, random_folds
 from plumbline.plans.assembly import base
 from plumbline.plans.registry import query
 
+FOLDS = 5
+SCORES = "run string, doc_id bigint, label int, test boolean, score double"
+AUCS = "run string, held bigint, aucs array<double>"
+
 
 def block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per labelled document with features, gate, grouped fold and split. ``run`` is the unit that one task fits."""
+    """Rows of two runs, one per half of the feature block, with gate, grouped fold and split; a run is what one task fits at the end."""
     df = base(spark, sf_dir)
     test = F.conv(F.substring(hash_order(1, F.col("source")), 1, 4), 16, 10).cast("int") % 4 == 0
-    rows = df.join(random_folds(df, "source", 5, 11), "source").select(F.lit("all").alias("run"), "doc_id", "label", "fold", test.alias("test"), F.col("x").cast("array<double>").alias("x"), F.log1p("n_chars").alias("gate"))
-    return rows
+    x = F.col("x").cast("array<double>")
+    runs = F.explode(F.array(*[F.struct(F.lit(n).alias("run"), F.slice(x, at, 32).alias("x")) for n, at in (("first", 1), ("second", 33))])).alias("r")
+    rows = df.join(random_folds(df, "source", FOLDS, 11), "source").select(runs, "doc_id", "source", "label", "fold", test.alias("test"), F.log1p("n_chars").alias("gate"), "n_chars")
+    return rows.select("r.run", "r.x", "doc_id", "source", "label", "fold", "test", "gate", "n_chars")
+
+
+class Rows:
+    """The columns of a task as arrays, in the order of ids."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.pdf = pdf = pdf.sort_values("doc_id", kind="stable")
+        self.x, self.y, self.fold, self.gate = np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), pdf["fold"].to_numpy(), pdf["gate"].to_numpy()
+        self.train = ~pdf["test"].to_numpy()
+        self.held = self.fold == pdf["held"].iloc[0] if "held" in pdf else None
+
+    def scored(self, score: np.ndarray) -> pd.DataFrame:
+        return self.pdf[["run", "doc_id", "label", "test"]].assign(score=score)
+
+
+def by_fold(rows: DataFrame, f: Callable[[Rows], list[float]]) -> DataFrame:
+    """(run, held, aucs): a task per run and held-out fold."""
 
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"run": [pdf["run"].iloc[0]], "held": [pdf["held"].iloc[0]], "aucs": [np.array(f(Rows(pdf)), float)]})
 
-def _arrays(pdf: pd.DataFrame) -> tuple[np.ndarray, ...]:
-    pdf.sort_values("doc_id", inplace=True)
-    return np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), pdf["fold"].to_numpy(), pdf["test"].to_numpy(), pdf["gate"].to_numpy()
+    each = rows.withColumn("held", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FOLDS - 1).cast("long"))))
+    return each.groupBy("run", "held").applyInPandas(task, AUCS)
 
 
-def _per_run(df: DataFrame, f) -> DataFrame:
-    return df.groupBy("run").applyInPandas(f, "doc_id bigint, label int, test boolean, score double").select("doc_id", F.col("label").cast("long").alias("label"), "test", rounded(F.col("score")).alias("score"))
+def by_run(rows: DataFrame, told: DataFrame | None, f: Callable[[Rows, np.ndarray | None], pd.DataFrame], schema: str = SCORES) -> DataFrame:
+    """A task per run, with what its folds told: an array (folds, settings). A run that can't be fit has no scores, and leaves the others theirs."""
+    if told is not None:
+        rows = rows.join(told.groupBy("run").agg(F.sort_array(F.collect_list(F.struct("held", "aucs"))).alias("told")), "run")
 
+    def task(pdf: pd.DataFrame) -> pd.DataFrame:
+        seen = np.array([r["aucs"] for r in pdf["told"].iloc[0]], float) if "told" in pdf else None
+        r = Rows(pdf)
+        try:
+            return f(r, seen)
+        except ValueError:
+            if schema != SCORES:
+                raise
+            return r.scored(np.full(len(r.y), np.nan))
 
-def _result(pdf: pd.DataFrame, score: np.ndarray) -> pd.DataFrame:
-    return pdf[["doc_id", "label", "test"]].assign(score=score)
+    return rows.groupBy("run").applyInPandas(task, schema)
+
+
+def shown(scores: DataFrame) -> DataFrame:
+    return scores.select("run", "doc_id", F.col("label").cast("long").alias("label"), "test", rounded(F.nanvl("score", F.lit(None).cast("double"))).alias("score"))
+
+
+def strengths(grid: tuple[float, ...]) -> Callable[[Rows], list[float]]:
+    return lambda r: learning.held_aucs(r.x[r.train], r.y[r.train], r.held[r.train], grid)
+
+
+def tuned(rows: DataFrame) -> DataFrame:
+    def fit(r: Rows, told: np.ndarray) -> pd.DataFrame:
+        c = learning.GRID[learning.best_of(told)]
+        return r.scored(learning.trained(c, r.x[r.train], r.y[r.train]).score(r.x))
+
+    return by_run(rows, by_fold(rows, strengths(learning.GRID)), fit)
 
 
 @query()
 def logreg_detector(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strength by grouped cross-validation on the training sources, one fit, scores of all rows."""
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, fold, test, _ = _arrays(pdf)
-        c = learning.tune(x[~test], y[~test], fold[~test])
-        return _result(pdf, learning.Linear(c).fit(x[~test], y[~test]).score(x))
-
-    return _per_run(block(spark, sf_dir), fit)
+    return shown(tuned(written(block(spark, sf_dir))))
 
 
 @query()
 def oof_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, fold, _, _ = _arrays(pdf)
-        return _result(pdf, learning.out_of_fold(x, y, fold))
+    """Training rows by detectors that saw no row of their fold, the others by a detector of all training rows; one strength, chosen by the folds."""
+    rows = written(block(spark, sf_dir))
+
+    def fit(r: Rows, told: np.ndarray) -> pd.DataFrame:
+        c, t = learning.SHORT_GRID[learning.best_of(told)], r.train
+        score = learning.trained(c, r.x[t], r.y[t]).score(r.x)
+        score[t] = learning.out_of_fold(r.x[t], r.y[t], r.fold[t], c)
+        return r.scored(score)
 
-    return _per_run(block(spark, sf_dir), fit)
+    return shown(by_run(rows, by_fold(rows, strengths(learning.SHORT_GRID)), fit))
 
 
 @query()
 def soft_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, _, test, gate = _arrays(pdf)
-        wide = learning.soft_gated(x, gate, slice(None), ~test)
-        return _result(pdf, learning.Linear(0.1).fit(wide[~test], y[~test]).score(wide))
+    """One detector over the features and the features times the standardised gate."""
+
+    def fit(r: Rows, _) -> pd.DataFrame:
+        wide = learning.soft_gated(r.x, r.gate, slice(None), r.train)
+        return r.scored(learning.trained(1.0, wide[r.train], r.y[r.train]).score(wide))
 
-    return _per_run(block(spark, sf_dir), fit)
+    return shown(by_run(block(spark, sf_dir), None, fit))
 
 
 @query()
 def hard_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, fold, test, gate = _arrays(pdf)
-        model = learning.HardGate().fit(x[~test], y[~test], gate[~test], fold[~test])
-        return _result(pdf, model.score(x, gate))
+    """Two detectors, each over its own half of the features, parted by a quantile of the gate that the folds choose."""
+    rows = written(block(spark, sf_dir))
+    halves = lambda r: (r.x[:, :16], r.x[:, 16:])
+    told = by_fold(rows, lambda r: learning.threshold_aucs(*halves(r), r.y, r.gate, r.train, r.held))
+
+    def fit(r: Rows, seen: np.ndarray) -> pd.DataFrame:
+        tau = learning.chosen_threshold(seen, r.gate[r.train])
+        return r.scored(learning.experts(tau, *halves(r), r.y, r.gate, r.train))
 
-    return _per_run(block(spark, sf_dir), fit)
+    return shown(by_run(rows, told, fit))
 
 
 @query()
 def top_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inside each fold the ten components that correlate most with the label, then a detector on these."""
 
+    def fit(r: Rows, _) -> pd.DataFrame:
+        out = np.full(len(r.y), np.nan)
+        for f in np.unique(r.fold):
+            m = r.fold != f
+            if 0 < r.y[m].sum() < m.sum():
+                top = np.argsort(-np.abs(learning.correlations(r.x[m], r.y[m])), kind="stable")[:10]
+                out[~m] = learning.Linear().fit(r.x[m][:, top], r.y[m]).score(r.x[~m][:, top])
+        return r.scored(out)
+
+    return shown(by_run(block(spark, sf_dir), None, fit))
+
+
+@query()
+def probability_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC and average precision of the tuned detector's probabilities on the test rows; NULL with one class on a side or fewer than ten training rows."""
+    rows = written(block(spark, sf_dir))
+
+    def fit(r: Rows, told: np.ndarray) -> pd.DataFrame:
+        t, y = r.train, r.y
+        found = [None, None]
+        if t.sum() >= 10 and 0 < y[t].sum() < t.sum() and 0 < y[~t].sum() < (~t).sum():
+            p = 1 / (1 + np.exp(-learning.Linear(learning.GRID[learning.best_of(told)]).fit(r.x[t], y[t]).score(r.x[~t])))
+            found = [learning.auc(y[~t], p), learning.precision(y[~t], p)]
+        return pd.DataFrame({"run": [r.pdf["run"].iloc[0]], "n_train": [int(t.sum())], "n_test": [int((~t).sum())], "auc": [found[0]], "ap": [found[1]]})
+
+    got = by_run(rows, by_fold(rows, strengths(learning.GRID)), fit, "run string, n_train bigint, n_test bigint, auc double, ap double")
+    return got.select("run", "n_train", "n_test", rounded(F.col("auc")).alias("auc"), rounded(F.col("ap")).alias("ap"))
+
+
+#: Methods by name: scores of all rows from the rows' arrays and which of them to train on.
+METHODS: dict[str, Callable[[Rows, np.ndarray], np.ndarray]] = {
+    "few": lambda r, t: learning.trained(1.0, r.x[t][:, :8], r.y[t]).score(r.x[:, :8]),
+    "plain": lambda r, t: learning.trained(1.0, r.x[t], r.y[t]).score(r.x),
+    "soft gate": lambda r, t: (lambda w: learning.trained(1.0, w[t], r.y[t]).score(w))(learning.soft_gated(r.x, r.gate, slice(0, 8), t)),
+    "hard gate": lambda r, t: learning.hard_gated(r.x[:, :16], r.x[:, 16:], r.y, r.gate, t, r.fold),
+}
+
+
+def _attempt(method: Callable[[Rows, np.ndarray], np.ndarray], r: Rows) -> float:
+    try:
+        return learning.auc(r.y[r.train & r.held], method(r, r.train & ~r.held)[r.train & r.held])
+    except ValueError:
+        return float("nan")
+
+
+def method_folds(rows: DataFrame) -> DataFrame:
+    """(run, method, fold, auc): every method on every held-out fold of the training rows; a method that can't be fit has NULL."""
+    told = by_fold(rows, lambda r: [_attempt(f, r) for f in METHODS.values()])
+    names = F.array(*map(F.lit, METHODS))
+    each = told.select("run", F.col("held").alias("fold"), F.explode(F.arrays_zip(names.alias("method"), F.col("aucs").alias("auc"))).alias("z"))
+    return each.select("run", F.col("z.method").alias("method"), "fold", F.nanvl("z.auc", F.lit(None).cast("double")).alias("auc"))
+
+
+@query()
+def dev_cv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of methods by folds."""
+    return method_folds(written(block(spark, sf_dir))).withColumn("auc", rounded(F.col("auc")))
+
+
+@query()
+def method_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation over the folds, and in how many folds a method is better than the plain one."""
+    told = written(method_folds(written(block(spark, sf_dir))))
+    plain = told.where("method = 'plain'").select("run", "fold", F.col("auc").alias("p"))
+    both = told.join(plain, ["run", "fold"])
+    return both.groupBy("run", "method").agg(rounded(F.avg("auc")).alias("mean"), rounded(F.stddev_pop("auc")).alias("sd"), F.count("auc").alias("n_folds"), F.count_if(F.col("auc") > F.col("p")).alias("better"))
+
+
+@query()
+def redeep_selector(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads, layers and weight of a ranked score by inner folds, each with ranks of its own training rows; then ranks of all training rows, and the AUC on the others. 24 components stand for context heads, 8 for layers."""
+    rows = written(block(spark, sf_dir))
+    parts = lambda r: (r.x[:, :24], r.x[:, 24:])
+    usable = [s for s in learning.SETTINGS if s[0] <= 24]
+
+    def tell(r: Rows) -> list[float]:
+        e, p = learning.ranked_sums(*parts(r), r.y, r.train & ~r.held)
+        at = r.train & r.held
+        return [learning.auc(r.y[at], learning.combined(e[at, n - 1], p[at, m - 1], b)) for n, m, b in usable]
+
+    def fit(r: Rows, told: np.ndarray) -> pd.DataFrame:
+        # a setting counts by its sum over the folds, one without a value in any fold is out
+        sums = told[~np.isnan(told).any(1)].sum(0)
+        n, m, b = usable[int(np.argmax(sums))]
+        e, p = learning.ranked_sums(*parts(r), r.y, r.train)
+        t = ~r.train
+        return pd.DataFrame({"run": [r.pdf["run"].iloc[0]], "n": [n], "m": [m], "beta": [b], "auc": [learning.auc(r.y[t], learning.combined(e[t, n - 1], p[t, m - 1], b))]})
+
+    got = by_run(rows, by_fold(rows, tell), fit, "run string, n bigint, m bigint, beta double, auc double")
+    return got.withColumn("auc", rounded(F.nanvl("auc", F.lit(None).cast("double"))))
+
+
+@query()
+def transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One fixed detector, trained on the first block of rows that fit the window, applied to longer rows with either block read in its place; training sources that the longer rows share are dropped first."""
+    rows = written(block(spark, sf_dir))
+    asked = rows.where("test and n_chars > 2000")
+    seen = rows.where("run = 'first' and n_chars <= 2000")
+    own = seen.join(asked.select("source").distinct(), "source", "left_anti")
+    both = own.withColumn("variant", F.lit(None).cast("string")).unionByName(asked.withColumn("variant", F.col("run")))
+    # a task per variant: the training rows go to each
+    each = both.withColumn("task", F.explode(F.when(F.col("variant").isNull(), F.array(F.lit("first"), F.lit("second"))).otherwise(F.array("variant"))))
+
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, y, fold, _, _ = _arrays(pdf)
-        out = np.full(len(y), np.nan)
-        for f in np.unique(fold):
-            m = fold != f
-            r = np.abs(((x[m] - x[m].mean(0)) * (y[m] - y[m].mean())[:, None]).mean(0) / (x[m].std(0) * y[m].std() + 1e-12))
-            top = np.argsort(-r, kind="stable")[:10]
-            out[~m] = learning.Linear().fit(x[m][:, top], y[m]).score(x[~m][:, top])
-        return _result(pdf, out)
-
-    return _per_run(block(spark, sf_dir), fit)
+        pdf = pdf.sort_values("doc_id", kind="stable")
+        x, y, t = np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), pdf["variant"].isna().to_numpy()
+        value = float("nan")
+        if 0 < y[t].sum() < t.sum():
+            value = learning.auc(y[~t], learning.Linear(learning.tune(x[t], y[t], pdf["fold"].to_numpy()[t], learning.SHORT_GRID)).fit(x[t], y[t]).score(x[~t]))
+        return pd.DataFrame({"variant": [pdf["task"].iloc[0]], "n_train": [int(t.sum())], "n": [int((~t).sum())], "auc": [value]})
+
+    got = each.groupBy("task").applyInPandas(fit, "variant string, n_train bigint, n bigint, auc double")
+    return got.withColumn("auc", rounded(F.nanvl("auc", F.lit(None).cast("double"))))
+
+
+SEEDS = (1, 2, 3, 4, 5)
+
+
+@query()
+def oof_robustness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same out-of-fold AUC under several seeded groupings of the sources: a task per run, seed and fold."""
+    rows = block(spark, sf_dir).drop("fold")
+    sources = rows.select("source").distinct()
+    folds = None
+    for seed in SEEDS:
+        some = random_folds(sources, "source", FOLDS, seed).withColumn("seed", F.lit(seed))
+        folds = some if folds is None else folds.unionByName(some)
+    each = written(rows.join(folds, "source")).withColumn("held", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(FOLDS - 1).cast("long"))))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        r = Rows(pdf)
+        score = np.full(len(r.y), np.nan)
+        if r.held.any() and 0 < r.y[~r.held].sum() < (~r.held).sum():
+            score[r.held] = learning.Linear().fit(r.x[~r.held], r.y[~r.held]).score(r.x[r.held])
+        return r.pdf[["run", "seed", "label"]].assign(score=score)[r.held]
+
+    from plumbline.operators.metrics import auc
+
+    scored = each.groupBy("run", "seed", "held").applyInPandas(fit, "run string, seed int, label int, score double")
+    found = auc(scored, ["run", "seed"], "score", "label").groupBy("seed").pivot("run", ["first", "second"]).agg(F.first("auc"))
+    gap = F.col("second") - F.col("first")
+    every = Window.partitionBy()  # one row per seed
+    return found.select(F.col("seed").cast("long").alias("seed"), rounded(F.col("first")).alias("first"), rounded(F.col("second")).alias("second"), rounded(gap).alias("gap"), F.sum((gap > 0).cast("int")).over(every).alias("n_above"), rounded(F.min(gap).over(every)).alias("low"), rounded(F.max(gap).over(every)).alias("high"))

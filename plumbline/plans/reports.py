@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbline.functions.scalar import rounded
-from plumbline.operators import bins
+from plumbline.functions.scalar import rounded, safe_share
+from plumbline.operators import bins, bootstrap
+from plumbline.operators.matching import containing
 from plumbline.operators.metrics import auc
-from plumbline.operators.sampling import lcg
+from plumbline.operators.sampling import lcg, random_folds
 from plumbline.plans.assembly import BASE, base
-from plumbline.plans.evaluation import AUC, ranked, scored
+from plumbline.plans.evaluation import AUC, BOOT, REPLICATES, ranked, scored
 from plumbline.plans.registry import query, table
 
 
@@ -74,13 +75,141 @@ def power_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n_chars") > 2000).alias("n_cut"), F.countDistinct("source").alias("n_sources"), rounded(F.avg("label")).alias("rate"))
 
 
-@query(f"""WITH {PIVOT} SELECT t.lang, t.f::BIGINT AS f, round(d.auc, 6) + 0.0 AS dev, round(t.auc, 6) + 0.0 AS test FROM a t JOIN (SELECT lang, f, {AUC} AS auc FROM {ranked('lang, f', '(SELECT lang, f, label AS y, x[f]::DOUBLE AS s FROM base, (SELECT unnest([1, 2, 3]) AS f) WHERE doc_id % 2 = 0)')} GROUP BY 1, 2) d ON d.lang = t.lang AND d.f = t.f""")
+DEV = "doc_id % 2 = 0"
+
+
+def split_auc(where: str) -> str:
+    return f"(SELECT lang, f, {AUC} AS auc FROM {ranked('lang, f', f'(SELECT lang, f, label AS y, x[f]::DOUBLE AS s FROM base, (SELECT unnest([1, 2, 3]) AS f) WHERE {where})')} GROUP BY 1, 2)"
+
+
+@query(f"""WITH {BASE} SELECT t.lang, t.f::BIGINT AS f, round(d.auc, 6) + 0.0 AS dev, round(t.auc, 6) + 0.0 AS test FROM {split_auc('NOT ' + DEV)} t JOIN {split_auc(DEV)} d ON d.lang = t.lang AND d.f = t.f""")
 def dev_test_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The development value beside the value on all rows."""
+    """The development value beside that on the test rows, which are none of them."""
     long_ = scored(spark, sf_dir, 0, 1, 2).unpivot(["lang", "y", "doc_id"], ["s0", "s1", "s2"], "f", "s").withColumn("f", F.substring("f", 2, 1).cast("long") + 1)
-    dev = auc(long_.where("doc_id % 2 = 0"), ["lang", "f"], "s", "y").select("lang", "f", F.col("auc").alias("dev"))
-    both = auc(long_, ["lang", "f"], "s", "y").join(dev, ["lang", "f"])
-    return both.select("lang", "f", rounded(F.col("dev")).alias("dev"), rounded(F.col("auc")).alias("test"))
+    dev = auc(long_.where(DEV), ["lang", "f"], "s", "y").select("lang", "f", rounded(F.col("auc")).alias("dev"))
+    return auc(long_.where(f"not {DEV}"), ["lang", "f"], "s", "y").join(dev, ["lang", "f"]).select("lang", "f", "dev", rounded(F.col("auc")).alias("test"))
+
+
+@query(f"""WITH {BASE}, l AS (SELECT 'span' AS level, 'all' AS rows, lang, f, label AS y, x[f]::DOUBLE AS s FROM base, (SELECT unnest([1, 2, 3]) AS f)),
+    r AS (SELECT 'response' AS level, 'all' AS rows, lang, f, max(label) AS y, max(x[f]::DOUBLE) AS s FROM base, (SELECT unnest([1, 2, 3]) AS f) GROUP BY lang, source, f),
+    lt AS (SELECT 'span' AS level, 'truncated' AS rows, lang, f, label AS y, x[f]::DOUBLE AS s FROM base, (SELECT unnest([1, 2, 3]) AS f) WHERE n_chars > 2000),
+    rt AS (SELECT 'response' AS level, 'truncated' AS rows, lang, f, max(label) AS y, max(x[f]::DOUBLE) AS s FROM base, (SELECT unnest([1, 2, 3]) AS f) WHERE n_chars > 2000 GROUP BY lang, source, f),
+    u AS (SELECT * FROM l UNION ALL SELECT * FROM r UNION ALL SELECT * FROM lt UNION ALL SELECT * FROM rt), a AS (SELECT level, rows, lang, f, {AUC} AS auc FROM {ranked('level, rows, lang, f', 'u')} GROUP BY 1, 2, 3, 4)
+    SELECT level, rows, lang, round(max(auc) FILTER (WHERE f = 1), 6) + 0.0 AS d1, round(max(auc) FILTER (WHERE f = 2), 6) + 0.0 AS d2, round(max(auc) FILTER (WHERE f = 3), 6) + 0.0 AS d3 FROM a GROUP BY 1, 2, 3""")
+def detector_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of all detectors at both levels, over all and over truncated rows."""
+    long_ = scored(spark, sf_dir, 0, 1, 2).unpivot(["lang", "source", "n_chars", "y"], ["s0", "s1", "s2"], "f", "s")
+    parts = F.explode(F.when(F.col("n_chars") > 2000, F.array(F.lit("all"), F.lit("truncated"))).otherwise(F.array(F.lit("all")))).alias("rows")
+    spans = long_.select(F.lit("span").alias("level"), parts, "lang", "source", "f", "y", "s")
+    responses = spans.groupBy("rows", "lang", "source", "f").agg(F.max("y").alias("y"), F.max("s").alias("s")).withColumn("level", F.lit("response"))
+    found = auc(spans.unionByName(responses), ["level", "rows", "lang", "f"], "s", "y")
+    wide = found.groupBy("level", "rows", "lang").pivot("f", ["s0", "s1", "s2"]).agg(F.first("auc"))
+    return wide.select("level", "rows", "lang", *[rounded(F.col(f"s{i}")).alias(f"d{i + 1}") for i in range(3)])
+
+
+CUT_BOOT = BOOT.replace("t AS (SELECT source AS c, label AS y, x[1]::DOUBLE AS a, x[2]::DOUBLE AS b FROM base)", "t AS (SELECT source AS c, label AS y, x[2]::DOUBLE AS a, x[1]::DOUBLE AS b FROM base WHERE n_chars > 2000)")
+
+
+@query(f"""WITH {CUT_BOOT}, l AS (SELECT f, label AS y, x[f]::DOUBLE AS s FROM base, (SELECT unnest([1, 2, 3]) AS f) WHERE n_chars > 2000), v AS (SELECT f, {AUC} AS auc FROM {ranked('f', 'l')} GROUP BY f),
+    p AS (SELECT max(auc) FILTER (WHERE f = 1) AS w, max(auc) FILTER (WHERE f = 2) AS b, max(auc) FILTER (WHERE f = 3) AS f FROM v)
+    SELECT (SELECT count(*) FROM t) AS n, (SELECT count(DISTINCT c) FROM t) AS n_sources, round(w, 6) + 0.0 AS window1, round(b, 6) + 0.0 AS b, round(f, 6) + 0.0 AS full_view, round(CASE WHEN abs(f - w) > 1e-3 THEN (b - w) / (f - w) END, 6) + 0.0 AS recovered,
+    (SELECT round(avg(d), 6) + 0.0 FROM d) AS diff, (SELECT round(quantile_cont(d, 0.025), 6) + 0.0 FROM d) AS lo, (SELECT round(quantile_cont(d, 0.975), 6) + 0.0 FROM d) AS hi FROM p""")
+def controlled_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Truncated rows: window 1, all windows and the full view, what of the loss is recovered, and the interval of the difference."""
+    df = scored(spark, sf_dir, 0, 1, 2).where("n_chars > 2000")
+    weights = bootstrap.draw_weights(spark, df.select(F.col("source").alias("cluster")).distinct(), REPLICATES)
+    diffs = bootstrap.interval(bootstrap.paired_differences(df, "source", "s1", "s0", "y", weights)).select(rounded(F.col("mean")).alias("diff"), rounded(F.col("lo")).alias("lo"), rounded(F.col("hi")).alias("hi"))
+    wide = auc(df.unpivot(["y"], ["s0", "s1", "s2"], "f", "s"), ["f"], "s", "y").groupBy().pivot("f", ["s0", "s1", "s2"]).agg(F.first("auc"))
+    about = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("n_sources"))
+    both = about.crossJoin(wide).crossJoin(diffs)  # single rows
+    w, b, f = F.col("s0"), F.col("s1"), F.col("s2")
+    return both.select("n", "n_sources", rounded(w).alias("window1"), rounded(b).alias("b"), rounded(f).alias("full_view"), rounded(safe_share(b - w, f - w)).alias("recovered"), "diff", "lo", "hi")
+
+
+@query(f"""WITH {BOOT}, r AS (SELECT lang, f, {AUC} AS auc FROM {ranked('lang, f', "(SELECT lang, f, label AS y, x[f]::DOUBLE AS s FROM base, (SELECT unnest([1, 2]) AS f))")} GROUP BY 1, 2),
+    g AS (SELECT a.lang, a.auc - b.auc AS diff FROM r a JOIN r b ON a.lang = b.lang AND a.f = 1 AND b.f = 2), i AS (SELECT quantile_cont(d, 0.025) AS lo FROM d)
+    SELECT round(lo, 6) + 0.0 AS lo, round((SELECT min(diff) FROM g), 6) + 0.0 AS worst, lo > 0 AS rule_1, (SELECT min(diff) FROM g) >= -0.01 AS rule_2, CASE WHEN lo > 0 AND (SELECT min(diff) FROM g) >= -0.01 THEN 'becomes the method' ELSE 'stays a variant' END AS decision FROM i""")
+def decision_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A composite rule: the interval over all runs above zero, and no single run worse than a hundredth."""
+    df = scored(spark, sf_dir, 0, 1)
+    weights = bootstrap.draw_weights(spark, df.select(F.col("source").alias("cluster")).distinct(), REPLICATES)
+    lo = bootstrap.interval(bootstrap.paired_differences(df, "source", "s0", "s1", "y", weights)).select("lo")
+    runs = auc(df.unpivot(["lang", "y"], ["s0", "s1"], "f", "s"), ["lang", "f"], "s", "y").groupBy("lang").pivot("f", ["s0", "s1"]).agg(F.first("auc"))
+    worst = runs.agg(F.min(F.col("s0") - F.col("s1")).alias("worst"))
+    first, second = F.col("lo") > 0, F.col("worst") >= -0.01
+    both = lo.crossJoin(worst)  # single rows
+    return both.select(rounded(F.col("lo")).alias("lo"), rounded(F.col("worst")).alias("worst"), first.alias("rule_1"), second.alias("rule_2"), F.when(first & second, "becomes the method").otherwise("stays a variant").alias("decision"))
+
+
+@query(f"""WITH {BASE}, m AS (SELECT d.doc_id, position(b.text IN d.text) - 1 AS place, length(left(d.text, 3000)) AS window_end FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+    g AS (SELECT base.doc_id, label AS y, x[1]::DOUBLE AS w, x[2]::DOUBLE AS b, CASE WHEN count(place) = 0 THEN 'none' WHEN avg((place >= window_end)::INT) = 0 THEN 'in window 1' WHEN avg((place >= window_end)::INT) = 1 THEN 'all out' ELSE 'partly out' END AS kind FROM base LEFT JOIN m USING (doc_id) GROUP BY 1, 2, 3, 4),
+    l AS (SELECT kind, f, y, CASE WHEN f = 1 THEN w ELSE b END AS s FROM g, (SELECT unnest([1, 2]) AS f)), a AS (SELECT kind, f, {AUC} AS auc, count(*) AS n FROM {ranked('kind, f', 'l')} GROUP BY 1, 2)
+    SELECT kind, max(n) AS n, round(max(auc) FILTER (WHERE f = 1), 6) + 0.0 AS window1, round(max(auc) FILTER (WHERE f = 2), 6) + 0.0 AS b FROM a GROUP BY kind""")
+def evidence_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC of both readings by where the evidence stands."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
+    found = containing(docs, table(spark, sf_dir, "benchmark")).select("doc_id", (F.col("place") - 1 >= F.length(F.left("t", F.lit(3000)))).cast("double").alias("out"))
+    beyond = found.groupBy("doc_id").agg(F.avg("out").alias("beyond"))
+    kind = F.when(F.col("beyond").isNull(), "none").when(F.col("beyond") == 0, "in window 1").when(F.col("beyond") == 1, "all out").otherwise("partly out")
+    rows = scored(spark, sf_dir, 0, 1).join(beyond, "doc_id", "left").withColumn("kind", kind)
+    each = auc(rows.unpivot(["kind", "y"], ["s0", "s1"], "f", "s"), ["kind", "f"], "s", "y")
+    wide = each.groupBy("kind").pivot("f", ["s0", "s1"]).agg(F.first("auc"))
+    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(wide, "kind").select("kind", "n", rounded(F.col("s0")).alias("window1"), rounded(F.col("s1")).alias("b"))
+
+
+@query(f"""WITH {BASE}, r AS (SELECT lang, label AS y, x[1]::DOUBLE AS s, row_number() OVER (PARTITION BY lang ORDER BY x[4]::DOUBLE, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM base),
+    t AS (SELECT lang, y, s, 1 + (3 * (r - 1) > n - 1)::BIGINT + (3 * (r - 1) > 2 * (n - 1))::BIGINT AS bin FROM r), a AS (SELECT lang, bin, {AUC} AS auc, count(*) AS n FROM {ranked('lang, bin', 't')} GROUP BY 1, 2)
+    SELECT lang, bin, ['low', 'mid', 'high'][bin] AS name, n, round(auc, 6) + 0.0 AS auc FROM a""")
+def prior_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC by tertile of the prior, in the order low, mid, high."""
+    rows = bins.tertiles(scored(spark, sf_dir, 0, 3), ["lang"], "s3", ("doc_id",), "bin")
+    sizes = rows.groupBy("lang", "bin").agg(F.count(F.lit(1)).alias("n"))
+    name = F.element_at(F.array(F.lit("low"), F.lit("mid"), F.lit("high")), F.col("bin").cast("int"))
+    return auc(rows, ["lang", "bin"], "s0", "y").join(sizes, ["lang", "bin"]).select("lang", "bin", name.alias("name"), "n", rounded(F.col("auc")).alias("auc"))
+
+
+SHORT = "regexp_replace(printf('%.3f', {}), '^(-?)0\\.', '\\1.')"
+
+
+@query(f"""WITH {BASE}, l AS (SELECT CASE WHEN {DEV} THEN 'dev' ELSE 'test' END AS split, lang, source, f, label AS y, x[f]::DOUBLE AS s FROM base, (SELECT unnest([1, 2, 3]) AS f) WHERE n_chars > 1000),
+    a AS (SELECT split, lang, f, round({AUC}, 6) AS auc, count(*) AS n, count(DISTINCT source) AS k FROM {ranked('split, lang, f', 'l')} GROUP BY 1, 2, 3),
+    w AS (SELECT split, lang, max(n) AS n, max(k) AS k, max(auc) FILTER (WHERE f = 1) AS w, max(auc) FILTER (WHERE f = 2) AS b, max(auc) FILTER (WHERE f = 3) AS l FROM a GROUP BY 1, 2)
+    SELECT lang, split, n || ' / ' || k AS size, {SHORT.format('w')} || ' / ' || {SHORT.format('b')} || ' / ' || {SHORT.format('l')} AS aucs, printf('%+.3f', b - l) AS gap FROM w WHERE w IS NOT NULL""")
+def paper_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Development and test rows of the appendix tables: sizes, the three readings and their gap as they are printed."""
+    long_ = scored(spark, sf_dir, 0, 1, 2).where("n_chars > 1000").withColumn("split", F.when(F.expr(DEV), "dev").otherwise("test"))
+    sizes = long_.groupBy("split", "lang").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("k"))
+    each = auc(long_.unpivot(["split", "lang", "y"], ["s0", "s1", "s2"], "f", "s"), ["split", "lang", "f"], "s", "y")
+    wide = each.groupBy("split", "lang").pivot("f", ["s0", "s1", "s2"]).agg(F.first(F.round("auc", 6))).where("s0 is not null").join(sizes, ["split", "lang"])
+    text = lambda c: F.regexp_replace(F.format_string("%.3f", c), r"^(-?)0\.", "$1.")
+    return wide.select("lang", "split", F.concat_ws(" / ", F.col("n").cast("string"), F.col("k").cast("string")).alias("size"), F.concat_ws(" / ", text("s0"), text("s1"), text("s2")).alias("aucs"), F.format_string("%+.3f", F.col("s1") - F.col("s2")).alias("gap"))
+
+
+@query("""WITH w AS (SELECT user_id % 5 AS model, user_id, min(event_id) AS first FROM events GROUP BY 1, 2) SELECT model, count(*) AS n_cases, round(avg(1 + floor(value / 50)), 6) + 0.0 AS windows FROM w JOIN events e ON e.event_id = w.first GROUP BY 1""")
+def windows_per_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean windows per case in two levels: the first row of a case, then the mean over cases."""
+    first = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 5).alias("model"), "user_id").agg(F.min_by("value", "event_id").alias("value"))
+    return first.groupBy("model").agg(F.count(F.lit(1)).alias("n_cases"), rounded(F.avg(1 + F.floor(F.col("value") / 50))).alias("windows"))
+
+
+@query(f"""WITH {BASE}, s AS (SELECT source, (row_number() OVER (ORDER BY md5('5:' || source), source) - 1) % 4 AS fold FROM (SELECT DISTINCT source FROM base)), l AS (SELECT fold, f, label AS y, x[f]::DOUBLE AS s FROM base JOIN s USING (source), (SELECT unnest([1, 2]) AS f)),
+    a AS (SELECT fold, f, {AUC} AS auc FROM {ranked('fold, f', 'l')} GROUP BY 1, 2), w AS (SELECT x.auc AS a, y.auc AS b FROM a x JOIN a y ON x.fold = y.fold AND x.f = 1 AND y.f = 2)
+    SELECT count(a) AS n, round(avg(a), 6) + 0.0 AS mean_a, round(stddev_pop(a), 6) + 0.0 AS sd_a, round(avg(b), 6) + 0.0 AS mean_b, round(stddev_pop(b), 6) + 0.0 AS sd_b, sum((a > b)::INT)::BIGINT AS a_better FROM w""")
+def fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of the AUC over grouped folds, and in how many of them the first detector is better; folds of one class count nowhere."""
+    df = scored(spark, sf_dir, 0, 1)
+    rows = df.join(random_folds(df, "source", 4, 5), "source").unpivot(["fold", "y"], ["s0", "s1"], "f", "s")
+    wide = auc(rows, ["fold", "f"], "s", "y").groupBy("fold").pivot("f", ["s0", "s1"]).agg(F.first("auc"))
+    a, b = F.col("s0"), F.col("s1")
+    return wide.agg(F.count(a).alias("n"), rounded(F.avg(a)).alias("mean_a"), rounded(F.stddev_pop(a)).alias("sd_a"), rounded(F.avg(b)).alias("mean_b"), rounded(F.stddev_pop(b)).alias("sd_b"), F.count_if(a > b).alias("a_better"))
+
+
+@query(f"""WITH {BASE}, l AS (SELECT lang, f, label AS y, CASE WHEN f = 2 THEN -(x[f]::DOUBLE) ELSE x[f]::DOUBLE END AS s FROM base, (SELECT unnest([1, 2, 3]) AS f)) SELECT lang, f::BIGINT AS f, round({AUC}, 6) + 0.0 AS auc FROM {ranked('lang, f', 'l')} GROUP BY 1, 2""")
+def signed_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AUC by task with signs stated beforehand: the second signal falls with the label."""
+    long_ = scored(spark, sf_dir, 0, 1, 2).unpivot(["lang", "y"], ["s0", "s1", "s2"], "f", "s").withColumn("s", F.when(F.col("f") == "s1", -F.col("s")).otherwise(F.col("s")))
+    found = auc(long_, ["lang", "f"], "s", "y")
+    return found.select("lang", (F.substring("f", 2, 1).cast("long") + 1).alias("f"), rounded(F.col("auc")).alias("auc"))
 
 
 @query("""SELECT r_name, n_name, count(*) AS n, round(sum(l_extendedprice * (1 - l_discount)), 2) + 0.0 AS revenue FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
