@@ -43,6 +43,21 @@ def offsets(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"starts": starts, "ends": ends})
 
 
+@pandas_udf(ArrayType(IntegerType()))
+def places_in(text: pd.Series, keys: pd.Series) -> pd.Series:
+    """Where each key stands in the text, from 0: behind the one found before it, else anywhere, -1 where nowhere."""
+    out = []
+    for t, some in zip(text, keys, strict=True):
+        found, cursor = [], 0
+        for k in some if some is not None else ():
+            at = t.find(k, cursor)
+            at = at if at >= 0 else t.find(k)
+            cursor = at + len(k) if at >= 0 else cursor
+            found.append(at)
+        out.append(found)
+    return pd.Series(out)
+
+
 def kept_context(text: Column, ends: Column, width: int) -> Column:
     """The text up to the end of token ``width``; the whole text where there are fewer. ``ends``: end offsets of tokens."""
     return F.when(F.size(ends) >= width, F.substring(text, F.lit(1), F.get(ends, F.lit(width - 1)))).otherwise(text)

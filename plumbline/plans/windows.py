@@ -11,7 +11,7 @@ from plumbline.operators import bins
 from plumbline.operators.lineage import written
 from plumbline.operators.matching import containing
 from plumbline.operators.sampling import donors, prefix_donors
-from plumbline.operators.tokens import first_tokens, n_windows, offsets, overlapping, points_in_spans, tokens, windows
+from plumbline.operators.tokens import first_tokens, n_windows, offsets, overlapping, places_in, points_in_spans, tokens, windows
 from plumbline.plans.registry import query, table
 
 TOKENS = r"len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'))"
@@ -171,8 +171,9 @@ def displaced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     taken = displaced(spark, sf_dir).join(docs.withColumnRenamed("doc_id", "donor"), "donor")
     upto = F.col("before") + F.col("used")
-    part = F.when(upto < BUDGET, F.col("text")).otherwise(first_tokens(F.col("text"), offsets("text")["ends"], F.col("used")))
-    parts = taken.select("doc_id", "place", upto.alias("upto"), part.alias("part")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_donors"), F.max("upto").alias("n_prefix"), F.sort_array(F.collect_list(F.struct("place", "part"))).alias("p"))
+    whole = taken.where(upto < BUDGET).select("doc_id", "place", upto.alias("upto"), F.col("text").alias("part"))
+    last = taken.where(upto >= BUDGET).select("doc_id", "place", upto.alias("upto"), first_tokens(F.col("text"), offsets("text")["ends"], F.col("used")).alias("part"))  # only these need their tokens' places
+    parts = whole.unionByName(last).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_donors"), F.max("upto").alias("n_prefix"), F.sort_array(F.collect_list(F.struct("place", "part"))).alias("p"))
     prefix = parts.withColumn("prefix", F.array_join("p.part", "\n\n")).join(docs, "doc_id")
     return prefix.select("doc_id", "n_donors", "n_prefix", (F.col("n_prefix") == BUDGET).alias("enough"), F.length("prefix").cast("long").alias("n_chars"), F.md5(F.concat("prefix", F.lit("\n\n"), "text")).alias("digest"))
 
@@ -232,18 +233,10 @@ def checker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM f JOIN t ON t.doc_id = f.doc_id WHERE f.k < len(t.keys)) q JOIN t USING (doc_id))
     SELECT doc_id, k::BIGINT AS k, here - 1 AS place FROM f WHERE k > 0 AND here > 0""")
 def sentence_location(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Places of a text's sentences, white space collapsed: each is looked for behind the one before, else anywhere. A fold over the array of sentences."""
+    """Places of a text's sentences, white space collapsed: each is looked for behind the one before, else anywhere."""
     flat, keys = F.regexp_replace("text", r"\s+", " "), F.transform(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0)), lambda x: F.regexp_replace(x, r"\s+", " "))
-    rows = table(spark, sf_dir, "documents").select("doc_id", flat.alias("flat"), keys.alias("keys"))
-    start = F.struct(F.lit(1).alias("cursor"), F.array().cast("array<int>").alias("found"))
-
-    def step(a, x):
-        ahead = F.call_function("locate", x, F.col("flat"), a["cursor"])
-        at = F.when(ahead > 0, ahead).otherwise(F.call_function("locate", x, F.col("flat")))
-        return F.struct(F.when(at > 0, at + F.length(x)).otherwise(a["cursor"]).alias("cursor"), F.concat(a["found"], F.array(at)).alias("found"))
-
-    placed = rows.select("doc_id", F.posexplode(F.aggregate("keys", start, step, lambda a: a["found"])).alias("k", "at"))
-    return placed.where("at > 0").select("doc_id", (F.col("k") + 1).cast("long").alias("k"), (F.col("at") - 1).cast("long").alias("place"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(places_in(flat, keys)).alias("k", "place"))
+    return rows.where("place >= 0").select("doc_id", (F.col("k") + 1).cast("long").alias("k"), F.col("place").cast("long").alias("place"))
 
 
 @query(f"""WITH {WORDS}, c AS (SELECT doc_id, n, least(n, 512) AS own FROM w) SELECT doc_id, greatest(0, least(n, 8192 - 40 - own - 8)) AS read_tokens, n > 8192 - 40 - own - 8 AS cut, least(n, greatest(0, 8192 - 40 - own - 8)) + 40 + own AS seq_len, own >= 8 AS scored FROM c""")
