@@ -7,7 +7,7 @@ every link is confirmed on the full shingle sets. Equal sets collapse to one cla
 Candidates never become all pairs of a bucket. Each bucket links its members to one leader, the member that meets the
 most others; after confirmation, buckets that lie inside one component are done, since more links change nothing. Only
 buckets that still hold several components go on: to another leader, and then to a test of all their members in blocks;
-buckets of the very same members are tested once. A task compares two blocks by matrix products and returns a forest of
+buckets that share members are tested together while they are few. A task compares two blocks by matrix products and returns a forest of
 links, so no link between different components is lost and no list of pairs is ever made. A leader's set is sent once to
 each block of its members, so a leader that a third of all documents meet is no single task.
 
@@ -34,6 +34,8 @@ from plumbline.llm.text import discard, materialise
 
 BANDS, ROWS, SEED = 32, 5, 7
 PIECE = 1 << 20
+#: Blocks of members up to which buckets that share members are tested together.
+FEW = 4
 
 
 def _pieces(ids: list, texts: list) -> Iterator[tuple[list, list]]:
@@ -183,12 +185,28 @@ def block_links(ids: tuple, sizes: tuple, parts: tuple, sets: tuple, percent: in
     return links
 
 
+def _units(now: DataFrame, block: int) -> DataFrame:
+    """(key, blocks, class_id, component): the members of open buckets, dealt so that the members of each bucket meet.
+
+    Buckets that share members mostly hold the same ones. Together they are a group; a group of a few blocks is one unit,
+    so each of its members comes once. In larger groups, which buckets may chain without end, each bucket is a unit.
+    """
+    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "class_id").cast("decimal(38,0)")).alias(f"m{seed}")
+    open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), F.min("class_id").alias("least"), mark(1), mark(2)).where("lo < hi")
+    open_ = open_.groupBy("c", "m1", "m2").agg(F.min("key").alias("key"), F.min("least").alias("least")).select("key", "c", "least")
+    members = materialise(now.join(open_, "key").select("key", "c", "least", "class_id", "component").distinct())
+    groups = components(members.select(F.col("class_id").alias("a"), F.col("least").alias("b"))).select(F.col("node").alias("class_id"), F.col("component").alias("group"))
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    placed = members.join(groups, "class_id").join(sizes, "group")
+    few = F.col("size") <= FEW * block
+    n = F.when(few, F.col("size")).otherwise(F.col("c"))
+    unit = F.struct(few.alias("few"), F.when(few, F.col("group")).otherwise(F.col("key")).alias("of"))
+    return placed.select(unit.alias("key"), F.ceil(n / block).cast("int").alias("blocks"), "class_id", "component").distinct()
+
+
 def _cross_links(now: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
     """Links (a, b) between different components of an open bucket: every pair is tested, in blocks of members, and only a forest comes out."""
-    mark = lambda seed: F.sum(F.xxhash64(F.lit(seed), "class_id").cast("decimal(38,0)")).alias(f"m{seed}")
-    open_ = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c"), mark(1), mark(2)).where("lo < hi")
-    open_ = open_.groupBy("c", "m1", "m2").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-    members = materialise(now.join(open_, "key").select("key", "blocks", "class_id", "component").distinct())
+    members = materialise(_units(now, block))
     dealt = members.withColumn("own", F.pmod(F.xxhash64("class_id"), F.col("blocks")).cast("int"))
     rows = dealt.join(sets, "class_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class_id", "h1", "component", "shingles")

@@ -237,8 +237,10 @@ def test_set_hashes_tell_sets_apart():
     assert len({tuple(x) for x in h.tolist()}) == len(sets) and h.tolist() == minhash.set_hashes(sets).tolist()
 
 
-def test_minhash_blocks_find_every_link(spark):
-    """A chain of near copies where no leader meets all, in blocks of two, with no leader rounds."""
+@pytest.mark.parametrize("few", [0, 4])
+def test_minhash_blocks_find_every_link(spark, monkeypatch, few):
+    """A chain of near copies where no leader meets all, in blocks of two, with no leader rounds, in groups of buckets and bucket by bucket."""
+    monkeypatch.setattr(minhash, "FEW", few)
     rng = random.Random(8)
     words = words_of(rng, 200, "abcdefghijklmnop")
     chain = []
