@@ -239,13 +239,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     # a class is named by its smallest id, so the least class of a component is its smallest id too
     classes = materialise(full.groupBy("h1", "h2").agg(F.min("n_shingles").alias("n"), F.min("doc_id").alias("class_id"), F.min_by("bands", "doc_id").alias("bands")))
 
-    placed = classes.select("class_id", "h1", "h2", "n", F.explode("bands").alias("key"))
+    placed = classes.select("class_id", "n", F.explode("bands").alias("key"))
     shared = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     met = materialise(placed.join(shared, "key"))  # only buckets of several classes
     degree = met.groupBy("class_id").agg(F.sum("c").alias("degree"))
     met2 = materialise(met.select("key", "class_id", "n").join(degree, "class_id").withColumn("order", F.struct(F.col("degree"), F.col("class_id"))))
 
-    wanted = met.select("class_id", "h1", "h2").distinct().withColumn("doc_id", F.col("class_id")).hint("shuffle_hash")
+    wanted = met.select("class_id").distinct().join(classes.select("class_id", "h1", "h2"), "class_id").withColumn("doc_id", F.col("class_id")).hint("shuffle_hash")
     texts = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).cast("binary").alias("t")).join(wanted, "doc_id").select("class_id", "h1", "h2", "t")
     sets = materialise(_sets(texts, width))
     discard(met)
