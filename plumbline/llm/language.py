@@ -14,12 +14,14 @@ unless passed through ``keep``, whose names must not be lang_pred or score.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -63,29 +65,39 @@ def gram_counts(texts: DataFrame, longest: int = LONGEST) -> DataFrame:
 
 
 class Languages:
-    """Log frequencies by language of words and grams."""
-
-    def __init__(self, rows: list[tuple[str, int, str, float]], floor: float):
-        self.langs = sorted({r[0] for r in rows}, key=lambda x: x.encode())
-        column = {x: i for i, x in enumerate(self.langs)}
-        self.words: dict[str, int] = {}
-        self.grams: dict[str, int] = {}
-        for _, size, gram, _ in rows:
-            to = self.grams if size else self.words
-            to.setdefault(gram, len(to))
-        low = math.log(floor / 2)
-        self.word_logs = np.full((len(self.words), len(self.langs)), low, np.float32)
-        self.gram_logs = np.full((len(self.grams), len(self.langs)), low, np.float32)
-        self.longest = 1
-        for lang, size, gram, share in rows:
-            if size:
-                self.gram_logs[self.grams[gram], column[lang]] = math.log(share) / size
-                self.longest = max(self.longest, size)
-            else:
-                self.word_logs[self.words[gram], column[lang]] = math.log(share)
-        for gram, at in self.grams.items():  # a gram that a language lacks counts by its length as well
-            row = self.gram_logs[at]
-            row[row == np.float32(low)] = low / len(gram)
+    """Log frequencies by language of words and grams. It travels as arrays; the tables that words are looked up in are made where it is read."""
+
+    def __init__(self, rows: pa.Table, floor: float):
+        """``rows``: (lang, size, gram, share); size 0 are words. What a language lacks counts as half of ``floor``."""
+        self.langs = sorted(pc.unique(rows["lang"]).to_pylist(), key=lambda x: x.encode())
+        column = pc.index_in(rows["lang"], pa.array(self.langs, pa.string())).to_numpy()
+        size, low = rows["size"].to_numpy(), math.log(floor / 2)
+        logs = np.log(rows["share"].to_numpy()) / np.maximum(size, 1)
+        self.longest = int(size.max(initial=1))
+
+        def part(at: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+            grams = rows["gram"].filter(pa.array(at)).combine_chunks()
+            names = pc.unique(grams)
+            # a gram that a language lacks counts by its length as well
+            lacks = low / pc.utf8_length(names).to_numpy() if at is not word else np.full(len(names), low)
+            found = np.repeat(lacks.astype(np.float32)[:, None], len(self.langs), 1)
+            found[pc.index_in(grams, names).to_numpy(), column[at]] = logs[at]
+            return names, found
+
+        word = size == 0
+        self.names, self.word_logs = part(word)
+        self.gram_names, self.gram_logs = part(~word)
+
+    @functools.cached_property
+    def words(self) -> dict[str, int]:
+        return {w: i for i, w in enumerate(self.names.to_pylist())}
+
+    @functools.cached_property
+    def grams(self) -> dict[str, int]:
+        return {g: i for i, g in enumerate(self.gram_names.to_pylist())}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k not in ("words", "grams")}
 
     def of_word(self, word: str) -> np.ndarray:
         if word in self.words:
@@ -150,8 +162,7 @@ def train(texts: DataFrame, floor: float = FLOOR, longest: int = LONGEST) -> Lan
     sums = counts.groupBy("lang", "size").agg(F.sum("n").alias("total"))
     # a row per language and length of gram
     frequent = counts.join(F.broadcast(sums), ["lang", "size"]).where(F.col("n") >= F.col("total") * floor)
-    rows = frequent.select("lang", "size", "gram", (F.col("n") / F.col("total")).alias("share")).toPandas()
-    return Languages(list(rows.itertuples(index=False, name=None)), floor)
+    return Languages(frequent.select("lang", "size", "gram", (F.col("n") / F.col("total")).alias("share")).toArrow(), floor)
 
 
 def identify(docs: DataFrame, model: Languages, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

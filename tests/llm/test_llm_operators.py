@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -457,10 +458,11 @@ def test_toxicity_calibration():
 
 def test_language_backoff():
     rows = [("aa", 0, "hello", 0.5), ("bb", 0, "salut", 0.5), ("aa", 2, "he", 0.2), ("bb", 2, "sa", 0.2), ("aa", 1, "z", 0.1)]
-    model = language.Languages(rows, 1e-6)
+    table = lambda some: pa.table({n: pa.array([r[i] for r in some], t) for i, (n, t) in enumerate((("lang", pa.string()), ("size", pa.int32()), ("gram", pa.string()), ("share", pa.float64())))})
+    model = pickle.loads(pickle.dumps(language.Languages(table(rows), 1e-6)))
     named, scores = language.classify([None, "", "123 !?", "hello", "SALUT", "hexx", "saxx"], model, language.rows_of(model))
     assert named == ["und", "und", "und", "aa", "bb", "aa", "bb"] and scores[:3] == [0, 0, 0] and all(0 < s <= 1 for s in scores[3:])
-    assert language.classify(["x"], language.Languages([], 1e-6), None)[0] == ["und"]
+    assert language.classify(["x"], language.Languages(table([]), 1e-6), None)[0] == ["und"]
     assert language.classify(["²", "½ ①", "Ⅷ", "_ 9"], model, language.rows_of(model)) == (["und"] * 4, [0.0] * 4)
     assert letter_words("Ab²ab x½ É_é") == {"ab": 2, "x": 1, "é": 2}
 
