@@ -12,7 +12,7 @@ def covered_join(df: DataFrame, block: DataFrame, keys: list[str]) -> DataFrame:
     joined = df.join(once, keys, "left")
     at = F.concat_ws("/", *[F.col(k).cast("string") for k in keys])
     fault = F.when(F.col("_times").isNull(), F.raise_error(F.concat(F.lit("no row of the block for "), at))).when(F.col("_times") > 1, F.raise_error(F.concat(F.lit("several rows of the block for "), at)))
-    return joined.where(F.coalesce(fault, F.lit(True).cast("string")).isNotNull()).drop("_times")
+    return joined.where(fault.isNull()).drop("_times")
 
 
 def closed(x: Column, values: list[str]) -> Column:

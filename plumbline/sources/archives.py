@@ -55,3 +55,28 @@ def read_zip_members(spark: SparkSession, path: str, pattern: str) -> DataFrame:
 def digests(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """(path, length, digest) of files."""
     return _files(spark, path, glob).select("path", "length", F.sha2("content", 256).alias("digest"))
+
+
+def pinned(found: DataFrame, digests_: dict[str, str]) -> DataFrame:
+    """The files (path, digest), an error where one differs from the digest stated for its name."""
+    name = F.element_at(F.split("path", "/"), -1)
+    stated = F.element_at(F.create_map(*[F.lit(x) for pair in digests_.items() for x in pair]), name)
+    fault = F.when(stated != F.col("digest"), F.raise_error(F.concat(F.lit("digest of "), name, F.lit(" differs"))))
+    return found.where(fault.isNull())
+
+
+def add_members(members: DataFrame, path: str) -> int:
+    """Append members (member, content, digest) that the target lacks and return how many; one that is there with other bytes is an error, and nothing is ever overwritten."""
+    spark = members.sparkSession
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        there = spark.read.parquet(path).select("member", F.col("digest").alias("there"))
+        differs = members.join(there, "member").where("digest <> there").select("member").orderBy("member").limit(5).collect()
+        if differs:
+            raise ValueError(f"members with other bytes: {', '.join(r['member'] for r in differs)}")
+        members = members.join(there, "member", "left_anti")
+    n = members.count()
+    if n:
+        members.write.mode("append").parquet(path)
+    return n

@@ -64,6 +64,21 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Nested reports by a stated schema; fields are read by their path."""
+    return spark.read.schema(schema).json(path)
+
+
+def tagged(files: DataFrame, path: str, model: str | None = None, dataset: str | None = None, suffix: str = "_K5") -> DataFrame:
+    """Files of run folders named model_dataset with a suffix, by either part."""
+    name = F.element_at(F.split(path, "/"), -1)
+    parts = F.split(F.substring_index(name, suffix, 1), "_")
+    kept = files.where(F.endswith(name, F.lit(suffix)))
+    for at, wanted in ((0, model), (1, dataset)):
+        kept = kept if wanted is None else kept.where(F.get(parts, F.lit(at)) == wanted)
+    return kept
+
+
 def union_runs(frames: list[DataFrame]) -> DataFrame:
     """Ragged runs, one below the other; a detector that a run lacks is NULL."""
     out = frames[0]

@@ -1,5 +1,6 @@
 """Operators on small frames: ties, edges, missing values, empty groups, identities."""
 
+import re
 import zipfile
 from datetime import datetime
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays, scalar
-from plumbline.operators import bins, bootstrap, learning, metrics, sampling, tokens
+from plumbline.operators import bins, bootstrap, joins, learning, matching, metrics, ranks, sampling, tokens
 from plumbline.sources import archives, tables
 
 
@@ -29,13 +30,23 @@ def test_auc_ties_missing_and_single_class(spark):
     assert got == {"a": 0.875, "b": None, "c": 0.5}
 
 
-@pytest.mark.parametrize("buckets", [1, 7, 128])
-def test_auc_any_bucketing_and_negation(spark, buckets):
+@pytest.mark.parametrize("spread", [0, 1e9])
+def test_auc_buckets_and_negation(spark, spread):
+    """One outlier, which cuts by value would give a bucket of its own, changes nothing."""
     rng = np.random.default_rng(1)
     y, s = rng.integers(0, 2, 200), np.round(rng.standard_normal(200), 1)
+    s[7] += spread
     df = spark.createDataFrame(pd.DataFrame({"y": y, "s": s, "t": -s}))
-    a = metrics.auc(df, [], "s", "y", buckets).first().auc
-    assert a == pytest.approx(plain_auc(y, s)) and metrics.auc(df, [], "t", "y", buckets).first().auc == pytest.approx(1 - a)
+    a = metrics.auc(df, [], "s", "y").first().auc
+    assert a == pytest.approx(plain_auc(y, s)) and metrics.auc(df, [], "t", "y").first().auc == pytest.approx(1 - a)
+    order = np.argsort(-s, kind="stable")
+    values = sorted(set(s[order]), reverse=True)
+    tp = n = ap = 0
+    for v in values:
+        hit = y[s == v].sum()
+        tp, n = tp + hit, n + (s == v).sum()
+        ap += hit * tp / n
+    assert metrics.average_precision(df, [], "s", "y").first().ap == pytest.approx(ap / y.sum()) == pytest.approx(learning.precision(y, s))
 
 
 def test_average_precision(spark):
@@ -68,7 +79,7 @@ def test_points_on_span_edges(spark):
 
 @pytest.mark.parametrize("n", [4, 5, 7, 9, 10])
 def test_tertiles_like_ranked_quantiles(spark, n):
-    got = [r.tertile for r in bins.tertiles(spark.range(n).withColumn("g", F.lit(1)), ["g"], ["id"]).orderBy("id").collect()]
+    got = [r.tertile for r in bins.tertiles(spark.range(n).withColumn("g", F.lit(1)), ["g"], "id", ()).orderBy("id").collect()]
     places = np.arange(n)  # right-closed at the thirds of the ranks, in whole numbers
     assert got == (1 + (3 * places > n - 1) + (3 * places > 2 * (n - 1))).tolist()
     assert got == (pd.qcut(pd.Series(range(n)).rank(method="first"), 3, labels=False) + 1).tolist() or (n - 1) % 3 == 0  # there, its edges are rounded
@@ -85,7 +96,81 @@ def test_donor_fallback(spark):
     rows = [("a", "s1", "dev", 3), ("b", "s2", "dev", 1), ("c", "s2", "dev", 2), ("d", "s3", "test", 9), ("e", "s1", "dev", 9)]
     df = spark.createDataFrame([(i, *r[1:]) for i, r in enumerate(rows)], "id long, source string, split string, k long")
     got = {r.id: (r.donor, r.fallback) for r in sampling.donors(df, "id", "source", "split", "k").collect()}
-    assert got[0] == (2, True) and got[4] == (2, True) and 3 not in got and not got[1][1] and got[1][0] in (0, 4)
+    assert got[0] == (2, True) and got[4] == (2, True) and got[2][0] in (0, 4) and not got[2][1]
+    assert set(got) == {0, 2, 4}  # one window needs no donor, and 3 has no other source
+
+
+def test_donors_against_all_pairs(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i * 3 + 1, f"s{min(int(rng.integers(0, 6)), 3)}", int(rng.integers(0, 2)), int(rng.integers(0, 7))) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, source string, split long, k long")
+    got = {r.id: (r.donor, r.donor_k, r.fallback) for r in sampling.donors(df, "id", "source", "split", "k").collect()}
+    draw = lambda i: (i * 1_103_515_245 + 12_345) % 2_147_483_648 // 65_536
+    want = {}
+    for i, src, part, k in rows:
+        others = [(-d[3], d[0]) for d in rows if k >= 2 and d[3] >= 2 and d[1] != src and d[2] == part]
+        fit = sorted(x for x in others if -x[0] >= k)
+        if fit:
+            x = fit[draw(i) % len(fit)]
+            want[i] = (x[1], -x[0], False)
+        elif others:
+            x = max((-a, b) for a, b in others)
+            want[i] = (x[1], x[0], True)
+    assert got == want and 0 < len(want) < len(rows)
+
+
+def test_count_upto(spark):
+    rng = np.random.default_rng(9)
+    marks, asked = [("a", int(v)) for v in rng.integers(0, 50, 200)], [("a", int(v), i) for i, v in enumerate(rng.integers(0, 60, 40))] + [("b", 5, 99)]
+    got = ranks.count_upto(spark.createDataFrame(marks, "g string, v long"), spark.createDataFrame(asked, "g string, v long, id int"), ["g"], "v", "n", width=8).collect()
+    assert {r.id: r.n for r in got} == {i: sum(g == h and w <= v for h, w in marks) for g, v, i in asked}
+
+
+def test_numbered_with_ties_and_outliers(spark):
+    rows = [("a", v, i) for i, v in enumerate([3.0, 1e12, 3.0, -5.0, 3.0, 0.0, 2.0] * 30)]
+    got = ranks.numbered(spark.createDataFrame(rows, "g string, v double, i int"), ["g"], "v", "n", ("i",)).collect()
+    assert {r.i: r.n for r in got} == {i: n for n, (_, _, i) in enumerate(sorted(rows, key=lambda r: (r[1], r[2])))}
+
+
+def test_passages_met_by_words(spark):
+    docs = [(1, "xx one two three four five yy"), (2, "one two three four five"), (3, "a short one"), (4, None), (5, "bone two three four fives")]
+    passages = [(1, "one two three four five"), (2, "short"), (3, "two three"), (4, "never there at all here")]
+    got = matching.containing(spark.createDataFrame(docs, "doc_id int, t string"), spark.createDataFrame(passages, "item_id int, text string")).collect()
+    assert {(r.doc_id, r.item_id, r.place) for r in got} == {(d, i, (t or "").index(p) + 1) for d, t in docs for i, p in passages if p in (t or "")}
+
+
+def test_joins_that_raise(spark):
+    left = spark.createDataFrame([(1, 1), (1, 2)], "a int, b int")
+    block = spark.createDataFrame([(1, 1, 5), (1, 2, 6), (9, 9, 7)], "a int, b int, v int")
+    assert sorted(one(joins.covered_join(left, block, ["a", "b"]))) == [(1, 1, 5), (1, 2, 6)]
+    for bad in (block.where("b = 1"), block.unionByName(block.where("b = 1"))):
+        with pytest.raises(Exception, match="of the block for 1/"):
+            joins.covered_join(left, bad, ["a", "b"]).collect()
+    named = spark.createDataFrame([("x",), ("y",)], "t string")
+    assert named.select(joins.closed(F.col("t"), ["x", "y"])).count() == 2
+    with pytest.raises(Exception, match="unknown value: y"):
+        named.select(joins.closed(F.col("t"), ["x"])).collect()
+
+
+def test_token_places(spark):
+    texts = [None, "", "  ", "a", " ab  c\nd ", "é🙂 x\u00a0y z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", "t", tokens.offsets("t").alias("o"))
+    for r in df.collect():
+        spans = list(zip(r.o.starts, r.o.ends, strict=True))
+        assert [(r.t or "")[a:b] for a, b in spans] == re.findall(r"[^ \t\n\x0b\f\r]+", r.t or "")
+    kept = df.where("i = 4").select(tokens.kept_context(F.col("t"), F.col("o.ends"), 2), tokens.kept_context(F.col("t"), F.col("o.ends"), 9), tokens.first_tokens(F.col("t"), F.col("o.ends"), F.lit(1)))
+    assert one(kept) == [(" ab  c", " ab  c\nd ", " ab")]
+
+
+def test_signal_lengths_and_nulls(spark):
+    from plumbline.operators.signal import causal_rows, high_pass
+
+    rows = [(0, [1.0, -1.0, 1.0, -1.0]), (1, None), (2, []), (3, [1.0, 2.0, 3.0]), (4, [1.0, -1.0, 1.0, -1.0])]
+    got = {r.i: r.h for r in spark.createDataFrame(rows, "i int, x array<double>").select("i", high_pass("x").alias("h")).collect()}
+    assert got[0] == got[4] == pytest.approx(2.0) and got[1] is None and got[2] is None and got[3] == pytest.approx(0.0)
+    q = spark.createDataFrame([([1.0, 0.0], [1.0, 0.0, 0.0, 1.0]), (None, [1.0, 0.0])], "q array<double>, k array<double>").select(causal_rows(2)("q", "k").alias("w")).collect()
+    e = np.exp(1 / np.sqrt(2))
+    assert q[0].w == pytest.approx([e / (e + 1), 1 / (e + 1)]) and q[1].w is None
 
 
 def test_bootstrap_identity_and_replication(spark):
@@ -132,15 +217,104 @@ def test_linear_meets_its_objective():
     assert learning.auc(y, m.score(x)) == pytest.approx(plain_auc(y, m.score(x)))
 
 
+def gated(n=240, seed=0):
+    rng = np.random.default_rng(seed)
+    x, gate = rng.standard_normal((n, 2)), rng.standard_normal(n)
+    return x, (np.where(gate > 0, x[:, 0], -x[:, 0]) > 0).astype(int), gate, np.arange(n) % 4
+
+
 def test_gates():
-    rng = np.random.default_rng(0)
-    x, gate = rng.standard_normal((200, 2)), rng.standard_normal(200)
-    y = (np.where(gate > 0, x[:, 0], -x[:, 0]) > 0).astype(int)
-    fold = np.arange(200) % 4
-    assert learning.auc(y, learning.HardGate().fit(x, y, gate, fold).score(x, gate)) > 0.85 > learning.auc(y, learning.Linear().fit(x, y).score(x))
+    x, y, gate, fold = gated()
+    train = np.ones(len(y), bool)
+    assert learning.auc(y, learning.hard_gated(x, x, y, gate, train, fold)) > 0.85 > learning.auc(y, learning.Linear().fit(x, y).score(x))
+    with pytest.raises(ValueError):
+        learning.soft_gated(x, np.ones(len(y)), slice(0, 1), train)
+
+
+def test_hard_gate_rules():
+    x, y, gate, fold = gated()
+    gate, train = np.round(gate, 1), np.ones(len(gate), bool)
+    tau = float(np.median(gate))
+    low, high = x[:, :1], x[:, 1:]
+    want = np.where(gate >= tau, learning.Linear().fit(high[gate >= tau], y[gate >= tau]).score(high), learning.Linear().fit(low[gate < tau], y[gate < tau]).score(low))
+    assert (gate == tau).any() and np.allclose(learning.experts(tau, low, high, y, gate, train), want)  # equal goes high
+    aucs = np.array([[0.9, 0.6, 0.7], [np.nan, 0.6, 0.6]])
+    assert learning.chosen_threshold(aucs, gate) == np.quantile(gate, learning.QUANTILES[2])  # a failing fold rules out
     with pytest.raises(ValueError):
-        learning.soft_gated(x, np.ones(200), slice(0, 1), np.ones(200, bool))
-    assert learning.HardGate(least=500).fit(x, y, gate, fold).fitted is None
+        learning.chosen_threshold(np.full((2, 3), np.nan), gate)
+    assert learning.experts(float(np.sort(gate)[5]), x, x, y, gate, train) is None
+
+
+@pytest.fixture
+def small_block(spark, monkeypatch):
+    """Two runs with a component that tells the label in either half of the block."""
+    from plumbline.plans import learning as plans
+
+    rng = np.random.default_rng(0)
+    rows = []
+    for run in ("first", "second"):
+        for i in range(240):
+            x = [float(v) for v in rng.standard_normal(32)]
+            x[15], x[31] = i % 2 * 1.5 + rng.standard_normal(), i % 2 * 1.5 + rng.standard_normal()
+            rows.append((run, x, i, f"s{i // 2 % 20}", i % 2, i // 2 % 5, i // 2 % 20 > 14, float(rng.random()), 1000 + i % 3 * 900))
+    df = spark.createDataFrame(rows, "run string, x array<double>, doc_id bigint, source string, label int, fold bigint, test boolean, gate double, n_chars bigint")
+    monkeypatch.setattr(plans, "block", lambda *_: df)
+    pdf = df.toPandas()
+    return plans, {k: plans.Rows(g.assign(held=-1)) for k, g in pdf.groupby("run")}
+
+
+def test_detector_queries_against_plain_fits(spark, small_block):
+    plans, runs = small_block
+    got = {n: {k: g.sort_values("doc_id").score.to_numpy() for k, g in getattr(plans, n)(spark, "").toPandas().groupby("run")} for n in ("logreg_detector", "oof_scores", "soft_gate", "hard_gate")}
+    for run, r in runs.items():
+        t, x, y = r.train, r.x, r.y
+        c = learning.tune(x[t], y[t], r.fold[t])
+        assert np.allclose(got["logreg_detector"][run], learning.Linear(c).fit(x[t], y[t]).score(x), atol=2e-6)
+        c = learning.tune(x[t], y[t], r.fold[t], learning.SHORT_GRID)
+        want = learning.Linear(c).fit(x[t], y[t]).score(x)
+        want[t] = learning.out_of_fold(x[t], y[t], r.fold[t], c)
+        assert np.allclose(got["oof_scores"][run], want, atol=2e-6)
+        wide = learning.soft_gated(x, r.gate, slice(None), t)
+        assert np.allclose(got["soft_gate"][run], learning.Linear().fit(wide[t], y[t]).score(wide), atol=2e-6)
+        assert np.allclose(got["hard_gate"][run], learning.hard_gated(x[:, :16], x[:, 16:], y, r.gate, t, r.fold), atol=2e-6)
+        assert all(learning.auc(y[~t], s[run][~t]) > 0.75 for s in got.values())
+
+
+def test_fold_tables_and_selector(spark, small_block):
+    plans, runs = small_block
+    table = plans.dev_cv(spark, "").toPandas()
+    summary = plans.method_summary(spark, "").toPandas().set_index(["run", "method"])
+    picked = plans.redeep_selector(spark, "").toPandas().set_index("run")
+    report = plans.probability_report(spark, "").toPandas().set_index("run")
+    assert len(table) == 2 * plans.FOLDS * len(plans.METHODS)
+    for run, r in runs.items():
+        own = table[table.run == run]
+        for f in range(plans.FOLDS):
+            m, v = r.train & (r.fold != f), r.train & (r.fold == f)
+            want = learning.auc(r.y[v], learning.Linear().fit(r.x[m], r.y[m]).score(r.x[v]))
+            assert own[(own.method == "plain") & (own.fold == f)].auc.iloc[0] == pytest.approx(want, abs=2e-6)
+        plain = own[own.method == "plain"].auc
+        assert summary.loc[(run, "plain")]["mean"] == pytest.approx(plain.mean(), abs=2e-6) and summary.loc[(run, "plain")]["sd"] == pytest.approx(plain.std(ddof=0), abs=2e-6) and summary.loc[(run, "plain")]["better"] == 0
+        best = (-1.0, None)
+        for n, m, b in learning.SETTINGS:
+            if n <= 24:
+                total = 0.0
+                for f in range(plans.FOLDS):
+                    fit, v = r.train & (r.fold != f), r.train & (r.fold == f)
+                    r_of = lambda z: np.corrcoef(np.column_stack([z[fit], r.y[fit]]).T)[-1, :-1]  # noqa: B023, E731
+                    e, p = np.argsort(r_of(r.x[:, :24]), kind="stable")[:n], np.argsort(-r_of(r.x[:, 24:]), kind="stable")[:m]
+                    es, ps = r.x[v][:, e].sum(1), r.x[v][:, 24 + p].sum(1)
+                    total += learning.auc(r.y[v], -es if np.isinf(b) else ps - b * es)
+                if total > best[0] + 1e-9:
+                    best = (total, (n, m, b))
+        assert tuple(picked.loc[run][["n", "m", "beta"]]) == best[1]
+        t = r.train
+        p = learning.Linear(learning.tune(r.x[t], r.y[t], r.fold[t])).fit(r.x[t], r.y[t]).score(r.x[~t])
+        assert report.loc[run].auc == pytest.approx(learning.auc(r.y[~t], p), abs=2e-6) and report.loc[run].ap == pytest.approx(learning.precision(r.y[~t], p), abs=2e-6)
+    moved = plans.transfer(spark, "").toPandas().set_index("variant")
+    assert set(moved.index) == {"first", "second"} and moved.n_train.nunique() == 1 and moved.loc["first"].auc > 0.7
+    seeds = plans.oof_robustness(spark, "").toPandas()
+    assert len(seeds) == len(plans.SEEDS) and (seeds["first"] > 0.75).all() and np.allclose(seeds.gap, seeds.second - seeds["first"], atol=3e-6)
 
 
 def test_folds_keep_groups_and_balance():
@@ -180,28 +354,74 @@ def test_streams(spark, tmp_path):
 def test_displaced_prefix_limits_cases_not_donors(spark, tmp_path):
     from plumbline.plans import windows
 
-    sizes = [100, 700, 1800, 1801, 3000, 0, 50, 1200, 20, 2500]
+    sizes = [100, 700, 1800, 1801, 3000, 0, 50, 1200, 20, 2500] + [3] * 60
     rows = [(i, " ".join(["w"] * n), f"s{i % 3}", max(2 * n - 1, 0)) for i, n in enumerate(sizes)]
     spark.createDataFrame(rows, "doc_id bigint, text string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     want = set()
     for a, n in enumerate(sizes):
         if 0 < n <= 1800:
+            ring = sorted((b for b in range(len(sizes)) if sizes[b] and (a - b) % 2 == 0), key=lambda b: (b * 7919 % 1_000_003, b))
+            start = (a * 1_103_515_245 + 12_345) % 2_147_483_648 // 65_536 % len(ring)
             before = 0
-            for b in sorted((b for b in range(len(sizes)) if sizes[b] and (a - b) % 2 == 0 and (a - b) % 3), key=lambda b: ((b * 7919 + a * 104_729) % 1_000_003, b)):
-                if before < 1808:
+            for b in ring[start:] + ring[:start]:
+                if (a - b) % 3 and before < 1808:
                     want.add((a, b, before, min(sizes[b], 1808 - before)))
-                before += sizes[b]
+                    before += sizes[b]
     assert {w[0] for w in want} >= {1, 2, 7} and {w[1] for w in want} >= {3, 4}
     assert set(one(windows.displaced_prefix(spark, str(tmp_path)))) == want
 
 
-@pytest.mark.parametrize("name", ["logreg_detector", "soft_gate", "hard_gate"])
-def test_detectors_read_the_whole_block(spark, monkeypatch, name):
-    from plumbline.plans import learning as plans
-
-    rng = np.random.default_rng(0)
-    rows = [("all", i, i % 2, i // 2 % 5, i % 8 > 5, [float(v) for v in rng.standard_normal(39)] + [i % 2 * 4.0 + rng.random()], float(rng.random())) for i in range(240)]
-    df = spark.createDataFrame(rows, "run string, doc_id bigint, label int, fold int, test boolean, x array<double>, gate double")
-    monkeypatch.setattr(plans, "block", lambda *_: df)
-    got = getattr(plans, name)(spark, "").where("test").toPandas()
-    assert learning.auc(got.label.to_numpy(), got.score.to_numpy()) > 0.95
+def test_sinks_and_logs(spark, tmp_path):
+    """Every sink is read back by its scan."""
+    df = spark.createDataFrame([(1, "m1", 0.5), (2, "m2", None)], "id int, model string, s double")
+    at = lambda n: str(tmp_path / n)
+    tables.write_block(df, at("block"), "model")
+    tables.write_block(df.where("id = 1").withColumn("s", F.lit(9.0)), at("block"), "model")  # replaces its own partition alone
+    assert sorted(one(spark.read.parquet(at("block")).select("id", "s"))) == [(1, 9.0), (2, None)]
+    tables.write_once(df, at("once/features_a.parquet"))
+    tables.write_once(df.limit(0), at("once/features_a.parquet"))
+    assert tables.read_runs(spark, at("once"), "*.parquet").count() == 2
+    tables.write_scores(df, at("scores"))
+    assert any(f.name.endswith(".csv.gz") for f in (tmp_path / "scores").iterdir())
+    assert sorted(one(spark.read.schema(df.schema).csv(at("scores"), header=True))) == sorted(one(df), key=str)
+    tables.append_log(spark.createDataFrame([("a_x_K5", "a", "x", 2.0, None), ("b_x_K5", "b", "x", 1.0, 5)], "tag string, model string, dataset string, minutes double, max_cases int"), at("log"))
+    tables.append_log(spark.createDataFrame([("c_y_K5", "c", "y", 3.0, 0)], "tag string, model string, dataset string, minutes double, max_cases int"), at("log"))
+    assert sorted(r.tag for r in tables.read_run_log(spark, at("log")).collect()) == ["a_x_K5", "c_y_K5"]
+    nested = df.select(F.struct("id", F.struct("s").alias("inner")).alias("report"))
+    tables.write_report(nested, at("report"))
+    assert sorted(r[0] for r in tables.read_report(spark, at("report"), "report struct<id: int, inner: struct<s: double>>").select("report.id").collect()) == [1, 2]
+    both = tables.union_runs([df, df.select("id", F.lit(1).alias("extra"))])
+    assert both.columns == ["id", "model", "s", "extra"] and both.count() == 4 and both.where("extra is null").count() == 2
+    text = tables.render_markdown(df.orderBy("id"))
+    assert text.split("\n") == ["| id | model | s |", "| --- | --- | --- |", "| 1 | m1 | 0.5 |", "| 2 | m2 |  |"]
+    assert sorted(r.path.rsplit("/", 1)[1] for r in tables.tagged(spark.createDataFrame([("/r/a_x_K5",), ("/r/b_y_K5",), ("/r/zz",)], "path string"), "path", dataset="x").collect()) == ["a_x_K5"]
+
+
+def test_digests_and_members(spark, tmp_path):
+    (tmp_path / "a.bin").write_bytes(b"one")
+    (tmp_path / "b.bin").write_bytes(b"two")
+    found = archives.digests(spark, str(tmp_path), "*.bin")
+    pins = {r.path.rsplit("/", 1)[1]: r.digest for r in found.collect()}
+    assert len(set(pins.values())) == 2 and archives.pinned(found, pins).count() == 2
+    with pytest.raises(Exception, match="digest of a.bin"):
+        archives.pinned(found, pins | {"a.bin": "0"}).collect()
+    with zipfile.ZipFile(tmp_path / "z.zip", "w") as z:
+        z.writestr("results/x/data.txt", "hi")
+        z.writestr("results/y/data.txt", "ho")
+    members = archives.read_zip_members(spark, str(tmp_path), r"results/\w+/data\.txt").select("member", "content", "digest")
+    target = str(tmp_path / "kept")
+    assert archives.add_members(members, target) == 2 and archives.add_members(members, target) == 0
+    assert spark.read.parquet(target).count() == 2
+    with pytest.raises(ValueError, match="results/x/data.txt"):
+        archives.add_members(members.withColumn("digest", F.lit("other")), target)
+
+
+def test_config(tmp_path):
+    from plumbline.sources.config import Config
+
+    assert Config().width == 1800 and Config().replaced(width=512, models=["m"]).models == ("m",)
+    (tmp_path / "c.json").write_text('{"params": {"width": 900, "seed": 7}, "models": ["a", "b"]}')
+    c = Config.read(str(tmp_path / "c.json"))
+    assert (c.width, c.seed, c.models) == (900, 7, ("a", "b"))
+    with pytest.raises(ValueError, match="wide"):
+        Config().replaced(wide=1)
