@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.lineage import written
+
 BUCKETS = 64
 
 
@@ -37,3 +42,23 @@ def count_upto(marks: DataFrame, asked: DataFrame, keys: list[str], by: str, nam
     upto = Window.partitionBy(*keys, "_b").orderBy(by, "_ask").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     run = rows.withColumn("_run", F.sum("_c").over(upto)).where("_ask = 1").join(before, [*keys, "_b"])
     return run.select(*keys, by, *rest, (F.col("_before") + F.col("_run")).cast("long").alias(name))
+
+
+def placed(df: DataFrame, keys: list[str], order: list[str], name: str = "at", size: str = "size", write: Callable[[DataFrame], DataFrame] = written) -> DataFrame:
+    """Adds ``name``, the place (from 0) of each row in its group by ``order`` (NULL first), and ``size``, how many rows the group has.
+
+    The rows are dealt and sorted by ranges of keys and order, and written with their places in their tasks; a group of any
+    size spans many tasks. Only (group, task) pairs are numbered by windows. Rows that are equal in all of it are told
+    apart by where they were read, so a third of all rows may be one.
+    """
+    by = [*keys, *order, "_read"]
+    dealt = df.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_read")
+    rows = write(dealt.withColumn("_here", F.monotonically_increasing_id()))
+    task, place = F.shiftright("_here", 33), F.col("_here").bitwiseAND(F.lit((1 << 33) - 1))
+    parts = rows.groupBy(*keys, task.alias("_task")).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    group = Window.partitionBy(*keys)
+    before = F.sum("_n").over(group.orderBy("_task")) - F.col("_n") - F.col("_first")
+    # written, so that its size is known when the join is planned: as many rows as tasks and groups
+    starts = write(parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_task", before.alias("_before"), F.sum("_n").over(group).alias(size)))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], task == F.col("_task"))
+    return rows.join(starts, same).select(*df.columns, (F.col("_before") + place).alias(name), size)
