@@ -121,3 +121,24 @@ def merkle_manifest(fanout: int = 16) -> str:
     e AS (SELECT f.g, f.pos, v FROM f JOIN w ON w.g = f.g AND w.pos = f.pos WHERE i = len(w.a) + 1)
     SELECT w.doc_id, w.h AS leaf, subs.h AS subroot, (SELECT h FROM u WHERE n = 1) AS root, sha256(array_to_string(list_transform(range(1, len(a) + 1), lambda i: a[i] || b[i]), '')) AS proof_sha256, e.v AS folded_root, e.v = (SELECT h FROM u WHERE n = 1) AS verified
     FROM w JOIN subs ON subs.own = w.g JOIN e ON e.g = w.g AND e.pos = w.pos"""
+
+
+def conversation_repair() -> str:
+    """Whole conversations row by row, with what is repaired so far beside each state; no pieces."""
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc32("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS f FROM conversations),
+    d AS (SELECT conv_id, turn, CASE f WHEN 4 THEN 'user' ELSE role END AS role, CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE f WHEN 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE f <> 0),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(role) || ':' || role || text), copy) AS k, left(role, 1) AS i FROM d),
+    s AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) > 1 AS seen, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS prior FROM o),
+    r AS (SELECT *, CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'b' WHEN seen THEN 'd' WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') THEN 't' ELSE '' END AS fault FROM s),
+    ins(p, q, e, made, c) AS (VALUES (0, 0, '', []::VARCHAR[], 0), (1, 1, '', [], 0), (2, 2, '', [], 0), (3, 3, '', [], 0), (0, 2, 'I', ['user:'], 5), (1, 2, 'I', ['user:'], 5), (3, 2, 'I', ['user:'], 5), (2, 3, 'I', ['assistant:'], 5)),
+    t AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, 0 AS state, {{'cost': 0, 'audit': '', 'out': []::VARCHAR[]}} AS b FROM conversations UNION ALL
+        SELECT conv_id, k, state, min({{'cost': cost, 'audit': audit, 'out': "out"}}) FROM (
+            SELECT t.conv_id, r.k, x.state, b.cost + ins.c + x.cost AS cost, b.audit || e || x.edit AS audit, b."out" || made || x.line AS "out" FROM t JOIN r ON r.conv_id IS NOT DISTINCT FROM t.conv_id AND r.k = t.k + 1 JOIN ins ON ins.p = t.state,
+            LATERAL (SELECT ins.q AS state, 2 AS cost, 'D' AS edit, []::VARCHAR[] AS line
+                UNION ALL SELECT CASE r.i WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END, CASE r.fault WHEN 't' THEN 5 ELSE 0 END, 'K', [r.role || ':' || r.text] WHERE r.fault NOT IN ('b', 'd') AND ((r.i = 's' AND ins.q = 0) OR (r.i = 'u' AND ins.q <> 2) OR (r.i = 'a' AND ins.q = 2))
+                UNION ALL SELECT CASE ins.q WHEN 2 THEN 3 ELSE 2 END, CASE r.fault WHEN 't' THEN 6 ELSE 1 END, 'R', [CASE ins.q WHEN 2 THEN 'assistant:' ELSE 'user:' END || r.text] WHERE r.fault NOT IN ('b', 'd')) x) GROUP BY conv_id, k, state),
+    n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate, count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (k > 1 AND prior || i NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id),
+    z AS (SELECT t.conv_id, min({{'cost': b.cost + CASE state WHEN 2 THEN 5 ELSE 0 END, 'audit': b.audit || CASE state WHEN 2 THEN 'I' ELSE '' END, 'out': b."out" || CASE state WHEN 2 THEN ['assistant:'] ELSE [] END}}) AS b
+        FROM t LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM t.conv_id WHERE t.k = coalesce(n.n, 0) AND state <> 1 GROUP BY t.conv_id)
+    SELECT z.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, b.cost::BIGINT AS cost, b.audit AS audit, sha256(array_to_string(b."out", chr(10))) AS repaired_sha256
+    FROM z LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM z.conv_id"""
