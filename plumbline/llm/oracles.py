@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from plumbline.llm.chat_template import BOS, CONTROLS, END, EOS, SEP, START
 from plumbline.llm.mixing import BLOCK, PRIME, REPEATS, ROUNDS, SEED, SLOTS, WEIGHTS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -142,3 +143,12 @@ def conversation_repair() -> str:
         FROM t LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM t.conv_id WHERE t.k = coalesce(n.n, 0) AND state <> 1 GROUP BY t.conv_id)
     SELECT z.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, b.cost::BIGINT AS cost, b.audit AS audit, sha256(array_to_string(b."out", chr(10))) AS repaired_sha256
     FROM z LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM z.conv_id"""
+
+
+def chat_format() -> str:
+    """Turns and learned texts from the table itself; the formatted length from what escaping adds: a sign for each backslash and each control string."""
+    some = lambda t, c: f"(length({t}) - length(replace({t}, '{c}', ''))) // {len(c)}"
+    size = lambda t: f"length({t}) + {' + '.join(some(t, c) for c in (chr(92), *CONTROLS))}"
+    return f"""WITH r AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]')
+    SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+    sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, ({len(BOS) + len(EOS)} + sum({len(START + SEP + END)} + {size('role')} + {size('text')}))::BIGINT AS formatted_chars FROM r GROUP BY conv_id"""

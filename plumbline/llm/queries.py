@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import language, oracles, pu_quality, toxicity
 from plumbline.llm.bpe import encode_documents
+from plumbline.llm.chat_template import format_conversations, read_back
 from plumbline.llm.conversation_repair import damaged, repair_conversations
 from plumbline.llm.line_templates import drop_templates
 from plumbline.llm.merkle import merkle_manifest, proof_digest
@@ -84,10 +85,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return proved.select("doc_id", "leaf", "subroot", "root", proof_digest(F.col("lefts"), F.col("rights")).alias("proof_sha256"), F.col("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"))
 
 
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of number -1 whose texts look like control strings."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
+    return read_back(format_conversations(rows.unionByName(hard)))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     return repair_conversations(damaged(rows), rows)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pu_quality, op4_bpe_encode_decode, op5_minhash_near_dedup, op6_toxicity, op7_language_id, op8_line_templates, op9_nearest_neighbours, op10_suffix_dedup, op11_merkle_manifest, op13_conversation_repair)}
-ORACLE_SQL = {"op2_mix_sources": oracles.mix_sources(), "op5_minhash_near_dedup": oracles.near_duplicates(2, 80), "op8_line_templates": oracles.line_templates(), "op10_suffix_dedup": oracles.repeated_spans(), "op11_merkle_manifest": oracles.merkle_manifest(), "op13_conversation_repair": oracles.conversation_repair()}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_mix_sources, op3_pu_quality, op4_bpe_encode_decode, op5_minhash_near_dedup, op6_toxicity, op7_language_id, op8_line_templates, op9_nearest_neighbours, op10_suffix_dedup, op11_merkle_manifest, op12_chat_format, op13_conversation_repair)}
+ORACLE_SQL = {"op2_mix_sources": oracles.mix_sources(), "op5_minhash_near_dedup": oracles.near_duplicates(2, 80), "op8_line_templates": oracles.line_templates(), "op10_suffix_dedup": oracles.repeated_spans(), "op11_merkle_manifest": oracles.merkle_manifest(), "op12_chat_format": oracles.chat_format(), "op13_conversation_repair": oracles.conversation_repair()}
