@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StructField, StructType
 
 BLANKS = np.array([32, 9, 10, 11, 12, 13], np.uint32)
 
@@ -43,6 +43,13 @@ def offsets(text: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"starts": starts, "ends": ends})
 
 
+@pandas_udf(ArrayType(BooleanType()))
+def stops_at(text: pd.Series, places: pd.Series) -> pd.Series:
+    """Per place whether a stop (one of ``.!?``) stands there, in one pass over the text's code points."""
+    stops = np.array([ord(c) for c in ".!?"], np.uint32)
+    return pd.Series([np.isin(np.frombuffer((t or "").encode("utf-32-le"), np.uint32)[np.asarray(p, int)], stops) for t, p in zip(text, places, strict=True)])
+
+
 @pandas_udf(ArrayType(IntegerType()))
 def places_in(text: pd.Series, keys: pd.Series) -> pd.Series:
     """Where each key stands in the text, from 0: behind the one found before it, else anywhere, -1 where nowhere."""
@@ -68,16 +75,6 @@ def first_tokens(text: Column, ends: Column, n: Column) -> Column:
     return F.substring(text, F.lit(1), F.get(ends, (n - 1).cast("int")))
 
 
-def points_in_spans(points: DataFrame, spans: DataFrame, key: str, point: str, start: str, end: str) -> DataFrame:
-    """Rows of ``points`` with the half-open span of the same key that holds them."""
-    return points.join(spans, key).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
-
-
-def overlapping(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """Pairs of spans (a_start, a_end) and (b_start, b_end) of one key that overlap."""
-    return a.join(b, key).where((F.col("b_end") > F.col("a_start")) & (F.col("b_start") < F.col("a_end")))
-
-
 def prefix_until(df: DataFrame, keys: list[str], order: list, size: str, budget: int) -> DataFrame:
     """Rows in order until their sizes reach ``budget``: the rows before which less than that was taken, with what is used of each."""
     before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

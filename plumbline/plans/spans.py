@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar
-from plumbline.operators.tokens import kept_context, offsets, points_in_spans
+from plumbline.operators.intervals import held_points, sentence_places, times_held
+from plumbline.operators.tokens import kept_context, offsets, stops_at
 from plumbline.plans.registry import query, table
-from plumbline.plans.windows import SPANS, sentences
+from plumbline.plans.windows import SPANS, sentence_rows
 
 WS = r" \t\n\x0B\f\r"
 #: Tokens with their places, from the runs of tokens and blanks in turn.
@@ -39,27 +40,34 @@ def retained_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "cut", F.length("kept").cast("long").alias("n_chars"), F.md5("kept").alias("digest"))
 
 
-@query(f"""WITH {TOKENS}, {SPANS} SELECT s.doc_id, s.k::BIGINT AS sent, count(*) AS n_tok, min(tok) AS first, max(tok) AS last FROM k JOIN s ON s.doc_id = k.doc_id AND t_start >= s_start AND t_start < s_start + length(piece) GROUP BY 1, 2 HAVING count(*) >= 3""")
+def with_sentences(docs: DataFrame) -> DataFrame:
+    """doc_id, the tokens' starts, and the range of tokens that start inside each sentence."""
+    own = docs.select("doc_id", "text", offsets("text")["starts"].alias("starts"), sentence_places("text").alias("s"))
+    return own.select("doc_id", "text", "starts", held_points("starts", "s.starts", "s.ends").alias("r"))
+
+
+@query(f"""WITH {TOKENS}, {SPANS} SELECT s.doc_id, s.k::BIGINT AS sent, count(*) AS n_tok, min(tok) AS first, max(tok) AS last FROM k JOIN s ON s.doc_id = k.doc_id AND t_start >= s_start AND t_start < s_end GROUP BY 1, 2 HAVING count(*) >= 3""")
 def sentence_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tokens that start inside each sentence; sentences of fewer than three are skipped."""
-    docs = table(spark, sf_dir, "documents")
-    held = points_in_spans(token_table(docs), sentences(docs), "doc_id", "t_start", "s_start", "s_end")
-    found = held.groupBy("doc_id", F.col("k").cast("long").alias("sent")).agg(F.count(F.lit(1)).alias("n_tok"), F.min("tok").alias("first"), F.max("tok").alias("last"))
-    return found.where("n_tok >= 3")
+    own = with_sentences(table(spark, sf_dir, "documents")).select("doc_id", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
+    each = sentence_rows(own, "lo", "hi").where("hi - lo >= 3")
+    return each.select("doc_id", F.col("k").alias("sent"), (F.col("hi") - F.col("lo")).cast("long").alias("n_tok"), F.col("lo").cast("long").alias("first"), (F.col("hi") - 1).cast("long").alias("last"))
 
 
-@query(f"""WITH {TOKENS}, {SPANS}, m AS (SELECT k.doc_id, tok, count(s.k) AS n FROM k LEFT JOIN s ON s.doc_id = k.doc_id AND t_start >= s_start AND t_start < s_start + length(piece) GROUP BY 1, 2),
-    z AS (SELECT s.doc_id, s.k, count(k.tok) AS n FROM s LEFT JOIN k ON s.doc_id = k.doc_id AND t_start >= s_start AND t_start < s_start + length(piece) GROUP BY 1, 2)
-    SELECT (SELECT count(*) FROM m) AS n_tokens, (SELECT count(*) FROM m WHERE n = 1) AS in_one, (SELECT count(*) FROM m WHERE n = 0) AS in_none, (SELECT count(*) FROM m WHERE n > 1) AS in_several, (SELECT count(*) FROM z) AS n_spans, (SELECT count(*) FROM z WHERE n = 0) AS empty_spans""")
+@query(f"""WITH {TOKENS}, {SPANS}, m AS (SELECT k.doc_id, tok, t_start, count(s.k) AS n FROM k LEFT JOIN s ON s.doc_id = k.doc_id AND t_start >= s_start AND t_start < s_end GROUP BY 1, 2, 3),
+    z AS (SELECT s.doc_id, s.k, count(k.tok) AS n FROM s LEFT JOIN k ON s.doc_id = k.doc_id AND t_start >= s_start AND t_start < s_end GROUP BY 1, 2)
+    SELECT count(*) AS n_tokens, count(*) FILTER (n = 1) AS in_one, count(*) FILTER (n = 0 AND substr(text, t_start + 1, 1) IN ('.', '!', '?')) AS stops, count(*) FILTER (n = 0 AND substr(text, t_start + 1, 1) NOT IN ('.', '!', '?')) AS in_none, count(*) FILTER (n > 1) AS in_several,
+    (SELECT count(*) FROM z) AS n_spans, (SELECT count(*) FROM z WHERE n = 0) AS empty_spans FROM m JOIN documents USING (doc_id)""")
 def span_coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many tokens lie in exactly one span, and how many spans hold none."""
-    docs = table(spark, sf_dir, "documents")
-    points, spans = token_table(docs), sentences(docs)
-    held = points_in_spans(points, spans, "doc_id", "t_start", "s_start", "s_end")
-    times = held.groupBy("doc_id", "tok").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") == 1).alias("in_one"), F.count_if(F.col("n") > 1).alias("in_several"))
-    used = held.select("doc_id", "k").distinct().agg(F.count(F.lit(1)).alias("used"))
-    sizes = points.agg(F.count(F.lit(1)).alias("n_tokens")).crossJoin(spans.agg(F.count(F.lit(1)).alias("n_spans"))).crossJoin(times).crossJoin(used)  # single rows
-    return sizes.select("n_tokens", "in_one", (F.col("n_tokens") - F.col("in_one") - F.col("in_several")).alias("in_none"), "in_several", "n_spans", (F.col("n_spans") - F.col("used")).alias("empty_spans"))
+    """How many tokens lie in exactly one sentence, are stops between sentences, lie in none or in several, and how many sentences hold none."""
+    own = with_sentences(table(spark, sf_dir, "documents"))
+    own = own.select("starts", "r", F.arrays_zip(times_held("starts", "r.lo", "r.hi").alias("n"), stops_at("text", "starts").alias("stop")).alias("t"))
+    held = F.zip_with("r.lo", "r.hi", lambda a, b: b > a)
+    total = lambda x, f, name: F.sum(F.size(F.filter(x, f))).alias(name)
+    return own.agg(
+        F.sum(F.size("starts")).alias("n_tokens"), total("t", lambda t: t["n"] == 1, "in_one"), total("t", lambda t: (t["n"] == 0) & t["stop"], "stops"), total("t", lambda t: (t["n"] == 0) & ~t["stop"], "in_none"),
+        total("t", lambda t: t["n"] > 1, "in_several"), F.sum(F.size(held)).alias("n_spans"), total(held, lambda x: ~x, "empty_spans"),
+    )
 
 
 @query(f"""WITH p AS (SELECT doc_id, length(text) AS n, regexp_extract_all('Context:' || chr(10) || text || chr(10) || chr(10) || 'Question: ' || source || chr(10) || chr(10) || 'Answer: ', '[^{WS}]+|[{WS}]+') AS p FROM documents),

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from plumbline.functions import scalar
 from plumbline.functions.scalar import rounded
 from plumbline.operators import bins
+from plumbline.operators.intervals import any_in, best_in, held_points, met_spans, sentence_places
 from plumbline.operators.lineage import written
 from plumbline.operators.matching import containing
 from plumbline.operators.sampling import donors, prefix_donors
-from plumbline.operators.tokens import first_tokens, n_windows, offsets, overlapping, places_in, points_in_spans, tokens, windows
+from plumbline.operators.tokens import first_tokens, n_windows, offsets, places_in, tokens, windows
 from plumbline.plans.registry import query, table
 
 TOKENS = r"len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+'))"
@@ -66,37 +67,44 @@ def moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SENTENCE = r"[^.!?\n]+[.!?]*"
-SPANS = f"""s AS (SELECT doc_id, k, piece, sum(length(piece) + 1) OVER (PARTITION BY doc_id ORDER BY k) - length(piece) - 1 AS s_start FROM
-    (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) - 1 AS k FROM (SELECT doc_id, regexp_extract_all(text, '{SENTENCE}') AS p FROM documents)))"""
+#: Sentences with their places: a text falls into sentences and what is between them, and lengths add up to places.
+SPANS = f"""pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM (SELECT doc_id, regexp_extract_all(text, '{SENTENCE}|[.!?\n]+') AS p FROM documents)),
+    ends AS (SELECT doc_id, i, piece, sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY i) AS s_end FROM pieces),
+    s AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, piece, (s_end - length(piece))::BIGINT AS s_start, s_end::BIGINT AS s_end FROM ends WHERE left(piece, 1) NOT IN ('.', '!', '?', chr(10)))"""
 
 
-def sentences(docs: DataFrame) -> DataFrame:
-    """(doc_id, k, piece, s_start, s_end): sentences and their half-open places in the text joined by single signs."""
-    each = docs.select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), F.lit(0))).alias("k", "piece"))
-    run = F.sum(F.length("piece") + 1).over(Window.partitionBy("doc_id").orderBy("k"))
-    placed = each.withColumn("s_start", run - F.length("piece") - 1)
-    return placed.withColumn("s_end", F.col("s_start") + F.length("piece"))
+def sentence_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """One row per element of array columns of equal length: doc_id, k, and the columns' elements."""
+    each = df.select("doc_id", F.posexplode(F.arrays_zip(*columns)).alias("k", "z"))
+    return each.select("doc_id", F.col("k").cast("long").alias("k"), *[F.col(f"z.{c}").alias(c) for c in columns])
+
+
+def with_points(docs: DataFrame) -> DataFrame:
+    """doc_id, places of sentences, every fiftieth sign as sorted points, and the range of points in each sentence."""
+    every = F.when(F.col("n_chars") > 0, F.sequence(F.lit(0), F.col("n_chars").cast("int") - 1, F.lit(50))).otherwise(F.array().cast("array<int>"))
+    own = docs.select("doc_id", sentence_places("text").alias("s"), every.alias("points"))
+    return own.withColumn("r", held_points("points", "s.starts", "s.ends"))
 
 
 @query(f"""WITH {SPANS}, t AS (SELECT doc_id, unnest(range(0, n_chars, 50)) AS p FROM documents) SELECT s.doc_id, s.k::BIGINT AS k, count(*) AS n_points, min(p) AS first, max(p) AS last
-    FROM t JOIN s ON s.doc_id = t.doc_id AND p >= s_start AND p < s_start + length(piece) GROUP BY 1, 2""")
+    FROM t JOIN s ON s.doc_id = t.doc_id AND p >= s_start AND p < s_end GROUP BY 1, 2""")
 def span_token_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points in half-open spans, always by the case first."""
-    docs = table(spark, sf_dir, "documents")
-    spans = sentences(docs)
-    points = docs.where("n_chars > 0").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars") - 1, F.lit(50).cast("long"))).alias("p"))
-    held = points_in_spans(points, spans, "doc_id", "p", "s_start", "s_end")
-    return held.groupBy("doc_id", F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n_points"), F.min("p").alias("first"), F.max("p").alias("last"))
+    """Points in half-open spans, inside each case: a span's points are a range of the sorted ones."""
+    own = with_points(table(spark, sf_dir, "documents")).select("doc_id", "points", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"))
+    own = own.select("doc_id", "lo", "hi", F.transform("lo", lambda i: F.get("points", i)).alias("first"), F.transform("hi", lambda i: F.get("points", i - 1)).alias("last"))
+    each = sentence_rows(own, "lo", "hi", "first", "last").where("hi > lo")
+    return each.select("doc_id", "k", (F.col("hi") - F.col("lo")).cast("long").alias("n_points"), F.col("first").cast("long").alias("first"), F.col("last").cast("long").alias("last"))
 
 
 @query(f"""WITH {SPANS}, b AS (SELECT doc_id, i, i * 300 AS b_start, i * 300 + 120 AS b_end, i % 3 = 0 AS bad FROM (SELECT doc_id, unnest(range(n_chars // 300 + 1)) AS i FROM documents))
-    SELECT s.doc_id, s.k::BIGINT AS k, count(*) AS n_met, bool_or(bad) AS bad FROM s JOIN b ON s.doc_id = b.doc_id AND b_end > s_start AND b_start < s_start + length(piece) GROUP BY 1, 2""")
+    SELECT s.doc_id, s.k::BIGINT AS k, count(*) AS n_met, bool_or(bad) AS bad FROM s JOIN b ON s.doc_id = b.doc_id AND b_end > s_start AND b_start < s_end GROUP BY 1, 2""")
 def span_overlap_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sentence is bad if any bad span overlaps it."""
-    docs = table(spark, sf_dir, "documents")
-    spans = sentences(docs).withColumnsRenamed({"s_start": "a_start", "s_end": "a_end"})
-    marks = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("n_chars") / 300))).alias("i")).select("doc_id", (F.col("i") * 300).alias("b_start"), (F.col("i") * 300 + 120).alias("b_end"), (F.col("i") % 3 == 0).alias("bad"))
-    return overlapping(spans, marks, "doc_id").groupBy("doc_id", F.col("k").cast("long").alias("k")).agg(F.count(F.lit(1)).alias("n_met"), F.bool_or("bad").alias("bad"))
+    i = F.sequence(F.lit(0), F.floor(F.col("n_chars") / 300).cast("int"))
+    own = table(spark, sf_dir, "documents").select("doc_id", sentence_places("text").alias("s"), i.alias("i"))
+    own = own.select("doc_id", "i", met_spans("s.starts", "s.ends", F.transform("i", lambda x: x * 300), F.transform("i", lambda x: x * 300 + 120)).alias("r"))
+    own = own.select("doc_id", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), any_in(F.transform("i", lambda x: x % 3 == 0), "r.lo", "r.hi").alias("bad"))
+    return sentence_rows(own, "lo", "hi", "bad").where("hi > lo").select("doc_id", "k", (F.col("hi") - F.col("lo")).cast("long").alias("n_met"), "bad")
 
 
 DONORS = f"""{WORDS}, c AS (SELECT doc_id, source, doc_id % 2 AS split, CASE WHEN n <= 512 THEN 1 ELSE 1 + ceil((n - 512) / 384.0) END::BIGINT AS k FROM w WHERE n > 512),
@@ -215,16 +223,14 @@ def evidence_position(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {SPANS}, t AS (SELECT doc_id, p, (p * 37 % 101) / 100.0::DOUBLE AS prob FROM (SELECT doc_id, unnest(range(0, n_chars, 50)) AS p FROM documents))
-    SELECT s.doc_id, s.k::BIGINT AS k, max(prob) AS score, 1 - max(prob) AS unsupported, count(p) AS n_points FROM s LEFT JOIN t ON t.doc_id = s.doc_id AND p >= s_start AND p < s_start + length(piece) GROUP BY 1, 2""")
+    SELECT s.doc_id, s.k::BIGINT AS k, max(prob) AS score, 1 - max(prob) AS unsupported, count(p) AS n_points FROM s LEFT JOIN t ON t.doc_id = s.doc_id AND p >= s_start AND p < s_end GROUP BY 1, 2""")
 def checker_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per sentence the largest probability of the tokens that start in it; NULL where none does."""
-    docs = table(spark, sf_dir, "documents")
-    spans = sentences(docs)
-    p = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_chars") - 1, F.lit(50).cast("long"))).alias("p")
-    points = docs.where("n_chars > 0").select("doc_id", p).withColumn("prob", (F.col("p") * 37 % 101) / F.lit(100.0))
-    best = points_in_spans(points, spans, "doc_id", "p", "s_start", "s_end").groupBy("doc_id", "k").agg(F.max("prob").alias("score"), F.count(F.lit(1)).alias("c"))
-    both = spans.select("doc_id", "k").join(best, ["doc_id", "k"], "left")
-    return both.select("doc_id", F.col("k").cast("long").alias("k"), "score", (1 - F.col("score")).alias("unsupported"), F.coalesce("c", F.lit(0)).cast("long").alias("n_points"))
+    own = with_points(table(spark, sf_dir, "documents"))
+    probs = F.transform("points", lambda p: (p * 37 % 101) / F.lit(100.0))
+    own = own.select("doc_id", F.col("r.lo").alias("lo"), F.col("r.hi").alias("hi"), best_in(probs, "r.lo", "r.hi").alias("score"))
+    each = sentence_rows(own, "lo", "hi", "score")
+    return each.select("doc_id", "k", "score", (1 - F.col("score")).alias("unsupported"), (F.col("hi") - F.col("lo")).cast("long").alias("n_points"))
 
 
 @query(f"""WITH RECURSIVE t AS (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS flat, list_transform(regexp_extract_all(text, '{SENTENCE}'), lambda x: regexp_replace(x, '\\s+', ' ', 'g')) AS keys FROM documents),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays, scalar
-from plumbline.operators import bins, bootstrap, joins, learning, matching, metrics, ranks, sampling, tokens
+from plumbline.operators import bins, bootstrap, intervals, joins, learning, matching, metrics, ranks, sampling, tokens
 from plumbline.sources import archives, tables
 
 
@@ -74,7 +74,7 @@ def test_windows_lengths(spark):
 def test_points_on_span_edges(spark):
     points = spark.createDataFrame([(1, p) for p in (0, 4, 5, 9)], "k int, p int")
     spans = spark.createDataFrame([(1, 0, 5)], "k int, a int, b int")
-    assert sorted(r.p for r in tokens.points_in_spans(points, spans, "k", "p", "a", "b").collect()) == [0, 4]
+    assert sorted(r.p for r in intervals.points_in_spans(points, spans, "k", "p", "a", "b").collect()) == [0, 4]
 
 
 @pytest.mark.parametrize("n", [4, 5, 7, 9, 10])
