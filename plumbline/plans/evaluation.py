@@ -70,7 +70,8 @@ def auc_by_quartile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REPLICATES = 2000
 BOOT = f"""{BASE}, t AS (SELECT source AS c, label AS y, x[1]::DOUBLE AS a, x[2]::DOUBLE AS b FROM base), s AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS i, count(*) OVER () AS m FROM (SELECT DISTINCT c FROM t)),
-    k AS (SELECT b AS r, ((((b * 1103515245 + k * 12345 + 42) % 2147483648) * 1103515245 + 12345) % 2147483648 // 65536) % m AS i FROM (SELECT unnest(range({REPLICATES})) AS b), (SELECT unnest(range(max(m))) AS k, max(m) AS m FROM s)),
+    k AS (SELECT b AS r, (b * 7368787 + k * 1299721 + 42) % 2147483647 AS x0, (x0 * x0 + 69621) % 2147483647 AS x1, (x1 * 48271 + 11) % 2147483647 AS x2, (x2 * x2 + 7) % 2147483647 AS x3, (x3 * 16807 + 3) % 2147483647 * m // 2147483647 AS i
+        FROM (SELECT unnest(range({REPLICATES})) AS b), (SELECT unnest(range(max(m))) AS k, max(m) AS m FROM s)),
     w AS (SELECT r, c, count(*) AS w FROM k JOIN s USING (i) GROUP BY 1, 2),
     u AS (SELECT p.c AS s, n.c AS t, sum((p.a > n.a)::INT + 0.5 * (p.a = n.a)::INT) AS ua, sum((p.b > n.b)::INT + 0.5 * (p.b = n.b)::INT) AS ub, count(*) AS pairs FROM t p JOIN t n ON p.y = 1 AND n.y = 0 GROUP BY 1, 2),
     d AS (SELECT w1.r, sum((ua - ub) * w1.w * w2.w) / sum(pairs * w1.w * w2.w)::DOUBLE AS d FROM u JOIN w w1 ON w1.c = u.s JOIN w w2 ON w2.c = u.t AND w2.r = w1.r GROUP BY 1)"""
@@ -82,7 +83,7 @@ def cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paired bootstrap over sources of the AUC difference of two detectors."""
     df = scored(spark, sf_dir, 0, 1)
     weights = bootstrap.draw_weights(spark, df.select(F.col("source").alias("cluster")).distinct(), REPLICATES)
-    out = bootstrap.interval(bootstrap.paired_differences(df, "source", "s0", "s1", "y", weights))
+    out = bootstrap.interval(bootstrap.paired_differences(df, [], "source", "s0", "s1", "y", weights, REPLICATES))
     return out.select(*[rounded(F.col(c)).alias(c) for c in ("mean", "lo", "hi", "p_le0")], "n", "significant")
 
 
@@ -97,8 +98,9 @@ def pooled_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = scored(spark, sf_dir, 0, 1)
     runs = [(df, "s0", "s1"), (df.where("source > 'src14'"), "s1", "s0")]
     weights = bootstrap.draw_weights(spark, df.select(F.col("source").alias("cluster")).distinct(), REPLICATES)
-    diffs = [bootstrap.paired_differences(d, "source", a, b, "y", weights) for d, a, b in runs]
-    pooled = diffs[0].unionByName(diffs[1]).groupBy("b").agg(F.avg("diff").alias("diff"))
+    both = [d.select("source", "y", F.lit(i).alias("run"), F.col(a).alias("a"), F.col(b).alias("b_")) for i, (d, a, b) in enumerate(runs)]
+    diffs = bootstrap.paired_differences(both[0].unionByName(both[1]), ["run"], "source", "a", "b_", "y", weights, REPLICATES)
+    pooled = diffs.groupBy("b").agg(F.avg("diff").alias("diff"))
     points = [auc(d, [], a, "y").select(F.col("auc").alias("p")).unionByName(auc(d, [], b, "y").select((-F.col("auc")).alias("p"))) for d, a, b in runs]
     point = points[0].unionByName(points[1]).agg((F.sum("p") / 2).alias("point"))
     out = bootstrap.interval(pooled).join(F.broadcast(point))  # two single rows

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import rounded, safe_share
 from plumbline.operators import bins, bootstrap
+from plumbline.operators.lineage import written
 from plumbline.operators.matching import containing
 from plumbline.operators.metrics import auc
 from plumbline.operators.sampling import lcg, random_folds
@@ -118,7 +119,7 @@ def controlled_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truncated rows: window 1, all windows and the full view, what of the loss is recovered, and the interval of the difference."""
     df = scored(spark, sf_dir, 0, 1, 2).where("n_chars > 2000")
     weights = bootstrap.draw_weights(spark, df.select(F.col("source").alias("cluster")).distinct(), REPLICATES)
-    diffs = bootstrap.interval(bootstrap.paired_differences(df, "source", "s1", "s0", "y", weights)).select(rounded(F.col("mean")).alias("diff"), rounded(F.col("lo")).alias("lo"), rounded(F.col("hi")).alias("hi"))
+    diffs = bootstrap.interval(bootstrap.paired_differences(df, [], "source", "s1", "s0", "y", weights, REPLICATES)).select(rounded(F.col("mean")).alias("diff"), rounded(F.col("lo")).alias("lo"), rounded(F.col("hi")).alias("hi"))
     wide = auc(df.unpivot(["y"], ["s0", "s1", "s2"], "f", "s"), ["f"], "s", "y").groupBy().pivot("f", ["s0", "s1", "s2"]).agg(F.first("auc"))
     about = df.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("source").alias("n_sources"))
     both = about.crossJoin(wide).crossJoin(diffs)  # single rows
@@ -133,7 +134,7 @@ def decision_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A composite rule: the interval over all runs above zero, and no single run worse than a hundredth."""
     df = scored(spark, sf_dir, 0, 1)
     weights = bootstrap.draw_weights(spark, df.select(F.col("source").alias("cluster")).distinct(), REPLICATES)
-    lo = bootstrap.interval(bootstrap.paired_differences(df, "source", "s0", "s1", "y", weights)).select("lo")
+    lo = bootstrap.interval(bootstrap.paired_differences(df, [], "source", "s0", "s1", "y", weights, REPLICATES)).select("lo")
     runs = auc(df.unpivot(["lang", "y"], ["s0", "s1"], "f", "s"), ["lang", "f"], "s", "y").groupBy("lang").pivot("f", ["s0", "s1"]).agg(F.first("auc"))
     worst = runs.agg(F.min(F.col("s0") - F.col("s1")).alias("worst"))
     first, second = F.col("lo") > 0, F.col("worst") >= -0.01
@@ -141,20 +142,26 @@ def decision_rule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(rounded(F.col("lo")).alias("lo"), rounded(F.col("worst")).alias("worst"), first.alias("rule_1"), second.alias("rule_2"), F.when(first & second, "becomes the method").otherwise("stays a variant").alias("decision"))
 
 
-@query(f"""WITH {BASE}, m AS (SELECT d.doc_id, position(b.text IN d.text) - 1 AS place, length(left(d.text, 3000)) AS window_end FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
-    g AS (SELECT base.doc_id, label AS y, x[1]::DOUBLE AS w, x[2]::DOUBLE AS b, CASE WHEN count(place) = 0 THEN 'none' WHEN avg((place >= window_end)::INT) = 0 THEN 'in window 1' WHEN avg((place >= window_end)::INT) = 1 THEN 'all out' ELSE 'partly out' END AS kind FROM base LEFT JOIN m USING (doc_id) GROUP BY 1, 2, 3, 4),
+@query(f"""WITH {BOOT}, m AS (SELECT d.doc_id, position(b.text IN d.text) - 1 AS place, length(left(d.text, 3000)) AS window_end FROM documents d JOIN benchmark b ON contains(d.text, b.text)),
+    g AS (SELECT base.doc_id, source, label AS y, x[1]::DOUBLE AS w, x[2]::DOUBLE AS b, CASE WHEN count(place) = 0 THEN 'none' WHEN avg((place >= window_end)::INT) = 0 THEN 'in window 1' WHEN avg((place >= window_end)::INT) = 1 THEN 'all out' ELSE 'partly out' END AS kind FROM base LEFT JOIN m USING (doc_id) GROUP BY 1, 2, 3, 4, 5),
+    gu AS (SELECT p.kind, p.source AS s, n.source AS t, sum((p.b > n.b)::INT + 0.5 * (p.b = n.b)::INT) - sum((p.w > n.w)::INT + 0.5 * (p.w = n.w)::INT) AS gain, count(*) AS pairs FROM g p JOIN g n ON p.kind = n.kind AND p.y = 1 AND n.y = 0 GROUP BY 1, 2, 3),
+    gd AS (SELECT kind, w1.r, sum(gain * w1.w * w2.w) / sum(pairs * w1.w * w2.w)::DOUBLE AS d FROM gu JOIN w w1 ON w1.c = gu.s JOIN w w2 ON w2.c = gu.t AND w2.r = w1.r GROUP BY 1, 2),
+    gi AS (SELECT kind, round(quantile_cont(d, 0.025), 6) + 0.0 AS lo, round(quantile_cont(d, 0.975), 6) + 0.0 AS hi FROM gd GROUP BY kind),
     l AS (SELECT kind, f, y, CASE WHEN f = 1 THEN w ELSE b END AS s FROM g, (SELECT unnest([1, 2]) AS f)), a AS (SELECT kind, f, {AUC} AS auc, count(*) AS n FROM {ranked('kind, f', 'l')} GROUP BY 1, 2)
-    SELECT kind, max(n) AS n, round(max(auc) FILTER (WHERE f = 1), 6) + 0.0 AS window1, round(max(auc) FILTER (WHERE f = 2), 6) + 0.0 AS b FROM a GROUP BY kind""")
+    SELECT kind, max(n) AS n, round(max(auc) FILTER (WHERE f = 1), 6) + 0.0 AS window1, round(max(auc) FILTER (WHERE f = 2), 6) + 0.0 AS b, any_value(lo) AS lo, any_value(hi) AS hi FROM a LEFT JOIN gi USING (kind) GROUP BY kind""")
 def evidence_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AUC of both readings by where the evidence stands."""
+    """AUC of both readings by where the evidence stands, with the interval of their difference per group."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     found = containing(docs, table(spark, sf_dir, "benchmark")).select("doc_id", (F.col("place") - 1 >= F.length(F.left("t", F.lit(3000)))).cast("double").alias("out"))
     beyond = found.groupBy("doc_id").agg(F.avg("out").alias("beyond"))
     kind = F.when(F.col("beyond").isNull(), "none").when(F.col("beyond") == 0, "in window 1").when(F.col("beyond") == 1, "all out").otherwise("partly out")
-    rows = scored(spark, sf_dir, 0, 1).join(beyond, "doc_id", "left").withColumn("kind", kind)
+    rows = written(scored(spark, sf_dir, 0, 1).join(beyond, "doc_id", "left").withColumn("kind", kind))
     each = auc(rows.unpivot(["kind", "y"], ["s0", "s1"], "f", "s"), ["kind", "f"], "s", "y")
     wide = each.groupBy("kind").pivot("f", ["s0", "s1"]).agg(F.first("auc"))
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n")).join(wide, "kind").select("kind", "n", rounded(F.col("s0")).alias("window1"), rounded(F.col("s1")).alias("b"))
+    weights = bootstrap.draw_weights(spark, rows.select(F.col("source").alias("cluster")).distinct(), REPLICATES)
+    limits = bootstrap.interval(bootstrap.paired_differences(rows, ["kind"], "source", "s1", "s0", "y", weights, REPLICATES), "kind").select("kind", rounded(F.col("lo")).alias("lo"), rounded(F.col("hi")).alias("hi"))
+    sizes = rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.join(wide, "kind").join(limits, "kind", "left").select("kind", "n", rounded(F.col("s0")).alias("window1"), rounded(F.col("s1")).alias("b"), "lo", "hi")
 
 
 @query(f"""WITH {BASE}, r AS (SELECT lang, label AS y, x[1]::DOUBLE AS s, row_number() OVER (PARTITION BY lang ORDER BY x[4]::DOUBLE, doc_id) AS r, count(*) OVER (PARTITION BY lang) AS n FROM base),

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays, scalar
-from plumbline.operators import bins, bootstrap, intervals, joins, learning, matching, metrics, ranks, sampling, tokens
+from plumbline.operators import bins, intervals, joins, learning, matching, metrics, ranks, sampling, tokens
 from plumbline.sources import archives, tables
 
 
@@ -173,22 +173,6 @@ def test_signal_lengths_and_nulls(spark):
     assert q[0].w == pytest.approx([e / (e + 1), 1 / (e + 1)]) and q[1].w is None
 
 
-def test_bootstrap_identity_and_replication(spark):
-    rng = np.random.default_rng(3)
-    pdf = pd.DataFrame({"c": rng.integers(0, 5, 60).astype(str), "y": rng.integers(0, 2, 60), "s": np.round(rng.standard_normal(60), 1)})
-    df = spark.createDataFrame(pdf)
-    clusters = df.select(F.col("c").alias("cluster")).distinct()
-    ones = clusters.select(F.lit(0).cast("long").alias("b"), "cluster", F.lit(1).cast("long").alias("w"))
-    assert bootstrap.replicate_auc(df, "c", "s", "y", ones).first().auc == pytest.approx(plain_auc(pdf.y, pdf.s))
-    weights = bootstrap.draw_weights(spark, clusters, 6)
-    held = weights.toPandas()
-    assert (held.groupby("b").w.sum() == 5).all()
-    for r in bootstrap.replicate_auc(df, "c", "s", "y", weights).collect():
-        w = held[held.b == r.b].set_index("cluster").w
-        rows = pd.concat([pdf[pdf.c == c] for c, n in w.items() for _ in range(n)])
-        assert r.auc == pytest.approx(plain_auc(rows.y, rows.s))
-
-
 def test_arrays(spark):
     df = spark.createDataFrame([([1.0, 5.0, 5.0, -2.0], [0.0, 9.0])], "x array<double>, y array<double>")
     row = df.select(arrays.top_positions(F.col("x"), 0.5).alias("top"), arrays.joined_max(F.col("x"), F.col("y")).alias("j"), arrays.cosine(F.col("x"), F.col("x")).alias("c"), arrays.lookback(F.array(*map(F.lit, (1.0, 1.0, 3.0, 1.0))), 2).alias("r")).first()
