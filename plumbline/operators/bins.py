@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plumbline.operators.quantiles import order_statistics
 from plumbline.operators.ranks import numbered
 
 
@@ -30,8 +31,7 @@ def cut(x: Column, edges: list[float]) -> Column:
 
 def quantile_edges(df: DataFrame, keys: list[str], x: str, parts: int) -> DataFrame:
     """(keys, edges): linear-interpolated quantiles, equal edges once."""
-    shares = F.array(*[F.lit(i / parts) for i in range(parts + 1)])
-    return df.groupBy(*keys).agg(F.array_distinct(F.percentile(x, shares)).alias("edges"))
+    return order_statistics(df, keys, x, [i / parts for i in range(parts + 1)], "edges").withColumn("edges", F.array_distinct("edges"))
 
 
 def quantile_bins(df: DataFrame, keys: list[str], x: str, parts: int) -> DataFrame:

@@ -10,6 +10,7 @@ from plumbline.operators import bins, bootstrap
 from plumbline.operators.lineage import written
 from plumbline.operators.matching import containing
 from plumbline.operators.metrics import auc
+from plumbline.operators.quantiles import with_order_statistics
 from plumbline.operators.sampling import lcg, random_folds
 from plumbline.plans.assembly import BASE, base
 from plumbline.plans.evaluation import AUC, BOOT, REPLICATES, ranked, scored
@@ -27,7 +28,8 @@ def cost_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT bin, count(*) AS n, median(value) AS middle, max(value) AS most FROM (SELECT value, CASE WHEN value > 0 AND value <= 10 THEN 0 WHEN value > 10 AND value <= 50 THEN 1 WHEN value > 50 AND value <= 1000 THEN 2 END::BIGINT AS bin FROM events) GROUP BY bin""")
 def cost_by_bin(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("value", bins.cut(F.col("value"), [0, 10, 50, 1000]).alias("bin"))
-    return e.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.median("value").alias("middle"), F.max("value").alias("most"))
+    found = e.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.max("value").alias("most"))
+    return with_order_statistics(found, e, ["bin"], "value", [0.5], ["middle"])
 
 
 PIVOT = f"{BASE}, l AS (SELECT lang, f, label AS y, x[f]::DOUBLE AS s FROM base, (SELECT unnest([1, 2, 3]) AS f)), a AS (SELECT lang, f, {AUC} AS auc FROM {ranked('lang, f', 'l')} GROUP BY 1, 2)"
@@ -55,9 +57,11 @@ def layer_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT event_type, count(*) AS n, count(*) / sum(count(*)) OVER ()::DOUBLE AS part, count(DISTINCT user_id) AS n_users, sum((value > 50)::INT)::BIGINT AS n_high, median(value) AS middle, round(stddev_pop(value), 6) + 0.0 AS sd0, round(stddev_samp(value), 6) + 0.0 AS sd1 FROM events GROUP BY event_type""")
 def value_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"), F.count_if(F.col("value") > 50).alias("n_high"), F.median("value").alias("middle"), rounded(F.stddev_pop("value")).alias("sd0"), rounded(F.stddev_samp("value")).alias("sd1")
+    e = table(spark, sf_dir, "events")
+    g = e.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"), F.count_if(F.col("value") > 50).alias("n_high"), rounded(F.stddev_pop("value")).alias("sd0"), rounded(F.stddev_samp("value")).alias("sd1")
     )
+    g = with_order_statistics(g, e, ["event_type"], "value", [0.5], ["middle"])
     return g.withColumn("part", F.col("n") / F.sum("n").over(Window.partitionBy()).cast("double"))
 
 

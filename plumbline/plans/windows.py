@@ -11,6 +11,7 @@ from plumbline.operators import bins
 from plumbline.operators.intervals import any_in, best_in, held_points, met_spans, sentence_places
 from plumbline.operators.lineage import written
 from plumbline.operators.matching import containing
+from plumbline.operators.quantiles import with_order_statistics
 from plumbline.operators.sampling import donors, prefix_donors
 from plumbline.operators.tokens import first_tokens, n_windows, offsets, places_in, tokens, windows
 from plumbline.plans.registry import query, table
@@ -54,7 +55,8 @@ def quantile_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     count(*) AS n, median(n_chars) AS middle, min(n_chars) || '-' || max(n_chars) AS span FROM documents GROUP BY 1""")
 def cut_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("n_chars", bins.cut(F.col("n_chars"), [0, 500, 2000, 8000]).alias("bin"))
-    return docs.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.median("n_chars").alias("middle"), F.concat_ws("-", F.min("n_chars").cast("string"), F.max("n_chars").cast("string")).alias("span"))
+    found = docs.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.concat_ws("-", F.min("n_chars").cast("string"), F.max("n_chars").cast("string")).alias("span"))
+    return with_order_statistics(found, docs, ["bin"], "n_chars", [0.5], ["middle"])
 
 
 @query("""SELECT user_id, day, total, round(avg(total) OVER (PARTITION BY user_id ORDER BY day ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) + 0.0 AS smooth, sum(n) OVER (PARTITION BY user_id ORDER BY day)::BIGINT AS seen
