@@ -10,8 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import arrays, scalar
-from plumbline.operators import bins, intervals, joins, learning, matching, metrics, ranks, sampling, tokens
+from plumbline.operators import bins, intervals, joins, matching, metrics, ranks, sampling, tokens
 from plumbline.sources import archives, tables
+from tests.plain_learning import precision
 
 
 def one(df):
@@ -46,7 +47,7 @@ def test_auc_buckets_and_negation(spark, spread):
         hit = y[s == v].sum()
         tp, n = tp + hit, n + (s == v).sum()
         ap += hit * tp / n
-    assert metrics.average_precision(df, [], "s", "y").first().ap == pytest.approx(ap / y.sum()) == pytest.approx(learning.precision(y, s))
+    assert metrics.average_precision(df, [], "s", "y").first().ap == pytest.approx(ap / y.sum()) == pytest.approx(precision(y, s))
 
 
 def test_average_precision(spark):
@@ -188,119 +189,6 @@ def test_scalar_rules(spark):
     assert one(spark.createDataFrame([("a\n \nb",), ("  ",)], "t string").select(scalar.clean_paragraphs(F.col("t")))) == [(["a", "b"],), (["  "],)]
 
 
-def test_linear_meets_its_objective():
-    rng = np.random.default_rng(0)
-    x = rng.standard_normal((80, 4))
-    y = (x[:, 0] + rng.standard_normal(80) > 0.8).astype(int)
-    x[3, 1] = np.nan
-    m = learning.Linear(0.5).fit(x, y)
-    z = np.hstack([(np.where(np.isnan(x), m.middle, x) - m.mean) / m.scale, np.ones((80, 1))])
-    weight = np.where(y == 1, 80 / (2 * y.sum()), 80 / (2 * (80 - y.sum())))
-    grad = z.T @ (weight * (1 / (1 + np.exp(-z @ m.w)) - y)) + np.append(m.w[:-1], 0) / 0.5
-    assert np.abs(grad).max() < 1e-6
-    assert learning.auc(y, m.score(x)) == pytest.approx(plain_auc(y, m.score(x)))
-
-
-def gated(n=240, seed=0):
-    rng = np.random.default_rng(seed)
-    x, gate = rng.standard_normal((n, 2)), rng.standard_normal(n)
-    return x, (np.where(gate > 0, x[:, 0], -x[:, 0]) > 0).astype(int), gate, np.arange(n) % 4
-
-
-def test_gates():
-    x, y, gate, fold = gated()
-    train = np.ones(len(y), bool)
-    assert learning.auc(y, learning.hard_gated(x, x, y, gate, train, fold)) > 0.85 > learning.auc(y, learning.Linear().fit(x, y).score(x))
-    with pytest.raises(ValueError):
-        learning.soft_gated(x, np.ones(len(y)), slice(0, 1), train)
-
-
-def test_hard_gate_rules():
-    x, y, gate, fold = gated()
-    gate, train = np.round(gate, 1), np.ones(len(gate), bool)
-    tau = float(np.median(gate))
-    low, high = x[:, :1], x[:, 1:]
-    want = np.where(gate >= tau, learning.Linear().fit(high[gate >= tau], y[gate >= tau]).score(high), learning.Linear().fit(low[gate < tau], y[gate < tau]).score(low))
-    assert (gate == tau).any() and np.allclose(learning.experts(tau, low, high, y, gate, train), want)  # equal goes high
-    aucs = np.array([[0.9, 0.6, 0.7], [np.nan, 0.6, 0.6]])
-    assert learning.chosen_threshold(aucs, gate) == np.quantile(gate, learning.QUANTILES[2])  # a failing fold rules out
-    with pytest.raises(ValueError):
-        learning.chosen_threshold(np.full((2, 3), np.nan), gate)
-    assert learning.experts(float(np.sort(gate)[5]), x, x, y, gate, train) is None
-
-
-@pytest.fixture
-def small_block(spark, monkeypatch):
-    """Two runs with a component that tells the label in either half of the block."""
-    from plumbline.plans import learning as plans
-
-    rng = np.random.default_rng(0)
-    rows = []
-    for run in ("first", "second"):
-        for i in range(240):
-            x = [float(v) for v in rng.standard_normal(32)]
-            x[15], x[31] = i % 2 * 1.5 + rng.standard_normal(), i % 2 * 1.5 + rng.standard_normal()
-            rows.append((run, x, i, f"s{i // 2 % 20}", i % 2, i // 2 % 5, i // 2 % 20 > 14, float(rng.random()), 1000 + i % 3 * 900))
-    df = spark.createDataFrame(rows, "run string, x array<double>, doc_id bigint, source string, label int, fold bigint, test boolean, gate double, n_chars bigint")
-    monkeypatch.setattr(plans, "block", lambda *_: df)
-    pdf = df.toPandas()
-    return plans, {k: plans.Rows(g.assign(held=-1)) for k, g in pdf.groupby("run")}
-
-
-def test_detector_queries_against_plain_fits(spark, small_block):
-    plans, runs = small_block
-    got = {n: {k: g.sort_values("doc_id").score.to_numpy() for k, g in getattr(plans, n)(spark, "").toPandas().groupby("run")} for n in ("logreg_detector", "oof_scores", "soft_gate", "hard_gate")}
-    for run, r in runs.items():
-        t, x, y = r.train, r.x, r.y
-        c = learning.tune(x[t], y[t], r.fold[t])
-        assert np.allclose(got["logreg_detector"][run], learning.Linear(c).fit(x[t], y[t]).score(x), atol=2e-6)
-        c = learning.tune(x[t], y[t], r.fold[t], learning.SHORT_GRID)
-        want = learning.Linear(c).fit(x[t], y[t]).score(x)
-        want[t] = learning.out_of_fold(x[t], y[t], r.fold[t], c)
-        assert np.allclose(got["oof_scores"][run], want, atol=2e-6)
-        wide = learning.soft_gated(x, r.gate, slice(None), t)
-        assert np.allclose(got["soft_gate"][run], learning.Linear().fit(wide[t], y[t]).score(wide), atol=2e-6)
-        assert np.allclose(got["hard_gate"][run], learning.hard_gated(x[:, :16], x[:, 16:], y, r.gate, t, r.fold), atol=2e-6)
-        assert all(learning.auc(y[~t], s[run][~t]) > 0.75 for s in got.values())
-
-
-def test_fold_tables_and_selector(spark, small_block):
-    plans, runs = small_block
-    table = plans.dev_cv(spark, "").toPandas()
-    summary = plans.method_summary(spark, "").toPandas().set_index(["run", "method"])
-    picked = plans.redeep_selector(spark, "").toPandas().set_index("run")
-    report = plans.probability_report(spark, "").toPandas().set_index("run")
-    assert len(table) == 2 * plans.FOLDS * len(plans.METHODS)
-    for run, r in runs.items():
-        own = table[table.run == run]
-        for f in range(plans.FOLDS):
-            m, v = r.train & (r.fold != f), r.train & (r.fold == f)
-            want = learning.auc(r.y[v], learning.Linear().fit(r.x[m], r.y[m]).score(r.x[v]))
-            assert own[(own.method == "plain") & (own.fold == f)].auc.iloc[0] == pytest.approx(want, abs=2e-6)
-        plain = own[own.method == "plain"].auc
-        assert summary.loc[(run, "plain")]["mean"] == pytest.approx(plain.mean(), abs=2e-6) and summary.loc[(run, "plain")]["sd"] == pytest.approx(plain.std(ddof=0), abs=2e-6) and summary.loc[(run, "plain")]["better"] == 0
-        best = (-1.0, None)
-        for n, m, b in learning.SETTINGS:
-            if n <= 24:
-                total = 0.0
-                for f in range(plans.FOLDS):
-                    fit, v = r.train & (r.fold != f), r.train & (r.fold == f)
-                    r_of = lambda z: np.corrcoef(np.column_stack([z[fit], r.y[fit]]).T)[-1, :-1]  # noqa: B023, E731
-                    e, p = np.argsort(r_of(r.x[:, :24]), kind="stable")[:n], np.argsort(-r_of(r.x[:, 24:]), kind="stable")[:m]
-                    es, ps = r.x[v][:, e].sum(1), r.x[v][:, 24 + p].sum(1)
-                    total += learning.auc(r.y[v], -es if np.isinf(b) else ps - b * es)
-                if total > best[0] + 1e-9:
-                    best = (total, (n, m, b))
-        assert tuple(picked.loc[run][["n", "m", "beta"]]) == best[1]
-        t = r.train
-        p = learning.Linear(learning.tune(r.x[t], r.y[t], r.fold[t])).fit(r.x[t], r.y[t]).score(r.x[~t])
-        assert report.loc[run].auc == pytest.approx(learning.auc(r.y[~t], p), abs=2e-6) and report.loc[run].ap == pytest.approx(learning.precision(r.y[~t], p), abs=2e-6)
-    moved = plans.transfer(spark, "").toPandas().set_index("variant")
-    assert set(moved.index) == {"first", "second"} and moved.n_train.nunique() == 1 and moved.loc["first"].auc > 0.7
-    seeds = plans.oof_robustness(spark, "").toPandas()
-    assert len(seeds) == len(plans.SEEDS) and (seeds["first"] > 0.75).all() and np.allclose(seeds.gap, seeds.second - seeds["first"], atol=3e-6)
-
-
 def test_folds_keep_groups_and_balance():
     found = sampling.greedy_folds([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2)
     assert found == {"a": 0, "b": 1, "c": 1, "d": 0}
