@@ -51,14 +51,14 @@ def placed(df: DataFrame, keys: list[str], order: list[str], name: str = "at", s
     size spans many tasks. Only (group, task) pairs are numbered by windows. Rows that are equal in all of it are told
     apart by where they were read, so a third of all rows may be one.
     """
-    by = [*keys, *order, "_read"]
-    dealt = df.withColumn("_read", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_read")
-    rows = write(dealt.withColumn("_here", F.monotonically_increasing_id()))
-    task, place = F.shiftright("_here", 33), F.col("_here").bitwiseAND(F.lit((1 << 33) - 1))
-    parts = rows.groupBy(*keys, task.alias("_task")).agg(F.min(place).alias("_first"), F.count(F.lit(1)).alias("_n"))
+    by = [*keys, *order, "_placed_read"]
+    dealt = df.withColumn("_placed_read", F.monotonically_increasing_id()).repartitionByRange(*by).sortWithinPartitions(*by).drop("_placed_read")
+    rows = write(dealt.withColumn("_placed_here", F.monotonically_increasing_id()))
+    task, place = F.shiftright("_placed_here", 33), F.col("_placed_here").bitwiseAND(F.lit((1 << 33) - 1))
+    parts = rows.groupBy(*keys, task.alias("_placed_task")).agg(F.min(place).alias("_placed_first"), F.count(F.lit(1)).alias("_placed_n"))
     group = Window.partitionBy(*keys)
-    before = F.sum("_n").over(group.orderBy("_task")) - F.col("_n") - F.col("_first")
+    before = F.sum("_placed_n").over(group.orderBy("_placed_task")) - F.col("_placed_n") - F.col("_placed_first")
     # written, so that its size is known when the join is planned: as many rows as tasks and groups
-    starts = write(parts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_task", before.alias("_before"), F.sum("_n").over(group).alias(size)))
-    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], task == F.col("_task"))
-    return rows.join(starts, same).select(*df.columns, (F.col("_before") + place).alias(name), size)
+    starts = write(parts.select(*[F.col(k).alias(f"_placed_k{i}") for i, k in enumerate(keys)], "_placed_task", before.alias("_placed_before"), F.sum("_placed_n").over(group).alias(size)))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_placed_k{i}")) for i, k in enumerate(keys)], task == F.col("_placed_task"))
+    return rows.join(starts, same).select(*df.columns, (F.col("_placed_before") + place).alias(name), size)

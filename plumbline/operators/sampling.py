@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from plumbline.operators.lineage import written
-from plumbline.operators.ranks import count_upto, numbered
+from plumbline.operators.ranks import count_upto, numbered, placed
 
 
 def lcg(x: Column) -> Column:
@@ -87,16 +93,55 @@ def balanced_sample(df: DataFrame, label: str, key: str, n: int, seed: int) -> D
 
 def random_folds(groups: DataFrame, group: str, k: int, seed: int) -> DataFrame:
     """(group, fold): groups in a seeded order, dealt round."""
-    order = Window.orderBy(hash_order(seed, F.col(group)), group)
-    return groups.select(group).distinct().withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("long"))
-
-
-def greedy_folds(sizes: list[tuple[str, int]], k: int) -> dict[str, int]:
-    """Groups by falling size (ties by name), each to the lightest fold (ties to the first). ``sizes``: one entry per group, a dimension table."""
-    weight = [0] * k
-    found = {}
-    for name, n in sorted(sizes, key=lambda x: (-x[1], x[0])):
-        at = weight.index(min(weight))
-        found[name] = at
-        weight[at] += n
-    return found
+    own = groups.select(group).distinct().withColumn("_h", hash_order(seed, F.col(group)))
+    return placed(own, [], ["_h", group], "_at").select(group, (F.col("_at") % k).alias("fold"))
+
+
+def _taken(weight: np.ndarray, size: int, n: int) -> np.ndarray:
+    """Of ``n`` groups of one size, dealt one by one to the lightest fold (ties to the first), how many each fold takes.
+
+    Fold j takes its t-th at level weight[j] + t * size, and the levels of all folds are met in order of (level, fold).
+    """
+    k = len(weight)
+    lo, hi = np.zeros(k, np.int64), np.full(k, n, np.int64)
+    first = np.arange(k)
+    while (lo < hi).any():  # the least t of each fold that comes n-th or later
+        t = (lo + hi) // 2
+        gap = weight[:, None] - weight[None, :] + t[:, None] * size  # from fold i's level 0 to fold j's level t
+        ahead = np.where(first[None, :] < first[:, None], gap // size + 1, -(-gap // size))
+        late = np.maximum(ahead, 0).sum(1) >= n
+        lo, hi = np.where(late, lo, np.minimum(t + 1, hi)), np.where(late, t, hi)
+    return lo
+
+
+def greedy_folds(groups: DataFrame, group: str, n: str, k: int) -> DataFrame:
+    """(group, fold) of rows (group, n), one per group: groups by falling size (ties by name), each to the lightest fold (ties to the first).
+
+    Groups of one size differ only by their place among them, so the choice runs over sizes and how many groups have each;
+    rows of all groups make at most the root of twice their number of distinct sizes, which one task passes in order.
+    What it tells of a size, the folds' weights before it, is joined to its groups, and each takes its fold by its place.
+    """
+    own = written(placed(groups.select(group, F.col(n).cast("long").alias("_n")), ["_n"], [group], "_at"))
+    sizes = own.groupBy("_n").agg(F.count(F.lit(1)).alias("_c"))
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = np.zeros(k, np.int64)
+        for b in batches:
+            before = []
+            for size, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                before.append(weight.tolist())
+                weight = weight + (_taken(weight, size, c) if size else np.bincount([int(weight.argmin())], [c], k).astype(np.int64)) * size
+            yield pa.record_batch([b.column(0), pa.array(before, pa.list_(pa.int64()))], names=["_n", "_w"])
+
+    told = sizes.repartition(1).sortWithinPartitions(F.desc("_n")).mapInArrow(dealt, "_n long, _w array<long>")
+
+    @pandas_udf("long")
+    def fold(at: pd.Series, size: pd.Series, weights: pd.Series) -> pd.Series:
+        out = []
+        for r, s, w in zip(at, size, weights, strict=True):
+            w = np.asarray(w, np.int64)
+            # the r-th goes to the fold that takes one more of r + 1 groups than of r
+            out.append(int(w.argmin()) if not s else int((_taken(w, s, r + 1) - _taken(w, s, r)).argmax()))
+        return pd.Series(out)
+
+    return own.join(told, "_n").select(group, fold("_at", "_n", "_w").alias("fold"))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.operators import sampling
+from plumbline.operators.ranks import placed
 from plumbline.plans.registry import query, table
 
 
@@ -26,30 +27,26 @@ def random_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT g.i, [CASE WHEN j = list_position(w, list_min(w)) THEN w[j] + n ELSE w[j] END FOR j IN [1, 2, 3, 4]], g.source, list_position(w, list_min(w)) - 1 FROM f JOIN g ON g.i = f.i + 1)
     SELECT source, fold FROM f WHERE source IS NOT NULL""")
 def grouped_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups to folds by falling size: one entry per group is assigned on the driver, rows join the assignment."""
-    sizes = [(r["source"], r["n"]) for r in table(spark, sf_dir, "documents").select("doc_id", "source").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()]
-    return spark.createDataFrame(sorted(sampling.greedy_folds(sizes, 4).items()), "source string, fold bigint")
+    """Groups to folds by falling size, without a driver that holds them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    sizes = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id").groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    return sampling.greedy_folds(sizes, "source", "n", 4)
 
 
 @query("""SELECT d.doc_id, s.half FROM documents d JOIN (SELECT source, CASE WHEN row_number() OVER (ORDER BY md5('0:' || source), source) <= count(*) OVER () // 2 THEN 'A' ELSE 'B' END AS half FROM (SELECT DISTINCT source FROM documents)) s USING (source)""")
 def half_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources in a seeded order, the first half is A."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    groups = docs.select("source").distinct()
-    place = F.row_number().over(Window.orderBy(sampling.hash_order(0, F.col("source")), "source"))
-    halves = groups.withColumn("half", F.when(place <= F.floor(F.count(F.lit(1)).over(Window.partitionBy()) / 2), "A").otherwise("B"))
+    groups = docs.select("source").distinct().withColumn("h", sampling.hash_order(0, F.col("source")))
+    halves = placed(groups, [], ["h", "source"]).select("source", F.when(F.col("at") < F.floor(F.col("size") / 2), "A").otherwise("B").alias("half"))
     return docs.join(halves, "source").select("doc_id", "half")
 
 
 @query("""SELECT user_id, (row_number() OVER (ORDER BY user_id::VARCHAR) - 1) % 3 AS shard FROM (SELECT DISTINCT user_id FROM events)""")
 def strided_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids in lexical order, dealt round to shards: a range partition numbers rows without one task that holds all."""
+    """Ids in lexical order, dealt round to shards: places come from a range partition, without one task that holds all."""
     ids = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("k"), "user_id").distinct()
-    placed = ids.withColumn("b", F.substring("k", 1, 2))
-    sizes = placed.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))  # one row per two-sign prefix
-    rank = F.row_number().over(Window.partitionBy("b").orderBy("k")) - 1 + F.col("before")
-    return placed.join(before, "b").select("user_id", (rank % 3).cast("long").alias("shard"))
+    return placed(ids, [], ["k"]).select("user_id", (F.col("at") % 3).alias("shard"))
 
 
 @query("""SELECT cut, count(*) AS n_kept FROM (SELECT 1000 * (max(n_chars) // 1000 + 1) AS cut FROM (SELECT n_chars, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS n FROM documents) WHERE n <= 600), documents WHERE n_chars >= cut GROUP BY cut""")

@@ -189,9 +189,18 @@ def test_scalar_rules(spark):
     assert one(spark.createDataFrame([("a\n \nb",), ("  ",)], "t string").select(scalar.clean_paragraphs(F.col("t")))) == [(["a", "b"],), (["  "],)]
 
 
-def test_folds_keep_groups_and_balance():
-    found = sampling.greedy_folds([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2)
-    assert found == {"a": 0, "b": 1, "c": 1, "d": 0}
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_greedy_folds_like_one_by_one(spark, k):
+    """Many groups of few sizes, some empty: places in runs of equal sizes give what dealing one by one gives."""
+    rng = np.random.default_rng(k)
+    sizes = {f"g{i:03}": int(rng.choice([0, 1, 1, 2, 3, 3, 7, 50, 51])) for i in range(300)} | {"big": 400}
+    weight, want = [0] * k, {}
+    for name, n in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        want[name] = weight.index(min(weight))
+        weight[want[name]] += n
+    found = sampling.greedy_folds(spark.createDataFrame(list(sizes.items()), "g string, n long"), "g", "n", k)
+    assert {r.g: r.fold for r in found.collect()} == want
+    assert sampling.greedy_folds(spark.createDataFrame([], "g string, n long"), "g", "n", k).collect() == []
 
 
 def test_archives_and_tables(spark, tmp_path):
@@ -297,3 +306,14 @@ def test_config(tmp_path):
     assert (c.width, c.seed, c.models) == (900, 7, ("a", "b"))
     with pytest.raises(ValueError, match="wide"):
         Config().replaced(wide=1)
+
+
+def test_places_in_groups(spark):
+    """Rows of a group of any size, with null keys and repeated rows, are numbered in order."""
+    rng = np.random.default_rng(1)
+    rows = [(None if g == "z" else str(g), None if v > 90 else int(v)) for g, v in zip(rng.choice(["a", "b", "c", "z"], 500, p=[0.7, 0.1, 0.1, 0.1]), rng.integers(0, 100, 500))] + [("a", 5)] * 300
+    found = ranks.placed(spark.createDataFrame(rows, "g string, v int").repartition(6), ["g"], ["v"]).collect()
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in found if r.g == g), key=lambda r: r.at)
+        values = sorted((v for k, v in rows if k == g), key=lambda v: (v is not None, v or 0))
+        assert [r.at for r in own] == list(range(len(values))) and [r.v for r in own] == values and {r["size"] for r in own} == {len(values)}
