@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows, written below spark.checkpoint.dir and read back, so that they are computed once and survive lost executors. Where it is unset, a local session gets a folder of its own and any other an error."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder below spark.checkpoint.dir, which all executors reach. Where it is unset, a local session gets a folder of its own and any other an error."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         base = spark.conf.get("spark.checkpoint.dir", None)
@@ -19,6 +18,11 @@ def written(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="plumbline-")
         sc.setCheckpointDir(base)
-    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows, written to a shared folder and read back, so that they are computed once and survive lost executors."""
+    path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

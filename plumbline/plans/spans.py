@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import scalar
+from plumbline.operators import subwords
 from plumbline.operators.intervals import held_points, sentence_places, times_held
 from plumbline.operators.tokens import kept_context, offsets, stops_at
 from plumbline.plans.registry import query, table
@@ -126,3 +127,46 @@ def passage_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = F.sum("n").over(Window.partitionBy("doc_id").orderBy("i")) - F.col("n")
     groups = each.withColumn("chunk", F.floor(before / 256)).groupBy("doc_id", "chunk")
     return groups.agg(F.count(F.lit(1)).alias("n_passages"), F.sum("n").cast("long").alias("n_tokens"), F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "p"))), lambda x: x["p"]), "\n")).alias("digest"))
+
+
+CHUNKS = 5
+
+
+@query(f"""WITH {TOKENS}, n AS (SELECT doc_id, count(*) AS n FROM k GROUP BY doc_id), c AS (SELECT k.doc_id, t_start, t_end, tok, ((tok + 1) * {CHUNKS} + n - 1) // n - 1 AS chunk FROM k JOIN n USING (doc_id)),
+    r AS (SELECT doc_id, chunk::BIGINT AS chunk, min(tok) AS first, count(*) AS n_tokens, min(t_start) AS c_start, max(t_end) AS c_end FROM c GROUP BY 1, 2)
+    SELECT r.doc_id, chunk, first, n_tokens, c_start, c_end, md5(substr(text, c_start + 1, c_end - c_start)) AS digest FROM r JOIN documents USING (doc_id)""")
+def context_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A context in five runs of tokens as even as can be, cut at tokens; one of fewer tokens has fewer. Each chunk is a pass of its own whose signals are compared with the whole's."""
+    own = table(spark, sf_dir, "documents").select("doc_id", "text", offsets("text").alias("o")).withColumn("n", F.size("o.starts"))
+    cuts = F.transform(F.sequence(F.lit(0), F.lit(CHUNKS)), lambda i: F.floor(i * F.col("n") / CHUNKS).cast("int"))
+    each = own.withColumn("cuts", cuts).select("doc_id", "text", "o", "cuts", F.explode(F.sequence(F.lit(0), F.lit(CHUNKS - 1))).alias("chunk"))
+    each = each.select("doc_id", "text", "o", "chunk", F.get("cuts", F.col("chunk")).alias("lo"), F.get("cuts", F.col("chunk") + 1).alias("hi")).where("hi > lo")
+    placed = each.select("doc_id", "text", F.col("chunk").cast("long").alias("chunk"), F.col("lo").cast("long").alias("first"), (F.col("hi") - F.col("lo")).cast("long").alias("n_tokens"), F.get("o.starts", F.col("lo")).cast("long").alias("c_start"), F.get("o.ends", F.col("hi") - 1).cast("long").alias("c_end"))
+    return placed.select("doc_id", "chunk", "first", "n_tokens", "c_start", "c_end", F.md5(F.substring("text", F.col("c_start").cast("int") + 1, (F.col("c_end") - F.col("c_start")).cast("int"))).alias("digest"))
+
+
+def vocabulary(path: str | None = None) -> str:
+    """The path of a byte-level tokenizer's file, by default that of the installed library."""
+    if path is None:
+        import public_tokenizers
+
+        path = str(public_tokenizers.path("byte_bpe_50k.json"))
+    return path
+
+
+@query()
+def subword_offsets(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Subword tokens of every text with their places, and those that start inside each sentence; tokenizers are beyond SQL."""
+    own = table(spark, sf_dir, "documents").select("doc_id", "text", subwords.subword_offsets(vocabulary(path))("text").alias("o"), sentence_places("text").alias("s"))
+    held = own.select("doc_id", "text", "o", held_points("o.starts", "s.starts", "s.ends").alias("r"))
+    digest = lambda c: F.md5(F.concat_ws(",", c.cast("array<string>")))
+    most = F.array_max(F.zip_with("r.hi", "r.lo", lambda a, b: a - b))
+    return held.select("doc_id", F.size("o.ids").cast("long").alias("n_tokens"), digest(F.col("o.starts")).alias("starts"), digest(F.col("o.ends")).alias("ends"), F.coalesce(most, F.lit(0)).cast("long").alias("longest_sentence"))
+
+
+@query()
+def subword_limits(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """How much of each text a prompt of 1024 subword tokens holds beside the question and an answer, which are here the source and its first 200 signs."""
+    fit = subwords.longest_fit(vocabulary(path), 1024, "Context:\n", "\n\nQuestion: ", "\n\nAnswer: ")
+    own = table(spark, sf_dir, "documents").select("doc_id", fit("text", F.coalesce("source", F.lit("")), F.substring("text", 1, 200)).alias("f"))
+    return own.select("doc_id", *[F.col(f"f.{c}").cast("long").alias(c) for c in ("n_tokens", "read_tokens", "read_chars", "seq_len")], "f.cut")
