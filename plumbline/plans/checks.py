@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import rounded, text_id
 from plumbline.operators.joins import closed, covered_join
+from plumbline.operators.lineage import shared_dir
 from plumbline.plans.registry import query, table
+from plumbline.sources import formats
+from plumbline.sources.tables import exploded, fields, parsed
 
 
 @query("""WITH m AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS place FROM conversations),
@@ -27,11 +30,10 @@ def row_order_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT c.conv_id, c.turn, d.source, d.lang, length(c.text) AS n_chars FROM conversations c JOIN documents d ON d.doc_id = c.conv_id""")
 def strict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A left join by a composite key that raises where a row has no partner or a key comes twice, and a column of a closed domain that raises on any other value."""
-    turns = table(spark, sf_dir, "conversations").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id")), "conv_id", "left_semi").select("conv_id", "turn", "text")
+    """A left join that raises where a row has no partner or a key of the block comes twice, and a column of a closed domain that raises on any other value."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("conv_id"), "source", closed(F.col("lang"), ["de", "en", "es", "fr"]).alias("lang"))
-    block = turns.select("conv_id", "turn").join(docs, "conv_id")
-    return covered_join(turns, block, ["conv_id", "turn"]).select("conv_id", "turn", "source", "lang", F.length("text").cast("long").alias("n_chars"))
+    return covered_join(turns, docs, ["conv_id"]).select("conv_id", "turn", "source", "lang", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("""WITH a AS (SELECT conv_id, list(role ORDER BY turn) AS roles, list(text ORDER BY turn) FILTER (WHERE trim(text) <> '') AS texts, min(turn) AS first FROM conversations GROUP BY conv_id)
@@ -46,12 +48,12 @@ def parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("conv_id", F.col("i").cast("long").alias("i"), F.col("z.roles").alias("role"), F.length("z.texts").cast("long").alias("n_chars"))
 
 
-@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_id % 5 = 0 GROUP BY 1, 2), u AS (SELECT DISTINCT user_id FROM c), k AS (SELECT unnest(['click', 'purchase', 'view', 'none']) AS event_type, unnest([0, 0, 0, -1]) AS d),
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), u AS (SELECT DISTINCT user_id FROM c), k AS (SELECT unnest(['click', 'purchase', 'view', 'none']) AS event_type, unnest([0, 0, 0, -1]) AS d),
     f AS (SELECT user_id, event_type, d AS n FROM u, k WHERE (user_id, event_type) NOT IN (SELECT user_id, event_type FROM c) UNION ALL SELECT * FROM c)
     SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts, max(n) FILTER (WHERE event_type = 'purchase') AS purchases FROM f GROUP BY user_id""")
 def merged_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A map of defaults with a case's own entries over it."""
-    counts = table(spark, sf_dir, "events").where("event_id % 5 = 0").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    counts = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     own = counts.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "n"))).alias("own"))
     defaults = F.create_map(*[x for k, v in (("click", 0), ("purchase", 0), ("view", 0), ("none", -1)) for x in (F.lit(k), F.lit(v).cast("long"))])
     both = own.withColumn("all", F.map_concat(F.map_filter(defaults, lambda k, _: ~F.map_contains_key("own", k)), "own"))
@@ -159,3 +161,27 @@ def rendering(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit('{"a": {"b": {"c": '), (k % 7).cast("string"), F.lit("}}}"))
     nested = F.from_json(text, "a struct<b: struct<c: string>>")["a"]["b"]["c"]
     return table(spark, sf_dir, "events").select("event_id", (F.bround(F.round(F.col("value") * 4) / 4, 1) + F.lit(0.0)).alias("even"), short.alias("short"), F.format_string("%.0f%%", (k % 997) * 100 / F.lit(997.0)).alias("percent"), nested.alias("nested"))
+
+
+@query("""WITH g AS (SELECT source, lang, count(*) AS n, max(n_chars) AS longest, sum(l.toxic)::BIGINT AS toxic FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1, 2)
+    SELECT source, lang, n, toxic, CASE WHEN n > 1 THEN longest END AS longest, CASE WHEN toxic IS NULL THEN 'OBJECT<n: BIGINT' ELSE 'OBJECT<labels: OBJECT<toxic: BIGINT>, n: BIGINT' END || CASE WHEN n > 1 THEN ', spread: OBJECT<longest: BIGINT>>' ELSE '>' END AS shape FROM g""")
+def variant_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports per source whose members and fields depend on the data, read back without a schema: members of an object, fields by their path, and the shape of each."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
+    each = docs.groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.max("n_chars").alias("longest"), F.sum("toxic").alias("toxic"))
+    held = F.struct("n", F.when(F.col("toxic").isNotNull(), F.struct("toxic")).alias("labels"), F.when(F.col("n") > 1, F.struct("longest")).alias("spread"))
+    reports = each.groupBy("source").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("lang", held))).alias("langs"))).alias("text"))
+    told = exploded(parsed(reports, "text"), "report", "$.langs").select("source", F.col("key").alias("lang"), "value", F.schema_of_variant("value").alias("shape"))
+    return fields(told, "value", {"n": ("$.n", "bigint"), "toxic": ("$.labels.toxic", "bigint"), "longest": ("$.spread.longest", "bigint")}).drop("value")
+
+
+@query("""SELECT vec_id, round(list_sum(list_transform(embedding, lambda v: v::DOUBLE)), 4) + 0.0 AS total, len(embedding) AS n FROM embeddings""")
+def archived_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feature block written as archives of named arrays and scanned back: only what is named, in row ranges."""
+    formats.register(spark)
+    path = shared_dir(spark)
+    own = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<float>").alias("block"), F.lit(0).alias("unused"))
+    own.write.format("npz").mode("append").save(path)
+    back = spark.read.format("npz").option("rowsPerPartition", 4096).schema("vec_id long, block array<float>").load(path)
+    total = F.aggregate("block", F.lit(0.0), lambda a, v: a + v.cast("double"))
+    return back.select("vec_id", (F.round(total, 4) + F.lit(0.0)).alias("total"), F.size("block").cast("long").alias("n"))

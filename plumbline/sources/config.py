@@ -1,4 +1,4 @@
-"""Parameters of a run as one object, read from JSON."""
+"""Parameters of a run as one object, read from YAML or JSON."""
 
 from __future__ import annotations
 
@@ -27,7 +27,14 @@ class Config:
 
     @classmethod
     def read(cls, path: str) -> Config:
-        """From ``params`` and the lists beside them."""
+        """From ``params`` and the lists beside them; by the file's suffix YAML, which needs its package, or JSON. Other keys beside them are errors."""
         with open(path, encoding="utf-8") as f:
-            held = json.load(f)
+            if path.endswith((".yaml", ".yml")):
+                try:
+                    import yaml
+                except ImportError as e:
+                    raise ValueError("YAML needs the yaml package; JSON does not") from e
+                held = yaml.safe_load(f) or {}
+            else:
+                held = json.load(f)
         return cls().replaced(**held.pop("params", {}), **held)
