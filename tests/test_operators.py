@@ -317,3 +317,16 @@ def test_places_in_groups(spark):
         own = sorted((r for r in found if r.g == g), key=lambda r: r.at)
         values = sorted((v for k, v in rows if k == g), key=lambda v: (v is not None, v or 0))
         assert [r.at for r in own] == list(range(len(values))) and [r.v for r in own] == values and {r["size"] for r in own} == {len(values)}
+
+
+def test_containing_like_all_pairs(spark):
+    """Passages of any length, of parts of words, with common runs, twice in the table and empty."""
+    rng = np.random.default_rng(4)
+    texts = [" ".join(rng.choice(["aa", "ab", "b", "é", "the"], rng.integers(0, 40))) for _ in range(60)] + ["", "x", "the\tthe the\nthe the"]
+    cut = [t[a : a + n] for t in texts for a, n in [(rng.integers(0, max(len(t), 1)), rng.integers(0, 30))]]
+    passages = [*cut, "the the the the the", "nowhere to be seen at all", "b", "", "a", "b é", cut[3]]
+    got = matching.containing(spark.createDataFrame(list(enumerate(texts)), "doc_id int, t string"), spark.createDataFrame(list(enumerate(passages)), "item_id int, text string"))
+    want = {(d, i): t.index(p) + 1 for d, t in enumerate(texts) for i, p in enumerate(passages) if p and p in t}
+    assert {(r.doc_id, r.item_id): r.place for r in got.collect()} == want and got.count() == len(want)
+    none = spark.createDataFrame([], "item_id int, text string")
+    assert matching.containing(spark.createDataFrame([(1, "a")], "doc_id int, t string"), none).collect() == []
