@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions.scalar import rounded, safe_share
@@ -231,3 +231,69 @@ def star_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     joined = t("lineitem").where("l_shipdate >= timestamp'1995-01-01'").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
     named = joined.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return named.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n"), (F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2) + F.lit(0.0)).alias("revenue"))
+
+
+WON = "sum((p.{0} > n.{0})::INT + 0.5 * (p.{0} = n.{0})::INT) AS {0}"
+#: Per split, language and replicate the AUC of three readings.
+READINGS = f"""{BOOT}, z AS (SELECT CASE WHEN {DEV} THEN 'dev' ELSE 'test' END AS split, lang, source, label AS y, x[1]::DOUBLE AS w1, x[2]::DOUBLE AS b, x[3]::DOUBLE AS l FROM base WHERE n_chars > 1000),
+    zu AS (SELECT p.split, p.lang, p.source AS s, n.source AS t, count(*) AS pairs, {WON.format('w1')}, {WON.format('b')}, {WON.format('l')} FROM z p JOIN z n ON p.split = n.split AND p.lang = n.lang AND p.y = 1 AND n.y = 0 GROUP BY 1, 2, 3, 4),
+    zd AS (SELECT split, lang, p.r, sum(w1 * p.w * n.w) / sum(pairs * p.w * n.w)::DOUBLE AS w1, sum(b * p.w * n.w) / sum(pairs * p.w * n.w)::DOUBLE AS b, sum(l * p.w * n.w) / sum(pairs * p.w * n.w)::DOUBLE AS l FROM zu JOIN w p ON p.c = zu.s JOIN w n ON n.c = zu.t AND n.r = p.r GROUP BY 1, 2, 3),
+    zp AS (SELECT split, lang, sum(w1) / sum(pairs) AS w1, sum(b) / sum(pairs) AS b, sum(l) / sum(pairs) AS l FROM zu GROUP BY 1, 2)"""
+#: Rounded before it is printed, by the same rule in every engine, and never to a negative zero.
+NEAR = "round(round({0}, 9), 3) + 0.0"
+PRINTED = f"printf('%+.3f [%+.3f, %+.3f]', {NEAR.format('avg({0})')}, {NEAR.format('quantile_cont({0}, 0.025)')}, {NEAR.format('quantile_cont({0}, 0.975)')}) || CASE WHEN quantile_cont({{0}}, 0.025) > 0 OR quantile_cont({{0}}, 0.975) < 0 THEN '*' ELSE '' END"
+SHARE = "CASE WHEN abs(l - w1) > 1e-3 THEN printf('%.0f%%', round(round(100 * (b - w1) / (l - w1), 7), 0) + 0.0) ELSE '-' END"
+
+
+def near(c: Column) -> Column:
+    return F.round(F.round(c, 9), 3) + F.lit(0.0)
+
+
+def readings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Longer rows with their split and three readings, and per split, language and replicate the AUC of each reading."""
+    rows = scored(spark, sf_dir, 0, 1, 2)
+    weights = bootstrap.draw_weights(spark, rows.select(F.col("source").alias("cluster")).distinct(), REPLICATES)
+    own = written(rows.where("n_chars > 1000").select("source", "lang", "y", F.when(F.expr(DEV), "dev").otherwise("test").alias("split"), F.col("s0").alias("w1"), F.col("s1").alias("b"), F.col("s2").alias("l")))
+    each = bootstrap.replicate_aucs(own.unpivot(["split", "lang", "source", "y"], ["w1", "b", "l"], "f", "s"), ["split", "lang", "f"], "source", "s", "y", weights, REPLICATES)
+    value = lambda f: F.max(F.when(F.col("f") == f, F.col("auc"))).alias(f)
+    return own, written(each.groupBy("split", "lang", F.col("b").alias("r")).agg(value("w1"), value("b"), value("l")))
+
+
+def printed(limits: DataFrame, name: str) -> DataFrame:
+    """Mean and interval as they are printed, a star where zero is outside."""
+    text = F.concat(F.format_string("%+.3f [%+.3f, %+.3f]", *[near(F.col(c)) for c in ("mean", "lo", "hi")]), F.when(F.col("significant"), "*").otherwise(""))
+    return limits.select(*[c for c in limits.columns if c not in ("mean", "lo", "hi", "p_le0", "n", "significant")], text.alias(name))
+
+
+def share_text(w: str, b: str, full: str) -> Column:
+    lost = F.col(full) - F.col(w)
+    return F.when(F.abs(lost) > 1e-3, F.format_string("%.0f%%", F.round(F.round(100 * (F.col(b) - F.col(w)) / lost, 7), 0) + F.lit(0.0))).otherwise("-")
+
+
+@query(f"""WITH {READINGS}, n AS (SELECT split, lang, count(*) || ' / ' || count(DISTINCT source) AS size FROM z GROUP BY 1, 2), c AS (SELECT split, lang, {PRINTED.format('(b - l)')} AS b_l, {PRINTED.format('(l - w1)')} AS l_w, {PRINTED.format('(b - w1)')} AS b_w FROM zd GROUP BY 1, 2)
+    SELECT split, lang, size, {SHORT.format(NEAR.format('w1'))} || ' / ' || {SHORT.format(NEAR.format('b'))} || ' / ' || {SHORT.format(NEAR.format('l'))} AS aucs, b_l, l_w, b_w, {SHARE} AS recovered FROM zp JOIN n USING (split, lang) JOIN c USING (split, lang)""")
+def appendix_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows per run of the appendix tables as they are printed: sizes, three readings, the intervals of their differences, and the share of the loss that is recovered; all runs and splits in one bootstrap."""
+    own, each = readings(spark, sf_dir)
+    sizes = own.groupBy("split", "lang").agg(F.concat_ws(" / ", F.count(F.lit(1)).cast("string"), F.countDistinct("source").cast("string")).alias("size"))
+    point = auc(own.unpivot(["split", "lang", "y"], ["w1", "b", "l"], "f", "s"), ["split", "lang", "f"], "s", "y").groupBy("split", "lang").pivot("f", ["w1", "b", "l"]).agg(F.first("auc"))
+    out = sizes.join(point, ["split", "lang"])
+    for a, b, name in (("b", "l", "b_l"), ("l", "w1", "l_w"), ("b", "w1", "b_w")):
+        out = out.join(printed(bootstrap.interval(each.withColumn("diff", F.col(a) - F.col(b)), "split", "lang"), name), ["split", "lang"])
+    text = lambda c: F.regexp_replace(F.format_string("%.3f", near(F.col(c))), r"^(-?)0\.", "$1.")
+    return out.select("split", "lang", "size", F.concat_ws(" / ", text("w1"), text("b"), text("l")).alias("aucs"), "b_l", "l_w", "b_w", share_text("w1", "b", "l").alias("recovered"))
+
+
+@query(f"""WITH {READINGS}, g AS (SELECT split, r, avg(b - l) AS b_l, avg(l - w1) AS l_w, avg(b - w1) AS b_w FROM zd GROUP BY 1, 2), p AS (SELECT split, avg(w1) AS w1, avg(b) AS b, avg(l) AS l FROM zp GROUP BY split),
+    v AS (SELECT 'b - l' AS name, split, {PRINTED.format('b_l')} AS v FROM g GROUP BY split UNION ALL SELECT 'l - window 1', split, {PRINTED.format('l_w')} FROM g GROUP BY split UNION ALL SELECT 'b - window 1', split, {PRINTED.format('b_w')} FROM g GROUP BY split UNION ALL SELECT 'recovered', split, {SHARE} FROM p)
+    SELECT name, max(v) FILTER (WHERE split = 'dev') AS dev, max(v) FILTER (WHERE split = 'test') AS test FROM v GROUP BY name""")
+def appendix_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pooled rows of the appendix tables, development beside test: differences averaged over runs in each replicate, and the share recovered by the averages."""
+    own, each = readings(spark, sf_dir)
+    pairs = (("b - l", "b", "l"), ("l - window 1", "l", "w1"), ("b - window 1", "b", "w1"))
+    long_ = each.select("split", "r", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), (F.col(a) - F.col(b)).alias("diff")) for n, a, b in pairs])).alias("d"))
+    pooled = long_.groupBy("d.name", "split", "r").agg(F.avg("d.diff").alias("diff"))
+    told = printed(bootstrap.interval(pooled, "name", "split"), "v")
+    point = auc(own.unpivot(["split", "lang", "y"], ["w1", "b", "l"], "f", "s"), ["split", "lang", "f"], "s", "y").groupBy("split").pivot("f", ["w1", "b", "l"]).agg(F.avg("auc"))
+    told = told.unionByName(point.select(F.lit("recovered").alias("name"), "split", share_text("w1", "b", "l").alias("v")))
+    return told.groupBy("name").pivot("split", ["dev", "test"]).agg(F.first("v"))
