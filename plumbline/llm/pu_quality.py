@@ -16,7 +16,8 @@ scales cover all documents. The networks are fit on the driver by stochastic gra
 
 Defined results: a null or empty text is scored like any other, by the features of an empty text; where there are no
 positives or no documents to learn from, every score is one half; rows with null ids are never learned from; an id with
-several quality labels counts by its largest; ties and repeated rows score alike, each in its own row; a text of any
+several quality labels counts by its largest, one with several rows is drawn as one, with the least of their features;
+ties and repeated rows score alike, each in its own row; a text of any
 length is read whole, its memory a few times its own; extra columns are ignored unless passed through ``keep``, whose
 names must not be x or score.
 """
@@ -176,11 +177,11 @@ def train(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network:
     spark = rows.sparkSession
     good_ids = labels.where("doc_id is not null and quality = 1").select("doc_id").distinct()
     sums = rows.agg(F.count("x").alias("n"), *[f(F.get("x", F.lit(i))).alias(f"{k}{i}") for i in range(NAMES) for k, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    known = rows.where("doc_id is not null").select("doc_id")
-    roles = [smallest_hashes(d, sample).withColumn("good", F.lit(g)) for d, g in ((known.join(good_ids, "doc_id", "left_semi").distinct(), True), (known, False))]
+    known = rows.where("doc_id is not null").select("doc_id").distinct()
+    roles = [smallest_hashes(d, sample).withColumn("good", F.lit(g)) for d, g in ((known.join(good_ids, "doc_id", "left_semi"), True), (known, False))]
     chosen = spark.createDataFrame(roles[0].unionByName(roles[1]).distinct().toPandas(), "doc_id bigint, good boolean")
-    # at most 2 * sample rows of numbers
-    got = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "good", "x").toPandas().drop_duplicates(["doc_id", "good"]).sort_values("doc_id")
+    # one row of numbers per id and role, so at most 2 * sample
+    got = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "good").agg(F.min("x").alias("x")).toPandas().sort_values("doc_id")
     good, any_ = got[got.good], got[~got.good]
     if not sums["n"] or not len(good) or not len(any_):
         return Network(np.zeros(NAMES), np.ones(NAMES), None)

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from plumbline.operators.lineage import shared_dir
+
 #: White space of every contract: space and U+0009 to U+000D.
 BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RUN = r"[\x20\x09-\x0D]+"
@@ -51,23 +53,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors reach. Where it is unset, a local session gets a folder of its own and any other an error."""
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if base is None:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
-            base = tempfile.mkdtemp(prefix="plumbline-")
-        sc.setCheckpointDir(base)
-    import uuid
-
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-
-
 _scratch: list[list[DataFrame]] = []
 
 
@@ -101,7 +86,7 @@ def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
 
 
 def smallest_hashes(ids: DataFrame, sample: int) -> DataFrame:
-    """The ``sample`` rows (doc_id, ...) of the smallest id hashes. Rows far beyond them are left out before any are ordered, so that few more than ``sample`` meet in one task."""
+    """The ``sample`` rows (doc_id, ...), one per id, of the smallest id hashes. Rows far beyond them are left out before any are ordered, so that few more than ``sample`` meet in one task."""
     n, top = ids.count(), 1 << 40
     some = ids.withColumn("_hash", F.pmod(F.xxhash64("doc_id"), F.lit(top)))
     if n > sample:

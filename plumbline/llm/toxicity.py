@@ -17,7 +17,7 @@ without a word of any example. Two numbers, a scale and a shift of the votes' lo
 the votes that all examples get from the others.
 
 Defined results: a null or empty text scores that share; without examples every score is 0; rows with null ids are never
-learned from; an id with several labels counts by its largest; equal cosines go to the smaller id; repeated rows each get
+learned from; an id with several labels counts by its largest, one with several texts by the first of them; equal cosines go to the smaller id; repeated rows each get
 their own row; a text of any length is read whole, its memory is that of its distinct words; extra columns are ignored
 unless passed through ``keep``, whose names must not be score or evidence.
 """
@@ -227,7 +227,9 @@ def train(docs: DataFrame, every: DataFrame, labels: DataFrame, sample: int = SA
             counts = [list(letter_words(t).items()) for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.map_(pa.string(), pa.int32()))], names=["doc_id", "toxic", "counts"])
 
-    mine = docs.select("doc_id", "text").join(F.broadcast(roles), "doc_id").select("doc_id", "toxic", "text").mapInArrow(terms, "doc_id bigint, toxic int, counts map<string,int>")
+    # one text per id, so that the bound on ids is one on examples
+    texts = docs.select("doc_id", "text").join(F.broadcast(roles), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    mine = texts.select("doc_id", "toxic", "text").mapInArrow(terms, "doc_id bigint, toxic int, counts map<string,int>")
     examples = materialise(mine)
     size = examples.agg(F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("bad")).first()
     n, bad = size["n"], size["bad"] or 0

@@ -393,7 +393,7 @@ def test_toxicity_query_against_brute_force(spark, tmp_path):
     vocabulary = [f"{a}{b}{c}" for a in "bdgk" for b in "aeiou" for c in "lmnrs"]
     text = lambda bad: " ".join(rng.choices(vocabulary, k=rng.randint(1, 25)) + (["vile", "slur"][: rng.randint(1, 2)] if bad else []))
     docs = [(i, text(i % 4 == 0) if i % 37 else (None, "", "123")[i // 37 % 3]) for i in range(400)] + [(400, "vile " * 4000 + " ".join(vocabulary)), (401, "Vile SLUR²x")]
-    docs += [docs[8], docs[8], (None, "vile")]
+    docs += [docs[8], docs[8], (None, "vile")] + [(12, f"one id of many rows {i}") for i in range(300)]
     labels = [(i, int(i % 4 == 0)) for i in range(0, 400, 2)] + [(8, 0), (6, None), (None, 1)]
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(labels, "doc_id bigint, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
@@ -402,8 +402,12 @@ def test_toxicity_query_against_brute_force(spark, tmp_path):
     for i, y in labels:
         if not held(i) and y is not None:
             known[i] = max(y, known.get(i, 0))
-    # one row per learnable document row, as repeated rows are
-    examples = sorted(((i, known[i], letter_words(t)) for i, t in docs if i in known), key=lambda x: x[0])
+    # one example per learnable id, whose first text counts
+    texts = {}
+    for i, t in docs:
+        if i in known:
+            texts[i] = min((x for x in (t, texts.get(i)) if x is not None), default=None)
+    examples = sorted(((i, known[i], letter_words(t)) for i, t in texts.items()), key=lambda x: x[0])
     n, bad = len(examples), sum(y for _, y, _ in examples)
     df, a, all_df = collections.Counter(), collections.Counter(), collections.Counter()
     for _, y, c in examples:
@@ -444,7 +448,7 @@ def test_toxicity_query_against_brute_force(spark, tmp_path):
         found = near(vector(letter_words(t)))
         assert r.held_out == held(i) and r.predicted == int(r.score >= 0.5)
         assert r.score == pytest.approx(odds.score(vote(found)) if found else prior, abs=1e-6)
-        assert [round(e.cosine, 9) for e in r.evidence] == [round(-c, 9) for c, _, _ in found]
+        assert [e.cosine for e in r.evidence] == pytest.approx([-c for c, _, _ in found], abs=2e-9)
 
 
 def test_toxicity_calibration():
@@ -699,3 +703,56 @@ def test_suffix_array_and_common_prefixes():
             a, b = t[order[q - 1] :], t[order[q] :]
             n = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
             assert lcp[q] == min(n, 40)
+
+
+def test_pu_quality_query_against_brute_force(spark, tmp_path):
+    """The whole query: features, roles, prior from held-back positives and all unlabelled rows, network, scores; one id has most of the rows."""
+    rng = random.Random(21)
+    docs = [(i, " ".join(words_of(rng, rng.randint(0, 60))).capitalize() + "." if i % 3 else "#$% <|> " * rng.randint(0, 20)) for i in range(150)]
+    docs += [(7, "the same id and text") for _ in range(700)] + [(None, "no id"), (151, None), (152, "")]
+    labels = [(i, int(i % 3 > 0)) for i in range(0, 150, 2)] + [(4, 0), (None, 1), (9999, 1)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    held = lambda i: i is None or zlib.crc32(str(i).encode()) % 3 == 1
+    x = [(i, pu_quality.features((t or "").encode())) for i, t in docs]
+    learned = [(i, v) for i, v in x if not held(i)]
+    every = np.array([v for _, v in learned])
+    mean, scale = np.round(every.mean(0), 6), np.round(every.std(0), 6) + 1e-3
+    by_id = {}
+    for i, v in learned:
+        by_id[i] = min(tuple(v), by_id.get(i, tuple(v)))
+    good_ids = {i for i, q in labels if q == 1 and not held(i)}
+    good = np.array([v for i, v in sorted(by_id.items()) if i in good_ids])
+    any_ = np.array([v for _, v in sorted(by_id.items())])
+    half = np.arange(len(good)) % 2 == 0
+    first = pu_quality.Network(mean, scale, None).fit(good[half], any_, steps=pu_quality.STEPS // 3)
+    told = first.score(good[~half])
+    cuts = np.append(np.quantile(told, np.linspace(0, 1 - pu_quality.MOST, pu_quality.CUTS)), 0.0)
+    shares = [(float((told >= c).mean()), float((first.score(every) >= c).mean())) for c in cuts]
+    prior = min(1.0, max(0.01, min([0.99, *[b / a for a, b in shares if a >= pu_quality.MOST]])))
+    net = pu_quality.Network(mean, scale, prior).fit(good, any_)
+    key = lambda i, s: (i is None, i or 0, s)
+    got = sorted(((r.doc_id, r.held_out, r.score, r.predicted) for r in queries.op3_pu_quality(spark, str(tmp_path)).collect()), key=lambda r: key(r[0], r[2]))
+    want = sorted(((i, held(i), float(net.score(v[None])[0])) for i, v in x), key=lambda r: key(r[0], r[2]))
+    assert [(r[0], r[1]) for r in got] == [w[:2] for w in want] and [r[2] for r in got] == pytest.approx([w[2] for w in want], abs=1e-6)
+    assert all(r[3] == int(r[2] >= 0.5) for r in got)
+
+
+@pytest.mark.parametrize("repeats", [1, 3000])
+def test_draws_are_of_ids_not_rows(spark, repeats):
+    """One id with very many rows leaves a draw whole, and what is learned from bounded."""
+    ids = spark.range(60).select(F.col("id").alias("doc_id"))
+    ids = ids.unionByName(spark.range(repeats).select(F.lit(5).cast("long").alias("doc_id")))
+    docs = ids.select("doc_id", F.concat(F.lit("word "), F.monotonically_increasing_id().cast("string")).alias("text"))
+    labels = spark.range(60).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"), F.lit(1).alias("quality"))
+    index = toxicity.train(docs, docs.select("text"), labels, sample=59)
+    assert len(index.state[2]) == 59 and len(set(index.state[2].tolist())) == 59
+    rows = pu_quality.featured(docs)
+    seen = []
+    real = pu_quality.Network.fit
+    pu_quality.Network.fit = lambda self, good, any_, **k: seen.append((len(good), len(any_))) or real(self, good, any_, steps=2)
+    try:
+        pu_quality.train(rows, labels, sample=40)
+    finally:
+        pu_quality.Network.fit = real
+    assert seen == [(20, 40), (40, 40)]
