@@ -297,3 +297,19 @@ def appendix_pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     point = auc(own.unpivot(["split", "lang", "y"], ["w1", "b", "l"], "f", "s"), ["split", "lang", "f"], "s", "y").groupBy("split").pivot("f", ["w1", "b", "l"]).agg(F.avg("auc"))
     told = told.unionByName(point.select(F.lit("recovered").alias("name"), "split", share_text("w1", "b", "l").alias("v")))
     return told.groupBy("name").pivot("split", ["dev", "test"]).agg(F.first("v"))
+
+
+@query(r"""WITH c AS (SELECT source, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) AS n FROM documents), l AS (SELECT source, n, least(n, 512) AS own, 8192 - 48 - least(n, 512) AS room FROM c), s AS (SELECT source, n > room AS cut, least(n, greatest(0, room)) + 40 + own AS len FROM l)
+    SELECT source, sum(cut::INT) || ' / ' || count(*) AS cut, round(median(len)) || ' / ' || max(len) AS seq_len FROM s GROUP BY source""")
+def appendix_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one long pass costs per run, as it is printed: contexts cut of all, and the median and largest length of what is read."""
+    from plumbline.operators.tokens import tokens
+
+    n = F.col("n")
+    own = F.least(n, F.lit(512))
+    room = F.lit(8192 - 48) - own
+    rows = table(spark, sf_dir, "documents").select("source", F.size(tokens(F.col("text"))).cast("long").alias("n"))
+    rows = written(rows.select("source", (n > room).alias("cut"), (F.least(n, F.greatest(F.lit(0), room)) + 40 + own).cast("double").alias("len")))
+    about = rows.groupBy("source").agg(F.concat_ws(" / ", F.count_if("cut").cast("string"), F.count(F.lit(1)).cast("string")).alias("cut"), F.max("len").cast("long").alias("most"))
+    told = with_order_statistics(about, rows, ["source"], "len", [0.5], ["middle"])
+    return told.select("source", "cut", F.concat_ws(" / ", F.format_string("%.1f", F.round("middle")), F.col("most").cast("string")).alias("seq_len"))

@@ -45,6 +45,26 @@ def read_runs(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", name).parquet(root)
 
 
+def write_splits(df: DataFrame, root: str) -> None:
+    """Rows with ``dataset`` and ``split`` as a data set of folders; the folders at hand are replaced, others stay."""
+    write_block(df, root, "dataset", "split")
+
+
+def read_split(spark: SparkSession, root: str, schema: str, datasets: list[str] | None = None, splits: list[str] | None = None) -> DataFrame:
+    """The named data sets and splits of such folders, all where none are named. Only their folders are listed as files to scan; a name that isn't there is an error."""
+    rows = spark.read.schema(f"{schema}, dataset string, split string").parquet(root)
+    for column, wanted in (("dataset", datasets), ("split", splits)):
+        if wanted is None:
+            continue
+        store, path_of = _folder(spark, root)
+        at = f"{root}/*/split=*" if column == "split" else f"{root}/dataset=*"
+        there = {unquote(f.getPath().getName().split("=", 1)[1]) for f in store.globStatus(path_of(at))}
+        if lacking := sorted(set(wanted) - there):
+            raise ValueError(f"no {column} named {', '.join(lacking)}")
+        rows = rows.where(F.col(column).isin(wanted))
+    return rows
+
+
 def write_block(df: DataFrame, path: str, *by: str) -> None:
     """Feature block as Parquet, partitioned by run; only the partitions at hand are replaced."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy(*by).parquet(path)

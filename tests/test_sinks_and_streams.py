@@ -98,3 +98,16 @@ def test_runs_are_told_once_complete_or_overdue(spark, tmp_path):
             spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     assert sorted(r[1:] for r in out) == [("a", "complete", 2, 2, 30), ("b", "incomplete", 2, 3, 11), ("c", "complete", 1, 1, 7), ("d", "complete", 2, 2, 2)]
     assert dict((r[1], r[0]) for r in out)["a"] == 1
+
+
+def test_a_split_is_read_alone(spark, tmp_path):
+    """Other folders are not scanned: one that can't be read does no harm."""
+    root = str(tmp_path / "set")
+    df = spark.range(40).select("id", F.concat(F.lit("set "), (F.col("id") % 2).cast("string")).alias("dataset"), F.element_at(F.array(F.lit("dev"), F.lit("test")), (F.col("id") % 4 / 2 + 1).cast("int")).alias("split"))
+    tables.write_splits(df, root)
+    (tmp_path / "set" / "dataset=set 1" / "split=dev" / "part-bad.parquet").write_text("no parquet")
+    got = tables.read_split(spark, root, "id long", ["set 0"], ["dev"])
+    assert sorted(r.id for r in got.collect()) == [r.id for r in df.where("dataset = 'set 0' and split = 'dev'").orderBy("id").collect()]
+    assert tables.read_split(spark, root, "id long", splits=["test"]).count() == 20 and "PartitionFilters: [isnotnull" in got._jdf.queryExecution().toString()
+    with pytest.raises(ValueError, match="no split named train"):
+        tables.read_split(spark, root, "id long", splits=["train"])
