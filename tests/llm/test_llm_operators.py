@@ -58,7 +58,7 @@ def empty(spark):
 
 @pytest.fixture(scope="module")
 def tables(spark, rows, tmp_path_factory):
-    """A folder with documents, labels and embeddings, and one where all are empty."""
+    """A folder with documents, labels, embeddings and conversations, and one where all are empty."""
     made = []
     for name, some in (("full", rows), ("none", [])):
         d = str(tmp_path_factory.mktemp(name))
@@ -67,15 +67,17 @@ def tables(spark, rows, tmp_path_factory):
         spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
         vectors = [(i, [float(i % 5), 1.0, float(i)]) for i in range(40 if some else 0)] + ([(100, None), (200, [0.0, 0.0, 0.0]), (300, [float("nan"), 1.0, 1.0]), (400, [1.0, None, 1.0]), (500, [1.0, 2.0])] if some else [])
         spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>").write.parquet(f"{d}/embeddings.parquet")
+        turns = [(i, 0, "user", r[1], "k", "p") for i, r in enumerate(some)]
+        spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string, key string, part string").write.parquet(f"{d}/conversations.parquet")
         made.append(d)
     return made
 
 
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_queries_run_on_full_and_empty_tables(spark, tables, rows, name):
-    full = queries.QUERIES[name](spark, tables[0])
-    assert full.count() == (10 * 1 if name.startswith("op9") else len(rows))
-    assert queries.QUERIES[name](spark, tables[1]).count() == 0
+    full, more = queries.QUERIES[name](spark, tables[0]), int(name.startswith("op12"))  # a conversation of its own
+    assert full.count() == (10 * 1 if name.startswith("op9") else len(rows) + more)
+    assert queries.QUERIES[name](spark, tables[1]).count() == more
     assert len(set(full.columns)) == len(full.columns)
 
 
