@@ -31,16 +31,23 @@ def windows(df: DataFrame, n: str, width: int = 1800, overlap: int = 256) -> Dat
     return each.withColumns({"start": start, "end": F.least(start + width, F.col(n))})
 
 
+def _edges(text: str | None) -> np.ndarray:
+    """1 where a token begins and -1 behind its end, in one pass over the text's code points."""
+    word = ~np.isin(np.frombuffer((text or "").encode("utf-32-le"), np.uint32), BLANKS)
+    return np.diff(np.concatenate([[0], word.astype(np.int8), [0]]))
+
+
 @pandas_udf(StructType([StructField(n, ArrayType(IntegerType())) for n in ("starts", "ends")]))
 def offsets(text: pd.Series) -> pd.DataFrame:
-    """Half-open places of the default tokenizer's tokens, in code points; NULL has none. Each text is one pass over an array of its code points."""
-    starts, ends = [], []
-    for t in text:
-        word = ~np.isin(np.frombuffer((t or "").encode("utf-32-le"), np.uint32), BLANKS)
-        edge = np.diff(np.concatenate([[0], word.astype(np.int8), [0]]))
-        starts.append(np.flatnonzero(edge == 1).astype(np.int32))
-        ends.append(np.flatnonzero(edge == -1).astype(np.int32))
-    return pd.DataFrame({"starts": starts, "ends": ends})
+    """Half-open places of the default tokenizer's tokens, in code points; NULL has none."""
+    edges = [_edges(t) for t in text]
+    return pd.DataFrame({"starts": [np.flatnonzero(e == 1).astype(np.int32) for e in edges], "ends": [np.flatnonzero(e == -1).astype(np.int32) for e in edges]})
+
+
+@pandas_udf(ArrayType(IntegerType()))
+def token_starts(text: pd.Series) -> pd.Series:
+    """Where the default tokenizer's tokens begin."""
+    return pd.Series([np.flatnonzero(_edges(t) == 1).astype(np.int32) for t in text])
 
 
 @pandas_udf(ArrayType(BooleanType()))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import scalar
 from plumbline.operators import subwords
 from plumbline.operators.intervals import held_points, sentence_places, times_held
-from plumbline.operators.tokens import kept_context, offsets, stops_at
+from plumbline.operators.tokens import kept_context, offsets, stops_at, token_starts
 from plumbline.plans.registry import query, table
 from plumbline.plans.windows import SPANS, sentence_rows
 
@@ -43,7 +43,7 @@ def retained_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_sentences(docs: DataFrame) -> DataFrame:
     """doc_id, the tokens' starts, and the range of tokens that start inside each sentence."""
-    own = docs.select("doc_id", "text", offsets("text")["starts"].alias("starts"), sentence_places("text").alias("s"))
+    own = docs.select("doc_id", "text", token_starts("text").alias("starts"), sentence_places("text").alias("s"))
     return own.select("doc_id", "text", "starts", held_points("starts", "s.starts", "s.ends").alias("r"))
 
 
@@ -78,7 +78,7 @@ def span_coverage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def context_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First and last token of the prompt that start inside its context, which begins at the same place in every prompt; NULL where none does."""
     begin = len("Context:\n")
-    own = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), offsets(scalar.prompt(F.col("text"), F.col("source")))["starts"].alias("starts"))
+    own = table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n"), token_starts(scalar.prompt(F.col("text"), F.col("source"))).alias("starts"))
     place = F.filter(F.transform("starts", lambda s, i: F.when((s >= begin) & (s < begin + F.col("n")), i)), lambda i: i.isNotNull())
     return own.select("doc_id", F.array_min(place).cast("long").alias("first"), F.array_max(place).cast("long").alias("last"), F.size("starts").cast("long").alias("n_prompt"))
 
