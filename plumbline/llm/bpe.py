@@ -6,7 +6,9 @@ the smallest rank, deletes that boundary, and refreshes the two neighbouring ran
 take the same merges from a heap, so a run of a million letters costs n log n. Encoded words are kept in a bounded
 per-process memo, which changes no result.
 
-Defined results: a null text is the empty text, with no tokens; repeated rows each get their own row.
+Defined results: a null text is the empty text, with no tokens; repeated rows each get their own row;
+of pairs of equal rank the leftmost merges first; an empty table gives no rows; a text of any length is encoded whole;
+extra columns are ignored unless passed through ``keep``.
 """
 
 from __future__ import annotations

@@ -14,7 +14,9 @@ the text moves once, to meet its dropped lines.
 
 Defined results: lines are split at ``\\n`` and keep their order and blanks; lines of fewer than ``shortest`` words are
 never dropped, by default only blank ones; a null text stays null with no lines; equal texts count once, whatever their ids; of rows with null ids
-none is the first unless all are; repeated rows lose the same lines.
+none is the first unless all are; repeated rows lose the same lines;
+lines and texts of any length count whole; an empty table gives no rows; extra columns are ignored unless passed through
+``keep``.
 """
 
 from __future__ import annotations

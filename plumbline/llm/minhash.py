@@ -15,7 +15,8 @@ With 32 bands of 5 values a pair of similarity 0.8 shares no band with a probabi
 
 Defined results: a null, empty or blank text has an empty set and is linked with nothing; a text of one word has its
 word as only shingle; rows that repeat an id belong together; a row with a null id has its set size, no component, and is
-not kept; very long texts are read whole, a few megabytes of texts at a time; extra columns are ignored.
+not kept; very long texts are read whole, a few megabytes of texts at a time; an
+empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -17,7 +17,8 @@ rows as can be returned are kept, before they are shuffled, so a third of all ro
 Defined results: vectors that are null, zero, of another length than most, or hold null or non-finite components take no
 part, neither as query nor as candidate; ties go to the smaller id; with fewer than k candidates all are returned;
 a null id takes no part; repeated rows are separate candidates with equal ids, of which the query's own id is never one; a
-query id that comes several times is asked once, for the vector of the smallest hash; extra columns are ignored.
+query id that comes several times is asked once, for the vector of the smallest hash; an empty table gives no rows; extra columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -7,8 +7,8 @@ the ratios reach the scoring scan as one array of ``buckets`` doubles.
 
 Defined results: a null or blank text has no words, fails the base rules and is not kept; a document without n-grams
 scores 0; repeated rows each get their own row; a null quality is not trusted; labels that repeat count once; with no
-trusted documents both multinomials are the smoothed uniform and raw ones, and the threshold still decides; extra
-columns are ignored unless passed through ``keep``.
+trusted documents both multinomials are the smoothed uniform and raw ones, and the threshold still decides; a
+text of any length is read whole; an empty table gives no rows; extra columns are ignored unless passed through ``keep``.
 """
 
 from __future__ import annotations

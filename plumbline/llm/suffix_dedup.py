@@ -18,7 +18,8 @@ Texts enter as UTF-8 bytes. A document that occurs twice is covered whole if it
 copies takes part in the search.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; repeated rows are copies of each
-other; matches never cross documents.
+other; matches never cross documents; rows with null or equal ids are documents like others, each with its own row; a text of any
+length takes part whole; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -693,6 +693,21 @@ def test_suffix_dedup(spark, docs, rows, monkeypatch, limit):
     assert sorted(found, key=str) == plain_spans(some, 60)
 
 
+def test_suffix_dedup_of_all_rows(spark, docs, rows):
+    """Null and repeated ids and the longest texts too."""
+    got = suffix_dedup.repeated_spans(docs, length=200, anchor=64).collect()
+    found = [(r.doc_id, r.n_bytes, sum(s.end - s.begin for s in r.spans), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got]
+    assert sorted(found, key=str) == plain_spans([r[:2] for r in rows], 200)
+
+
+def test_language_of_a_very_long_text(spark):
+    """Half a million words are read whole: the language of most of them, which come last, is told."""
+    rows = [("aa", 0, "hello", 0.5), ("bb", 0, "salut", 0.5)]
+    table = pa.table({n: pa.array([r[i] for r in rows], t) for i, (n, t) in enumerate((("lang", pa.string()), ("size", pa.int32()), ("gram", pa.string()), ("share", pa.float64())))})
+    model = language.Languages(table, 1e-6)
+    assert language.classify(["hello " * 200_000 + "salut " * 300_000, "hello " * 300_000 + "salut " * 200_000], model, language.rows_of(model))[0] == ["bb", "aa"]
+
+
 def test_suffix_array_and_common_prefixes():
     rng = random.Random(1)
     for _ in range(60):
