@@ -157,11 +157,10 @@ def vocabulary(path: str | None = None) -> str:
 @query()
 def subword_offsets(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Subword tokens of every text with their places, and those that start inside each sentence; tokenizers are beyond SQL."""
-    own = table(spark, sf_dir, "documents").select("doc_id", "text", subwords.subword_offsets(vocabulary(path))("text").alias("o"), sentence_places("text").alias("s"))
-    held = own.select("doc_id", "text", "o", held_points("o.starts", "s.starts", "s.ends").alias("r"))
+    held = subwords.subwords_in_sentences(table(spark, sf_dir, "documents"), vocabulary(path))
     digest = lambda c: F.md5(F.concat_ws(",", c.cast("array<string>")))
-    most = F.array_max(F.zip_with("r.hi", "r.lo", lambda a, b: a - b))
-    return held.select("doc_id", F.size("o.ids").cast("long").alias("n_tokens"), digest(F.col("o.starts")).alias("starts"), digest(F.col("o.ends")).alias("ends"), F.coalesce(most, F.lit(0)).cast("long").alias("longest_sentence"))
+    most = F.array_max(F.zip_with("hi", "lo", lambda a, b: a - b))
+    return held.select("doc_id", F.size("starts").cast("long").alias("n_tokens"), digest(F.col("starts")).alias("starts"), digest(F.col("ends")).alias("ends"), F.coalesce(most, F.lit(0)).cast("long").alias("longest_sentence"))
 
 
 @query()

@@ -63,6 +63,61 @@ def test_longest_fit_like_trying_all(spark, limit):
             assert r.f.read_tokens == 0
 
 
+def test_words_are_cut_as_the_library_cuts_texts():
+    t = tokenizers.Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    signs = [chr(c) for c in range(0x30000) if not 0xD800 <= c <= 0xDFFF]
+    # by blocks of old and of new signs, which the two may class in different ways
+    asked = texts() + ["".join(f"a{c}1{c}  {c}{c}b!{c}\n" for c in signs[i : i + 512]) for i in range(0, len(signs), 512)] + ["x" * 200_000]
+    for text, (ids, starts, ends) in zip(asked, subwords._encoded(PATH, asked), strict=True):
+        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids and len(starts) == len(ends) == len(ids)
+
+
+@pytest.mark.parametrize("change", [{"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True, "trim_offsets": True, "use_regex": True}}, {"normalizer": {"type": "Lowercase"}}])
+def test_other_files_take_texts_whole(tmp_path, change):
+    import json
+
+    with open(PATH, encoding="utf-8") as f:
+        spec = json.load(f) | change
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    t = tokenizers.Tokenizer.from_file(str(path))
+    t.encode_special_tokens = True
+    for text in ["Hello World", " a", "ÀB don't", ""]:
+        assert subwords._ids(str(path))(text).tolist() == t.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_follows_texts_not_batches(spark):
+    import numpy as np
+    import pandas as pd
+
+    # one batch of 24 MB has ten million tokens; the result comes in pieces, each of few texts
+    batch = pd.Series([None, "", *["a b c d e f " * 1_000] * 2_000])
+    sizes = [len(d) for d in subwords.subword_offsets(PATH).func(iter([batch]))]
+    assert sum(sizes) == len(batch) and max(sizes) < 100
+    assert list(subwords._pieces(np.array([2, 0, 9, 0, 1]), 4)) == [(0, 2), (2, 2), (4, 1)]
+    rows = spark.range(0, 3_000, 1, 1).selectExpr("id", "repeat(concat(id, ' word '), 200) as t")
+    found = rows.select("id", subwords.subword_offsets(PATH)("t").alias("o")).selectExpr("id", "size(o.ids) as n", "element_at(o.ends, -1) = length(repeat(concat(id, ' word '), 200)) as whole")
+    assert found.where("whole and n > 0").count() == 3_000
+
+
+def test_subwords_in_sentences_like_the_columns_one_by_one(spark):
+    from plumbline.operators.intervals import held_points, sentence_places
+
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate([*texts(), None, "One. Two!\nThree"])], "i int, t string")
+    got = {r.i: r for r in subwords.subwords_in_sentences(rows, PATH, "t", ("i",)).collect()}
+    apart = rows.select("i", subwords.subword_offsets(PATH)("t").alias("o"), sentence_places("t").alias("s")).select("i", "o", held_points("o.starts", "s.starts", "s.ends").alias("r"))
+    want = apart.collect()
+    assert len(got) == len(want)
+    for w in want:
+        r = got[w.i]
+        assert (r.starts, r.ends, r.lo, r.hi) == (w.o.starts, w.o.ends, w.r.lo, w.r.hi)
+    # one Python worker a task, however many columns
+    plan = subwords.subwords_in_sentences(rows, PATH, "t", ("i",))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    assert subwords.subwords_in_sentences(rows.where("false"), PATH, "t", ("i",)).count() == 0
+
+
 def test_other_tokenizers_are_refused():
     import numpy as np
 
