@@ -183,12 +183,13 @@ def longest_fit(path: str, limit: int, before: str, between: str, after: str, sp
         for c, q, a, (ids, _, ends) in zip(contexts, question.fillna(""), answer.fillna(""), _encoded(path, contexts), strict=True):
             upto = lambda k, c=c, ends=ends: c[: ends[k - 1]] if k else ""
             n = len(ids)
-            k = max(0, min(n, room - size("", q, a)))
-            while k and (over := size(upto(k), q, a) - room) > 0:
+            held = functools.cache(lambda k, q=q, a=a, upto=upto: size(upto(k), q, a))
+            k = max(0, min(n, room - held(0)))
+            while k and (over := held(k) - room) > 0:
                 k = max(0, k - over)
-            while k < n and size(upto(k + 1), q, a) <= room:
+            while k < n and held(k + 1) <= room:
                 k += 1
-            out.append((n, k, len(upto(k)), size(upto(k), q, a), k < n))
+            out.append((n, k, len(upto(k)), held(k), k < n))
         return pd.DataFrame(out, columns=["n_tokens", "read_tokens", "read_chars", "seq_len", "cut"])
 
     return run

@@ -118,6 +118,18 @@ def test_subwords_in_sentences_like_the_columns_one_by_one(spark):
     assert subwords.subwords_in_sentences(rows.where("false"), PATH, "t", ("i",)).count() == 0
 
 
+def test_a_fit_encodes_each_prompt_once(monkeypatch):
+    import pandas as pd
+
+    asked = []
+    real = subwords._ids(PATH)
+    monkeypatch.setattr(subwords, "_ids", lambda path: lambda text: asked.append(text) or real(text))
+    text = "one two three four five six seven " * 100
+    fit = subwords.longest_fit(PATH, 40, "C:", " Q:", " A:", spare=2).func
+    (got,) = fit(pd.Series([text]), pd.Series(["q"]), pd.Series(["a"])).itertuples(index=False)
+    assert got.cut and got.seq_len <= 38 and len(asked) == len(set(asked))
+
+
 def test_other_tokenizers_are_refused():
     import numpy as np
 
