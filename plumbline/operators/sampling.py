@@ -59,6 +59,8 @@ def prefix_donors(cases: DataFrame, pool: DataFrame, budget: int, chunk: int = 8
     ``cases``: (id, src, part); ``pool``: (id, src, part, size), both better written than derived. The pool of a part is
     put in one seeded order, and each case reads it round from a place of its own. Rounds fetch ``chunk`` places per open
     case, then four times as many, until all are full or have read the whole pool, so no pair is listed beyond need.
+    Sides with a row per text are merged, as hinted: by the size of their files, in which ids take next to nothing, Spark
+    would collect them on the driver to broadcast them.
     """
     order = (F.col("id") * 7919) % 1_000_003 * 2_147_483_648 + F.col("id")
     ring = written(numbered(pool.withColumn("_order", order), ["part"], "_order", "at").select("part", "at", F.col("id").alias("donor"), F.col("src").alias("donor_src"), "size"))
@@ -67,12 +69,12 @@ def prefix_donors(cases: DataFrame, pool: DataFrame, budget: int, chunk: int = 8
     out = None
     while True:
         each = open_.withColumn("place", F.explode(F.sequence("read", F.least(F.col("read") + chunk, F.col("n")) - 1)))
-        met = each.withColumn("at", (F.col("from") + F.col("place")) % F.col("n")).join(ring, ["part", "at"]).where("src <> donor_src")
+        met = each.withColumn("at", (F.col("from") + F.col("place")) % F.col("n")).join(ring.hint("merge"), ["part", "at"]).where("src <> donor_src")
         run = F.sum("size").over(Window.partitionBy("id").orderBy("place")) - F.col("size") + F.col("got")
         taken = written(met.withColumn("before", run).where(F.col("before") < budget).select("id", "place", "donor", "before", F.least("size", budget - F.col("before")).cast("long").alias("used")))
         out = taken if out is None else out.unionByName(taken)
         more = taken.groupBy("id").agg(F.sum("used").alias("more"))
-        open_ = open_.join(more, "id", "left").select("id", "src", "part", "n", "from", (F.col("got") + F.coalesce("more", F.lit(0))).alias("got"), (F.col("read") + chunk).alias("read"))
+        open_ = open_.join(more.hint("merge"), "id", "left").select("id", "src", "part", "n", "from", (F.col("got") + F.coalesce("more", F.lit(0))).alias("got"), (F.col("read") + chunk).alias("read"))
         open_ = written(open_.where((F.col("got") < budget) & (F.col("read") < F.col("n"))))
         if open_.isEmpty():
             return out

@@ -179,12 +179,12 @@ def displaced_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def displaced_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The displaced contexts: the donors' texts joined by blank lines, cut at the end of the last token of the budget, a blank line, the own text."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    taken = displaced(spark, sf_dir).join(docs.withColumnRenamed("doc_id", "donor"), "donor")
+    taken = displaced(spark, sf_dir).join(docs.withColumnRenamed("doc_id", "donor").hint("merge"), "donor")  # texts, and rows per text, are never broadcast
     upto = F.col("before") + F.col("used")
     whole = taken.where(upto < BUDGET).select("doc_id", "place", upto.alias("upto"), F.col("text").alias("part"))
     last = taken.where(upto >= BUDGET).select("doc_id", "place", upto.alias("upto"), first_tokens(F.col("text"), offsets("text")["ends"], F.col("used")).alias("part"))  # only these need their tokens' places
     parts = whole.unionByName(last).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_donors"), F.max("upto").alias("n_prefix"), F.sort_array(F.collect_list(F.struct("place", "part"))).alias("p"))
-    prefix = parts.withColumn("prefix", F.array_join("p.part", "\n\n")).join(docs, "doc_id")
+    prefix = parts.withColumn("prefix", F.array_join("p.part", "\n\n")).join(docs.hint("merge"), "doc_id")
     return prefix.select("doc_id", "n_donors", "n_prefix", (F.col("n_prefix") == BUDGET).alias("enough"), F.length("prefix").cast("long").alias("n_chars"), F.md5(F.concat("prefix", F.lit("\n\n"), "text")).alias("digest"))
 
 

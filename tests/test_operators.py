@@ -232,6 +232,22 @@ def test_streams(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def test_displaced_rows_per_text_are_never_broadcast(spark, tmp_path, monkeypatch):
+    from plumbline.operators import sampling
+    from plumbline.plans import windows
+
+    docs = [(i, f"s{i % 3}", " ".join(["w"] * (700 + i % 5)), 1_400) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, source string, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    plans, real = [], sampling.written
+    told = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(sampling, "written", lambda df: plans.append(told(df)) or real(df))
+    found = windows.displaced_text(spark, str(tmp_path))
+    assert len(plans) >= 3 and found.count() == 60
+    # what is joined by places and ids has a row per text or more; tables per part stay small
+    for plan in [*plans, told(found)]:
+        assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and ("[part#" not in x or "at#" in x)]
+
+
 def test_displaced_prefix_limits_cases_not_donors(spark, tmp_path):
     from plumbline.plans import windows
 
